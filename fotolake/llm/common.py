@@ -36,3 +36,10 @@ def settled(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(frame.sparkSession)}/fotolake-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
 from . import mixing as _mixing
-from .common import table
+from . import packing as _packing
+from . import token_counts as _counts
+from .common import table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.packing_report(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -63,6 +73,8 @@ from laid
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
+    "op4_token_counts": op4_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_mixing": op5_mixing,
 }
