@@ -1,0 +1,34 @@
+"""Connected components of an edge table, as joins and aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import settled
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node, root (the least node that it reaches) for every node of edges (a, b); self-loops name a node alone.
+
+    Each round takes the least label among neighbours, then the label of that label, so chains halve. Rounds are
+    written to the shared folder. Minima combine before they are shuffled, so a hub is no hot spot.
+    """
+    both = settled(
+        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    )
+    labels = settled(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    while True:
+        near = (
+            both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        )
+        lower = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select(
+            "node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root")
+        )
+        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
+        moved = settled(
+            lower.join(jump, "root").select("node", F.least("root", "beyond").alias("root"), (F.least("root", "beyond") != F.col("was")).alias("moved"))
+        )
+        labels = moved.select("node", "root")
+        if moved.where("moved").isEmpty():
+            return labels

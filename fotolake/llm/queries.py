@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
 from . import mixing as _mixing
+from . import ngram_join as _ngram
 from . import packing as _packing
 from . import token_counts as _counts
 from .common import table, tokenizer
@@ -72,13 +73,41 @@ select doc_id, size, source_size, target,
 from laid
 """
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ngram.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
+  from words),
+items as (select doc_id, unnest(s) as x from sets),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from items a join items b on a.x = b.x and a.doc_id < b.doc_id group by all),
+links as (
+  select a, b from shared join sets p on p.doc_id = a join sets q on q.doc_id = b
+  where 100 * n >= 90 * (len(p.s) + len(q.s) - n)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (
+  select doc_id as node, doc_id as root from sets
+  union select b, root from reach join both_ways on node = a)
+select doc_id, len(s)::bigint as n_shingles, root as component_id
+from sets join (select node, min(root) as root from reach group by node) on node = doc_id
+"""
+
 QUERIES: dict[str, Query] = {
+    "op10_ngram_join": op10_ngram_join,
     "op1_packing": op1_packing,
     "op4_token_counts": op4_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_mixing": op5_mixing,
 }
 SQL: dict[str, str] = {
+    "op10_ngram_join": OP10_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op5_mixing": OP5_SQL,
 }
