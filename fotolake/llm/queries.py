@@ -10,6 +10,7 @@ from . import exact_dedup as _exact
 from . import mixing as _mixing
 from . import ngram_join as _ngram
 from . import packing as _packing
+from . import quality as _quality
 from . import token_counts as _counts
 from .common import table, tokenizer
 
@@ -73,6 +74,10 @@ select doc_id, size, source_size, target,
 from laid
 """
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngram.jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -100,6 +105,7 @@ from sets join (select node, min(root) as root from reach group by node) on node
 """
 
 QUERIES: dict[str, Query] = {
+    "op6_quality": op6_quality,
     "op10_ngram_join": op10_ngram_join,
     "op1_packing": op1_packing,
     "op4_token_counts": op4_token_counts,
