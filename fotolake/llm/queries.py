@@ -12,6 +12,7 @@ from . import ngram_join as _ngram
 from . import packing as _packing
 from . import quality as _quality
 from . import token_counts as _counts
+from . import toxicity as _toxicity
 from .common import table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +79,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngram.jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -106,6 +111,7 @@ from sets join (select node, min(root) as root from reach group by node) on node
 
 QUERIES: dict[str, Query] = {
     "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op10_ngram_join": op10_ngram_join,
     "op1_packing": op1_packing,
     "op4_token_counts": op4_token_counts,
