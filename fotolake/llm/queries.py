@@ -11,6 +11,7 @@ from . import mixing as _mixing
 from . import ngram_join as _ngram
 from . import packing as _packing
 from . import quality as _quality
+from . import suffix_dedup as _suffix
 from . import token_counts as _counts
 from . import toxicity as _toxicity
 from .common import table, tokenizer
@@ -83,6 +84,31 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix.repeats_report(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+with raw as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (
+  select doc_id, p, substr(h, 2 * p + 1, 100) as w
+  from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as p from raw)),
+least as (select w, min(doc_id) as least from windows group by w),
+gone as (select distinct doc_id, p from windows join least using (w) where least < doc_id),
+bytes as (select doc_id, substr(h, 2 * p + 1, 2) as byte, p from (select doc_id, h, unnest(range(0, len(h) // 2)) as p from raw)),
+judged as (
+  select b.doc_id, b.p, byte, last_value(g.p ignore nulls) over (partition by b.doc_id order by b.p) >= b.p - 49 as out
+  from bytes b left join gone g on g.doc_id = b.doc_id and g.p = b.p),
+runs as (
+  select doc_id, p, byte, coalesce(out, false) as out,
+    coalesce(out, false) and not coalesce(lag(out) over (partition by doc_id order by p), false) as starts
+  from judged)
+select r.doc_id, len(h)::bigint // 2 as n_bytes, count(*) filter (out) as n_removed, count(*) filter (starts) as n_spans,
+  sha256(unhex(coalesce(string_agg(byte, '' order by p) filter (not out), ''))) as kept_sha256
+from raw r left join runs using (doc_id) group by r.doc_id, h
+"""
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngram.jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -112,6 +138,7 @@ from sets join (select node, min(root) as root from reach group by node) on node
 QUERIES: dict[str, Query] = {
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_ngram_join": op10_ngram_join,
     "op1_packing": op1_packing,
     "op4_token_counts": op4_token_counts,
@@ -119,6 +146,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
 }
 SQL: dict[str, str] = {
+    "op8_suffix_dedup": OP8_SQL,
     "op10_ngram_join": OP10_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op5_mixing": OP5_SQL,
