@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
+from . import lm_score as _lm
 from . import mixing as _mixing
 from . import ngram_join as _ngram
 from . import packing as _packing
 from . import quality as _quality
+from . import quotes as _quotes
 from . import suffix_dedup as _suffix
 from . import token_counts as _counts
 from . import toxicity as _toxicity
@@ -109,6 +111,14 @@ from raw r left join runs using (doc_id) group by r.doc_id, h
 """
 
 
+def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngram.jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -139,6 +149,8 @@ QUERIES: dict[str, Query] = {
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op2_quote_links": op2_quote_links,
+    "op9_lm_score": op9_lm_score,
     "op10_ngram_join": op10_ngram_join,
     "op1_packing": op1_packing,
     "op4_token_counts": op4_token_counts,
