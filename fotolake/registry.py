@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = ("search",)
+FAMILIES = ("search", "reports")
 
 
 def queries() -> dict[str, Query]:
