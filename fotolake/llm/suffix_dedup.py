@@ -1,15 +1,16 @@
 """Removal of long byte strings that an earlier document already has, by suffix arrays over shards.
 
 1. Every window of LENGTH bytes has an anchor, the GRAM bytes in it with the least hash (the leftmost of equals), so equal
-   windows have equal anchors. Neighbouring windows with one anchor form a segment. Tasks send the anchors' hashes, once
-   per part of the documents, and learn which of them occur in two documents or more.
-2. Segments with such an anchor are sent to the anchor's part, each different one once per task with a list of where it
-   occurs. An anchor that very many documents share is spread by sending its windows one by one, to the parts of their
-   own hashes.
+   windows have equal anchors. Neighbouring windows with one anchor form a segment. Tasks send the hashes of anchors and
+   segments and learn which anchors occur in two documents or more, and which of the different segments with such an
+   anchor they are to supply: each is supplied once.
+2. Those segments' bytes go to the anchor's part, with the least and the greatest doc_id that each part of the documents
+   has for them; how often a segment occurs does not matter. An anchor with very many different segments is spread by
+   sending its windows one by one, to the parts of their own hashes.
 3. A part lays its segments in shards, builds each shard's suffix array by induced sorting and reads off the permuted
-   common prefixes: windows that share LENGTH bytes stand together, and the least doc_id among them is known. Windows with
-   a smaller one than their document's own are marked.
-4. The marks go back to the documents, whose bytes under any mark are removed.
+   common prefixes: windows that share LENGTH bytes stand together, and the least doc_id among them is known.
+4. These go back to the parts of the documents that can lose bytes by them, where windows of a greater doc_id are marked
+   and the bytes under any mark removed.
 """
 
 from __future__ import annotations
@@ -21,16 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, text_of
+from .common import release, settled, text_of
 from .shingles import mixed
 from .suffixes import permuted_lcp, shard, suffix_array
 
-#: Bytes of a window and of an anchor; documents of a task, or tasks, from which an anchor's windows are sent singly.
+#: Bytes of a window and of an anchor; different segments from which an anchor's windows are sent singly.
 LENGTH = 50
 GRAM = 16
-HOT = 64
+HOT = 4096
 #: Bytes worked on at once, segments and bytes held before they are sent, bytes of a shard.
-PIECE = 1 << 19
+PIECE = 1 << 17
 HELD_SEGMENTS = 1_500_000
 HELD_BYTES = 6_000_000
 SHARD = 1_500_000
@@ -39,8 +40,22 @@ NEVER = np.iinfo(np.int64).max
 PACKED = "part int, src int, a binary, b binary, c binary, d binary, e binary"
 
 
-def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, window after the last, anchor hash) of all segments of some texts."""
+#: Powers of an odd number and of its inverse modulo 2^64, for hashes of stretches of a piece.
+BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    if not _POWERS:
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            x = np.full(2 * PIECE + LENGTH, base, np.uint64)
+            x[0] = 1
+            _POWERS.append(np.multiply.accumulate(x))
+    return _POWERS
+
+
+def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, window after the last, anchor's hash, segment's hash) of all segments of some texts."""
     out: list[tuple[np.ndarray, ...]] = []
     pieces: list[tuple[int, int, bytes]] = []
     size = 0
@@ -48,7 +63,9 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     def work() -> None:
         raw = np.frombuffer(b"".join([p[2] for p in pieces]), np.uint8)
         sizes = np.array([len(p[2]) for p in pieces])
-        h, step, power = raw.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+        h, step, power = raw.astype(np.uint64) + np.uint64(1), 1, BASE
+        up, down = _powers()
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])))
         while step < GRAM:
             h = h[:-step] * np.uint64(power) + h[step:]
             power = power * power % (1 << 64)
@@ -74,7 +91,9 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         first, after = first[use], after[use]
         o = owner[first]
         shift = np.array([p[1] for p in pieces])[o] - begin[o]
-        out.append((np.array([p[0] for p in pieces])[o], first + shift, after + shift, h[anchor[first]]))
+        f = h[anchor[first]]
+        whole = (sums[after + LENGTH - 1] - sums[first]) * down[first]
+        out.append((np.array([p[0] for p in pieces])[o], first + shift, after + shift, f, mixed(whole + (after - first).astype(np.uint64) + (f ^ np.uint64(BASE)))))
 
     for i, text in enumerate(texts):
         for at in range(0, len(text) - LENGTH + 1, PIECE):
@@ -87,7 +106,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     if pieces:
         work()
     if not out:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
@@ -114,59 +133,68 @@ def _texts(docs: DataFrame, parts: int) -> DataFrame:
     )
 
 
-def shared_anchors(texts: DataFrame, parts: int) -> DataFrame:
-    """Packed rows: for each part of the documents (part) the anchors (a) that other documents share, and if many (b)."""
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before in any column."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def shared_segments(texts: DataFrame, parts: int) -> DataFrame:
+    """Packed rows: for each part of the documents (part) the segments (a) whose anchor other documents share, with what
+    to do about them (b): 1 the part supplies the bytes, 2 the anchor is shared by very many."""
 
     def send(batches: Iterator) -> Iterator:
         held: list[tuple] = []
         n = 0
 
         def flush() -> Iterator:
-            f, doc, q = (np.concatenate(x) for x in zip(*held, strict=True))
+            f, doc, q, x = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((doc, f))
-            f, doc, q = f[order], doc[order], q[order]
-            group = np.concatenate(([True], f[1:] != f[:-1]))
-            other = group | np.concatenate(([True], doc[1:] != doc[:-1]))
-            many = np.add.reduceat(other, np.flatnonzero(group))
-            level = ((many > 1).astype(np.uint8) + (many >= HOT))[np.cumsum(group) - 1]
-            order = np.lexsort((q, f))
-            f, q, level = f[order], q[order], level[order]
-            use = np.concatenate(([True], (f[1:] != f[:-1]) | (q[1:] != q[:-1])))
-            f, q, level = f[use], q[use].astype(np.uint32), level[use]
-            order = np.argsort(q, kind="stable")
-            yield from _emit((f[order] % np.uint64(parts)).astype(np.int64), 0, f[order], q[order], level[order])
+            f, doc, q, x = f[order], doc[order], q[order], x[order]
+            group = _changes(f)
+            many = np.add.reduceat(_changes(f, doc), np.flatnonzero(group)) > 1
+            level = many.astype(np.uint8)[np.cumsum(group) - 1]
+            order = np.lexsort((x, f, q))
+            f, q, x, level = f[order], q[order], x[order], level[order]
+            use = _changes(q, f, x)
+            f, q, x, level = f[use], q[use], x[use], level[use]
+            yield from _emit((f % np.uint64(parts)).astype(np.int64), 0, f, x, q.astype(np.uint32), level)
 
         for batch in batches:
-            part, doc, text = (batch.column(i).to_pylist() for i in range(3))
-            own, _, _, f = segments([b"" if d is None else t.encode("utf-8", "surrogatepass") for d, t in zip(doc, text, strict=True)])
-            doc = np.array([-1 if d is None else d for d in doc], np.int64)
-            held.append((f, doc[own], np.array(part, np.int64)[own]))
-            n += len(f)
-            if n > HELD_SEGMENTS:
-                yield from flush()
-                n = 0
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
+                part, doc, text = (rows.column(i).to_pylist() for i in range(3))
+                own, _, _, f, x = segments([b"" if d is None else t.encode("utf-8", "surrogatepass") for d, t in zip(doc, text, strict=True)])
+                doc = np.array([-1 if d is None else d for d in doc], np.int64)
+                held.append((f, doc[own], np.array(part, np.int64)[own], x))
+                n += len(f)
+                if n > HELD_SEGMENTS:
+                    yield from flush()
+                    n = 0
         if n:
             yield from flush()
 
     def meet(batches: Iterator) -> Iterator:
-        found = [tuple(np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.uint32, np.uint8), strict=True)) for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+        kinds = (np.uint64, np.uint64, np.uint32, np.uint8)
+        found = [tuple(np.frombuffer(c, t) for c, t in zip(row, kinds, strict=True)) for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
         if not found:
             return
-        f, q, level = map(np.concatenate, zip(*found, strict=True))
-        order = np.argsort(f, kind="stable")
-        f, q, level = f[order], q[order], level[order]
-        first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+        f, x, q, level = map(np.concatenate, zip(*found, strict=True))
+        order = np.lexsort((q, x, f))
+        f, x, q, level = f[order], x[order], q[order], level[order]
+        first = np.flatnonzero(_changes(f))
         rows = np.diff(np.append(first, len(f)))
-        top = np.maximum(np.maximum.reduceat(level, first), (rows > 1).astype(np.uint8) + (rows >= HOT))
-        level = np.repeat(top, rows)
-        use = level > 0
-        f, q, level = f[use], q[use], level[use]
-        order = np.lexsort((q, f))
-        f, q, level = f[order], q[order], level[order]
-        use = np.ones(len(f), bool)
-        use[1:] = (f[1:] != f[:-1]) | (q[1:] != q[:-1])
-        yield from _emit(q[use].astype(np.int64), 0, f[use], (level[use] > 1).astype(np.uint8))
+        # Two rows of an anchor may still be one document's; that costs a look at the bytes, no more.
+        many = np.add.reduceat(_changes(f, x), first) >= HOT
+        level = np.repeat(np.maximum(np.maximum.reduceat(level, first), rows > 1) + many, rows)
+        use = (level > 0) & _changes(f, x, q)
+        f, x, q, level = f[use], x[use], q[use], level[use]
+        task = np.where(level > 1, 2, _changes(f, x)).astype(np.uint8)
+        order = np.lexsort((x, q))
+        yield from _emit(q[order].astype(np.int64), 0, x[order], task[order])
 
     return texts.mapInArrow(send, PACKED).repartitionById(parts, "part").mapInArrow(meet, PACKED)
 
@@ -201,58 +229,87 @@ def _by_part(batches: Iterator) -> Iterator[tuple[int, list[tuple], list[tuple]]
         yield part, packed, texts
 
 
-def shared_segments(texts: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
-    """Packed rows (anchor's part, documents' part): different segments (a: bytes, b: sizes, with c: anchors), and where
-    they occur (d: segment, doc and first window)."""
+class _Known:
+    """What a part knows about segments: sorted hashes and what to do about each."""
 
-    def task(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def __init__(self, packed: list[tuple]):
+        keys = np.concatenate([np.frombuffer(r[0], np.uint64) for r in packed]) if packed else np.empty(0, np.uint64)
+        what = np.concatenate([np.frombuffer(r[1], np.uint8) for r in packed]) if packed else np.empty(0, np.uint8)
+        order = np.argsort(keys)
+        self.keys, self.what = keys[order], what[order]
+        self.given = np.zeros(len(keys), bool)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of x are known, their places)."""
+        if not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
+        use = np.flatnonzero(self.keys[at] == x)
+        return use, at[use]
+
+
+def _windows_of(raws: list[bytes], own: list[int], first: list[int], after: list[int]) -> tuple[dict[bytes, int], np.ndarray]:
+    """Different windows of some segments, and rows (window, text, place)."""
+    seen: dict[bytes, int] = {}
+    rows = [(seen.setdefault(raws[o][j : j + LENGTH], len(seen)), o, j) for o, s, e in zip(own, first, after, strict=True) for j in range(s, e)]
+    return seen, np.array(rows, np.int64).reshape(-1, 3)
 
-        known_part, keys, hot = None, None, None
+
+def supplied(texts: DataFrame, known: DataFrame, parts: int) -> DataFrame:
+    """Packed rows (anchor's part, documents' part): segments (a: anchors, b: hashes, c: sizes of their bytes or 0 where
+    another part supplies them, d: bytes, e: least and greatest doc_ids)."""
+
+    def task(batches: Iterator) -> Iterator:
+        known_part, table = None, None
         for part, packed, texts in _by_part(batches):
             if part != known_part:
-                known_part = part
-                keys = np.concatenate([np.frombuffer(x[0], np.uint64) for x in packed]) if packed else np.empty(0, np.uint64)
-                hot = np.concatenate([np.frombuffer(x[1], np.uint8) for x in packed]) if packed else np.empty(0, np.uint8)
-                order = np.argsort(keys)
-                keys, hot = keys[order], hot[order]
+                known_part, table = part, _Known(packed)
             texts = [(d, t) for d, t in texts if d is not None]
-            own, first, after, f = segments([t for _, t in texts])
-            at = np.searchsorted(keys, f)
-            use = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == f) if len(keys) else np.empty(0, np.int64)
-            own, first, after, f, single = own[use], first[use], after[use], f[use], hot[at[use]]
-            seen: dict[bytes, int] = {}
-            anchor: list[int] = []
-            places: list[tuple[int, int, int]] = []
-            for i, s, e, x, alone in zip(own.tolist(), first.tolist(), after.tolist(), f.tolist(), single.tolist(), strict=True):
-                doc, raw = texts[i]
-                for a, b in [(j, j + 1) for j in range(s, e)] if alone else [(s, e)]:
-                    piece = raw[a : b + LENGTH - 1]
-                    k = seen.setdefault(piece, len(seen))
-                    if k == len(anchor):
-                        anchor.append(xxhash.xxh3_64_intdigest(piece) if alone else x)
-                    places.append((k, doc, a))
-            if not places:
-                continue
-            to = (np.array(anchor, np.uint64) % np.uint64(parts)).astype(np.int64)
-            place = np.array(places, np.int64)
-            pieces = list(seen)
-            by, by_place = np.argsort(to, kind="stable"), np.argsort(to[place[:, 0]], kind="stable")
-            local = np.empty(len(to), np.int64)
-            cuts = np.searchsorted(to[by], np.arange(parts + 1))
-            cuts_place = np.searchsorted(to[place[by_place, 0]], np.arange(parts + 1))
-            local[by] = np.arange(len(by)) - cuts[to[by]]
-            rows = []
-            for p in np.unique(to).tolist():
-                mine = by[cuts[p] : cuts[p + 1]]
-                where = place[by_place[cuts_place[p] : cuts_place[p + 1]]]
-                where[:, 0] = local[where[:, 0]]
-                strings = [pieces[i] for i in mine.tolist()]
-                rows.append((p, part, b"".join(strings), np.array([len(x) for x in strings], np.uint16).tobytes(), np.array([anchor[i] for i in mine.tolist()], np.uint64).tobytes(), where.T.tobytes(), b""))
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "src", *"abcde"])
-
-    return _beside(texts, anchors, parts).mapInArrow(task, PACKED)
+            raws, docs = [t for _, t in texts], np.array([d for d, _ in texts], np.int64)
+            own, first, after, f, x = segments(raws)
+            use, at = table.find(x)
+            own, first, after, f, x = own[use], first[use], after[use], f[use], x[use]
+            hot = table.what[at] == 2
+            cold = np.flatnonzero(~hot)
+            order = cold[np.lexsort((docs[own[cold]], x[cold], f[cold]))]
+            new = _changes(f[order], x[order])
+            low = order[new]
+            high = order[np.append(new[1:], True)[: len(order)]]
+            give = (table.what[at[low]] == 1) & ~table.given[at[low]]
+            table.given[at[low]] = True
+            pieces = [raws[o][s : e + LENGTH - 1] if g else b"" for o, s, e, g in zip(own[low].tolist(), first[low].tolist(), after[low].tolist(), give.tolist(), strict=True)]
+            anchors, hashes, least, most = f[low], x[low], docs[own[low]], docs[own[high]]
+            if hot.any():
+                seen, rows = _windows_of(raws, own[hot].tolist(), first[hot].tolist(), after[hot].tolist())
+                single = np.array([xxhash.xxh3_64_intdigest(w) for w in seen], np.uint64)
+                owner = docs[rows[:, 1]]
+                lows, highs = np.full(len(seen), NEVER), np.full(len(seen), -1)
+                np.minimum.at(lows, rows[:, 0], owner)
+                np.maximum.at(highs, rows[:, 0], owner)
+                pieces += list(seen)
+                anchors, hashes = np.concatenate((anchors, single)), np.concatenate((hashes, single))
+                least, most = np.concatenate((least, lows)), np.concatenate((most, highs))
+            yield from _supply(part, pieces, anchors, hashes, least, most, parts)
+
+    return _beside(texts, known, parts).mapInArrow(task, PACKED)
+
+
+def _supply(part: int, pieces: list[bytes], anchors: np.ndarray, hashes: np.ndarray, least: np.ndarray, most: np.ndarray, parts: int) -> Iterator:
+    """Packed rows of segments by the part of the anchor."""
+    import pyarrow as pa
+
+    if not pieces:
+        return
+    to = (anchors % np.uint64(parts)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[by], np.arange(parts + 1))
+    rows = []
+    for p in np.unique(to).tolist():
+        mine = by[cuts[p] : cuts[p + 1]]
+        strings = [pieces[i] for i in mine.tolist()]
+        rows.append((p, part, anchors[mine].tobytes(), hashes[mine].tobytes(), np.array([len(x) for x in strings], np.uint8).tobytes(), b"".join(strings), least[mine].tobytes() + most[mine].tobytes()))
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "src", *"abcde"])
 
 
 def least_owners(strings: list[bytes], owners: np.ndarray) -> np.ndarray:
@@ -273,72 +330,100 @@ def least_owners(strings: list[bytes], owners: np.ndarray) -> np.ndarray:
     return out[place]
 
 
-def marks(packed: DataFrame, parts: int) -> DataFrame:
-    """Packed rows per part of the documents: doc (a), first byte (b) and byte after the last (c) of each marked stretch."""
-
-    def part_marks(rows: list[tuple]) -> Iterator:
-        seen: dict[bytes, int] = {}
-        anchor: list[int] = []
-        places, sources = [], []
-        for src, a, b, c, d in rows:
-            sizes = np.frombuffer(b, np.uint16)
-            ends = np.cumsum(sizes, dtype=np.int64).tolist()
-            number = np.empty(len(ends), np.int64)
-            s = 0
-            for i, (e, x) in enumerate(zip(ends, np.frombuffer(c, np.uint64).tolist(), strict=True)):
-                k = number[i] = seen.setdefault(a[s:e], len(seen))
-                if k == len(anchor):
-                    anchor.append(x)
-                s = e
-            where = np.frombuffer(d, np.int64).reshape(3, -1).copy()
-            where[0] = number[where[0]]
-            places.append(where)
-            sources.append(np.full(where.shape[1], src))
-        which, doc, start = np.concatenate(places, axis=1)
-        source = np.concatenate(sources)
-        strings = list(seen)
+def first_owners(packed: DataFrame, parts: int) -> DataFrame:
+    """Packed rows per part of the documents: segments (a: hashes) by runs of windows with one least doc_id (c) from a
+    window on (b); only segments of which the part has a greater doc_id than some least one."""
+
+    def answers(rows: list[tuple]) -> Iterator:
+        f, x = (np.concatenate([np.frombuffer(r[i], np.uint64) for r in rows]) for i in (1, 2))
+        src = np.concatenate([np.full(len(r[3]), r[0]) for r in rows])
+        low = np.concatenate([np.frombuffer(r[5], np.int64)[: len(r[3])] for r in rows])
+        high = np.concatenate([np.frombuffer(r[5], np.int64)[len(r[3]) :] for r in rows])
+        order = np.lexsort((x, f))
+        new = _changes(f[order], x[order])
+        number = np.empty(len(f), np.int64)
+        number[order] = np.cumsum(new) - 1
+        anchor = f[order][new]
+        strings: list[bytes] = [b""] * len(anchor)
+        base = 0
+        for _, _, _, c, d, _ in rows:
+            own = number[base : base + len(c)]
+            base += len(own)
+            sizes = np.frombuffer(c, np.uint8)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            have = np.flatnonzero(sizes)
+            for k, end, size in zip(own[have].tolist(), ends[have].tolist(), sizes[have].tolist(), strict=True):
+                strings[k] = d[end - size : end]
         owner = np.full(len(strings), NEVER)
-        np.minimum.at(owner, which, doc)
-        windows = np.array([len(s) - LENGTH + 1 for s in strings])
+        np.minimum.at(owner, number, low)
+        windows = np.maximum(np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1, 0)
         begin = np.cumsum(windows) - windows
         least = np.empty(int(windows.sum()), np.int64)
         # Shards end between anchors, so equal windows share a shard.
-        order = np.argsort(np.array(anchor, np.uint64), kind="stable").tolist()
         lot: list[int] = []
         size = 0
-        for at, i in enumerate(order):
+        for i in np.flatnonzero(windows).tolist():
             if size > SHARD and anchor[i] != anchor[lot[-1]]:
                 _solve(lot, strings, owner, begin, windows, least)
                 lot, size = [], 0
             lot.append(i)
             size += len(strings[i])
-        _solve(lot, strings, owner, begin, windows, least)
-        for at in range(0, len(which), 200_000):
-            w, d, s, q = (x[at : at + 200_000] for x in (which, doc, start, source))
-            n = windows[w]
-            run = np.repeat(np.arange(len(w)), n)
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            gone = least[begin[w][run] + within] < d[run]
-            edge = np.concatenate(([True], run[1:] != run[:-1]))
-            rise = np.flatnonzero(gone & (edge | ~np.concatenate(([False], gone[:-1]))))
-            last = np.concatenate((edge[1:], [True]))
-            fall = np.flatnonzero(gone & (last | ~np.concatenate((gone[1:], [False]))))
-            r = run[rise]
-            yield from _emit(q[r].astype(np.int64), 0, d[r], s[r] + within[rise], s[r] + within[fall] + LENGTH)
+        if lot:
+            _solve(lot, strings, owner, begin, windows, least)
+        # Runs of windows with one least owner.
+        which = np.repeat(np.arange(len(strings)), windows)
+        starts = np.flatnonzero(_changes(which, least)) if len(least) else np.empty(0, np.int64)
+        value, offset, of = least[starts], (starts - begin[which[starts]]).astype(np.uint8), which[starts]
+        runs = np.bincount(of, minlength=len(strings))
+        first_run = np.cumsum(runs) - runs
+        lowest = np.full(len(strings), NEVER)
+        np.minimum.at(lowest, of, value)
+        ask = np.flatnonzero(lowest[number] < high)
+        n = runs[number[ask]]
+        at = np.repeat(first_run[number[ask]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        to = np.repeat(src[ask], n)
+        yield from _emit(to.astype(np.int64), 0, np.repeat(x[ask], n), offset[at], value[at], np.ones(len(at), np.uint8))
 
     def task(batches: Iterator) -> Iterator:
         part, rows = None, []
         for batch in batches:
-            for p, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for p, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if p != part and rows:
-                    yield from part_marks(rows)
+                    yield from answers(rows)
                     rows = []
                 part = p
                 rows.append(tuple(row))
         if rows:
-            yield from part_marks(rows)
-
-    return packed.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(task, PACKED)
+            yield from answers(rows)
+
+    return packed.repartitionById(parts, "part").sortWithinPartitions("part", "src").mapInArrow(task, PACKED)
+
+
+class _Owners:
+    """The answers of a part, by segment."""
+
+    def __init__(self, packed: list[tuple]):
+        kinds = (np.uint64, np.uint8, np.int64)
+        x, offset, least = (np.concatenate([np.frombuffer(r[i], t) for r in packed]) if packed else np.empty(0, t) for i, t in enumerate(kinds))
+        order = np.lexsort((offset, x))
+        self.x, self.offset, self.least = x[order], offset[order].astype(np.int64), least[order]
+        self.first = np.flatnonzero(_changes(self.x))
+        self.keys, self.runs = self.x[self.first], np.diff(np.append(self.first, len(self.x)))
+
+    def marks(self, x: np.ndarray, doc: np.ndarray, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, first byte, byte after the last) of the stretches of segments whose windows an earlier doc_id has."""
+        if not len(self.keys) or not len(x):
+            return (np.empty(0, np.int64),) * 3
+        at = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
+        use = np.flatnonzero(self.keys[at] == x)
+        n = self.runs[at[use]]
+        seg = np.repeat(use, n)
+        run = np.repeat(self.first[at[use]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        last = _changes(seg[::-1])[::-1]
+        begin = first[seg] + self.offset[run]
+        end = np.where(last, after[seg], first[seg] + np.append(self.offset[run][1:], 0))
+        gone = self.least[run] < doc[seg]
+        return seg[gone], begin[gone], end[gone] + LENGTH - 1
 
 
 def _solve(lot: list[int], strings: list[bytes], owner: np.ndarray, begin: np.ndarray, windows: np.ndarray, least: np.ndarray) -> None:
@@ -357,37 +442,47 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs, parts)
-    anchors = settled(shared_anchors(texts, parts))
-    found = settled(marks(shared_segments(texts, anchors, parts), parts))
+    known = settled(shared_segments(texts, parts))
+    release(docs.sparkSession)
+    found = settled(first_owners(supplied(texts, known, parts), parts))
+    release(docs.sparkSession)
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known_part, spans_of = None, {}
+        known_part, owners, table = None, None, None
         for part, packed, texts in _by_part(batches):
             if part != known_part:
                 known_part = part
-                doc, a, b = (np.concatenate([np.frombuffer(x[i], np.int64) for x in packed]) if packed else np.empty(0, np.int64) for i in range(3))
-                order = np.lexsort((a, doc))
-                doc, a, b = doc[order], a[order], b[order]
-                first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
-                spans_of = {int(doc[s]): (a[s:e], b[s:e]) for s, e in zip(first, np.append(first[1:], len(doc)), strict=True)}
+                owners, table = _Owners([r for r in packed if r[3]]), _Known([r for r in packed if not r[3]])
+            raws = [t for _, t in texts]
+            docs = np.array([-1 if d is None else d for d, _ in texts], np.int64)
+            own, first, after, _, x = segments(raws)
+            seg, a, b = owners.marks(x, docs[own], first, after)
+            who = own[seg]
+            use, at = table.find(x)
+            use = use[table.what[at] == 2]
+            if len(use):
+                seen, rows = _windows_of(raws, own[use].tolist(), first[use].tolist(), after[use].tolist())
+                single = np.array([xxhash.xxh3_64_intdigest(w) for w in seen], np.uint64)[rows[:, 0]]
+                seg, c, d = owners.marks(single, docs[rows[:, 1]], rows[:, 2], rows[:, 2] + 1)
+                who, a, b = np.concatenate((who, rows[seg, 1])), np.concatenate((a, c)), np.concatenate((b, d))
+            order = np.lexsort((a, who))
+            who, a, b = who[order], a[order], b[order]
+            cuts = np.searchsorted(who, np.arange(len(raws) + 1)).tolist()
             out = []
-            for d, raw in texts:
+            for i, (d, raw) in enumerate(zip([d for d, _ in texts], raws, strict=True)):
                 spans = []
-                if d in spans_of:
-                    s, e = spans_of[d]
-                    e = np.maximum.accumulate(e)
+                if d is not None and cuts[i] < cuts[i + 1]:
+                    s, e = a[cuts[i] : cuts[i + 1]], np.maximum.accumulate(b[cuts[i] : cuts[i + 1]])
                     new = np.concatenate(([True], s[1:] > e[:-1]))
-                    # Under one doc_id the marks of one text may pass the end of another.
-                    ends = np.minimum(e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)], len(raw))
-                    spans = [(int(x), int(y)) for x, y in zip(s[new], ends, strict=True) if x < y]
+                    spans = list(zip(s[new].tolist(), e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)].tolist(), strict=True))
                 kept = b"".join([raw[x:y] for x, y in zip([0, *[y for _, y in spans]], [*[x for x, _ in spans], len(raw)], strict=True)])
                 out.append((d, len(raw), [{"start": x, "end": y} for x, y in spans], kept))
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return _beside(texts, found, parts).mapInArrow(task, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return _beside(texts, known.unionByName(found), parts).mapInArrow(task, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:

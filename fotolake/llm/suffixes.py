@@ -123,14 +123,14 @@ def _sorted_names(names: np.ndarray) -> np.ndarray:
     """Order of the suffixes of names: ranks of stretches of 1, 2, 4 ... names until all differ."""
     rank, step, n = names, 1, len(names)
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         top = rank[order]
         if n < 2 or (top[1:] != top[:-1]).all():
             return order
         after = np.zeros(n, np.int64)
         after[:-step] = rank[step:] + 1
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         top = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate(([0], np.cumsum(top[1:] != top[:-1])))
