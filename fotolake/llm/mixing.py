@@ -199,12 +199,12 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int =
     scheduled = (
         _pieces(laid, block)
         .join(schedule(targets, block), ["key", "rank"])
-        .groupBy("key", "doc_id", "start", "size")
+        .groupBy("key", "start", "size")
         .agg(F.sum("words").alias("taken"))
     )
-    # start tells repeated rows of one doc_id apart: non-empty documents never begin at the same word.
+    # Non-empty documents of a source never begin at the same word, so start tells even repeated rows apart.
     return (
-        laid.join(scheduled, ["key", "doc_id", "start", "size"], "left")
+        laid.join(scheduled, ["key", "start", "size"], "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 
@@ -214,11 +214,11 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
     A row keeps all its columns. Whole documents are repeated because later stages read whole texts.
     """
-    times = mix_report(docs, weights).where("taken > 0").groupBy("doc_id").agg(
+    times = mix_report(docs, weights).where("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(
         F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times")
     )
     return (
-        docs.join(times, "doc_id")
+        docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
         .select(*docs.columns)
     )
