@@ -215,3 +215,24 @@ def near_hashes(pairs: DataFrame, photos: DataFrame, most: int) -> DataFrame:
     h = photos.select("id", "phash")
     both = pairs.join(h.withColumnsRenamed({"id": "a", "phash": "ha"}), "a").join(h.withColumnsRenamed({"id": "b", "phash": "hb"}), "b")
     return both.withColumn("bits", hamming64(F.col("ha"), F.col("hb"))).where(F.col("bits") <= most).select("a", "b", "bits")
+
+
+def photo_context(t, tz: str = "UTC") -> DataFrame:
+    """id, context: what is known of a photo as lines of text: date, place, camera, caption, keywords, people."""
+    from fotolake.functions.scalars import wall
+
+    detail = photo_detail(t)
+    line = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{name}: "), value))
+    rows = t.photos.drop("filename").join(detail, "id")
+    return rows.select(
+        "id",
+        F.concat_ws(
+            "\n",
+            line("date", F.when(F.col("taken_at") > 0, F.date_format(wall(F.col("taken_at"), tz), "yyyy-MM-dd HH:mm"))),
+            line("place", F.concat_ws(", ", F.col("lat").cast("int").cast("string"), F.col("lng").cast("int").cast("string"))),
+            line("camera", F.concat_ws(", ", "camera_model", "lens")),
+            line("caption", F.col("description")),
+            line("keywords", F.array_join("tags", ", ")),
+            line("people", F.array_join("people", ", ")),
+        ).alias("context"),
+    )

@@ -132,6 +132,7 @@ QUERIES = {
     "j16_dedupe_ingest": _of(lambda t: jn.dedupe_ingest(t.photos.where("id % 2 = 0 or id % 13 > 10"), t.photos.where("id % 26 = 11"))),
     "j17_conversion_audit": _of(lambda t: jn.conversion_audit(videos(t), converted(t))),
     "j18_photo_detail": _of(jn.photo_detail),
+    "p27_photo_context": _of(jn.photo_context),
 }
 
 
@@ -260,6 +261,11 @@ select in_id, arg_min(id, (rule, id)) as known_id from m group by 1""",
         "j14_backup_plan": "select o.path, case when n.size = o.size and n.mtime - n.size % 5 >= o.mtime - 2 then 'reuse' when photo_id % 2 = 0 then 'encode' else 'copy' end as action, case when n.size = o.size and n.mtime - n.size % 5 >= o.mtime - 2 then 0 when photo_id % 2 = 0 then round(o.size * 0.4::double)::bigint else o.size end as need from listing_old o left join listing_new n using (path)",
         "j15_restore_plan": "select o.path, case when n.sha is null then 'missing' else 'changed' end as why from listing_old o left join listing_new n using (path) where n.sha is null or n.sha <> o.sha",
         "j16_dedupe_ingest": "select id, case when sha256 in (select sha256 from photos where id % 26 = 11) or row_number() over (partition by sha256 order by id) > 1 then 'duplicate' else 'added' end as status from photos where id % 2 = 0 or id % 13 > 10",
+        "p27_photo_context": """
+with d as (select id, (select string_agg(distinct name, ', ' order by name) from photo_people join people on people.id = person_id where photo_id = photos.id) as p,
+  (select string_agg(distinct name, ', ' order by name) from photo_tags join tags on tags.id = tag_id where photo_id = photos.id) as k from photos)
+select id, concat_ws(chr(10), 'date: ' || strftime(make_timestamp(taken_at * 1000000), '%Y-%m-%d %H:%M'), 'place: ' || lat::int || ', ' || lng::int, 'camera: ' || camera_model || ', ' || lens, 'caption: ' || description, 'keywords: ' || k, 'people: ' || p) as context
+from photos join d using (id)""",
         "j18_photo_detail": """
 select id, filename, coalesce((select list_sort(list(distinct name)) from photo_albums join albums on albums.id = album_id where photo_id = photos.id), []) as albums,
   coalesce((select list_sort(list(distinct name)) from photo_people join people on people.id = person_id where photo_id = photos.id), []) as people,
