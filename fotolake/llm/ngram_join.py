@@ -5,9 +5,11 @@
    signatures are linked to their least document within the task before anything is shuffled, so a group of copies sends
    one row per task. Signatures travel as packed arrays.
 2. Documents that share a signature, directly or over others, form a candidate group; only distinct sets count.
-3. Within a group, a set is a point: how many of its hashes fall into each of AXES axes. An R-tree over the points bounds
-   the overlap of two sets by the sum of the lesser coordinates; pairs under the bound are counted exactly. Groups beyond
-   CHUNK hashes are split into chunks; what the chunks leave unjoined is compared with every chunk.
+3. A set is a point: how many of its hashes fall into each of AXES axes. Within a group, an R-tree over the points bounds
+   the overlap of two sets by the sum of the lesser coordinates. Pairs that pass the bound make finer groups; no text has
+   moved so far.
+4. The texts of these groups are joined the same way, and pairs that pass the bound are counted exactly.
+Groups beyond a chunk are split; what the chunks leave unjoined is compared with every chunk.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from .common import settled, text_of
 from .components import connected
 from .shingles import Shingler, mixed
 
-#: Axes of the count vectors, points of a leaf or node, hashes of a chunk, signatures that a task combines at a time.
-AXES = 16
+#: Axes of the count vectors, points of a leaf or node, hashes and points of a chunk, signatures that a task combines at a
+#: time.
+AXES = 64
 FANOUT = 32
 CHUNK = 600_000
+POINTS = 8_000
 HELD = 3_000_000
 #: Kinds of what map and reduce tasks hand on.
 SIZES, SIZES_NO_ID, COPY_HERE, COPY, SIGNATURE, LINK = range(6)
@@ -123,6 +127,7 @@ def fingerprints(docs: DataFrame, k: int, num: int, den: int, parts: int) -> Dat
 
         shingler, cells = Shingler(k), Cells(num, den)
         held: dict[str, list] = {"doc": [], "n": [], "k1": [], "k2": [], "sig": [], "owner": []}
+        points: list[np.ndarray] = []
         docs_held = 0
 
         def emit(kind: int, part: np.ndarray, *columns: np.ndarray) -> Iterator:
@@ -150,7 +155,8 @@ def fingerprints(docs: DataFrame, k: int, num: int, den: int, parts: int) -> Dat
                 c.clear()
             docs_held = 0
             to = lambda x: (x.astype(np.uint64) % np.uint64(parts)).astype(np.int64)
-            yield from emit(SIZES, to(mixed(doc.astype(np.uint64))), doc, n)
+            yield from emit(SIZES, to(mixed(doc.astype(np.uint64))), doc, n, np.concatenate(points))
+            points.clear()
             some = np.flatnonzero(n > 0)
             head, of = _star([k1[some], k2[some]], doc[some])
             head, of = some[head], some[of]
@@ -181,6 +187,7 @@ def fingerprints(docs: DataFrame, k: int, num: int, den: int, parts: int) -> Dat
                 held["owner"].append(owner + docs_held)
                 held["doc"].append(np.array(ids, np.int64))
                 held["n"].append(np.array([len(s) for s in sets], np.int64))
+                points.append(np.stack([point_of(s) for s in sets]) if sets else np.empty((0, AXES), np.uint16))
                 held["k1"].append(np.array([np.bitwise_xor.reduce(mixed(s)) if len(s) else 0 for s in sets], np.uint64))
                 held["k2"].append(np.array([np.add.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else 0 for s in sets], np.uint64))
                 docs_held += len(ids)
@@ -193,14 +200,15 @@ def fingerprints(docs: DataFrame, k: int, num: int, den: int, parts: int) -> Dat
 
 
 def met(packed: DataFrame, parts: int) -> DataFrame:
-    """Rows (kind, a, b) from packed rows that meet in their part: sizes, copies and links of the whole table."""
+    """Rows (kind, a, b, point) from packed rows that meet in their part: sizes, copies and links of the whole table."""
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def rows(kind: int, a, b) -> Iterator:
+        def rows(kind: int, a, b, points: bytes = b"") -> Iterator:
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+                p = [points[i : i + 2 * AXES] for i in range(0, len(points), 2 * AXES)] if points else [None] * len(a)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.binary())], names=["kind", "a", "b", "point"])
 
         copies: list[tuple] = []
         sigs: list[tuple] = []
@@ -214,7 +222,7 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
                 elif kind == SIGNATURE:
                     sigs.append((whole(x, np.uint64), whole(y)))
                 else:
-                    yield from rows(kind, whole(x), whole(y))
+                    yield from rows(kind, whole(x), whole(y), z)
         if copies:
             k1, k2, doc = map(np.concatenate, zip(*copies, strict=True))
             yield from rows(COPY, *_unique_pairs(doc, doc[_star([k1, k2], doc)[1]]))
@@ -222,16 +230,19 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
             sig, doc = map(np.concatenate, zip(*sigs, strict=True))
             yield from rows(LINK, *_unique_pairs(doc, doc[_star([sig], doc)[1]]))
 
-    return packed.repartition(parts, "part").mapInArrow(task, "kind int, a long, b long")
+    return packed.repartition(parts, "part").mapInArrow(task, "kind int, a long, b long, point binary")
+
+
+def point_of(hashes: np.ndarray) -> np.ndarray:
+    """Hashes per axis; counts beyond 65535 stay there, which can only loosen the bound of sets that large."""
+    return np.minimum(np.bincount((hashes >> np.uint64(50)).astype(np.int64) % AXES, minlength=AXES), 65535).astype(np.uint16)
 
 
 class CountTree:
     """An R-tree over count vectors; only the upper corners of its boxes and the least sizes matter to the bound."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.points = np.stack([np.bincount((s >> np.uint64(50)).astype(np.int64) % AXES, minlength=AXES) for s in sets]).astype(np.int32)
+    def __init__(self, sizes: list[int], points: list[np.ndarray]):
+        self.sizes, self.points = np.array(sizes, np.int64), np.stack(points).astype(np.int32)
         # Neighbours in this order share leaves: by size, then along the axes.
         self.order = np.lexsort((*self.points.T[::-1], self.sizes))
         self.levels = [(self.points[self.order], self.sizes[self.order])]
@@ -254,24 +265,43 @@ class CountTree:
         return self.order[at]
 
 
-def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return den * both >= num * (len(a) + len(b) - both)
+class Items:
+    """Some sets with their tree: as hashes, or as points alone, where every pair that the bound allows counts as joined."""
+
+    def __init__(self, payloads: list, sizes: list[int], shingler: Shingler | None, num: int, den: int):
+        self.num, self.den = num, den
+        if shingler is None:
+            self.sets, self.sizes = None, sizes
+            points = [np.frombuffer(p, np.uint16) for p in payloads]
+        else:
+            self.sets = shingler.sets(payloads)
+            self.sizes = [len(s) for s in self.sets]
+            points = [point_of(s) for s in self.sets]
+        self.tree = CountTree(self.sizes, points)
+
+    def near(self, point: np.ndarray, size: int) -> np.ndarray:
+        # A clipped coordinate says nothing: such sets are near all of like size.
+        return self.tree.within(np.where(point >= 65535, np.iinfo(np.int32).max, point), size, self.num, self.den)
 
+    def joined(self, i: int, other: Items, j: int) -> bool:
+        if self.sets is None:
+            return True
+        a, b = self.sets[i], other.sets[j]
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return self.den * both >= self.num * (len(a) + len(b) - both)
 
-def classes_within(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+
+def classes_within(items: Items) -> np.ndarray:
     """Label of each set: the least index that links reach. Pairs that are joined already are not compared again."""
-    label = np.arange(len(sets))
-    if len(sets) < 2:
-        return label
-    tree = CountTree(sets)
-    for i in range(1, len(sets)):
-        near = tree.within(tree.points[i], len(sets[i]), num, den)
+    n = len(items.sizes)
+    label = np.arange(n)
+    for i in range(1, n):
+        near = items.near(items.tree.points[i], items.sizes[i])
         near = near[near < i]
         near = near[label[near] != label[i]]
         while len(near):
             j, near = near[0], near[1:]
-            if linked(sets[i], sets[j], num, den):
+            if items.joined(i, items, j):
                 low, high = sorted((label[i], label[j]))
                 label[label == high] = low
                 near = near[label[near] != label[i]]
@@ -289,54 +319,53 @@ def _chunked(rows: DataFrame, keys: list[str], task, schema: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "doc").mapInArrow(task, schema)
 
 
-def _within_chunks(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc, top) from rows (grp, chunk, doc, text): the least document of the same chunk that links reach."""
+def _within_chunks(rows: DataFrame, k: int | None, num: int, den: int) -> DataFrame:
+    """(doc, top) from rows (grp, chunk, doc, n, payload): the least document of the same chunk that links reach."""
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingler = Shingler(k)
+        shingler = None if k is None else Shingler(k)
         for _, members in _groups(batches, 2):
-            label = classes_within(shingler.sets([m[1] for m in members]), num, den)
-            docs = [m[0] for m in members]
+            docs, sizes, payloads = zip(*members, strict=True)
+            label = classes_within(Items(list(payloads), list(sizes), shingler, num, den))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([docs[j] for j in label], pa.int64())], names=["doc", "top"])
 
-    return _chunked(rows.select("grp", "chunk", "doc", "text"), ["grp", "chunk"], task, "doc long, top long")
+    return _chunked(rows.select("grp", "chunk", "doc", "n", "payload"), ["grp", "chunk"], task, "doc long, top long")
 
 
-def _across_chunks(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between tops, from rows (grp, chunk, turn, ask, doc, top, text): the asking against the others."""
+def _across_chunks(rows: DataFrame, k: int | None, num: int, den: int) -> DataFrame:
+    """Links (a, b) between tops, from rows (grp, chunk, turn, ask, doc, top, n, payload): the asking against the others."""
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingler = Shingler(k)
+        shingler = None if k is None else Shingler(k)
         for _, members in _groups(batches, 3):
-            asked = [m for m in members if not m[0]]
-            asking = [m for m in members if m[0]]
+            sides = [[m for m in members if m[0] == ask] for ask in (False, True)]
+            if not all(sides):
+                continue
+            asked, asking = (Items([m[4] for m in side], [m[3] for m in side], shingler, num, den) for side in sides)
+            tops = np.array([m[2] for m in sides[0]])
             found = set()
-            if asked and asking:
-                tree = CountTree(shingler.sets([m[3] for m in asked]))
-                tops = np.array([m[2] for m in asked])
-                for (_, _, top, _), own in zip(asking, shingler.sets([m[3] for m in asking]), strict=True):
-                    point = np.bincount((own >> np.uint64(50)).astype(np.int64) % AXES, minlength=AXES)
-                    near = tree.within(point, len(own), num, den)
-                    near = near[tops[near] != top]
-                    while len(near):
-                        j, near = near[0], near[1:]
-                        if linked(own, tree.sets[j], num, den):
-                            found.add((top, int(tops[j])))
-                            near = near[tops[near] != tops[j]]
+            for i, (_, _, top, _, _) in enumerate(sides[1]):
+                near = asked.near(asking.tree.points[i], asking.sizes[i])
+                near = near[tops[near] != top]
+                while len(near):
+                    j, near = near[0], near[1:]
+                    if asking.joined(i, asked, j):
+                        found.add((top, int(tops[j])))
+                        near = near[tops[near] != tops[j]]
             if found:
                 a, b = zip(*sorted(found), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _chunked(rows.select("grp", "chunk", "turn", "ask", "doc", "top", "text"), ["grp", "chunk", "turn"], task, "a long, b long")
+    return _chunked(rows.select("grp", "chunk", "turn", "ask", "doc", "top", "n", "payload"), ["grp", "chunk", "turn"], task, "a long, b long")
 
 
 def _n_chunks(rows: DataFrame, chunk: int) -> DataFrame:
-    """grp, chunks: how many chunks each group's hashes fill."""
-    return rows.groupBy("grp").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
+    """grp, chunks: how many chunks each group's weight fills."""
+    return rows.groupBy("grp").agg(F.ceil(F.sum("weight") / chunk).cast("int").alias("chunks"))
 
 
 def _dealt(rows: DataFrame, salt: int) -> DataFrame:
@@ -361,7 +390,8 @@ def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, chu
     for side in ("a", "b"):
         links = links.join(copies.withColumnRenamed("doc", side), side, "left").withColumn(side, F.coalesce("first", side)).drop("first")
     links = settled(links.where("a <> b").distinct())
-    tops = settled(_joined(docs, sizes, links, k, num, den, chunk))
+    points = facts.where(F.col("kind") == SIZES).select(F.col("a").alias("doc"), F.col("b").alias("n"), "point")
+    tops = settled(_joined(docs, points, links, k, num, den, chunk))
     # Copies of a task hang on its first one, those on the first of all, and that on the top of its class.
     nodes = copies.select(F.col("doc").alias("node"), "first").unionByName(tops.select(F.col("doc").alias("node"), F.col("doc").alias("first")))
     roots = (
@@ -378,41 +408,56 @@ def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, chu
     )
 
 
-def _joined(docs: DataFrame, sizes: DataFrame, links: DataFrame, k: int, num: int, den: int, chunk: int) -> DataFrame:
-    """(doc, top) for the candidates in links: the class of each after exact comparison."""
+def _joined(docs: DataFrame, points: DataFrame, links: DataFrame, k: int, num: int, den: int, chunk: int) -> DataFrame:
+    """(doc, top) for candidates in links: the class of each after the bound and then exact comparison."""
     groups = connected(links).select(F.col("node").alias("doc"), F.col("root").alias("grp"))
-    sized = groups.join(sizes.groupBy("doc").agg(F.max("n").alias("n")), "doc")
-    sized = _dealt(sized.join(_n_chunks(sized, chunk), "grp"), 0)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("text"))
-    rows = settled(sized.join(texts, "doc"))
-    first = settled(_within_chunks(rows, k, num, den).groupBy("doc").agg(F.min("top").alias("top")))
+    once = points.where("n > 0").dropDuplicates(["doc", "n", "point"])
+    near = _classes(groups.join(once.withColumnRenamed("point", "payload"), "doc").withColumn("weight", F.lit(1)), None, num, den, max(2, min(POINTS, chunk)))
+    several = near.groupBy("top").count().where("count > 1").select("top")
+    finer = settled(near.join(several, "top").select("doc", F.col("top").alias("grp")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("payload"))
+    sized = finer.join(once.groupBy("doc").agg(F.max("n").alias("n")), "doc").withColumn("weight", F.col("n"))
+    return _classes(settled(sized.join(texts, "doc")), k, num, den, chunk)
+
+
+def _classes(rows: DataFrame, k: int | None, num: int, den: int, chunk: int) -> DataFrame:
+    """(doc, top) of rows (grp, doc, n, weight, payload); payloads are points where k is null, else texts."""
+    rows = _dealt(rows.join(_n_chunks(rows, chunk), "grp"), 0)
+    first = settled(_linked_rows(_within_chunks(rows, k, num, den)))
     large = rows.where("chunks > 1")
     if large.isEmpty():
         return first
     # The chunks' tops among themselves, then whatever is outside its group's main class against all chunks.
     heads = large.join(first.where("doc = top").select("doc"), "doc", "left_semi").drop("chunks", "chunk")
     heads = _dealt(heads.join(_n_chunks(heads, chunk), "grp"), 1)
-    over = settled(_within_chunks(heads, k, num, den).select(F.col("doc").alias("top"), F.col("top").alias("higher")).groupBy("top").agg(F.min("higher").alias("higher")))
+    over = settled(_linked_rows(_within_chunks(heads, k, num, den)).select(F.col("doc").alias("top"), F.col("top").alias("higher")))
     second = settled(first.join(over, "top", "left").select("doc", F.coalesce("higher", "top").alias("top")))
-    placed = settled(large.join(second, "doc").drop("chunks"))
-    main = placed.groupBy("grp", "top").count().groupBy("grp").agg(F.max_by("top", F.struct("count", "top")).alias("main"))
-    asking = placed.join(main, "grp").where("top <> main").drop("main", "chunk")
-    turns = asking.groupBy("grp").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("turns"))
-    chunks = _n_chunks(placed, chunk)
-    asked = placed.join(turns, "grp").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    place = large.select("grp", "doc").distinct().join(second, "doc")
+    main = place.groupBy("grp", "top").count().groupBy("grp").agg(F.max_by("top", F.struct("count", "top")).alias("main"))
+    outside = settled(place.join(main, "grp").where("top <> main").select("grp", "doc", "top"))
+    if outside.isEmpty():
+        return second
+    asking = large.drop("chunk", "chunks").join(outside, ["grp", "doc"])
+    turns = asking.groupBy("grp").agg(F.ceil(F.sum("weight") / chunk).cast("int").alias("turns"))
+    asked = large.join(turns, "grp").join(second, "doc").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     asking = (
         asking.join(turns, "grp")
         .withColumn("turn", F.pmod(F.xxhash64("doc", F.lit(2)), F.col("turns")).cast("int"))
-        .join(chunks, "grp")
+        .join(_n_chunks(large, chunk), "grp")
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     )
-    columns = ["grp", "chunk", "turn", "ask", "doc", "top", "text"]
+    columns = ["grp", "chunk", "turn", "ask", "doc", "top", "n", "payload"]
     pairs = asked.withColumn("ask", F.lit(False)).select(columns).unionByName(asking.withColumn("ask", F.lit(True)).select(columns))
     across = settled(_across_chunks(pairs, k, num, den))
     merged = connected(across).select(F.col("node").alias("top"), "root")
     return second.join(merged, "top", "left").select("doc", F.coalesce("root", "top").alias("top"))
 
 
+def _linked_rows(found: DataFrame) -> DataFrame:
+    """One row per doc: rows of one doc_id are one node."""
+    return found.groupBy("doc").agg(F.min("top").alias("top"))
+
+
 def keep_first(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs without near copies: of each group of links the document with the least doc_id stays; no row without doc_id goes."""
     groups = jaccard_groups(docs, k, num, den)
