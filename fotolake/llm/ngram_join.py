@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, text_of
+from .common import release, settled, text_of
 from .components import connected
 from .shingles import Shingler, mixed
 
@@ -383,6 +383,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, chu
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     facts = settled(met(fingerprints(docs, k, num, den, parts), parts))
+    release(docs.sparkSession)
     of = lambda kind, a, b: facts.where(F.col("kind") == kind).select(F.col("a").alias(a), F.col("b").alias(b))
     copies = of(COPY, "doc", "first").groupBy("doc").agg(F.min("first").alias("first"))
     sizes = of(SIZES, "doc", "n")
@@ -392,6 +393,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, chu
     links = settled(links.where("a <> b").distinct())
     points = facts.where(F.col("kind") == SIZES).select(F.col("a").alias("doc"), F.col("b").alias("n"), "point")
     tops = settled(_joined(docs, points, links, k, num, den, chunk))
+    release(docs.sparkSession)
     # Copies of a task hang on its first one, those on the first of all, and that on the top of its class.
     nodes = copies.select(F.col("doc").alias("node"), "first").unionByName(tops.select(F.col("doc").alias("node"), F.col("doc").alias("first")))
     roots = (
@@ -417,7 +419,9 @@ def _joined(docs: DataFrame, points: DataFrame, links: DataFrame, k: int, num: i
     finer = settled(near.join(several, "top").select("doc", F.col("top").alias("grp")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("payload"))
     sized = finer.join(once.groupBy("doc").agg(F.max("n").alias("n")), "doc").withColumn("weight", F.col("n"))
-    return _classes(settled(sized.join(texts, "doc")), k, num, den, chunk)
+    rows = settled(sized.join(texts, "doc"))
+    release(docs.sparkSession)
+    return _classes(rows, k, num, den, chunk)
 
 
 def _classes(rows: DataFrame, k: int | None, num: int, den: int, chunk: int) -> DataFrame:
