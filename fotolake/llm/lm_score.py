@@ -1,47 +1,60 @@
 """Masked pseudo-likelihood of whole texts under a bidirectional window network that is trained here, in numpy.
 
 Words are numbers: frequent words have their own, others stand for their shape (see quality.py). The network predicts each
-word from SIDE words to its left and to its right: an embedding per place and number, summed and squashed, then a softmax
-over classes of numbers and one within the class. Training runs in rounds of parameter averaging. In a round every task trains on its own windows, one in
-STRIDE places of every document with the places moving on by one each round; the tasks' parameters are summed in Spark by
-stretches of the parameter vector, weighted by their windows, so the driver sees one vector however many tasks there are.
+number from SIDE words to its left and to its right: an embedding per place and number, summed and squashed, then a softmax
+over classes of numbers and one within the class. A word with a number of its own, or equal to the one before it, is known
+by its number; any other has the share of its occurrences among those of its shape, over all texts, so each word of the
+corpus has a probability of its own. Its count is looked up by a join on hashed words, not from a table in every task.
+
+Training runs in rounds of parameter averaging. The places of every text are dealt to the rounds, so each is predicted in
+one round; the tasks' parameters are summed in Spark by stretches of the parameter vector, weighted by their windows, so
+the driver sees one vector however many tasks there are.
 A document's score is the sum over all its words of log p(word | both sides).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt, sqrt
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
-from .quality import SHAPES, Numbers, vocabulary
+from .common import settled, text_of
+from .quality import _hash, shape
 
 SIDE = 2
 HIDDEN = 32
 CLASSES = 16
 ROUNDS = 3
-STRIDE = 4
 BATCH = 2048
 RATE = 0.1
+#: Occurrences from which a word has a number of its own: this share of all words, or their square root if that is less,
+#: so that the vocabulary grows with the corpus.
 WORD_SHARE = 2e-3
 TEXTS = 256
 STRETCHES = 16
-#: Numbers: 0 lies beyond the ends of a text, then shapes by kind and rough length, then frequent words.
+#: Words held before a task sends them on, and most words that a worker remembers.
+HELD = 1_500_000
+CACHE_ITEMS = 200_000
+#: Numbers: 0 lies beyond the ends of a text, then shapes, words equal to the one or the two before, then frequent words.
 BEYOND = 0
-SHAPE_NUMBERS = 64
+AGAIN, STILL, SHAPE_NUMBERS = 254, 255, 256
+#: What stands for a null doc_id in packed arrays.
+NO_ID = np.iinfo(np.int64).min
 
 
 class Network:
     """Parameters in one float32 vector: embeddings by place and number, hidden bias, and a softmax in two steps, first over
-    CLASSES classes (number modulo CLASSES) and then over the numbers of the class. Slots of numbers that do not exist have
-    a bias so low that their share is zero."""
+    classes (number modulo their number, CLASSES or the root of size) and then over the numbers of the class. Slots of
+    numbers that do not exist have a bias so low that their share is zero."""
 
     def __init__(self, size: int, vector: np.ndarray | None = None):
-        self.size, wide = size, -(-size // CLASSES)
-        shapes = [(2 * SIDE, size, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, wide), (CLASSES, wide)]
+        self.size, self.classes = size, max(CLASSES, isqrt(size))
+        many, wide = self.classes, -(-size // self.classes)
+        shapes = [(2 * SIDE, size, HIDDEN), (HIDDEN,), (HIDDEN, many), (many,), (many, HIDDEN, wide), (many, wide)]
         cuts = np.cumsum([0, *[int(np.prod(s)) for s in shapes]])
         fresh = vector is None
         if fresh:
@@ -51,7 +64,7 @@ class Network:
         self.vector, self.slopes = vector, None
         self.embed, self.bias, self.top, self.top_bias, self.low, self.low_bias = (vector[a:b].reshape(s) for a, b, s in zip(cuts, cuts[1:], shapes, strict=False))
         if fresh:
-            self.low_bias[np.arange(CLASSES)[:, None] + CLASSES * np.arange(wide) >= size] = -1e4
+            self.low_bias[np.arange(many)[:, None] + many * np.arange(wide) >= size] = -1e4
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         h = self.bias + self.embed[0, context[:, 0]]
@@ -61,16 +74,16 @@ class Network:
 
     def _by_class(self, word: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
         """Order by class, (class, from, to) of its stretches, and the slots in the classes in that order."""
-        group = word % CLASSES
+        group = word % self.classes
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
-        return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b], word[order] // CLASSES
+        cuts = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
+        return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b], word[order] // self.classes
 
     def log_p(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         order, stretches, slot = self._by_class(word)
         h = self.hidden(context[order])
         z = h @ self.top + self.top_bias
-        found = z[np.arange(len(z)), word[order] % CLASSES] - _log_sum(z)
+        found = z[np.arange(len(z)), word[order] % self.classes] - _log_sum(z)
         for c, a, b in stretches:
             z = h[a:b] @ self.low[c] + self.low_bias[c]
             found[a:b] += z[np.arange(b - a), slot[a:b]] - _log_sum(z)
@@ -86,7 +99,7 @@ class Network:
         order, stretches, slot = self._by_class(word)
         context = context[order]
         h = self.hidden(context)
-        p = _slope(h @ self.top + self.top_bias, word[order] % CLASSES, n)
+        p = _slope(h @ self.top + self.top_bias, word[order] % self.classes, n)
         back = p @ self.top.T
         steps = [(self.top, past.top, h.T @ p), (self.top_bias, past.top_bias, p.sum(0))]
         for c, a, b in stretches:
@@ -121,12 +134,6 @@ def _slope(z: np.ndarray, hit: np.ndarray, n: int) -> np.ndarray:
     return z
 
 
-def merged(ids: np.ndarray) -> np.ndarray:
-    """Numbers of the network: shapes of a kind in two lengths each, repeats of the word before as one, words as they are."""
-    shape = np.minimum(1 + ids // 30 * 7 + ids // 10 % 3 * 2 + (ids % 10 > 3), SHAPE_NUMBERS - 2)
-    return np.where(ids >= SHAPES, ids - SHAPES + SHAPE_NUMBERS, np.where(ids >= 250, SHAPE_NUMBERS - 1, shape))
-
-
 #: Where the words of a window lie from the one it predicts.
 AROUND = np.array([d for d in range(-SIDE, SIDE + 1) if d])
 
@@ -147,22 +154,144 @@ def windows(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
     return flat[places[:, None] + AROUND]
 
 
-def _numbered(batches: Iterator, numbers: Numbers) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(doc_ids, numbers of the words of each text), some texts at a time."""
+class _Keys(dict):
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = _hash(0, word) & ~255 | shape(word.decode("utf-8", "replace"))
+        return found
+
+
+class Keys:
+    """Keys of words: 56 bits of their hash and the shape."""
+
+    def __init__(self):
+        self.cache = _Keys()
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of a text's words, and which words equal the one before."""
+        words = text.encode("utf-8", "surrogatepass").split()
+        if len(self.cache) > CACHE_ITEMS:
+            self.cache.clear()
+        again = np.zeros(len(words), bool)
+        again[1:] = np.fromiter(map(eq, words, words[1:]), bool, max(len(words) - 1, 0))
+        return np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words)), again
+
+
+class Numbers:
+    """Numbers of words, from the sorted keys of the frequent ones."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.frequent = np.append(frequent, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+    def of(self, keys: np.ndarray, again: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.frequent, keys)
+        ids = np.where(self.frequent[at] == keys, at + SHAPE_NUMBERS, 1 + (keys & np.uint64(255)).astype(np.int64))
+        ids[again] = AGAIN
+        ids[1:][again[1:] & again[:-1]] = STILL
+        return ids
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+
+
+def _stretches(by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value with the places where it stands."""
+    order = np.argsort(by, kind="stable")
+    cuts = np.flatnonzero(np.diff(by[order], prepend=-1, append=-1))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(by[order[a]]), order[a:b]
+
+
+def _numbered(batches: Iterator, numbers: Numbers) -> Iterator[tuple[list, list[np.ndarray], list[np.ndarray]]]:
+    """(doc_ids, numbers of the words of each text, their keys), some texts at a time."""
+    keys = Keys()
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS):
             part = batch.slice(at, TEXTS)
-            yield part.column(0).to_pylist(), [merged(numbers.of(0, t.encode("utf-8", "surrogatepass").split())) for t in part.column(1).to_pylist()]
+            found = [keys.of(t) for t in part.column(1).to_pylist()]
+            yield part.column(0).to_pylist(), [numbers.of(*x) for x in found], [x[0] for x in found]
+
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Numbers, Network]:
-    """Counts words over all documents and trains the network on windows of all of them."""
+
+def word_counts(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows (part, keys, counts), one per part: all words of all texts, without those that equal the one before."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known, held, size = Keys(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            part, x, y = zip(*((p, keys[at].tobytes(), n[at].astype(np.int64).tobytes()) for p, at in _stretches(_part(keys, parts))), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["part", "keys", "counts"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                for text in batch.column(1).slice(at, TEXTS).to_pylist():
+                    keys, again = known.of(text)
+                    if len(keys):
+                        held.append(keys[~again])
+                        size += len(held[-1])
+                    if size > HELD:
+                        yield flush()
+                        size = 0
+        if held:
+            yield flush()
+
+    def reduce(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        found: dict[int, list] = {}
+        for batch in batches:
+            for part, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.setdefault(part, []).append((np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64)))
+        for part, rows in found.items():
+            keys, n = map(np.concatenate, zip(*rows, strict=True))
+            order = np.argsort(keys, kind="stable")
+            first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order][:1]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([keys[order][first].tobytes()], pa.binary()), pa.array([np.add.reduceat(n[order], first).tobytes()], pa.binary())],
+                names=["part", "keys", "counts"],
+            )
+
+    schema = "part int, keys binary, counts binary"
+    return _rows(docs).mapInArrow(count, schema).repartitionById(parts, "part").mapInArrow(reduce, schema)
+
+
+def vocabulary(counted: DataFrame) -> tuple[Numbers, np.ndarray]:
+    """Numbers of the frequent words, and the occurrences of all others by shape."""
+
+    def sums(batches: Iterator, least: float = np.inf) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for x, y in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                keys, n = np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64)
+                own = n >= least
+                by_shape = np.bincount((keys[~own] & np.uint64(255)).astype(np.int64), n[~own], 256).astype(np.int64)
+                some = np.flatnonzero(by_shape)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(some) + [1] * int(own.sum()), pa.int32()), pa.array(np.concatenate((some, keys[own].view(np.int64))), pa.int64()), pa.array(np.concatenate((by_shape[some], n[own])), pa.int64())], names=["kind", "key", "n"])
+
+    schema = "kind int, key long, n long"
+    total = counted.mapInArrow(sums, schema).agg(F.sum("n")).first()[0] or 0
+    least = max(1.0, min(WORD_SHARE * total, sqrt(total)))
+    found = counted.mapInArrow(lambda batches: sums(batches, least), schema).groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    kind, key, n = (found.column(i).to_numpy() for i in range(3))
+    others = np.zeros(256)
+    others[key[kind == 0]] = n[kind == 0]
+    return Numbers(np.sort(key[kind == 1].astype(np.int64).view(np.uint64))), others
+
+
+def fit(docs: DataFrame, numbers: Numbers, rounds: int = ROUNDS) -> Network:
+    """Trains the network on every place of all documents, each in one of the rounds."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    words, _ = vocabulary(docs.withColumn("lang", F.lit(None).cast("string")), {}, parts, WORD_SHARE)
-    numbers = Numbers({}, words)
-    network = Network(SHAPE_NUMBERS + len(words))
+    rows = _rows(docs)
+    network = Network(SHAPE_NUMBERS + len(numbers.frequent) - 1)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((numbers, network.vector, network.size))
 
@@ -174,9 +303,9 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Numbers, Network]:
             own, seen = Network(size, vector.copy()), 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
             waiting = 0
-            for ids, texts in _numbered(batches, known):
+            for _, texts, _ in _numbered(batches, known):
                 flat, places, within = laid(texts)
-                places = places[within % STRIDE == turn % STRIDE]
+                places = places[within % rounds == turn]
                 held.append((windows(flat, places), flat[places]))
                 waiting += len(places)
                 if waiting >= BATCH:
@@ -215,7 +344,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Numbers, Network]:
         found = met.sortWithinPartitions("stretch", "task").mapInArrow(add, "stretch int, vector binary").orderBy("stretch").collect()
         if found:
             network = Network(network.size, np.concatenate([np.frombuffer(r["vector"], np.float32) for r in found]).copy())
-    return numbers, network
+    return network
 
 
 def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -224,20 +353,89 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     docs has doc_id and text; other columns are ignored. Null counts as empty: no tokens, log_prob 0, per_token null. All
     texts are scored whole, repeated rows each. An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, rounds))
-
-    def task(batches: Iterator) -> Iterator:
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = settled(word_counts(docs, parts))
+    numbers, others = vocabulary(counted)
+    sent = docs.sparkSession.sparkContext.broadcast((numbers, fit(docs, numbers, rounds), np.log(np.maximum(others, 1))))
+
+    def score(batches: Iterator) -> Iterator:
+        """Rows (block, part, x, y, z): the texts of a block (part -1: doc_id, words, ln p so far), and by part the keys of
+        words that stand for their shape with the text of each."""
         import pyarrow as pa
-
-        numbers, network = sent.value
-        for ids, texts in _numbered(batches, numbers):
-            sizes = np.array([len(x) for x in texts])
+        from pyspark import TaskContext
+
+        known, network, shapes = sent.value
+        task, turn, size = TaskContext.get().partitionId(), 0, 0
+        texts_held: list[tuple] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            ids, sizes, total = (np.concatenate(x) for x in zip(*texts_held, strict=True))
+            keys, owner = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], owner[order].astype(np.uint32)
+            rows = [(-1, ids.tobytes(), sizes.tobytes(), total.tobytes())]
+            rows += [(p, keys[at].tobytes(), owner[at].tobytes(), b"") for p, at in _stretches(_part(keys, parts))]
+            part, x, y, z = zip(*rows, strict=True)
+            texts_held.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | turn] * len(rows), pa.int64()), pa.array(part, pa.int32()), *[pa.array(c, pa.binary()) for c in (x, y, z)]], names=["block", "part", "x", "y", "z"])
+
+        for ids, texts, keys in _numbered(batches, known):
+            sizes = np.array([len(x) for x in texts], np.int64)
             flat, places, _ = laid(texts)
             lots = [places[at : at + BATCH] for at in range(0, len(places), BATCH)]
-            p = np.concatenate([network.log_p(windows(flat, x), flat[x]) for x in lots] or [np.empty(0)])
-            total = np.bincount(np.repeat(np.arange(len(texts)), sizes), p, len(texts))
-            mean = [float(t / n) if n else None for t, n in zip(total, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "log_prob", "per_token"])
+            p = np.concatenate([network.log_p(windows(flat, x), flat[x]) for x in lots] or [np.empty(0)]).astype(float)
+            owner, number, key = np.repeat(np.arange(len(texts)), sizes), flat[places], np.concatenate(keys)
+            open_ = number < AGAIN
+            p[open_] -= shapes[number[open_] - 1]
+            # A null doc_id is the least number.
+            texts_held.append((np.array([NO_ID if i is None else i for i in ids], np.int64), sizes, np.bincount(owner, p, len(texts))))
+            held.append((key[open_], owner[open_] + size))
+            size += len(texts)
+            if sum(len(x[0]) for x in held) > HELD or size > HELD:
+                yield flush()
+                turn, size = turn + 1, 0
+        if texts_held:
+            yield flush()
+
+    def look(batches: Iterator) -> Iterator:
+        """Sums of ln n by text, for each block and part; the counts of a part come before what asks for them."""
+        import pyarrow as pa
+
+        for batch in batches:
+            for block, part, x, y, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = np.frombuffer(x, np.uint64)
+                if block < 0:
+                    there, log_n = keys, np.log(np.frombuffer(y, np.int64))
+                    continue
+                text, at = np.unique(np.frombuffer(y, np.uint32), return_inverse=True)
+                sums = np.bincount(at, log_n[np.searchsorted(there, keys)], len(text))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([text.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["block", "part", "x", "y", "z"])
+
+    def total(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(task, "doc_id long, n_tokens long, log_prob double, per_token double")
+        def rows(ids: np.ndarray, sizes: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            sums = np.minimum(sums, 0)
+            mean = pa.array(sums / np.maximum(sizes, 1), pa.float64(), mask=sizes == 0)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(sizes), pa.array(sums), mean], names=["doc_id", "n_tokens", "log_prob", "per_token"])
+
+        held = None
+        for batch in batches:
+            for part, x, y, z in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                if part < 0:
+                    if held:
+                        yield rows(*held)
+                    held = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), np.frombuffer(z, np.float64).copy()
+                else:
+                    held[2][np.frombuffer(x, np.uint32)] += np.frombuffer(y, np.float64)
+        if held:
+            yield rows(*held)
+
+    schema = "block long, part int, x binary, y binary, z binary"
+    scored = settled(_rows(docs).mapInArrow(score, schema))
+    counts = counted.select(F.lit(-1).cast("long").alias("block"), "part", F.col("keys").alias("x"), F.col("counts").alias("y"), F.lit(b"").alias("z"))
+    asked = counts.unionByName(scored.where("part >= 0")).repartitionById(parts, "part").sortWithinPartitions("part", "block")
+    met = scored.where("part < 0").unionByName(asked.mapInArrow(look, schema))
+    return met.repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(total, "doc_id long, n_tokens long, log_prob double, per_token double")

@@ -136,3 +136,39 @@ def test_network_learns_from_both_sides():
     assert net.log_p(context[4000:], ids[4000:]).mean() > before + 0.3
     flat, places, within = laid([np.array([5, 6]), np.array([], int), np.array([7])])
     assert windows(flat, places).tolist() == [[0, 0, 6, 0], [0, 5, 0, 0], [0, 0, 0, 0]] and within.tolist() == [0, 1, 0]
+
+
+def test_every_word_has_a_probability_of_its_own(make):
+    from fotolake.llm import lm_score as lm
+
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 40) + (" qzxvkwa" if i < 4 else " qzxvkwb" if i == 4 else "")) for i in range(80)]
+    rows += [(900, "the of and to in is that qzxvkwa it the"), (901, "the of and to in is that qzxvkwb it the"), (None, "the # # #"), (902, "| | |")]
+    found = {r["doc_id"]: r for r in lm_scores(make(rows)).collect()}
+    # The same shape and sides: the scores differ by the words' counts, 5 and 2.
+    assert abs(found[900]["log_prob"] - found[901]["log_prob"] - np.log(5 / 2)) < 1e-3
+    assert found[None]["n_tokens"] == 4 and len(found) == len(rows)
+    counted = {}
+    for r in lm.word_counts(make(rows), 3).collect():
+        counted |= dict(zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["counts"], np.int64).tolist(), strict=True))
+    want = {}
+    for _, t in rows:
+        for w, before in zip(t.split(), [None, *t.split()], strict=False):
+            if w != before:
+                want[w] = want.get(w, 0) + 1
+    keys = lm.Keys()
+    assert counted == {int(keys.of(w)[0][0]): n for w, n in want.items()}
+
+
+def test_every_place_is_trained(make):
+    from fotolake.llm import lm_score as lm
+
+    rng = random.Random(15)
+    rows = [(i, " ".join("last" if j % 4 == 3 else rng.choice("abc") for j in range(80))) for i in range(300)]
+    numbers, _ = lm.vocabulary(lm.word_counts(make(rows), 2))
+    keys = lm.Keys()
+    ids = numbers.of(*keys.of(rows[0][1]))
+    flat, places, within = laid([ids])
+    at = places[within % 4 == 3]
+    trained, fresh = (x.log_p(windows(flat, at), flat[at]).mean() for x in (lm.fit(make(rows), numbers), Network(lm.SHAPE_NUMBERS + 4)))
+    assert trained > fresh + 1
