@@ -172,3 +172,14 @@ def test_every_place_is_trained(make):
     at = places[within % 4 == 3]
     trained, fresh = (x.log_p(windows(flat, at), flat[at]).mean() for x in (lm.fit(make(rows), numbers), Network(lm.SHAPE_NUMBERS + 4)))
     assert trained > fresh + 1
+
+
+def test_words_of_a_small_language_have_numbers(make):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 2000)) for i in range(20)] + [(100, " ".join(" ".join(rng.sample([f"w{j}" for j in range(40)], 40)) for _ in range(5)))]
+    docs = make(rows).withColumn("lang", F.when(F.col("doc_id") == 100, "xx").otherwise("en"))
+    langs = q.languages(docs)
+    words, _ = q.vocabulary(docs, langs, 2)
+    assert all(q._hash(langs["xx"], f"w{j}".encode()) in words for j in range(40))
