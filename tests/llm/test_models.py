@@ -183,3 +183,33 @@ def test_words_of_a_small_language_have_numbers(make):
     langs = q.languages(docs)
     words, _ = q.vocabulary(docs, langs, 2)
     assert all(q._hash(langs["xx"], f"w{j}".encode()) in words for j in range(40))
+
+
+def test_lower_orders_count_different_contexts(make):
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choice([a + b for a in "abcdefg" for b in "hijklm"]) for _ in range(60))) for i in range(30)]
+    rows += [(100 + i, rows[3][1]) for i in range(5)]
+    docs = make(rows)
+    langs = q.languages(docs)
+    once = q.teachers(docs)
+    assert once.count() == 30
+    numbers = q.Numbers(langs, q.vocabulary(once, langs, 3)[0])
+    sent = docs.sparkSession.sparkContext.broadcast(numbers)
+    found = {(r["kind"], r["key"]): r["n"] for r in q.ngram_counts(once, sent, 3, 0.0).where("kind in (2, 3)").collect()}
+    words = {}
+    for r in q.ngram_counts(once, sent, 3, 0.0).where("kind = 1").collect():
+        words[r["key"]] = words.get(r["key"], 0) + r["n"]
+    tri = {}
+    for i, t in rows[:30]:
+        if q.trusted(t.encode(), t.encode().split()):
+            for x in q.trigrams(numbers.of(1, t.encode().split()), 1).tolist():
+                tri[x] = tri.get(x, 0) + 1
+    pairs, one = {}, (1 << q.ID_BITS) - 1
+    for x in tri:
+        pairs.setdefault(x & (1 << 2 * q.ID_BITS) - 1, set()).add(x)
+    before = {}
+    for x in pairs:
+        before.setdefault(x & one, set()).add(x)
+    assert {k: n for (o, k), n in found.items() if o == 3} == {k: n for k, n in tri.items() if n > 1}
+    assert {k: n for (o, k), n in found.items() if o == 2} == {k: len(v) for k, v in pairs.items()}
+    assert words == {k: len(v) for k, v in before.items()}
