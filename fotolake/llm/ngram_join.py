@@ -187,7 +187,7 @@ def fingerprints(docs: DataFrame, k: int, num: int, den: int, parts: int) -> Dat
                 held["owner"].append(owner + docs_held)
                 held["doc"].append(np.array(ids, np.int64))
                 held["n"].append(np.array([len(s) for s in sets], np.int64))
-                points.append(np.stack([point_of(s) for s in sets]) if sets else np.empty((0, AXES), np.uint16))
+                points.append(np.stack([point_of(s) for s in sets]) if sets else np.empty((0, AXES), np.uint32))
                 held["k1"].append(np.array([np.bitwise_xor.reduce(mixed(s)) if len(s) else 0 for s in sets], np.uint64))
                 held["k2"].append(np.array([np.add.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else 0 for s in sets], np.uint64))
                 docs_held += len(ids)
@@ -207,7 +207,7 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
 
         def rows(kind: int, a, b, points: bytes = b"") -> Iterator:
             if len(a):
-                p = [points[i : i + 2 * AXES] for i in range(0, len(points), 2 * AXES)] if points else [None] * len(a)
+                p = [points[i : i + 4 * AXES] for i in range(0, len(points), 4 * AXES)] if points else [None] * len(a)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.binary())], names=["kind", "a", "b", "point"])
 
         copies: list[tuple] = []
@@ -234,15 +234,15 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
 
 
 def point_of(hashes: np.ndarray) -> np.ndarray:
-    """Hashes per axis; counts beyond 65535 stay there, which can only loosen the bound of sets that large."""
-    return np.minimum(np.bincount((hashes >> np.uint64(50)).astype(np.int64) % AXES, minlength=AXES), 65535).astype(np.uint16)
+    """Hashes per axis."""
+    return np.bincount((hashes >> np.uint64(50)).astype(np.int64) % AXES, minlength=AXES).astype(np.uint32)
 
 
 class CountTree:
     """An R-tree over count vectors; only the upper corners of its boxes and the least sizes matter to the bound."""
 
     def __init__(self, sizes: list[int], points: list[np.ndarray]):
-        self.sizes, self.points = np.array(sizes, np.int64), np.stack(points).astype(np.int32)
+        self.sizes, self.points = np.array(sizes, np.int64), np.stack(points).astype(np.int64)
         # Neighbours in this order share leaves: by size, then along the axes.
         self.order = np.lexsort((*self.points.T[::-1], self.sizes))
         self.levels = [(self.points[self.order], self.sizes[self.order])]
@@ -272,7 +272,7 @@ class Items:
         self.num, self.den = num, den
         if shingler is None:
             self.sets, self.sizes = None, sizes
-            points = [np.frombuffer(p, np.uint16) for p in payloads]
+            points = [np.frombuffer(p, np.uint32) for p in payloads]
         else:
             self.sets = shingler.sets(payloads)
             self.sizes = [len(s) for s in self.sets]
@@ -280,8 +280,7 @@ class Items:
         self.tree = CountTree(self.sizes, points)
 
     def near(self, point: np.ndarray, size: int) -> np.ndarray:
-        # A clipped coordinate says nothing: such sets are near all of like size.
-        return self.tree.within(np.where(point >= 65535, np.iinfo(np.int32).max, point), size, self.num, self.den)
+        return self.tree.within(point, size, self.num, self.den)
 
     def joined(self, i: int, other: Items, j: int) -> bool:
         if self.sets is None:

@@ -8,6 +8,7 @@ import pytest
 from fotolake.llm import ngram_join
 from fotolake.llm.components import connected
 from fotolake.llm.ngram_join import CountTree, Items, classes_within, jaccard_groups, keep_first, point_of
+from fotolake.llm.shingles import mixed
 from fotolake.llm.suffix_dedup import LENGTH, cut_repeats, least_owners, segments
 from fotolake.llm.suffixes import permuted_lcp, shard, suffix_array
 
@@ -160,3 +161,11 @@ def test_cut_repeats_is_brute_force(make, awkward, hot, monkeypatch):
     found = cut_repeats(make(rows)).collect()
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), bytes(r["kept"])) for r in found) == cut(rows)
     assert cut_repeats(make([])).count() == 0
+
+
+def test_points_of_very_large_sets_bound_them():
+    n = 4_600_000
+    a = mixed(np.arange(n, dtype=np.uint64))
+    b = mixed(np.arange(100, n + 100, dtype=np.uint64))
+    points = Items([point_of(a).tobytes(), point_of(b).tobytes()], [n, n], None, 9, 10)
+    assert classes_within(points).tolist() == [0, 0]
