@@ -21,14 +21,16 @@ select event_id as id, 1700000000 + DIV(event_id, 5) * 1800 + (event_id % 5) * 2
   case when event_id % 8 = 0 then 1 else 0 end as favorited, case when event_id % 9 = 0 then 1 else 0 end as edited,
   cast(round(value * 100000) as bigint) as bytes, 600 + (event_id % 7) * 700 as width, 600 + (event_id % 5) * 500 as height,
   event_type as camera_model, concat('Lens ', cast(user_id % 7 as STR)) as lens, cast(18 + user_id % 60 as double) as focal_length,
-  XOR(HEX15(md5(cast(DIV(event_id, 5) as STR))), SHL(cast(1 as bigint), cast(event_id % 5 as int))) as phash,
+  case when event_id % 23 <> 0 then XOR(HEX15(md5(cast(DIV(event_id, 5) as STR))), SHL(cast(1 as bigint), cast(event_id % 5 as int))) end as phash,
+  case when event_id % 6 = 5 then 1 when event_id % 6 = 4 then 0 end as eyes_closed,
   cast(40 + (event_id * 7) % 60 as int) as score,
   md5(cast(case when event_id % 13 = 12 then event_id - 1 else event_id end as STR)) as sha256,
   concat('IMG_', cast(event_id as STR), case event_id % 3 when 0 then '.jpg' when 1 then '.png' else '.mp4' end) as filename,
   concat(cast(2019 + event_id % 5 as STR), case when event_id % 4 = 1 then '/trip/' else '/' end, 'IMG_', cast(event_id as STR),
     case event_id % 3 when 0 then '.jpg' when 1 then '.png' else '.mp4' end) as rel_path,
   case when event_id % 5 = 0 then concat('note about a ', event_type) end as description,
-  1700000000 + event_id * 60 as imported_at, user_id
+  1700000000 + event_id * 60 as imported_at, user_id,
+  case when event_id % 5 > 0 then concat(chr(123), '"Exif":', chr(123), '"ExposureTime":"1/', cast(30 + event_id % 100 as STR), '","ISOSpeedRatings":', cast(100 + event_id % 1600 as STR), chr(125), chr(125)) end as exif_json
 from events""",
     "faces": """
 select vec_id as id, vec_id as photo_id, cast(label as bigint) as label, cast(0.5 as double) + (vec_id % 50) / cast(100.0 as double) as det_score,
@@ -46,18 +48,19 @@ from events where event_type in ('click', 'purchase')""",
     "tags": """
 select id, concat(case id % 4 when 0 then 'Beach' when 1 then 'city' when 2 then 'Food' else 'night' end, ' ', cast(id as STR)) as name
 from (select distinct event_id % 14 as id from events)""",
-    "tag_links": "select * from (values (cast(0 as bigint), cast(1 as bigint)), (1, 2), (5, 6)) as t(a, b)",
+    "tag_links": "select distinct least(user_id % 7, event_id % 12) as a, greatest(user_id % 7, event_id % 12) as b from events where event_id % 12 - user_id % 7 = 1 and event_id % 12 in (1, 2, 6)",
     "photo_albums": "select event_id as photo_id, user_id % 20 as album_id from events where event_id % 3 <> 1",
     "albums": """
 select id, case id % 3 when 0 then concat('Photos from ', cast(2000 + id as STR)) when 1 then concat('Album ', cast(id as STR))
-  else concat('Shared with Dana ', cast(id as STR)) end as name,
+  else concat('Dana, Ron ', cast(id as STR)) end as name,
   case id % 3 when 0 then 'year' when 1 then 'album' else 'people-share' end as kind
 from (select distinct user_id % 22 as id from events)""",
     "photo_analysis": """
 select event_id as photo_id, 1 + event_id % 2 as version,
   md5(cast(case when event_id % 19 = 0 then event_id + 1 when event_id % 13 = 12 then event_id - 1 else event_id end as STR)) as sha,
-  cast(event_id % 211 as double) as sharp, cast(event_id % 256 as double) as luma, (event_id % 7) / cast(100.0 as double) as clip,
-  cast(event_id % 90 as double) as contrast, cast(event_id % 250 as double) as p95,
+  cast((event_id * 7) % 509 as double) as sharp, cast(event_id % 256 as double) as luma, (event_id % 29) / cast(100.0 as double) as clip_dark,
+  (event_id % 31) / cast(100.0 as double) as clip_white, cast(event_id % 90 as double) as p5, cast(event_id % 90 + event_id % 163 as double) as p95,
+  cast(40 + (event_id * 7) % 60 as int) as score,
   case when event_id % 41 = 0 then 1 else 0 end as screenshot, case when event_id % 43 = 0 then 1 else 0 end as receipt,
   case when event_id % 6 = 5 then 1 when event_id % 6 = 4 then 0 end as eyes_closed
 from events where event_id % 23 <> 0""",

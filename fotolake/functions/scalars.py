@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File suffixes of formats, label names by source language, colour names.
+# File suffixes of formats, label names, colour names, the Earth's diameter, bands of a hash, suffixes of edits.
 VIDEO_TYPES = ["mp4", "mov", "avi", "mkv", "webm", "m4v", "3gp"]
-LABELS = {"red": "red", "rot": "red", "rouge": "red", "yellow": "yellow", "gelb": "yellow", "jaune": "yellow", "green": "green", "grün": "green", "vert": "green", "blue": "blue", "blau": "blue", "bleu": "blue", "purple": "purple", "lila": "purple", "violet": "purple"}
-COLOURS = ["red", "orange", "yellow", "green", "teal", "blue", "purple", "pink", "brown", "black", "white", "grey"]
+LABELS = {"red": "red", "yellow": "yellow", "green": "green", "blue": "blue", "purple": "purple", "אדום": "red", "צהוב": "yellow", "ירוק": "green", "כחול": "blue", "סגול": "purple"}
+COLOURS = ["red", "orange", "yellow", "green", "cyan", "blue", "purple", "pink", "brown", "black", "white", "gray"]
 EARTH_KM = 12742.0
+BANDS = (0, 9, 18, 27, 36, 45, 54, 64)
 
 
 def wall(seconds: Column, tz: str = "UTC") -> Column:
@@ -46,12 +47,25 @@ def place_kind(south: Column, west: Column, north: Column, east: Column, least_k
 
 
 def date_from_filename(name: Column, this_year: int) -> Column:
-    """Unix seconds of a date, and of a time behind it, in a file name; null unless it is a real one of 1990 to next year."""
-    pattern = r"(?:^|[^0-9])((?:19|20)\d\d)[-_.]?([01]\d)[-_.]?([0-3]\d)(?:[-_ T.]*(?:at[-_ ]*)?([0-2]\d)[-_.:]?([0-5]\d)[-_.:]?([0-5]\d))?"
-    part = lambda i: F.regexp_extract(name, pattern, i)
-    time = F.when((part(4) != "") & (part(4) < "24"), F.concat_ws(":", part(4), part(5), part(6))).otherwise(F.lit("00:00:00"))
-    day = F.try_to_timestamp(F.concat(F.concat_ws("-", part(1), part(2), part(3)), F.lit(" "), time, F.lit(" UTC")), F.lit("yyyy-MM-dd HH:mm:ss z"))
-    return F.when((part(1) >= "1990") & (part(1) <= str(this_year + 1)), F.unix_seconds(day))
+    """Unix seconds of a date, and of a time behind it, in a file name without its extension.
+
+    Neither a digit before nor three digits behind may make it part of a longer number; null unless it is a real date of
+    1990 to next year.
+    """
+    stem = F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"(?<=.)\.[^.]*$", "")
+    pattern = r"(?<!\d)(19[89]\d|20\d\d)[-_.]?(0[1-9]|1[0-2])[-_.]?(0[1-9]|[12]\d|3[01])(?:[-_. T]?([01]\d|2[0-3])[-_.:]?([0-5]\d)[-_.:]?([0-5]\d))?(?!\d{3})"
+    part = lambda i: F.regexp_extract(stem, pattern, i)
+    time = F.when(part(4) != "", F.concat_ws(":", part(4), part(5), part(6))).otherwise(F.lit("00:00:00"))
+    at = F.try_to_timestamp(F.concat(F.concat_ws("-", part(1), part(2), part(3)), F.lit(" "), time, F.lit(" UTC")), F.lit("yyyy-MM-dd HH:mm:ss z"))
+    return F.when((part(1) >= "1990") & (part(1) <= str(this_year + 1)), F.unix_seconds(at))
+
+
+def lr_time(text: Column) -> Column:
+    """Unix seconds of a catalog's capture time: a day, and behind a T hours, minutes and perhaps seconds; what follows is ignored."""
+    part = lambda i: F.regexp_extract(text, r"^(\d{4})-(\d{2})-(\d{2})(?:T(\d{2}):(\d{2})(?::(\d{2}))?)?", i)
+    or_zero = lambda c: F.when(c == "", "00").otherwise(c)
+    at = F.concat(F.concat_ws("-", part(1), part(2), part(3)), F.lit(" "), F.concat_ws(":", or_zero(part(4)), or_zero(part(5)), or_zero(part(6))), F.lit(" UTC"))
+    return F.unix_seconds(F.try_to_timestamp(at, F.lit("yyyy-MM-dd HH:mm:ss z")))
 
 
 def media_stem(name: Column) -> Column:
@@ -110,8 +124,8 @@ def is_panorama(width: Column, height: Column, is_video: Column) -> Column:
 
 
 def album_kind(name: Column) -> Column:
-    """'year' for 'Photos from 2019' and bare years, 'people-share' for names that list people, else 'album'."""
-    return F.when(name.rlike(r"(?i)^(photos from )?(19|20)\d\d$"), "year").when(name.rlike(r"(?i)(^shared with |\bpeople\b)"), "people-share").otherwise("album")
+    """'year' for an export's album of a year, 'people-share' for names that list people with commas, else 'album'."""
+    return F.when(name.rlike(r"(?:תמונות משנת|Photos from)\s*\d{4}"), "year").when(name.rlike(r"^[A-Za-z].*,"), "people-share").otherwise("album")
 
 
 def fix_mojibake(text: Column) -> Column:
@@ -129,21 +143,23 @@ def hamming64(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-BANDS = (0, 9, 18, 27, 36, 45, 54, 64)
-
-
 def hash_band(h: Column, band: int) -> Column:
     """One of seven bands of a 64-bit hash; two hashes that differ in six bits or fewer agree in one band wholly."""
     low, high = BANDS[band], BANDS[band + 1]
     return F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
 
 
-def quality_score(sharp: Column, luma: Column, clip: Column, contrast: Column, mp: Column, eyes_closed: Column) -> Column:
-    """1 to 100 from sharpness, exposure and contrast; small pictures and closed eyes count less. Halves go to even."""
-    s = F.least(F.lit(1.0), F.log1p(F.greatest(sharp, F.lit(0.0))) / F.log1p(F.lit(1000.0)))
-    e = F.greatest(F.lit(0.0), 1 - F.abs(luma - 118) / 118 - 2 * clip)
-    c = F.least(F.lit(1.0), F.greatest(F.lit(0.0), contrast / 64))
-    total = 100 * (0.6 * s + 0.25 * e + 0.15 * c) * F.when(mp < 0.4, 0.9).otherwise(1.0) * F.when(eyes_closed == 1, 0.6).otherwise(1.0)
+def quality_score(sharp: Column, mean: Column, p5: Column, p95: Column, clip_dark: Column, clip_white: Column, eyes_closed: Column, width: Column, height: Column) -> Column:
+    """1 to 100: sharpness, exposure (too dark, too bright, clipped) and contrast; small pictures and closed eyes count less.
+    Halves go to even."""
+    held = lambda c, top: F.least(F.lit(top), F.greatest(F.lit(0.0), c))
+    part = 100 * held(F.log1p(sharp) / F.log1p(F.lit(400.0)), 1.0)
+    off = F.when(mean < 70, (70 - mean) * 1.6).when(mean > 190, (mean - 190) * 1.6).otherwise(0.0)
+    over = lambda clip: 120 * F.greatest(F.lit(0.0), clip - 0.15)
+    exposure = held(100.0 - off - (over(clip_dark) + over(clip_white)), 100.0)
+    total = 0.6 * part + 0.25 * exposure + 0.15 * (100 * held((p95 - p5) / 150, 1.0))
+    total = total * F.when((width > 0) & (height > 0) & (width.cast("long") * height < 400_000), 0.9).otherwise(1.0)
+    total = total * F.when(F.coalesce(eyes_closed, F.lit(0)) != 0, 0.6).otherwise(1.0)
     return F.least(F.lit(100), F.greatest(F.lit(1), F.bround(total).cast("int")))
 
 
@@ -156,47 +172,64 @@ def cleanup_category(screenshot: Column, receipt: Column, mean: Column, p95: Col
     )
 
 
-def hue(r: Column, g: Column, b: Column) -> Column:
+def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Hue in degrees, saturation and value."""
+    r, g, b = r / 255.0, g / 255.0, b / 255.0
     top, low = F.greatest(r, g, b), F.least(r, g, b)
-    d = (top - low).cast("double")
+    d = top - low
     turn = F.when(top == r, F.pmod((g - b) / d, F.lit(6.0))).when(top == g, (b - r) / d + 2).otherwise((r - g) / d + 4)
-    return F.when(d == 0, F.lit(0.0)).otherwise(60 * turn)
+    return F.when(d == 0, F.lit(0.0)).otherwise(60 * turn), F.when(top == 0, F.lit(0.0)).otherwise(d / top), top
 
 
 def colour_bucket(r: Column, g: Column, b: Column) -> Column:
-    """One of twelve colour names."""
-    top, low = F.greatest(r, g, b), F.least(r, g, b)
-    v, s, h = top / 255, F.when(top == 0, 0.0).otherwise((top - low) / top), hue(r, g, b)
+    """One of COLOURS."""
+    h, s, v = hsv(r, g, b)
+    dark = lambda name, least: F.when(v > least, name).otherwise("brown")
     return (
-        F.when(v < 0.16, "black").when((s < 0.1) & (v > 0.9), "white").when(s < 0.15, "grey")
-        .when((h >= 15) & (h < 45) & (v < 0.6), "brown").when(h < 15, "red").when(h < 45, "orange").when(h < 70, "yellow").when(h < 160, "green")
-        .when(h < 200, "teal").when(h < 255, "blue").when(h < 290, "purple").when(h < 345, "pink").otherwise("red")
+        F.when(v < 0.18, "black").when(s < 0.14, F.when(v > 0.85, "white").otherwise("gray"))
+        .when((h < 15) | (h >= 345), dark("red", 0.45)).when(h < 40, dark("orange", 0.6)).when(h < 70, dark("yellow", 0.55))
+        .when(h < 165, "green").when(h < 200, "cyan").when(h < 255, "blue").when(h < 300, "purple").otherwise("pink")
     )
 
 
-def redact_text(text: Column, known: list[str] | None = None) -> Column:
-    """E-mail and IPv4 addresses (but for loopback and 0.0.0.0/24) and given strings are masked."""
-    out = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")
-    out = F.regexp_replace(out, r"\b(?!127\.)(?!0\.0\.0\.)(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>")
-    for value in sorted(known or [], key=len, reverse=True):
-        out = F.replace(out, F.lit(value), F.lit("<user>"))
-    return out
+def redact_text(text: Column, folders: list[str] | None = None, user: str = "") -> Column:
+    """Given folders (of more than three signs, with either slash), a user's name between other signs than letters and digits,
+    e-mail addresses and IPv4 addresses but for 127.* and 0.0.0.* are masked."""
+    out = text
+    for value in sorted({f for f in folders or [] if len(f) > 3}, key=len, reverse=True):
+        for form in dict.fromkeys((value, value.replace("\\", "/"), value.replace("/", "\\"))):
+            out = F.replace(out, F.lit(form), F.lit("<folder>"))
+    if len(user) > 2:
+        out = F.regexp_replace(out, r"(?i)(?<![A-Za-z0-9])\Q" + user + r"\E(?![A-Za-z0-9])", "<user>")
+    out = F.regexp_replace(out, r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "<email>")
+    # Addresses that stay are fenced while the others are masked.
+    out = F.regexp_replace(out, r"\b(127(?:\.\d{1,3}){3}|0\.0\.0\.\d{1,3})\b", "\u0001$1\u0001")
+    out = F.regexp_replace(out, r"(?<!\x01)\b\d{1,3}(?:\.\d{1,3}){3}\b", "<ip>")
+    return F.replace(out, F.lit("\u0001"), F.lit(""))
 
 
 def parse_keywords(answer: Column, most: int = 12) -> Column:
-    """Up to most different keywords of a JSON array or of a list in plain text, lower-cased and trimmed, in order."""
-    listed = F.from_json(F.regexp_extract(answer, r"(?s)(\[.*\])", 1), "array<string>")
-    parts = F.coalesce(listed, F.split(answer, r"[,;\n]"))
-    clean = F.transform(parts, lambda x: F.trim(F.regexp_replace(F.lower(x), r"^[\s\-*•\d.\"']+|[\s.\"']+$", "")))
-    return F.slice(F.array_distinct(F.filter(clean, lambda x: x != "")), 1, most)
+    """Up to most different keywords of 2 to 40 signs, lower-cased, in order: of a JSON list, or of the list under 'keywords'
+    (else 'tags') of a JSON object; anything else is cut at commas, semicolons and line ends."""
+    strict = {"allowSingleQuotes": "false"}
+    found = F.regexp_extract(answer, r"(?s)(\{.*\}|\[.*\])", 1)
+    held = F.from_json(F.when(found.startswith("{"), found), "struct<keywords:string,tags:string>", strict)
+    inner = F.when(found.startswith("["), found).otherwise(F.coalesce(held["keywords"], held["tags"]))
+    listed = F.from_json(F.when(inner.startswith("["), inner), "array<string>", strict)
+    plain = F.split(F.regexp_replace(answer, r"(?i)keywords\s*:|[`\[\]{}\"]", " "), r"[\n,;]+")
+    clean = lambda x: F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ .#\-*•\t\"']+|[ .#\-*•\t\"']+$", "")))
+    words = F.filter(F.transform(F.coalesce(listed, plain), clean), lambda x: F.length(x).between(2, 40))
+    return F.slice(F.array_distinct(words), 1, most)
 
 
 def parse_score(answer: Column) -> Column:
-    value = F.regexp_extract(answer, r"(\d{1,3})", 1).try_cast("int")
+    """1 to 100: the number behind 'score', else the first one by itself; null beyond."""
+    behind = F.regexp_extract(answer, r'"?score"?\s*[:=]\s*(\d{1,3})', 1)
+    value = F.when(behind != "", behind).otherwise(F.regexp_extract(answer, r"\b(\d{1,3})\b", 1)).try_cast("int")
     return F.when(value.between(1, 100), value)
 
 
 def label_map(name: Column) -> Column:
-    """One of five labels from a colour name in several languages, or null."""
+    """One of five labels from its English or Hebrew name, or null."""
     pairs = [x for kv in LABELS.items() for x in map(F.lit, kv)]
     return F.element_at(F.create_map(*pairs), F.lower(F.trim(name)))

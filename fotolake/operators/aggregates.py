@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotolake.functions.scalars import COLOURS, ext_of, folder_of, orientation, wall
+from fotolake.functions.scalars import COLOURS, cleanup_category, ext_of, folder_of, orientation, wall
 from fotolake.operators.rules import people_of
 
 
@@ -122,16 +122,23 @@ def colour_counts(colours: DataFrame) -> DataFrame:
     return F.broadcast(every).join(colours.groupBy("colour").agg(F.count("*").alias("n")), "colour", "left").select("colour", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def cleanup_report(categories: DataFrame) -> DataFrame:
-    """Photos and bytes to be won by category; categories has category and bytes. The ids stay in categories."""
-    return categories.where("category is not null").groupBy("category").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+def cleanup_members(t) -> DataFrame:
+    """id, bytes, category of photos worth a look, each in one category; trashed rows and videos are left out."""
+    a = t.photo_analysis.join(t.photos.where("trashed = 0 and is_video = 0").select(F.col("id").alias("photo_id"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "phash"), "photo_id")
+    category = cleanup_category(*map(F.col, ("screenshot", "receipt", "luma", "p95", "sharp", "phash")))
+    return a.select(F.col("photo_id").alias("id"), "bytes", category.alias("category")).where("category is not null")
+
+
+def cleanup_report(members: DataFrame) -> DataFrame:
+    """Photos and bytes to be won by category; members has category and bytes, and the ids."""
+    return members.groupBy("category").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
 def analysis_progress(t, version: int) -> DataFrame:
-    own = t.photo_analysis.select(F.col("photo_id").alias("id"), "sha", F.col("version").alias("v"), "eyes_closed")
+    own = t.photo_analysis.select(F.col("photo_id").alias("id"), "sha", F.col("version").alias("v"), F.col("eyes_closed").alias("eyes"))
     rows = t.photos.where("trashed = 0 and is_video = 0").join(own, "id", "left")
     stale = F.col("v").isNull() | ~F.col("sha").eqNullSafe(F.col("sha256")) | (F.col("v") != version)
-    return rows.agg(F.count("*").alias("total"), F.count_if(stale).alias("pending"), F.count_if(F.col("v").isNotNull() & F.col("eyes_closed").isNull()).alias("eyes_pending"))
+    return rows.agg(F.count("*").alias("total"), F.count_if(stale).alias("pending"), F.count_if(F.col("v").isNotNull() & F.col("eyes").isNull()).alias("eyes_pending"))
 
 
 def unnamed_clusters(faces: DataFrame, least: int = 2, most: int = 300) -> DataFrame:
@@ -192,10 +199,11 @@ def distinct_bytes(inventory: DataFrame) -> DataFrame:
 
 def backup_health(runs: DataFrame, now: int, interval_s: int) -> DataFrame:
     """Last success, whether it is overdue, and failures since; runs has started and ok."""
-    last = F.max(F.when(F.col("ok"), F.col("started")))
     limit = max(2 * interval_s, interval_s + 6 * 3600)
-    facts = runs.agg(last.alias("last_ok"), F.sort_array(F.collect_set(F.when(~F.col("ok"), F.col("started")))).alias("failed"))
-    return facts.select("last_ok", (F.col("last_ok").isNull() | (F.lit(now) - F.col("last_ok") > limit)).alias("overdue"), F.size(F.filter("failed", lambda x: F.col("last_ok").isNull() | (x > F.col("last_ok")))).cast("long").alias("fails_since"))
+    last = runs.agg(F.max(F.when(F.col("ok"), F.col("started"))).alias("last_ok"))
+    after = runs.where("not ok").select("started").distinct().join(F.broadcast(last)).where("last_ok is null or started > last_ok")
+    overdue = F.col("last_ok").isNull() | (F.lit(now) - F.col("last_ok") > limit)
+    return last.join(after.agg(F.count("*").alias("fails_since"))).select("last_ok", overdue.alias("overdue"), "fails_since")
 
 
 def backup_verify(expected: DataFrame, found: DataFrame, seed: int = 0, sample: int = 25) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from fotolake.functions.scalars import hamming64, haversine_km
 from fotolake.operators.aggregates import person_centroids
-from fotolake.operators.joins import hash_band_pairs, near_hashes, time_neighbors
-from fotolake.storage import settled
+from fotolake.operators.joins import copy_pairs, hash_band_pairs, near_hashes, time_neighbors
+from fotolake.operators.windows import merit
+from fotolake.storage import fresh_path, settled
 
 BLOCK = 2048
 
@@ -18,17 +19,19 @@ BLOCK = 2048
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of edges (a, b) reaches.
 
-    Rounds take the least label of all neighbours, then that label's own label, and are written to the shared folder;
-    they end when nothing moves. Minima combine before the shuffle.
+    Rounds take the least label of all neighbours, then that label's own label, and are written to the shared folder in
+    turns over two places; they end when nothing moves. Minima combine before the shuffle.
     """
     both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settled(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    places = [fresh_path(edges.sparkSession) for _ in range(2)]
+    labels = settled(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), places[1])
+    turn = 0
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
         beyond = labels.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-        moved = settled(lower.join(beyond, "root").select("node", "was", F.least("root", "beyond").alias("root")))
-        labels = moved.select("node", "root")
+        moved = settled(lower.join(beyond, "root").select("node", "was", F.least("root", "beyond").alias("root")), places[turn])
+        labels, turn = moved.select("node", "root"), 1 - turn
         if moved.where("root <> was").isEmpty():
             return labels
 
@@ -63,32 +66,40 @@ def distinct_ids(ids: DataFrame, order: str) -> DataFrame:
 
 
 def similar_edges(photos: DataFrame, dup: int = 4, sim: int = 12, window_s: int = 600, place_m: float = 150.0, most: int = 40, bucket: int = 120) -> DataFrame:
-    """(a, b, bits, copy, near_time, near_place) of pairs that look alike and are copies, or close in time or place."""
-    pairs = time_neighbors(photos, window_s, most).unionByName(hash_band_pairs(photos, 2, bucket)).distinct()
+    """(a, b, bits, copy, near_time, near_place) of pairs that look alike and are copies, or close in time or place.
+
+    Candidates are up to most following photos in time, photos that share a band of the hash with at most bucket others, and
+    all near copies.
+    """
+    shots = photos.where("phash is not null")
+    pairs = time_neighbors(shots, window_s, most).unionByName(hash_band_pairs(shots, 2, bucket)).unionByName(copy_pairs(shots, dup))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = near_hashes(pairs, photos, sim)
     where = photos.select("id", "taken_at", "lat", "lng")
     both = near.join(where.withColumnsRenamed({"id": "a", "taken_at": "ta", "lat": "lat_a", "lng": "lng_a"}), "a").join(where.withColumnsRenamed({"id": "b", "taken_at": "tb", "lat": "lat_b", "lng": "lng_b"}), "b")
     km = haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
     marks: list[Column] = [
         (F.col("bits") <= dup).alias("copy"),
-        F.coalesce((F.col("ta") > 0) & (F.col("tb") > 0) & (F.abs(F.col("ta") - F.col("tb")) <= window_s), F.lit(False)).alias("near_time"),
+        F.coalesce((F.col("ta") != 0) & (F.col("tb") != 0) & (F.abs(F.col("ta") - F.col("tb")) <= window_s), F.lit(False)).alias("near_time"),
         F.coalesce(km * 1000 <= place_m, F.lit(False)).alias("near_place"),
     ]
     return both.select("a", "b", "bits", *marks).where("copy or near_time or near_place")
 
 
-def similar_groups(photos: DataFrame, **limits) -> DataFrame:
-    """grp, n, kind (copy when every link is one), best, members (sorted), why; copies first, then the largest."""
+def similar_groups(photos: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
+    """(groups, members): groups has grp (the least id), n, kind (copy when every link is one), best, why (place, time) and the
+    first capture time; copies first, then the largest, then the latest. members has grp and id, one row per photo."""
     edges = settled(similar_edges(photos, **limits))
     roots = settled(components(edges))
     kinds = edges.join(roots.withColumnsRenamed({"node": "a", "root": "grp"}), "a").groupBy("grp").agg(
         F.every("copy").alias("copies"), F.some("near_time").alias("t"), F.some("near_place").alias("p")
     )
-    merit = F.struct("score", (F.col("width") * F.col("height")).alias("area"), "bytes", (-F.col("taken_at")).alias("t"), (-F.col("id")).alias("i"))
-    rows = roots.withColumnsRenamed({"node": "id", "root": "grp"}).join(photos.select("id", "score", "width", "height", "bytes", "taken_at"), "id")
-    groups = rows.groupBy("grp").agg(F.count("*").alias("n"), F.max_by("id", merit).alias("best"), F.max("taken_at").alias("latest"))
-    why = F.filter(F.array(F.when(F.col("copies"), F.lit("copy")), F.when(F.col("t"), F.lit("time")), F.when(F.col("p"), F.lit("place"))), lambda x: x.isNotNull())
-    return groups.join(kinds, "grp").select("grp", "n", F.when(F.col("copies"), "copy").otherwise("similar").alias("kind"), "best", why.alias("why"), "latest").orderBy(F.col("kind") != "copy", F.desc("n"), F.desc("latest"), "grp")
+    members = roots.select(F.col("root").alias("grp"), F.col("node").alias("id"))
+    rows = members.join(photos.select("id", "score", "eyes_closed", "width", "height", "bytes", "taken_at"), "id")
+    groups = rows.groupBy("grp").agg(F.count("*").alias("n"), F.max_by("id", merit()).alias("best"), F.min(F.coalesce("taken_at", F.lit(0))).alias("taken_at"))
+    why = F.filter(F.array(F.when(F.col("p"), F.lit("place")), F.when(F.col("t"), F.lit("time"))), lambda x: x.isNotNull())
+    found = groups.join(kinds, "grp").select("grp", "n", F.when(F.col("copies"), "copy").otherwise("similar").alias("kind"), "best", why.alias("why"), "taken_at")
+    return found.orderBy(F.col("kind") != "copy", F.desc("n"), F.desc("taken_at"), "grp"), members
 
 
 def linked_tags(links: DataFrame) -> DataFrame:
@@ -99,32 +110,65 @@ def linked_tags(links: DataFrame) -> DataFrame:
 def apply_tag_links(t) -> DataFrame:
     """Rows (photo_id, tag_id, source) that links add: every keyword of a component that the photo has one of."""
     closure = settled(linked_tags(t.tag_links))
-    have = t.photo_tags.join(F.broadcast(closure), "tag_id").select("photo_id", "root").distinct()
+    have = t.photo_tags.join(closure, "tag_id").select("photo_id", "root").distinct()
     every = have.join(closure, "root").select("photo_id", "tag_id")
     return every.join(t.photo_tags.select("photo_id", "tag_id").distinct(), ["photo_id", "tag_id"], "left_anti").withColumn("source", F.lit("link"))
 
 
-def close_pairs(vectors: DataFrame, limit: float, block: int = BLOCK) -> DataFrame:
-    """(a, b) of vectors (id, embedding) at a cosine distance of at most limit, by products of blocks of the matrix.
+def _unit(part) -> np.ndarray:
+    m = np.array(part.tolist(), float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def blocked(left: DataFrame, right: DataFrame | None, keys: list[str], block: int) -> DataFrame:
+    """Rows of left (side 0) and right (side 1, left itself where null) dealt so that any two of them with equal keys meet in one
+    group (keys, i, j) that has at most about block of each side. A table that meets itself does so once."""
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        joined = rows.join(sizes, keys) if keys else rows.join(F.broadcast(sizes))
+        return joined.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    if right is None:
+        one = dealt(left)
+        a = one.withColumn("j", F.explode(F.sequence(F.col("k"), F.col("blocks") - 1))).withColumn("i", F.col("k")).withColumn("side", F.lit(0))
+        b = one.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("j", F.col("k")).withColumn("side", F.lit(1))
+        return a.drop("k", "blocks").unionByName(b.drop("k", "blocks"))
+    counts = lambda rows: rows.groupBy(*keys).agg(F.max("blocks").alias("others"))
+    one, two = dealt(left), dealt(right)
+    with_others = lambda rows, other: rows.join(counts(other), keys) if keys else rows.join(F.broadcast(counts(other)))
+    a = with_others(one, two).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("i", F.col("k")).withColumn("side", F.lit(0))
+    b = with_others(two, one).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("j", F.col("k")).withColumn("side", F.lit(1))
+    return a.drop("k", "blocks", "others").unionByName(b.drop("k", "blocks", "others"))
+
 
-    Each block meets itself and the later ones; a pair of blocks is one task, two blocks of vectors at most are in memory.
+def close_links(vectors: DataFrame, limit: float, block: int = BLOCK) -> DataFrame:
+    """(a, b) whose closure joins all vectors (id, embedding) that chains of cosine distances of at most limit join.
+
+    Blocks of the matrix are multiplied; of each product only the links of its own components to their least id are handed
+    on, so as many rows as vectors at most, however many of them are close.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    keyed = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
-    left = keyed.withColumn("other", F.explode(F.sequence(F.col("k"), F.lit(blocks - 1)))).select("id", "embedding", F.col("k").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
-    right = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k")))).select("id", "embedding", F.col("other").alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"))
 
     def task(rows):
         a, b = rows[rows.side == 0], rows[rows.side == 1]
-        unit = lambda x: (m := np.array(x.embedding.tolist(), float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        ids = np.concatenate((a.id.to_numpy(), b.id.to_numpy())).astype(np.int64)
+        empty = pd.DataFrame({"a": [], "b": []}, dtype="int64")
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        i, j = np.nonzero(unit(a) @ unit(b).T >= 1 - limit)
-        out = pd.DataFrame({"a": a.id.to_numpy()[i], "b": b.id.to_numpy()[j]})
-        return out[out.a < out.b] if rows.i.iloc[0] == rows.j.iloc[0] else pd.DataFrame({"a": out.min(axis=1), "b": out.max(axis=1)})
-
-    return left.unionByName(right).groupBy("i", "j").applyInPandas(task, "a long, b long")
+            return empty
+        near = _unit(a.embedding) @ _unit(b.embedding).T >= 1 - limit
+        label = np.arange(len(ids))
+        while True:
+            one, two = label[: len(a)], label[len(a) :]
+            top = np.iinfo(np.int64).max
+            fresh = np.concatenate((np.minimum(one, np.where(near, two, top).min(1)), np.minimum(two, np.where(near, one[:, None], top).min(0))))
+            fresh = fresh[fresh]
+            if (fresh == label).all():
+                break
+            label = fresh
+        out = pd.DataFrame({"a": ids[label], "b": ids})
+        return out[out.a != out.b].drop_duplicates()
+
+    return blocked(vectors.select("id", "embedding"), None, [], block).groupBy("i", "j").applyInPandas(task, "a long, b long")
 
 
 def average_linkage(vectors: np.ndarray, limit: float) -> np.ndarray:
@@ -145,16 +189,17 @@ def average_linkage(vectors: np.ndarray, limit: float) -> np.ndarray:
         label[label == j] = i
 
 
-def cluster_faces(faces: DataFrame, limit: float = 0.38) -> DataFrame:
+def cluster_faces(faces: DataFrame, limit: float = 0.38, whole: int = 2000, block: int = BLOCK) -> DataFrame:
     """(id, cluster): average linkage on cosine distance, cut at limit; a cluster is named by its least id.
 
-    Average linkage never merges across components of the graph of pairs within limit, so each component is clustered by
-    itself: pairs by blocks of the matrix, components as joins, one component per group.
+    Average linkage never merges across components of the graph of pairs within limit, so components are clustered by
+    themselves: those of at most whole faces each in a task, larger ones in rounds over all executors (merged_rounds).
     """
     known = faces.where("embedding is not null").select("id", "embedding")
-    pairs = settled(close_pairs(known, limit))
-    roots = components(pairs.unionByName(known.select(F.col("id").alias("a"), F.col("id").alias("b"))))
-    rows = known.join(roots.withColumnRenamed("node", "id"), "id")
+    links = settled(close_links(known, limit, block))
+    roots = components(links.unionByName(known.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    rows = settled(known.join(roots.withColumnRenamed("node", "id"), "id").join(sizes, "root"))
 
     def task(part):
         part = part.sort_values("id")
@@ -162,20 +207,70 @@ def cluster_faces(faces: DataFrame, limit: float = 0.38) -> DataFrame:
         ids = part.id.to_numpy()
         return part[["id"]].assign(cluster=ids[label])
 
-    return rows.groupBy("root").applyInPandas(task, "id long, cluster long")
+    small = rows.where(F.col("n") <= whole).groupBy("root").applyInPandas(task, "id long, cluster long")
+    large = rows.where(F.col("n") > whole).select("root", "id", "embedding")
+    return small if large.isEmpty() else small.unionByName(merged_rounds(large, limit, block))
 
 
-def suggest_names(faces: DataFrame, clusters: DataFrame, limit: float = 0.46) -> DataFrame:
+def merged_rounds(rows: DataFrame, limit: float, block: int = BLOCK) -> DataFrame:
+    """(id, cluster) of vectors (root, id, embedding): average linkage within each root, cut at limit.
+
+    A cluster is the sum of its unit vectors and their number, from which mean distances follow. In each round every
+    cluster finds its nearest one in products of blocks, and clusters that are each other's nearest merge; merging such
+    pairs in any order leads to the same clusters, as average linkage is reducible.
+    """
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = F.element_at(F.transform(F.array(F.greatest(norm, F.lit(1e-12))), lambda n: F.transform("embedding", lambda x: x.cast("double") / n)), 1)
+    clusters = settled(rows.select("root", "id", unit.alias("sum"), F.lit(1.0).alias("size")))
+    member = settled(rows.select("id", F.col("id").alias("cluster")))
+
+    def nearest(part):
+        a, b = part[part.side == 0], part[part.side == 1]
+        out = []
+        if len(a) and len(b):
+            mean = lambda x: np.array(x["sum"].tolist(), float) / x["size"].to_numpy()[:, None]
+            d = 1 - mean(a) @ mean(b).T
+            d[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = np.inf
+            for x, y, m in ((a, b, d), (b, a, d.T)):
+                # Of equally near clusters the one with the least id.
+                order = np.argsort(y.id.to_numpy(), kind="stable")
+                at = order[m[:, order].argmin(1)]
+                out.append(pd.DataFrame({"id": x.id.to_numpy(), "distance": m[np.arange(len(x)), at], "other": y.id.to_numpy()[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "distance": [], "other": []}).astype({"id": "int64", "other": "int64", "distance": "float64"})
+
+    while True:
+        met = blocked(clusters, None, ["root"], block).groupBy("root", "i", "j").applyInPandas(nearest, "id long, distance double, other long")
+        best = settled(met.where(F.col("distance") <= limit).groupBy("id").agg(F.min(F.struct("distance", "other"))["other"].alias("other")))
+        back = best.select(F.col("id").alias("other"), F.col("other").alias("id"))
+        merges = settled(best.join(back, ["id", "other"]).where("other < id").select(F.col("id").alias("cluster"), F.col("other").alias("into")))
+        if merges.isEmpty():
+            return member
+        into = F.coalesce("into", "cluster")
+        member = settled(member.join(merges, "cluster", "left").select("id", into.alias("cluster")))
+        moved = clusters.withColumnRenamed("id", "cluster").join(merges, "cluster", "left").withColumn("id", into)
+        # Two at most become one.
+        add = F.reduce(F.collect_list("sum"), F.array_repeat(F.lit(0.0), F.size(F.first("sum"))), lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
+        clusters = settled(moved.groupBy("root", "id").agg(add.alias("sum"), F.sum("size").alias("size")))
+
+
+def suggest_names(faces: DataFrame, clusters: DataFrame, limit: float = 0.46, block: int = BLOCK) -> DataFrame:
     """(cluster, person_id, distance): the nearest named person of each cluster without a name, within limit.
 
-    Persons are compared with clusters by hashed dimensions of their centroids' products: a join on the dimension, summed.
+    Blocks of clusters meet blocks of persons; a block hands on the nearest person of each of its clusters.
     """
     rows = faces.join(clusters, "id")
-    named = person_centroids(rows, "person_id")
+    named = person_centroids(rows, "person_id").select(F.col("person_id").alias("id"), "centroid")
     open_ = rows.groupBy("cluster").agg(F.max("person_id").alias("p")).where("p is null").select("cluster")
-    centers = person_centroids(rows.join(open_, "cluster", "left_semi"), "cluster")
-    a = centers.select("cluster", F.posexplode("centroid").alias("dim", "x"))
-    b = named.select("person_id", F.posexplode("centroid").alias("dim", "y"))
-    close = a.join(b, "dim").groupBy("cluster", "person_id").agg((1 - F.sum(F.col("x") * F.col("y"))).alias("distance")).where(F.col("distance") <= limit)
-    return close.groupBy("cluster").agg(F.min(F.struct("distance", "person_id")).alias("m")).select("cluster", "m.person_id", F.round("m.distance", 6).alias("distance"))
+    centers = person_centroids(rows.join(open_, "cluster", "left_semi"), "cluster").select(F.col("cluster").alias("id"), "centroid")
 
+    def nearest(part):
+        a, b = part[part.side == 0], part[part.side == 1].sort_values("id")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"cluster": [], "distance": [], "person_id": []}).astype({"cluster": "int64", "person_id": "int64", "distance": "float64"})
+        d = 1 - np.array(a.centroid.tolist()) @ np.array(b.centroid.tolist()).T
+        at = d.argmin(1)
+        return pd.DataFrame({"cluster": a.id.to_numpy(), "distance": d[np.arange(len(a)), at], "person_id": b.id.to_numpy()[at]})
+
+    met = blocked(centers, named, [], block).groupBy("i", "j").applyInPandas(nearest, "cluster long, distance double, person_id long")
+    close = met.where(F.col("distance") <= limit).groupBy("cluster").agg(F.min(F.struct("distance", "person_id")).alias("m"))
+    return close.select("cluster", "m.person_id", F.round("m.distance", 6).alias("distance"))

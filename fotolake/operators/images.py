@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 
 from fotolake.functions.scalars import colour_bucket, quality_score
 
-#: Sizes of common screens, for screenshots.
-SCREENS = frozenset({(1080, 1920), (1080, 2340), (1080, 2400), (1125, 2436), (1170, 2532), (1179, 2556), (1284, 2778), (1440, 3200), (750, 1334), (1366, 768), (1920, 1080), (2560, 1440), (3840, 2160)})
-MEASURES = "luma double, saturation double, p5 double, p95 double, clip double, contrast double, sharp double, phash long, r int, g int, b int, white double"
+# Names and sizes of screenshots.
+SHOT_NAME = r"(?i)screen[\s_-]?shot|screen[\s_-]?capture|screenrecord|צילום[\s_-]?מסך|capture d.[eé]cran|bildschirmfoto"
+SCREENS = [
+    (1080, 1920), (1080, 2160), (1080, 2220), (1080, 2280), (1080, 2340), (1080, 2400), (1170, 2532), (1179, 2556),
+    (1284, 2778), (1290, 2796), (750, 1334), (828, 1792), (1125, 2436), (1242, 2688), (1440, 2560), (1440, 3040),
+    (1440, 3120), (1440, 3200), (720, 1280), (720, 1520), (720, 1600), (1920, 1080), (2560, 1440), (3840, 2160),
+    (1366, 768), (1536, 864), (1440, 900), (1680, 1050), (2880, 1800), (2560, 1600), (3024, 1964), (3456, 2234),
+]
+#: Long side of the copy that is measured, and of the one whose palette is taken.
+LONG, SMALL = 512, 48
+MEASURES = "luma double, saturation double, p5 double, p95 double, clip_dark double, clip_white double, ink double, white double, flips int, rows int, sharp double, phash long, r int, g int, b int"
 
 
 def image_pixels(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,28 +37,44 @@ def _resized(grey: np.ndarray, height: int, width: int) -> np.ndarray:
     return box / np.maximum(np.outer(np.diff(rows), np.diff(cols)), 1)
 
 
+def _held(rgb: np.ndarray, side: int) -> np.ndarray:
+    """The picture, or a copy whose long side is side."""
+    h, w = rgb.shape[:2]
+    if max(h, w) <= side:
+        return rgb
+    size = max(1, round(h * side / max(h, w))), max(1, round(w * side / max(h, w)))
+    return np.stack([_resized(rgb[:, :, c], *size) for c in range(3)], axis=2)
+
+
 def dhash(grey: np.ndarray) -> int | None:
-    """64 bits: is each of 9 x 8 cells brighter than its right neighbour; null for pictures without structure."""
+    """64 bits: is each of 9 x 8 cells darker than its right neighbour; null for pictures without structure."""
     small = _resized(grey, 8, 9)
     if small.std() < 3:
         return None
-    bits = (small[:, :-1] > small[:, 1:]).ravel()
+    bits = (small[:, 1:] > small[:, :-1]).ravel()
     value = int("".join("1" if b else "0" for b in bits), 2)
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
 def sharpness(grey: np.ndarray) -> float:
-    """80th percentile of the Laplacian's variance over 4 x 4 tiles."""
-    if min(grey.shape) < 12:
+    """80th percentile of the Laplacian's variance within 4 x 4 tiles."""
+    if min(grey.shape) < 16:
         return 0.0
-    lap = -4 * grey[1:-1, 1:-1] + grey[:-2, 1:-1] + grey[2:, 1:-1] + grey[1:-1, :-2] + grey[1:-1, 2:]
-    tiles = [t.var() for band in np.array_split(lap, 4, 0) for t in np.array_split(band, 4, 1)]
-    return float(np.percentile(tiles, 80))
+    rows, cols = ([n * i // 4 for i in range(5)] for n in grey.shape)
+    found = []
+    for top, end in zip(rows, rows[1:], strict=False):
+        for left, right in zip(cols, cols[1:], strict=False):
+            t = grey[top:end, left:right]
+            if min(t.shape) > 4:
+                around = t[:-2, 1:-1] + t[2:, 1:-1] + t[1:-1, :-2] + t[1:-1, 2:]
+                found.append((around - 4 * t[1:-1, 1:-1]).var())
+    return float(np.percentile(found, 80)) if found else 0.0
 
 
 def dominant(rgb: np.ndarray) -> tuple[int, int, int]:
-    """The heaviest of six palette colours, saturated ones weighing more; the palette halves the widest box at its median."""
-    boxes = [rgb.reshape(-1, 3)[:: max(1, rgb.size // 3 // 20_000)]]
+    """The heaviest of six palette colours of a small copy, saturated ones that are not near black weighing more; the palette
+    halves the widest box at its median."""
+    boxes = [_held(rgb, SMALL).reshape(-1, 3)]
     while len(boxes) < 6:
         spans = [(b.max(0) - b.min(0)).max() * (len(b) > 1) for b in boxes]
         i = int(np.argmax(spans))
@@ -61,20 +85,23 @@ def dominant(rgb: np.ndarray) -> tuple[int, int, int]:
         box = box[box[:, axis].argsort(kind="stable")]
         boxes += [box[: len(box) // 2], box[len(box) // 2 :]]
     means = [b.mean(0) for b in boxes]
-    weight = [len(b) * (1 + 1.5 * (m.max() - m.min()) / max(m.max(), 1)) for b, m in zip(boxes, means, strict=True)]
+    weight = [len(b) * (1 + 1.5 * (m.max() - m.min()) / max(m.max(), 1) * (m.max() / 255 > 0.18)) for b, m in zip(boxes, means, strict=True)]
     return tuple(int(round(x)) for x in means[int(np.argmax(weight))])
 
 
 def measure_one(data: bytes, height: int, width: int, channels: int) -> tuple:
     bgr = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     rgb = np.repeat(bgr, 3, 2) if channels == 1 else bgr[:, :, 2::-1]
-    rgb = rgb.astype(np.float64)
+    rgb = _held(rgb.astype(np.float64), LONG)
     grey = rgb @ (0.299, 0.587, 0.114)
     top, low = rgb.max(2), rgb.min(2)
-    sat = np.where(top > 0, (top - low) / np.maximum(top, 1), 0)
+    sat = ((top - low) / np.maximum(top, 1)).mean()
     p5, p95 = np.percentile(grey, (5, 95))
-    clip = ((grey < 3) | (grey > 252)).mean()
-    return (grey.mean(), sat.mean(), p5, p95, clip, grey.std(), sharpness(grey), dhash(grey), *dominant(rgb), (grey > 225).mean())
+    # Lines of text: rows with ink and blank ones take turns.
+    ink = grey < min(150.0, grey.mean() - 45)
+    lines = ink.mean(1) > 0.012
+    flips = int((lines[1:] != lines[:-1]).sum())
+    return (grey.mean(), sat, p5, p95, (grey < 8).mean(), (grey > 247).mean(), ink.mean(), (grey > 165).mean(), flips, len(grey), sharpness(grey), dhash(grey), *dominant(rgb))
 
 
 def measure(images: DataFrame) -> DataFrame:
@@ -91,27 +118,34 @@ def measure(images: DataFrame) -> DataFrame:
     return images.mapInPandas(task, f"origin string, width int, height int, {MEASURES}")
 
 
-def screenshot_flag(name: Column, width: Column, height: Column) -> Column:
+def screenshot_flag(name: Column, width: Column, height: Column, has_camera: Column) -> Column:
+    """By its name, or as a large PNG of a screen's size that names no camera."""
     sizes = [w * 100_000 + h for a, b in SCREENS for w, h in ((a, b), (b, a))]
-    return (F.lower(name).rlike(r"screen[-_ ]?(shot|cap)|צילום מסך|bildschirmfoto") | (F.lower(name).endswith(".png") & (width * 100_000 + height).isin(sizes))).cast("int")
+    file = F.regexp_replace(name, r"^.*[/\\]", "")
+    as_screen = F.lower(file).endswith(".png") & ~has_camera & (F.greatest(width, height) >= 900) & (width * 100_000 + height).isin(sizes)
+    return (file.rlike(SHOT_NAME) | as_screen).cast("int")
 
 
-def receipt_flag(white: Column, saturation: Column, width: Column, height: Column) -> Column:
-    """Mostly white, hardly any colour, and long."""
-    return ((white > 0.5) & (saturation < 0.12) & (F.greatest(width, height) >= 1.3 * F.least(width, height))).cast("int")
+def receipt_flag(white: Column, saturation: Column, ink: Column, flips: Column, rows: Column, width: Column, height: Column) -> Column:
+    """Upright, mostly white, hardly any colour, some ink, and that in lines."""
+    return ((height >= width * 1.25) & (white >= 0.5) & (saturation < 0.14) & (ink > 0.015) & (ink < 0.3) & (flips >= 0.06 * rows)).cast("int")
 
 
 def scored(measures: DataFrame) -> DataFrame:
-    """measures with screenshot, receipt, colour and score."""
+    """measures with screenshot, receipt, colour and score; has_camera is taken from measures where it has it."""
     c = F.col
+    camera = c("has_camera") if "has_camera" in measures.columns else F.lit(False)
     return measures.select(
-        "*", screenshot_flag(c("origin"), c("width"), c("height")).alias("screenshot"), receipt_flag(c("white"), c("saturation"), c("width"), c("height")).alias("receipt"),
-        colour_bucket(c("r"), c("g"), c("b")).alias("colour"), quality_score(c("sharp"), c("luma"), c("clip"), c("contrast"), c("width") * c("height") / 1e6, F.lit(0)).alias("score"),
+        "*", screenshot_flag(c("origin"), c("width"), c("height"), camera).alias("screenshot"),
+        receipt_flag(c("white"), c("saturation"), c("ink"), c("flips"), c("rows"), c("width"), c("height")).alias("receipt"),
+        colour_bucket(c("r"), c("g"), c("b")).alias("colour"),
+        quality_score(c("sharp"), c("luma"), c("p5"), c("p95"), c("clip_dark"), c("clip_white"), F.lit(0), c("width"), c("height")).alias("score"),
     )
 
 
 def eye_ratio(points: Column) -> Column:
-    """Extent of eye landmarks across their main axis over that along it; null with fewer than three points."""
+    """Extent of eye landmarks across their main axis over that along it, 1 where they are one spot; null with fewer than three
+    points."""
 
     def one(p) -> float | None:
         if p is None or len(p) < 3:
@@ -120,7 +154,7 @@ def eye_ratio(points: Column) -> Column:
         x -= x.mean(0)
         axes = x @ np.linalg.svd(x, full_matrices=False)[2].T
         extent = axes.max(0) - axes.min(0)
-        return float(extent[1] / extent[0]) if extent[0] > 0 else None
+        return float(extent[1] / extent[0]) if extent[0] > 1e-6 else 1.0
 
     @F.pandas_udf("double")
     def ratios(values: pd.Series) -> pd.Series:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotolake.functions.scalars import hamming64, hash_band, media_stem, norm_counter
-from fotolake.operators.windows import prev_next
+from fotolake.functions.scalars import hamming64, hash_band, media_stem
+from fotolake.operators.windows import numbered, prev_next
+from fotolake.storage import settled
 
 
 def photos_in_album(t, album: int) -> DataFrame:
@@ -58,19 +61,48 @@ def geotag_from_neighbors(photos: DataFrame, max_gap_s: int = 1800, block_s: int
     return asks.where(gap <= max_gap_s).select("id", source["id"].alias("source_id"), source["lat"].alias("lat"), source["lng"].alias("lng"))
 
 
+def following(frame: DataFrame, order: list[str], most: int, what: Column, name: str = "next", block: int = 4096) -> DataFrame:
+    """frame with name: the values of what of up to most rows that follow each in an order that is unique, nearest first.
+
+    Rows are numbered and dealt to blocks of equal size, so that however many share a time no block grows; the head of each
+    block is lent to the one before.
+    """
+    placed = numbered(frame.withColumn("__what", what), order, "__n")
+    at = F.floor(F.col("__n") / block)
+    lent = placed.where((F.col("__n") % block < most) & (F.col("__n") >= block)).withColumn("__block", at - 1).withColumn("__own", F.lit(False))
+    rows = placed.withColumn("__block", at).withColumn("__own", F.lit(True)).unionByName(lent)
+    ahead = Window.partitionBy("__block").orderBy("__n").rowsBetween(1, most)
+    return rows.withColumn(name, F.collect_list("__what").over(ahead)).where("__own").select(*frame.columns, name)
+
+
 def time_neighbors(photos: DataFrame, within_s: int = 600, most: int = 40) -> DataFrame:
-    """(a, b): up to most following photos of each within a span. A block of time meets itself and the next block."""
+    """(a, b): up to most following photos of each within a span, in order of time and id."""
     dated = photos.where("trashed = 0 and is_video = 0 and coalesce(taken_at, 0) > 0").select("id", "taken_at")
-    left = dated.select(F.col("id").alias("a"), F.col("taken_at").alias("ta"), F.explode(F.array(F.floor(F.col("taken_at") / within_s), F.floor(F.col("taken_at") / within_s) + 1)).alias("cell"))
-    right = dated.select(F.col("id").alias("b"), F.col("taken_at").alias("tb"), F.floor(F.col("taken_at") / within_s).alias("cell"))
-    after = (F.col("tb") > F.col("ta")) | ((F.col("tb") == F.col("ta")) & (F.col("b") > F.col("a")))
-    pairs = left.join(right, "cell").where(after & (F.col("tb") - F.col("ta") <= within_s))
-    place = F.row_number().over(Window.partitionBy("a").orderBy("tb", "b"))
-    return pairs.withColumn("place", place).where(F.col("place") <= most).select("a", "b")
+    rows = following(dated, ["taken_at", "id"], most, F.struct("id", "taken_at"))
+    pairs = rows.select(F.col("id").alias("a"), F.col("taken_at").alias("ta"), F.explode("next").alias("x"))
+    return pairs.where(F.col("x.taken_at") - F.col("ta") <= within_s).select("a", F.col("x.id").alias("b"))
+
+
+def neighbour_keywords(t, within_s: int = 7200, photos: int = 12, words: int = 15) -> DataFrame:
+    """id, name, n, place: the keywords of the photos nearest in time to each photo, the most frequent first.
+
+    Nearest are up to twelve other photos within two hours either way; equally near ones are taken by how few photos lie
+    between, the earlier first.
+    """
+    shots = t.photos.where("trashed = 0 and is_video = 0 and coalesce(taken_at, 0) > 0").select("id", "taken_at")
+    pairs = following(shots, ["taken_at", "id"], photos, F.struct("id", "taken_at")).select("id", "taken_at", F.posexplode("next").alias("between", "x"))
+    pairs = pairs.select("id", F.col("x.id").alias("other"), (F.col("x.taken_at") - F.col("taken_at")).alias("gap"), "between").where(F.col("gap") <= within_s)
+    both = pairs.select("id", "other", "gap", "between", F.lit(1).alias("later")).unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"), "gap", "between", F.lit(0).alias("later")))
+    near = both.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("gap", "between", "later"))).where(F.col("place") <= photos)
+    names = t.photo_tags.select(F.col("photo_id").alias("other"), "tag_id").distinct().join(t.tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
+    counts = near.select("id", "other").join(names, "other").groupBy("id", "name").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "name"))
+    return counts.withColumn("place", rank.cast("long")).where(F.col("place") <= words).select("id", "name", "n", "place")
 
 
 def hash_band_pairs(photos: DataFrame, low: int = 2, high: int = 120) -> DataFrame:
-    """(a, b) that agree in one of seven bands of the hash. Bands shared by more than high photos say nothing and are left out."""
+    """(a, b) that agree in one of seven bands of the hash, for bands shared by low to high photos. Of pairs up to six bits
+    apart it loses those that meet in fuller bands only; copy_pairs has all near copies whatever the bands hold."""
     shots = photos.where("trashed = 0 and is_video = 0 and phash is not null").select("id", "phash")
     bands = shots.select("id", F.posexplode(F.array(*[hash_band(F.col("phash"), b) for b in range(7)])).alias("band", "bits"))
     usable = bands.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n").between(low, high)).drop("n")
@@ -79,6 +111,21 @@ def hash_band_pairs(photos: DataFrame, low: int = 2, high: int = 120) -> DataFra
     return pairs.select("a", "b").distinct()
 
 
+def copy_pairs(photos: DataFrame, most: int = 4) -> DataFrame:
+    """(a, b) that link all photos whose hashes differ in at most so many bits (four or fewer), without any cap.
+
+    Equal hashes hang on the least id that has them. Two different ones agree in at least 7 - most of the seven bands, so
+    they meet where those agree wholly; the pairs that meet are compared.
+    """
+    shots = photos.where("trashed = 0 and is_video = 0 and phash is not null").select("id", "phash")
+    first = settled(shots.groupBy("phash").agg(F.min("id").alias("a")))
+    equal = shots.join(first, "phash").where("id <> a").select("a", F.col("id").alias("b"))
+    keys = F.array(*[F.struct(F.lit(i).alias("way"), *[hash_band(F.col("phash"), b).alias(f"x{j}") for j, b in enumerate(bands)]) for i, bands in enumerate(combinations(range(7), 7 - most))])
+    cells = first.select("a", "phash", F.explode(keys).alias("cell"))
+    met = cells.join(cells.select(F.col("a").alias("b"), F.col("phash").alias("other"), "cell"), "cell").where((F.col("a") < F.col("b")) & (hamming64(F.col("phash"), F.col("other")) <= most))
+    return equal.unionByName(met.select("a", "b").distinct())
+
+
 def find_known(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """(in_id, known_id): incoming files (id, name, taken_at, width, height) that the catalog seems to have.
 
@@ -96,29 +143,36 @@ def find_known(incoming: DataFrame, known: DataFrame) -> DataFrame:
     return both.groupBy("in_id").agg(F.min(F.struct("rule", "known_id"))["known_id"].alias("known_id"))
 
 
-def sidecar_match(media: DataFrame, sidecars: DataFrame, stem: int = 6) -> DataFrame:
-    """(folder, media, sidecar): by exact name, else by the longest sidecar name that begins it (export tools cut names),
-    else with the counter moved. Each file is used once; earlier names go first."""
-    files = media.select("folder", F.col("name").alias("media"))
-    cars = sidecars.select("folder", F.col("name").alias("sidecar"), F.regexp_replace(F.regexp_replace("name", r"(?i)\.json$", ""), r"(?i)\.supplemental-metadata$", "").alias("target"))
+def sidecar_match(media: DataFrame, sidecars: DataFrame, least: int = 6) -> DataFrame:
+    """(folder, media, sidecar). Media choose in order of their names, each the best sidecar that is left: the one that names
+    it exactly; else the one whose name without extension is the longest beginning, of six signs or more, of its own (export
+    tools cut names), the greater name of equals; else one with the same name but for counters and spaces.
 
-    def once(pairs: DataFrame, merit: Column) -> DataFrame:
-        by_media = Window.partitionBy("folder", "media").orderBy(merit.desc(), "sidecar")
-        by_car = Window.partitionBy("folder", "sidecar").orderBy(merit.desc(), "media")
-        best = pairs.withColumn("m", F.row_number().over(by_media)).where("m = 1").withColumn("c", F.row_number().over(by_car)).where("c = 1")
-        return best.select("folder", "media", "sidecar")
-
-    def open_(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return files.join(found, ["folder", "media"], "left_anti"), cars.join(found, ["folder", "sidecar"], "left_anti")
-
-    exact = once(files.join(cars, (files["folder"] == cars["folder"]) & (files["media"] == cars["target"])).select(files["folder"], "media", "sidecar"), F.lit(0))
-    f, c = open_(exact)
-    f, c = f.withColumn("head", F.substring("media", 1, stem)), c.where(F.length("target") >= stem).withColumn("head", F.substring("target", 1, stem))
-    cut = once(f.join(c, ["folder", "head"]).where(F.col("media").startswith(F.col("target"))).select("folder", "media", "sidecar", F.length("target").alias("n")), F.col("n"))
-    found = exact.unionByName(cut)
-    f, c = open_(found)
-    moved = once(f.withColumn("k", norm_counter(F.col("media"))).join(c.withColumn("k", norm_counter(F.col("target"))), ["folder", "k"]).select("folder", "media", "sidecar"), F.lit(0))
-    return found.unionByName(moved)
+    Every pair that any of the rules allows meets in an equi-join. Going through the media by name then equals rounds in
+    which each medium asks for its best sidecar that has not refused it, and a sidecar keeps the first medium that asked.
+    """
+    bare = lambda c: F.when(c.rlike(r"^.+\."), F.regexp_replace(c, r"\.[^.]*$", "")).otherwise(c)
+    loose = lambda c: F.lower(F.regexp_replace(c, r"\(\d+\)|\s+", ""))
+    name = F.col("name")
+    target = F.when(name.rlike(r"(?i)\.supplemental[\w-]*\.json$"), F.regexp_replace(name, r"(?i)\.supplemental[\w-]*\.json$", "")).otherwise(F.regexp_replace(name, r"(?i)\.json$", ""))
+    files = media.select("folder", name.alias("media")).distinct()
+    cars = sidecars.select("folder", name.alias("sidecar"), target.alias("target")).distinct()
+    exact = files.join(cars, (files["folder"] == cars["folder"]) & (files["media"] == cars["target"])).select(files["folder"], "media", "sidecar", F.lit(2).alias("rule"), F.lit(0).alias("size"))
+    begins = files.withColumn("stem", bare(F.col("media"))).where(F.length("stem") >= least)
+    begins = begins.select("folder", "media", F.explode(F.transform(F.sequence(F.lit(least), F.length("stem")), lambda n: F.substr(F.col("stem"), F.lit(1), n))).alias("stem"))
+    cut = begins.join(cars.withColumn("stem", bare(F.col("target"))).where(F.length("stem") >= least), ["folder", "stem"]).select("folder", "media", "sidecar", F.lit(1).alias("rule"), F.length("stem").alias("size"))
+    moved = files.withColumn("k", loose(F.col("media"))).join(cars.withColumn("k", loose(F.col("target"))), ["folder", "k"]).select("folder", "media", "sidecar", F.lit(0).alias("rule"), F.lit(0).alias("size"))
+    pairs = exact.unionByName(cut).unionByName(moved)
+    # By the prefix rule the greater name wins, by the others the smaller one: its code points are turned round.
+    turned = F.when(F.col("rule") == 1, F.hex("sidecar")).otherwise(F.concat(F.translate(F.hex("sidecar"), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~")))
+    open_ = settled(pairs.groupBy("folder", "media", "sidecar").agg(F.max(F.struct("rule", "size", turned.alias("name"))).alias("merit")))
+    while True:
+        asks = open_.groupBy("folder", "media").agg(F.max(F.struct("merit", "sidecar"))["sidecar"].alias("sidecar"))
+        held = settled(asks.groupBy("folder", "sidecar").agg(F.min("media").alias("winner")))
+        refused = asks.join(held, ["folder", "sidecar"]).where("media <> winner").select("folder", "media", "sidecar")
+        if refused.isEmpty():
+            return held.select("folder", F.col("winner").alias("media"), "sidecar")
+        open_ = settled(open_.join(refused, ["folder", "media", "sidecar"], "left_anti"))
 
 
 def suffix_join(entries: DataFrame, uris: DataFrame) -> DataFrame:
@@ -137,7 +191,8 @@ def xmp_sidecar(media: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 
 def folder_diff(disk: DataFrame, known: DataFrame, guard_n: int = 20, guard_share: float = 0.5) -> DataFrame:
-    """path, change, photo_id: new, changed, moved (content known under a path that is gone), duplicate, gone.
+    """path, change, photo_id: new, changed, touched (of the same content), moved (content known under a path that is gone),
+    duplicate (content that is known elsewhere), gone.
 
     When more than guard_n files and more than guard_share of the known ones are gone, removals are held back.
     """
@@ -152,7 +207,9 @@ def folder_diff(disk: DataFrame, known: DataFrame, guard_n: int = 20, guard_shar
     fresh = fresh.join(have, "sha", "left").select(
         "path", F.when(F.col("moved_id").isNotNull(), "moved").when(F.col("have") | (F.col("place") > 1), "duplicate").otherwise("new").alias("change"), F.col("moved_id").alias("photo_id"), "was"
     )
-    changed = both.where("size is not null and old_size is not null and (size <> old_size or mtime <> old_mtime)").select("path", F.lit("changed").alias("change"), "photo_id", F.lit(None).cast("string").alias("was"))
+    other = both.where("size is not null and old_size is not null and (size <> old_size or mtime <> old_mtime)").join(have, "sha", "left")
+    what = F.when(F.col("sha") == F.col("old_sha"), "touched").when(F.col("have"), "duplicate").otherwise("changed")
+    changed = other.select("path", what.alias("change"), "photo_id", F.lit(None).cast("string").alias("was"))
     left = gone.join(fresh.where("was is not null").select(F.col("was").alias("path")), "path", "left_anti")
     facts = known.agg(F.count("*").alias("n_known")).join(left.agg(F.count("*").alias("n_gone")))  # one row
     removed = left.join(F.broadcast(facts)).select(
@@ -184,20 +241,43 @@ def dedupe_ingest(incoming: DataFrame, known: DataFrame) -> DataFrame:
     return incoming.withColumn("place", place).join(have, "sha256", "left").select("id", F.when(F.col("have") | (F.col("place") > 1), "duplicate").otherwise("added").alias("status"))
 
 
-def conversion_audit(source: DataFrame, output: DataFrame) -> DataFrame:
-    """id, ok, checks: measures of converted videos against their sources: frames, seconds, fps, width, height, audio, bytes, ssim."""
+# Tolerance of durations in seconds, least similarity on the whole and of a frame, grades by similarity.
+DURATION_TOLERANCE, LEAST_SSIM, LEAST_FRAME_SSIM = 0.050, 0.80, 0.60
+GRADES = [(0.97, "excellent"), (0.93, "very_good"), (0.88, "good"), (0.0, "noticeable")]
+
+
+def conversion_audit(source: DataFrame, output: DataFrame, fps_mode: str = "same", fps: float = 30.0, max_height: int = 0, audio: bool = True) -> DataFrame:
+    """id, ok, failed, grade: measures of converted videos against their sources by the options of the conversion.
+
+    Both tables have id, frames, seconds (of the file), video_seconds, width, height, audio and bytes; source has fps, output
+    ssim and ssim_min. fps_mode is same, limit (fps at most) or fixed.
+    """
     rows = source.alias("s").join(output.alias("o"), "id")
     s, o = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"o.{c}"))
+    n, lasts = s("frames"), F.when(s("video_seconds") > 0, s("video_seconds")).otherwise(F.coalesce(s("seconds"), F.lit(0.0)))
+    target = F.bround(lasts * fps)
+    same = (o("frames") == n) if fps_mode != "fixed" else o("frames").between(target - 2, target + 2)
+    if fps_mode == "limit":
+        own_fps = F.when(lasts > 0, n / lasts).otherwise(F.coalesce(s("fps"), F.lit(0.0)))
+        fewer = F.least(n.cast("double"), target)
+        same = F.when(own_fps <= fps * 1.001, same).otherwise(o("frames").between(F.floor(fewer * 0.9), fewer + 2))
+    tolerance = DURATION_TOLERANCE if fps_mode == "same" else DURATION_TOLERANCE + 1 / fps
+    off = lambda c: F.abs(F.coalesce(o(c), F.lit(0.0)) - F.coalesce(s(c), F.lit(0.0)))
+    size = (o("width") == s("width")) & (o("height") == s("height"))
+    if max_height:
+        shape = s("width") / s("height")
+        held = o("height").between(max_height - 8, max_height) & (F.abs(o("width") / o("height") - shape) / shape < 0.01)
+        size = F.when(s("height") > max_height, held).otherwise(size)
     checks = {
-        "frames": F.abs(s("frames") - o("frames")) <= F.greatest(F.lit(2), F.ceil(s("frames") * 0.01)),
-        "duration": F.abs(s("seconds") - o("seconds")) <= 0.05 + 1 / s("fps"),
-        "resolution": (s("width") == o("width")) & (s("height") == o("height")),
-        "audio": s("audio") == o("audio"),
+        "frames": same,
+        "duration": F.greatest(off("seconds"), off("video_seconds")) <= tolerance,
+        "resolution": size,
+        "audio": o("audio") == (s("audio") if audio else F.lit(0)),
         "size": o("bytes") < s("bytes"),
-        "ssim": o("ssim") >= 0.8,
+        "ssim": (o("ssim") >= LEAST_SSIM) & (o("ssim_min") >= LEAST_FRAME_SSIM),
     }
     failed = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]), lambda x: x.isNotNull())
-    grade = F.when(o("ssim") >= 0.98, "excellent").when(o("ssim") >= 0.9, "good").when(o("ssim") >= 0.6, "fair").otherwise("poor")
+    grade = F.coalesce(*[F.when(o("ssim") >= floor, name) for floor, name in GRADES])
     return rows.select("id", (F.size(failed) == 0).alias("ok"), failed.alias("failed"), grade.alias("grade"))
 
 
@@ -218,21 +298,32 @@ def near_hashes(pairs: DataFrame, photos: DataFrame, most: int) -> DataFrame:
 
 
 def photo_context(t, tz: str = "UTC") -> DataFrame:
-    """id, context: what is known of a photo as lines of text: date, place, camera, caption, keywords, people."""
+    """id, context: what is known of a photo as lines of text: capture time, place, camera, exposure, size, caption, its own
+    keywords (20 at most), the people in it (10 at most) and the keywords of photos near in time. Nothing known: empty."""
     from fotolake.functions.scalars import wall
-
-    detail = photo_detail(t)
-    line = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{name}: "), value))
-    rows = t.photos.drop("filename").join(detail, "id")
+    from fotolake.operators.graph import photo_person_union
+
+    named = lambda bridge, key, names: bridge.join(names.select(F.col("id").alias(key), "name"), key).groupBy(F.col("photo_id").alias("id")).agg(F.sort_array(F.collect_set("name")).alias("names"))
+    own = named(t.photo_tags, "tag_id", t.tags).withColumnRenamed("names", "own")
+    people = named(photo_person_union(t), "person_id", t.people).withColumnRenamed("names", "people")
+    near = neighbour_keywords(t).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("near"))
+    rows = t.photos.join(own, "id", "left").join(people, "id", "left").join(near, "id", "left")
+    line = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(name), value))
+    # Fields of the exposure and what they are called.
+    fields = {"ExposureTime": "shutter", "FNumber": "f/", "ISOSpeedRatings": "ISO", "FocalLength": "focal length mm", "Flash": "flash"}
+    shot = [line(f"{label} ", F.get_json_object("exif_json", f"$.Exif.{field}")) for field, label in fields.items()]
     return rows.select(
         "id",
         F.concat_ws(
             "\n",
-            line("date", F.when(F.col("taken_at") > 0, F.date_format(wall(F.col("taken_at"), tz), "yyyy-MM-dd HH:mm"))),
-            line("place", F.concat_ws(", ", F.col("lat").cast("int").cast("string"), F.col("lng").cast("int").cast("string"))),
-            line("camera", F.concat_ws(", ", "camera_model", "lens")),
-            line("caption", F.col("description")),
-            line("keywords", F.array_join("tags", ", ")),
-            line("people", F.array_join("people", ", ")),
+            line("Taken: ", F.when(F.col("taken_at") != 0, F.date_format(wall(F.col("taken_at"), tz), "yyyy-MM-dd HH:mm (EEEE)"))),
+            line("Location: ", F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.format_string("%.4f, %.4f", "lat", "lng"))),
+            line("Camera: ", F.concat_ws(", ", *[F.when(F.col(c) != "", F.col(c)) for c in ("camera_model", "lens")])),
+            line("Exposure: ", F.concat_ws(", ", *shot)),
+            line("Size: ", F.when((F.col("width") > 0) & (F.col("height") > 0), F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")))),
+            line("Caption: ", F.substring("description", 1, 300)),
+            line("Keywords already on this photo: ", F.array_join(F.slice("own", 1, 20), ", ")),
+            line("People in the photo: ", F.array_join(F.slice("people", 1, 10), ", ")),
+            line("Keywords of photos taken close in time: ", F.array_join("near", ", ")),
         ).alias("context"),
     )

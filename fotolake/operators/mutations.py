@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolake.functions.scalars import date_from_filename, wall
+from fotolake.operators.windows import numbered
 
 
 def batch_patch(photos: DataFrame, ids: DataFrame, fields: dict, now: int) -> DataFrame:
@@ -35,14 +36,28 @@ def undo(photos: DataFrame, image: DataFrame) -> DataFrame:
     return both.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in photos.columns])
 
 
-def add_tags(photo_tags: DataFrame, chosen: DataFrame, tag_ids: list[int], closure: DataFrame) -> DataFrame:
-    """The bridge with tags added to the chosen photos, and with them all that links make equivalent (closure: tag_id, root)."""
+def with_links(photo_tags: DataFrame, closure: DataFrame) -> DataFrame:
+    """The bridge and, with source 'link', every keyword that links make equivalent to one a photo has (closure: tag_id, root)."""
+    have = photo_tags.join(closure, "tag_id").select("photo_id", "root").distinct()
+    every = have.join(closure, "root").select("photo_id", "tag_id")
+    return photo_tags.unionByName(every.join(photo_tags.select("photo_id", "tag_id").distinct(), ["photo_id", "tag_id"], "left_anti").withColumn("source", F.lit("link")))
+
+
+def add_tags(photo_tags: DataFrame, chosen: DataFrame, tag_ids: list[int], closure: DataFrame, series: DataFrame | None = None) -> DataFrame:
+    """The bridge with tags added to the chosen photos and to those in a series with them (series: series, id), and with them
+    all that links make equivalent (closure: tag_id, root)."""
+    from fotolake.operators.windows import series_members
+
     spark = photo_tags.sparkSession
     given = spark.createDataFrame([(x,) for x in tag_ids], "tag_id long")
     roots = given.join(closure, "tag_id").select("root").distinct()
     linked = closure.join(roots, "root").select("tag_id", F.lit("link").alias("source"))
     every = given.withColumn("source", F.lit("manual")).unionByName(linked.join(given, "tag_id", "left_anti"))
-    new = chosen.select("photo_id").distinct().join(F.broadcast(every)).select("photo_id", "tag_id", "source")
+    ids = chosen.select(F.col("photo_id").alias("id")).distinct()
+    if series is not None:
+        ids = series_members(series, ids)
+    # The given tags and their equivalents are a request's own, and few.
+    new = ids.withColumnRenamed("id", "photo_id").join(F.broadcast(every)).select("photo_id", "tag_id", "source")
     return photo_tags.unionByName(new.join(photo_tags.select("photo_id", "tag_id"), ["photo_id", "tag_id"], "left_anti"))
 
 
@@ -51,9 +66,9 @@ def remove_tags(photo_tags: DataFrame, chosen: DataFrame, tag_ids: list[int]) ->
     return photo_tags.join(gone, ["photo_id", "tag_id"], "left_anti")
 
 
-def time_rules(photos: DataFrame, photo_tags: DataFrame, rules: list[tuple[int, int, int]], tz: str = "UTC") -> DataFrame:
+def time_rules(photos: DataFrame, photo_tags: DataFrame, rules: list[tuple[int, int, int]], closure: DataFrame | None = None, tz: str = "UTC") -> DataFrame:
     """The bridge after rules (tag_id, hour from, hour to) are applied anew: what rules set before goes first. Hours may pass
-    midnight; at most twenty rules."""
+    midnight; at most twenty rules. Keywords linked to those that photos then have follow (closure: tag_id, root)."""
     if len(rules) > 20:
         raise ValueError("at most 20 rules")
     hour = F.hour(wall(F.col("taken_at"), tz))
@@ -61,15 +76,28 @@ def time_rules(photos: DataFrame, photo_tags: DataFrame, rules: list[tuple[int,
     tags = F.filter(F.array(*[F.when(hit(a, b), F.lit(t).cast("long")) for t, a, b in rules]), lambda x: x.isNotNull())
     new = photos.where("trashed = 0 and coalesce(taken_at, 0) > 0").select(F.col("id").alias("photo_id"), F.explode(F.array_distinct(tags)).alias("tag_id"), F.lit("rule").alias("source"))
     kept = photo_tags.where("source <> 'rule'")
-    return kept.unionByName(new.join(kept.select("photo_id", "tag_id"), ["photo_id", "tag_id"], "left_anti"))
-
-
-def set_ai_tags(photo_tags: DataFrame, tags: DataFrame, answers: DataFrame) -> DataFrame:
-    """(photo_id, name, tag_id): keywords of answers (photo_id, words) for photos, on the lowest id of a tag of that name in any
-    case; a null tag_id is a tag to be made. Rows of source 'ai' of those photos are replaced by these."""
-    names = tags.groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("tag_id"))
-    words = answers.select("photo_id", F.explode("words").alias("name")).select("photo_id", F.lower("name").alias("name")).distinct()
-    return words.join(names, "name", "left").select("photo_id", "name", "tag_id")
+    found = kept.unionByName(new.join(kept.select("photo_id", "tag_id"), ["photo_id", "tag_id"], "left_anti"))
+    return found if closure is None else with_links(found, closure)
+
+
+def set_ai_tags(photo_tags: DataFrame, tags: DataFrame, answers: DataFrame, closure: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bridge, tags) after answers (photo_id, words): rows of source 'ai' of those photos give way to one per keyword, on the
+    lowest id of a tag of that name in any case or on a new tag; keywords linked to them follow (closure: tag_id, root).
+
+    New tags are numbered past the greatest id in the order of a hash of their names.
+    """
+    known = tags.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("id"))
+    words = answers.select("photo_id", F.explode("words").alias("name")).withColumn("key", F.lower("name"))
+    fresh = words.join(known, "key", "left_anti").groupBy("key").agg(F.min("name").alias("name"))
+    top = tags.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    made = numbered(fresh, ["key"], "n").join(F.broadcast(top)).select("key", (F.col("top") + 1 + F.col("n")).cast("long").alias("id"), "name")
+    ids = known.unionByName(made.select("key", "id"))
+    rows = words.join(ids, "key").select("photo_id", F.col("id").alias("tag_id")).distinct()
+    others = photo_tags.join(answers.select("photo_id").distinct().withColumn("source", F.lit("ai")), ["photo_id", "source"], "left_anti").select("photo_id", "tag_id", "source")
+    added = rows.join(others.select("photo_id", "tag_id"), ["photo_id", "tag_id"], "left_anti").withColumn("source", F.lit("ai"))
+    mine = with_links(others.join(answers.select("photo_id").distinct(), "photo_id", "left_semi").unionByName(added), closure)
+    rest = others.join(answers.select("photo_id").distinct(), "photo_id", "left_anti")
+    return rest.unionByName(mine), tags.select("id", "name").unionByName(made.select("id", "name"))
 
 
 def upsert_album(albums: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -79,20 +107,30 @@ def upsert_album(albums: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def merge_fields(photos: DataFrame, incoming: DataFrame, fields: list[str]) -> DataFrame:
-    """photos with incoming values by sha256 where those say something and the photo has nothing."""
-    side = incoming.groupBy("sha256").agg(*[F.max(c).alias(f"__{c}") for c in fields])
-    says = lambda c: F.col(f"__{c}").isNotNull() & (F.col(f"__{c}").cast("string") != "") & (F.col(f"__{c}").cast("string") != "0")
-    empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "") | (F.col(c).cast("string") == "0")
+    """photos with incoming values by sha256 where those say something: they replace what is there, and never clear it."""
+    says = lambda c: F.col(c).isNotNull() & ~F.col(c).cast("string").isin("", "0", "0.0", "false")
+    side = incoming.groupBy("sha256").agg(*[F.max(F.when(says(c), F.col(c))).alias(f"__{c}") for c in fields])
     both = photos.join(side, "sha256", "left")
-    return both.select(*[F.when(empty(c) & says(c), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in photos.columns])
+    return both.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in photos.columns])
 
 
-def merge_people(photo_people: DataFrame, faces: DataFrame, pairs: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
-    """Bridge and faces after persons (src, dst) are merged; doubled rows of the bridge are one."""
-    moves = F.create_map(*[F.lit(x).cast("long") for p in pairs for x in p])
-    new = F.coalesce(F.element_at(moves, F.col("person_id")), F.col("person_id"))
-    bridge = photo_people.withColumn("person_id", new).groupBy("photo_id", "person_id").agg(F.min("source").alias("source"))
-    return bridge, faces.withColumn("person_id", new)
+def merge_people(photo_people: DataFrame, faces: DataFrame, source: tuple[str, int], target: tuple[str, int]) -> tuple[DataFrame, DataFrame]:
+    """Bridge and faces after a source is merged into a target, each ('person' or 'cluster', id).
+
+    Person into person moves rows of both tables, of doubled rows of the bridge the target's own stays; cluster into person
+    names the cluster's faces that have no person; cluster into cluster moves its faces. Anything else is refused.
+    """
+    kinds, a, b = (source[0], target[0]), source[1], target[1]
+    if source == target or kinds not in (("person", "person"), ("cluster", "person"), ("cluster", "cluster")):
+        raise ValueError(f"{source} cannot be merged into {target}")
+    moved = lambda column, where: faces.withColumn(column, F.when(where, F.lit(b).cast("long")).otherwise(F.col(column)))
+    if kinds == ("cluster", "person"):
+        return photo_people, moved("person_id", (F.col("cluster_id") == a) & F.col("person_id").isNull())
+    if kinds == ("cluster", "cluster"):
+        return photo_people, moved("cluster_id", F.col("cluster_id") == a)
+    mine = F.col("person_id") == a
+    rows = photo_people.select("photo_id", F.when(mine, F.lit(b).cast("long")).otherwise(F.col("person_id")).alias("person_id"), F.struct(mine.alias("late"), "source").alias("s"))
+    return rows.groupBy("photo_id", "person_id").agg(F.min("s")["source"].alias("source")), moved("person_id", mine)
 
 
 def rename_person(people: DataFrame, photo_people: DataFrame, person: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -133,6 +171,28 @@ def delete_forever(photos: DataFrame, bridges: dict[str, DataFrame], ids: DataFr
     return out | {"photos": photos.join(gone, "id", "left_anti")}
 
 
+def album_create(albums: DataFrame, name: str) -> DataFrame:
+    """albums (id, name, kind) with a new one, numbered past the greatest id; a name that is blank or taken is refused."""
+    name = name.strip()
+    if not name or not albums.where(F.col("name") == name).isEmpty():
+        raise ValueError(f"no new album can be called {name!r}")
+    new = albums.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast("long").alias("id")).select("id", F.lit(name).alias("name"), F.lit("album").alias("kind"))
+    return albums.select("id", "name", "kind").unionByName(new)
+
+
+def album_rename(albums: DataFrame, album: int, name: str) -> DataFrame:
+    """albums with another name for one of them; a name that is blank or another's is refused."""
+    name = name.strip()
+    if not name or not albums.where((F.col("name") == name) & (F.col("id") != album)).isEmpty():
+        raise ValueError(f"no album can be called {name!r}")
+    return albums.withColumn("name", F.when(F.col("id") == album, F.lit(name)).otherwise(F.col("name")))
+
+
+def album_delete(albums: DataFrame, photo_albums: DataFrame, album: int) -> tuple[DataFrame, DataFrame]:
+    """albums and bridge without an album; its photos stay."""
+    return albums.where(F.col("id") != album), album_remove(photo_albums, album)
+
+
 def album_remove(photo_albums: DataFrame, album: int, ids: DataFrame | None = None) -> DataFrame:
     """The bridge without some photos of an album, or without the album; photos stay."""
     if ids is None:
@@ -144,15 +204,25 @@ def album_add(photo_albums: DataFrame, album: int, ids: DataFrame) -> DataFrame:
     return photo_albums.unionByName(ids.select(F.col("id").alias("photo_id"), F.lit(album).cast("long").alias("album_id"))).distinct()
 
 
-def tag_link_add(links: DataFrame, a: int, b: int) -> DataFrame:
-    """links with a pair, stored in order once; a link to itself is refused."""
-    if a == b:
-        raise ValueError("a keyword cannot be linked to itself")
-    return links.unionByName(links.sparkSession.createDataFrame([(min(a, b), max(a, b))], "a long, b long")).distinct()
+def tag_link_add(links: DataFrame, tags: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, tags) after pairs of names (x, y) are linked: tags are looked up in any case, the lowest id first, and made where
+    there is none; a pair is stored once, in order, and a keyword is not linked to itself."""
+    known = tags.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("id"))
+    clean = pairs.select(F.trim("x").alias("x"), F.trim("y").alias("y")).where("x <> '' and y <> '' and lower(x) <> lower(y)")
+    names = clean.select(F.col("x").alias("name")).unionByName(clean.select(F.col("y").alias("name"))).withColumn("key", F.lower("name"))
+    fresh = names.join(known, "key", "left_anti").groupBy("key").agg(F.min("name").alias("name"))
+    top = tags.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    made = numbered(fresh, ["key"], "n").join(F.broadcast(top)).select("key", (F.col("top") + 1 + F.col("n")).cast("long").alias("id"), "name")
+    ids = known.unionByName(made.select("key", "id"))
+    both = clean.select(F.lower("x").alias("x"), F.lower("y").alias("y")).join(ids.toDF("x", "p"), "x").join(ids.toDF("y", "q"), "y")
+    new = both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return links.unionByName(new).distinct(), tags.select("id", "name").unionByName(made.select("id", "name"))
 
 
-def tag_link_remove(links: DataFrame, a: int, b: int) -> DataFrame:
-    return links.where(~((F.col("a") == min(a, b)) & (F.col("b") == max(a, b))))
+def tag_link_remove(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """links without pairs of ids (a, b), whichever comes first."""
+    gone = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return links.join(gone, ["a", "b"], "left_anti")
 
 
 def saved_search_upsert(saved: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -162,6 +232,23 @@ def saved_search_upsert(saved: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
+def saved_search_delete(saved: DataFrame, names: DataFrame) -> DataFrame:
+    return saved.join(names.select("name"), "name", "left_anti")
+
+
+def saved_search_evaluate(t, criteria: str) -> DataFrame:
+    """Photos of one saved search (JSON); anything but an object selects nothing."""
+    import json
+
+    from fotolake.operators.rules import RuleSet
+
+    try:
+        held = json.loads(criteria)
+    except ValueError:
+        held = None
+    return RuleSet(held if isinstance(held, dict) else {}).select(t)
+
+
 def smart_from_people(t, saved: DataFrame, least: int) -> DataFrame:
     """New smart lists (name, criteria), one per person whom an export names often, but for names that exist."""
     from fotolake.operators.aggregates import frequent_people

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime, timedelta, timezone
+from datetime import date, datetime, timezone
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fotolake.functions.scalars import EARTH_KM, ext_of, haversine_km, in_box, is_panorama, orientation, wall
+from fotolake.functions.scalars import COLOURS, EARTH_KM, colour_bucket, haversine_km, in_box, is_panorama, orientation, wall
 
 DAY = 86_400
 
@@ -17,10 +17,9 @@ DAY = 86_400
 def day_start(text: Any) -> int | None:
     """Unix seconds of a day written as YYYY-MM-DD; anything else is no day."""
     try:
-        d = date.fromisoformat(str(text)[:10])
+        return int(datetime.strptime(str(text), "%Y-%m-%d").replace(tzinfo=timezone.utc).timestamp())
     except ValueError:
         return None
-    return int(datetime(d.year, d.month, d.day, tzinfo=timezone.utc).timestamp())
 
 
 def matches(column: Column, text: str) -> Column:
@@ -42,11 +41,22 @@ class RuleSet:
     def _get(self, key: str) -> Any:
         return self.criteria.get(key) or None
 
+    def _texts(self, key: str) -> list[str]:
+        """Entries of a list, or of a text with commas, that are not blank."""
+        v = self._get(key) or []
+        return [x for x in (str(y).strip() for y in (v.split(",") if isinstance(v, str) else v)) if x]
+
+    def _of(self, key: str, allowed) -> list:
+        return [x for x in self._get(key) or [] if x in allowed]
+
+    def _numbers(self, key: str) -> list[int]:
+        return [int(x) for x in self._get(key) or [] if str(x).lstrip("-").isdigit()]
+
     def _compile(self) -> None:
         c, at = F.col, wall(F.col("taken_at"), self.tz)
         add, member = self.plain.append, lambda f, how="left_semi": self.members.append(lambda t: (f(t), how))
         for key, column in (("cameras", "camera_model"), ("lenses", "lens")):
-            if v := self._get(key):
+            if v := self._texts(key):
                 add(F.lower(c(column)).isin([x.lower() for x in v]))
         ranges = (("minFocal", "maxFocal", c("focal_length"), 1), ("minMB", "maxMB", c("bytes"), 1_048_576), ("minMP", "maxMP", c("width") * c("height"), 1_000_000))
         for low, high, column, unit in ranges:
@@ -59,79 +69,81 @@ class RuleSet:
                 add(column >= v)
             if (v := day_start(self._get(high))) is not None:
                 add(column < v + DAY)
-        if v := self._get("kind"):
+        if (v := self._get("kind")) in ("photo", "video"):
             add(c("is_video") == (1 if v == "video" else 0))
         if self._get("pano"):
             add(is_panorama(c("width"), c("height"), c("is_video")))
-        if v := self._get("exts"):
-            add(ext_of(c("filename")).isin([x.strip("%_.").upper() for x in v]))
+        if v := self._texts("exts"):
+            ends = [x.lower().lstrip(".").replace("%", "").replace("_", "") for x in v]
+            add(_any([F.lower("filename").endswith(f".{e}") for e in ends]))
         if v := self._get("years"):
             add(F.year(at).isin([int(x) for x in v]))
-        if v := self._get("months"):
-            add(F.month(at).isin([int(x) for x in v]))
-        if v := self._get("weekdays"):
-            add((F.dayofweek(at) - 1).isin([int(x) for x in v]))
+        if v := self._numbers("months"):
+            add(F.month(at).isin(v))
+        if v := [x for x in self._numbers("weekdays") if 0 <= x <= 6]:
+            add((F.dayofweek(at) - 1).isin(v))
         self._hours(F.hour(at))
         if v := self._get("minRating"):
             add(c("rating") >= int(v))
-        if v := self._get("rating"):
-            rating = F.coalesce(c("rating"), F.lit(0))
-            add({"<=": rating <= int(v), "=": rating == int(v)}.get(self.criteria.get("ratingOp"), rating >= int(v)))
+        rating = F.coalesce(c("rating"), F.lit(0))
+        if (v := self._get("rating")) and (op := self.criteria.get("ratingOp")) in (">=", "<=", "="):
+            add({"<=": rating <= int(v), "=": rating == int(v), ">=": rating >= int(v)}[op])
         if self._get("favorite") or self._get("fav"):
             add(c("favorited") == 1)
-        if v := self._get("flag"):
+        if (v := self._get("flag")) in ("pick", "reject"):
             add(c("flag") == (1 if v == "pick" else -1))
-        if v := self._get("flags"):
-            options = {"pick": c("flag") == 1, "rej": c("flag") == -1, "none": F.coalesce(c("flag"), F.lit(0)) == 0}
-            add(_any([options[x] for x in v if x in options]))
-        if v := self._get("labels"):
+        options = {"pick": c("flag") == 1, "rej": c("flag") == -1, "none": F.coalesce(c("flag"), F.lit(0)) == 0}
+        if v := self._of("flags", options):
+            add(_any([options[x] for x in v]))
+        if v := [x for x in self._get("labels") or [] if x]:
             add(c("label").isin(v))
-        if v := self._get("colors"):
-            named = c("label").isin([x for x in v if x != "none"])
+        if v := [x for x in self._get("colors") or [] if x]:
+            named = F.coalesce(c("label").isin([x for x in v if x != "none"]), F.lit(False))
             add(named | (F.coalesce(c("label"), F.lit("")) == "") if "none" in v else named)
         if self._get("edited"):
             add(c("edited") == 1)
-        if v := self._get("orients"):
+        if v := self._of("orients", ("landscape", "portrait", "square", "unknown")):
             add(orientation(c("width"), c("height")).isin(v))
         placed = c("lat").isNotNull() & c("lng").isNotNull()
         if self._get("hasPlace"):
             add(placed)
-        if v := self._get("gps"):
+        if (v := self._get("gps")) in ("has", "none"):
             add(placed if v == "has" else ~placed)
-        if v := self._get("text"):
+        if v := str(self._get("text") or "").strip():
             add(F.coalesce(matches(c("filename"), v), F.lit(False)) | F.coalesce(matches(c("description"), v), F.lit(False)))
         if v := self._get("place"):
             add(near(v))
         # Membership.
-        if v := self._get("people"):
+        if v := [int(x) for x in self._get("people") or []]:
             member(lambda t, v=v: _grouped(people_of(t), "person_id", v, self.criteria.get("peopleAll")))
-        if v := self._get("persons"):
+        if v := self._numbers("persons"):
             member(lambda t, v=v: people_of(t).where(F.col("person_id").isin(v)).select("photo_id"))
         for key, every in (("tags", "tagsAll"), ("keywords", "keywordsAll")):
-            if v := self._get(key):
-                names = [x.strip().lower() for x in (v.split(",") if isinstance(v, str) else v) if x.strip()]
-                member(lambda t, n=names, e=every: _grouped(named_tags(t), "tag", n, self.criteria.get(e)))
-        if v := self._get("kw"):
-            member(lambda t: t.photo_tags.select("photo_id"), "left_semi" if v == "has" else "left_anti")
-        if v := self._get("faces"):
-            member(lambda t: t.faces.select("photo_id"), "left_semi" if v == "has" else "left_anti")
-        if v := self._get("albumIds"):
+            if v := self._texts(key):
+                member(lambda t, n=[x.lower() for x in v], e=every: _grouped(named_tags(t), "tag", n, self.criteria.get(e)))
+        for key, table in (("kw", "photo_tags"), ("faces", "faces")):
+            if (v := self._get(key)) in ("has", "none"):
+                member(lambda t, table=table: getattr(t, table).select("photo_id"), "left_semi" if v == "has" else "left_anti")
+        if v := self._numbers("albumIds"):
             member(lambda t, v=v: t.photo_albums.where(F.col("album_id").isin(v)).select("photo_id"))
-        if v := self._get("dominant"):
-            member(lambda t, v=v: t.photo_color_names.where(F.col("colour").isin(v)).select("photo_id"))
-        if v := self._get("minScore") or self._get("score"):
-            add(F.col("score") >= int(v))
-        if v := self._get("q"):
+        if v := self._of("dominant", COLOURS):
+            member(lambda t, v=v: t.photo_color.where(colour_bucket(c("r"), c("g"), c("b")).isin(v)).select("photo_id"))
+        for key in ("minScore", "score"):
+            if v := self._get(key):
+                member(lambda t, v=v: t.photo_analysis.where(F.col("score") >= int(v)).select("photo_id"))
+        if v := str(self._get("q") or "").strip():
             member(lambda t, v=v: text_hits(t, v, self.criteria.get("qf") == "name"))
 
     def _hours(self, hour: Column) -> None:
-        low, high = (self.criteria.get(k) for k in ("hourFrom", "hourTo"))
-        low, high = (None if x is None or x == "" else int(x) for x in (low, high))
+        given = [self.criteria.get(k) for k in ("hourFrom", "hourTo")]
+        low, high = (int(x) if str("" if x is None else x).isdigit() else None for x in given)
         if low is None and high is None:
             return
-        low, high = 0 if low is None else low, 23 if high is None else high
-        inside = hour.between(low, high) if low <= high else (hour >= low) | (hour <= high)
-        self.plain.append((F.col("taken_at") > 0) & inside)
+        if low is not None and high is not None and low > high:
+            inside = (hour >= low) | (hour <= high)
+        else:
+            inside = (hour >= (low or 0)) & (hour <= (99 if high is None else high))
+        self.plain.append(F.col("taken_at").isNotNull() & inside)
 
     @property
     def empty(self) -> bool:
@@ -188,12 +200,13 @@ def text_hits(tables: Any, text: str, names_only: bool = False) -> DataFrame:
     return hits.unionByName(tagged.select("photo_id")).unionByName(shown.select("photo_id"))
 
 
-def near(place: dict[str, float]) -> Column:
-    """A circle (lat, lng, km) or a box (s, w, n, e). A circle is first cut by latitude, which scans can push down."""
+def near(place: dict[str, Any]) -> Column:
+    """A circle (lat, lng, km) or a box (south, north, west, east). A circle is first cut by latitude, which scans can push down."""
     lat, lng = F.col("lat"), F.col("lng")
-    if "s" in place:
-        return in_box(lat, lng, place["s"], place["w"], place["n"], place["e"])
-    km = float(place.get("km") or 1.0)
+    if place.get("box"):
+        south, north, west, east = (float(x) for x in place["box"])
+        return in_box(lat, lng, south, west, north, east)
+    km = float(place["km"])
     band = km / EARTH_KM * 2 * 57.29577951308232 * 1.001
     exact = haversine_km(F.lit(float(place["lat"])), F.lit(float(place["lng"])), lat, lng) <= km
     return lat.between(place["lat"] - band, place["lat"] + band) & exact
@@ -208,8 +221,26 @@ def attribute_bar(flags: list[str], rating: int, op: str, labels: list[str], kin
     return out & _any([F.col("is_video") == int(k == "video") for k in kinds]) if kinds else out
 
 
+def untagged(tables: Any) -> DataFrame:
+    """Pictures without any keyword: what is left to be tagged."""
+    live = tables.photos.where("trashed = 0 and is_video = 0")
+    return live.join(tables.photo_tags.select(F.col("photo_id").alias("id")), "id", "left_anti")
+
+
+# The rules that make a saved search a smart one.
+SMART_KEYS = ["people", "tags", "years", "minRating", "favorite", "flag", "labels", "minScore", "hasPlace", "text"]
+
+
+def is_smart(criteria: Column) -> Column:
+    """Whether criteria (JSON) say that they are smart or hold one of SMART_KEYS with a value; false for anything else."""
+    held = F.from_json(criteria, "map<string,string>")
+    blank = ["", "0", "0.0", "false", "null", "[]", "{}"]
+    says = [~F.coalesce(F.try_element_at(held, F.lit(k)), F.lit("")).isin(blank) for k in ("smart", *SMART_KEYS)]
+    return held.isNotNull() & _any(says)
+
+
 def smart_list(name: str, now: int) -> Column:
-    """Predicate of a ready-made list."""
+    """Predicate of a ready-made list; untagged() is the one that needs a second table."""
     return {
         "red": F.col("label") == "red",
         "five_stars": F.col("rating") == 5,

@@ -8,10 +8,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fotolake.storage import settled
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
 
 def l2_normalize(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    """v at length 1, or zeros; the length is worked out once per vector."""
+    return F.element_at(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))), 1)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,8 +27,10 @@ def dot(a: Column, b: Column) -> Column:
 def semantic_search(vectors: DataFrame, query: list[float], limit: int = 600) -> DataFrame:
     """(id, score) of vectors (id, embedding) that stand out: at least two population deviations above the mean and 0.2;
     with fewer than twelve of those also the best twelve from 0.21. Scores have four decimals."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select("id", dot(l2_normalize(F.col("embedding")), l2_normalize(q)).alias("s"))
+    length = max(float(np.linalg.norm(np.array(query, float))), 1e-12)
+    q = F.array(*[F.lit(float(x) / length) for x in query])
+    size = norm(F.col("embedding"))
+    scored = settled(vectors.select("id", F.when(size > 0, dot(F.col("embedding"), q) / size).otherwise(F.lit(0.0)).alias("s")))
     facts = scored.agg(F.avg("s").alias("m"), F.greatest(F.stddev_pop("s"), F.lit(0.001)).alias("d"))
     judged = scored.join(F.broadcast(facts)).withColumn("out", ((F.col("s") - F.col("m")) / F.col("d") >= 2) & (F.col("s") >= 0.2))
     count = judged.agg(F.count_if("out").alias("n"))

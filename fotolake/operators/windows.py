@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolake.functions.scalars import hamming64, haversine_km, natural_key, wall
+from fotolake.storage import settled
 
 
 def prev_next(frame: DataFrame, order: list[str], time: str, value: Column, name: str, block_s: int = 86_400, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -34,23 +35,41 @@ def prev_next(frame: DataFrame, order: list[str], time: str, value: Column, name
     return both.select(*frame.columns, F.coalesce("__before", "__carried").alias(f"{name}_prev"), F.coalesce("__after", "__coming").alias(f"{name}_next"))
 
 
+def numbered(frame: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """frame with each row's number from 0 in an order that is unique: ranges of it are numbered by themselves, and the number
+    of rows before each range is added, so equal times are no hot spot."""
+    parted = settled(frame.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = parted.groupBy("__range").agg(F.count("*").alias("n"))
+    # One row per range, as many as there are partitions.
+    ahead = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("ahead"))
+    local = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return parted.withColumn("__local", local).join(F.broadcast(ahead), "__range").withColumn(name, F.col("__local") + F.col("ahead")).drop("__range", "__local", "ahead")
+
+
 def _shots(photos: DataFrame) -> DataFrame:
-    return photos.where("trashed = 0 and is_video = 0 and coalesce(taken_at, 0) > 0 and phash is not null")
+    return photos.where("trashed = 0 and is_video = 0 and phash is not null")
+
+
+def merit(*more: str) -> Column:
+    """What the best member of a group is chosen by: score, open eyes, area, bytes, then the first in order of time and id."""
+    or_zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    closed = (or_zero("eyes_closed") != 0).cast("int")
+    area = or_zero("width").cast("long") * or_zero("height")
+    return F.struct(or_zero("score").alias("s"), (-closed).alias("e"), area.alias("a"), or_zero("bytes").alias("b"), (-or_zero("taken_at")).alias("t"), (-F.col("id")).alias("i"), *more)
 
 
 def runs(photos: DataFrame, gap_s: int, bits: int, least: int, block_s: int = 86_400) -> DataFrame:
-    """id, run, best for shots in runs: each at most gap_s after the one before and at most bits different from it.
+    """id, run, n, best for shots in runs: each at most gap_s after the one before and at most bits different from it.
 
-    A run is named by its first shot. Best is the highest score, then open eyes, area, bytes, then the earliest shot.
+    photos has eyes_closed beside the catalog's columns. A run is named by its first shot; best as in merit().
     """
-    shots = _shots(photos).select("id", "taken_at", "phash", "score", "width", "height", "bytes")
+    shots = _shots(photos).where("taken_at is not null").select("id", "taken_at", "phash", "score", "eyes_closed", "width", "height", "bytes")
     seen = prev_next(shots, ["taken_at", "id"], "taken_at", F.struct("taken_at", "id", "phash"), "s", block_s)
     starts = F.col("s_prev").isNull() | (F.col("taken_at") - F.col("s_prev.taken_at") > gap_s) | (hamming64(F.col("phash"), F.col("s_prev.phash")) > bits)
     marked = seen.withColumn("start", F.when(starts, F.struct("taken_at", "id")))
     named = prev_next(marked.drop("s_prev", "s_next"), ["taken_at", "id"], "taken_at", F.col("start"), "r", block_s)
     named = named.withColumn("run", F.coalesce("start", "r_prev")["id"])
-    merit = F.struct("score", (F.col("width") * F.col("height")).alias("area"), "bytes", (-F.col("taken_at")).alias("t"), (-F.col("id")).alias("i"))
-    groups = named.groupBy("run").agg(F.count("*").alias("n"), F.max_by("id", merit).alias("best")).where(F.col("n") >= least)
+    groups = named.groupBy("run").agg(F.count("*").alias("n"), F.max_by("id", merit()).alias("best")).where(F.col("n") >= least)
     return named.select("id", "run").join(groups, "run").select("id", "run", "n", "best")
 
 
@@ -58,16 +77,44 @@ def find_bursts(photos: DataFrame, window_s: int = 2, bits: int = 10, least: int
     return runs(photos, window_s, bits, least)
 
 
+def stacked(photos: DataFrame, bursts: DataFrame) -> DataFrame:
+    """photos without the members of bursts that are not their best one."""
+    return photos.join(bursts.where("id <> best").select("id"), "id", "left_anti")
+
+
 def find_series(photos: DataFrame, manual: DataFrame, gap_s: int = 120, bits: int = 12) -> DataFrame:
-    """Runs of two shots and more, overruled by manual rows (photo_id, series_id): above 0 a series, 0 none."""
+    """series, id, n, best: runs of two shots and more, overruled by manual rows (photo_id, series_id): above 0 a series, 0 none.
+
+    A run that loses shots to manual rows stays while it has two; its best is then the first one if the best was lost. A
+    manual series has two untrashed photos or more; its best has the highest score, the first one of equals.
+    """
     own = manual.select(F.col("photo_id").alias("id"), "series_id")
-    automatic = runs(photos, gap_s, bits, 2).select("id", "run").join(own, "id", "left_anti")
-    again = automatic.groupBy("run").count().where("count > 1").select("run")
-    automatic = automatic.join(again, "run").select("id", F.concat(F.lit("auto:"), F.col("run")).alias("series"))
-    chosen = own.where("series_id > 0").join(photos.where("trashed = 0").select("id"), "id").select("id", F.concat(F.lit("manual:"), F.col("series_id")).alias("series"))
-    members = automatic.unionByName(chosen).join(photos.select("id", "score", "taken_at"), "id")
-    best = members.groupBy("series").agg(F.count("*").alias("n"), F.max_by("id", F.struct("score", (-F.col("taken_at")).alias("t"), (-F.col("id")).alias("i"))).alias("best"))
-    return members.select("id", "series").join(best, "series")
+    found = runs(photos, gap_s, bits, 2).join(own.select("id"), "id", "left_anti").join(photos.select("id", "taken_at"), "id")
+    left = found.groupBy("run").agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.max(F.when(F.col("id") == F.col("best"), F.col("id"))), F.min(F.struct("taken_at", "id"))["id"]).alias("best"),
+    )
+    automatic = found.select("id", "run").join(left.where("n > 1"), "run").select(F.concat(F.lit("auto:"), "run").alias("series"), "id", "n", "best")
+    chosen = own.where("series_id > 0").join(photos.where("trashed = 0").select("id", "score", F.coalesce("taken_at", F.lit(0)).alias("taken_at")), "id")
+    best = F.max_by("id", F.struct(F.coalesce("score", F.lit(0)).alias("s"), (-F.col("taken_at")).alias("t"), (-F.col("id")).alias("i")))
+    groups = chosen.groupBy("series_id").agg(F.count("*").alias("n"), best.alias("best")).where("n > 1")
+    return automatic.unionByName(chosen.select("id", "series_id").join(groups, "series_id").select(F.concat(F.lit("manual:"), "series_id").alias("series"), "id", "n", "best"))
+
+
+def make_series(manual: DataFrame, ids: DataFrame) -> DataFrame:
+    """manual with the photos of ids in a new series, numbered past the greatest one; they leave any other. Fewer than two
+    photos are no series: manual as it is."""
+    chosen = ids.select(F.col("id").alias("photo_id")).distinct()
+    top = manual.agg((F.coalesce(F.max("series_id"), F.lit(0)) + 1).alias("series_id"))
+    enough = chosen.agg(F.count("*").alias("n")).where("n > 1")
+    added = chosen.join(F.broadcast(top)).join(F.broadcast(enough)).select("photo_id", F.col("series_id").cast("long").alias("series_id"))
+    return manual.select("photo_id", "series_id").join(added, "photo_id", "left_anti").unionByName(added)
+
+
+def unseries(manual: DataFrame, ids: DataFrame) -> DataFrame:
+    """manual with the photos of ids in no series, not even an automatic one."""
+    out = ids.select(F.col("id").alias("photo_id")).distinct().withColumn("series_id", F.lit(0).cast("long"))
+    return manual.select("photo_id", "series_id").join(out, "photo_id", "left_anti").unionByName(out)
 
 
 def series_members(series: DataFrame, ids: DataFrame) -> DataFrame:
@@ -76,19 +123,28 @@ def series_members(series: DataFrame, ids: DataFrame) -> DataFrame:
     return found.unionByName(ids.select("id")).distinct()
 
 
-def rank_selection(t, chosen: DataFrame) -> DataFrame:
-    """Chosen photos numbered from the best: score, open eyes, bytes."""
-    eyes = t.photo_analysis.select(F.col("photo_id").alias("id"), F.coalesce("eyes_closed", F.lit(0)).alias("closed"))
-    rows = t.photos.join(chosen.select(F.col("photo_id").alias("id")), "id", "left_semi").join(eyes, "id", "left")
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), F.coalesce("closed", F.lit(0)), F.desc("bytes"), "id")
-    top = rows.orderBy(F.desc("score"), F.coalesce("closed", F.lit(0)), F.desc("bytes"), "id").limit(200)  # the request's own bound
-    return top.select("id", "score", F.row_number().over(order).cast("long").alias("place"))
+def rank_selection(t, chosen: DataFrame, most: int = 200) -> DataFrame:
+    """The first photos asked for (photo_id, asked), numbered from the best: score, open eyes, bytes, then the order asked.
+
+    The request is bounded at most photos; of those, the ones with measures are ranked.
+    """
+    first = chosen.groupBy(F.col("photo_id").alias("id")).agg(F.min("asked").alias("asked")).orderBy("asked", "id").limit(most)
+    own = t.photo_analysis.select(F.col("photo_id").alias("id"), "score", F.coalesce("eyes_closed", F.lit(0)).alias("closed"))
+    rows = first.join(own, "id").join(t.photos.select("id", F.coalesce("bytes", F.lit(0)).alias("bytes")), "id")
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "closed", F.desc("bytes"), "asked", "id"))
+    return rows.select("id", "score", place.cast("long").alias("place"))
+
+
+# Why a snapshot was made, as kinds that are kept apart.
+REGULAR = ["auto", "manual"]
 
 
 def retention(snapshots: DataFrame, keep: int, safety: int = 3) -> DataFrame:
-    """Snapshots with keep or drop: the newest of the regular ones, and a few of each safety reason; snapshots has id, reason, created."""
-    place = F.row_number().over(Window.partitionBy("reason").orderBy(F.desc("created"), F.desc("id")))
-    return snapshots.select("id", "reason", (place <= F.when(F.col("reason") == "regular", keep).otherwise(safety)).alias("keep"))
+    """Snapshots with keep or drop: the newest of those made by hand or by plan, together, and a few of each other reason;
+    snapshots has id, reason, created."""
+    kind = F.when(F.coalesce("reason", F.lit("auto")).isin(REGULAR), "regular").otherwise(F.col("reason"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("created"), F.desc("id")))
+    return snapshots.withColumn("kind", kind).select("id", "reason", (place <= F.when(F.col("kind") == "regular", keep).otherwise(safety)).alias("keep"))
 
 
 def unique_names(files: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fotolake.catalog import Catalog, with_tables
+from fotolake.plans.search import SCORE_SQL
 from fotolake.sources import files
 from fotolake.streaming import flows
 
@@ -33,9 +34,7 @@ s as (select id, rating, nullif(label, '') as label, (select count(*) from w whe
 select * from s where rating <> 0 or label is not null or subjects > 0 or description is not null""",
         "s16_exif_fields": "select id, id % 5 > 0 as read, case when id % 5 > 0 then camera_model end as model, case when id % 5 > 0 then lens end as lens, case when id % 5 > 0 then focal_length::int / 2 end as focal_length, case when id % 5 > 0 then (id % 1600)::int end as iso from photos",
         "s17_export_manifest": "select id, strftime(make_timestamp(taken_at * 1000000), '%Y-%m') as folder, filename as name from photos where trashed = 0",
-        "t04_scores": """
-select id, least(100, greatest(1, round_even(100 * (0.6::double * least(1, ln(1 + greatest(sharp, 0)) / ln(1001)) + 0.25::double * greatest(0, 1 - abs(luma - 118) / 118 - 2 * clip) + 0.15::double * least(1, contrast / 64))
-    * case when width * height / 1e6 < 0.4 then 0.9::double else 1 end * case when eyes_closed = 1 then 0.6::double else 1 end, 0)))::int as score from photos join photo_analysis on photo_id = id""",
+        "t04_scores": f"select id, {SCORE_SQL.format(w='width', h='height')}::int as score from (select id, width, height from photos) join photo_analysis on photo_id = id",
         "t05_expired": "select id from photos where trashed = 1 and taken_at + 500 < 1702000000 - 3650 * 86400",
         "t09_live_counts": "select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as start, event_type as status, count(*) as n, sum(event_id)::bigint as bytes from events group by 1, 2",
         "t10_dedup": "select distinct sha256, false as none from photos",

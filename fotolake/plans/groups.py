@@ -10,7 +10,7 @@ from fotolake.operators import graph as gr
 from fotolake.operators import mutations as mu
 from fotolake.operators import vectors as vc
 from fotolake.operators import windows as wn
-from fotolake.plans.reports import MERIT, RUNS, SHOTS
+from fotolake.plans.reports import HASHED, MERIT, RUNS, SHOTS
 from fotolake.plans.search import PEOPLE, WALL
 
 
@@ -32,8 +32,9 @@ def vectors(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
 
 
-def manual_tags(t):
-    return t.photo_tags.where("source = 'manual'")
+def ai_bridge(t):
+    """Keywords of which some were set by a model."""
+    return t.photo_tags.withColumn("source", F.when(F.col("photo_id") % 2 == 0, "ai").otherwise(F.col("source")))
 
 
 QUERIES = {
@@ -42,24 +43,24 @@ QUERIES = {
     "x03_trash_candidates": _of(lambda t: gr.trash_candidates(wn.find_bursts(t.photos).select("id"), wn.find_bursts(t.photos).select(F.col("best").alias("id")), t.photos)),
     "x04_orphan_tags": _of(lambda t: gr.orphan_tags(t).select("id", "name")),
     "x05_distinct_ids": _of(lambda t: gr.distinct_ids(t.events.select((F.col("user_id") * 7 % 101).alias("id"), F.col("event_id").alias("at")), "at")),
-    "g01_similar_groups": _of(lambda t: gr.similar_groups(t.photos).select("grp", "n", "kind", "best", "why")),
+    "g01_similar_groups": _of(lambda t: gr.similar_groups(t.photos)[0].select("grp", "n", "kind", "best", "why", "taken_at")),
     "g02_linked_tags": _of(lambda t: gr.linked_tags(t.tag_links)),
     "g03_apply_tag_links": _of(gr.apply_tag_links),
     "g04_cluster_faces": _of(lambda t: gr.cluster_faces(shifted(t))),
     "g05_suggest_names": _of(lambda t: gr.suggest_names(shifted(t).withColumn("person_id", F.when(F.col("id") % 6 == 0, F.col("label"))), t.faces.select("id", (F.col("label") * 2 + F.when(F.col("id") % 6 == 0, 0).otherwise(1)).alias("cluster")))),
     "a18_person_centroids": _of(lambda t: ag.person_centroids(shifted(t), "person_id").select("person_id", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))),
     "v01_semantic_search": _of(lambda t: vc.semantic_search(vectors(t), _query(t))),
-    "v02_prompt_ensemble": _of(lambda t: vc.prompt_ensemble(t.embeddings.where("vec_id < 40").select((F.col("vec_id") % 4).alias("name"), "embedding")).select("name", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))),
+    "v02_prompt_ensemble": _of(lambda t: vc.prompt_ensemble(t.embeddings.select((F.col("vec_id") % 4).alias("name"), "embedding")).select("name", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))),
     "v03_hybrid_search": _of(lambda t: vc.hybrid_search(t, vectors(t), _query(t), t.photos.where("trashed = 0 and is_video = 0"), ["note", "click"], 300)),
     "v04_l2_normalize": _of(lambda t: vectors(t).select("id", F.transform(vc.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))),
     "u01_batch_patch": _of(lambda t: mu.batch_patch(t.photos.withColumn("trashed_at", F.lit(None).cast("long")), t.photos.where("id % 10 = 4"), {"rating": 5, "label": "", "trashed": 1}, 77).select("id", "rating", "label", "trashed", "trashed_at", "flag")),
     "u02_add_tags": _of(lambda t: mu.add_tags(t.photo_tags, t.photos.where("id % 20 = 3").select(F.col("id").alias("photo_id")), [0, 7], gr.linked_tags(t.tag_links))),
     "u02_remove_tags": _of(lambda t: mu.remove_tags(t.photo_tags, t.photos.where("id % 2 = 0").select(F.col("id").alias("photo_id")), [2, 4])),
-    "u03_time_rules": _of(lambda t: mu.time_rules(t.photos, t.photo_tags, [(3, 7, 17), (9, 22, 5)])),
-    "u04_ai_tags": _of(lambda t: mu.set_ai_tags(t.photo_tags, t.tags, t.photos.where("id % 9 = 0").select(F.col("id").alias("photo_id"), F.array(F.lit("BEACH 0"), F.lit("new word"), F.lit("city 1"), F.lit("Beach 0")).alias("words")))),
+    "u03_time_rules": _of(lambda t: mu.time_rules(t.photos, t.photo_tags, [(1, 7, 17), (9, 22, 5)], gr.linked_tags(t.tag_links))),
+    "u04_ai_tags": _of(lambda t: mu.set_ai_tags(ai_bridge(t), t.tags, t.photos.where("id % 9 = 0").select(F.col("id").alias("photo_id"), F.array(F.lit("BEACH 0"), F.lit("new word"), F.lit("city 1"), F.lit("Beach 0")).alias("words")), gr.linked_tags(t.tag_links))[0]),
     "u05_upsert_album": _of(lambda t: mu.upsert_album(t.albums, t.albums.where("id % 2 = 0").select(F.when(F.col("id") % 4 == 0, F.col("name")).otherwise(F.concat(F.lit("New "), "name")).alias("name"), F.lit("trip").alias("kind")))),
     "u06_merge_fields": _of(lambda t: mu.merge_fields(t.photos.select("id", "sha256", "description", "rating"), t.photos.where("id % 3 = 0").select("sha256", F.lit("merged").alias("description"), F.lit(4).alias("rating")), ["description", "rating"])),
-    "u07_merge_people": _of(lambda t: mu.merge_people(t.photo_people, t.faces, [(1, 2), (3, 2)])[0]),
+    "u07_merge_people": _of(lambda t: mu.merge_people(t.photo_people, t.faces, ("person", 1), ("person", 2))[0]),
     "u07_rename_person": _of(lambda t: mu.rename_person(t.people, t.photo_people, 3, "Ron Levi")[1]),
     "u07_name_cluster": _of(lambda t: mu.name_cluster(t.faces, t.people, 4, "new name", 99)[0].select("id", "cluster_id", "person_id")),
     "u08_dates_from_names": _of(lambda t: mu.dates_from_names(t.photos.select("id", F.concat(F.lit("IMG_20"), F.lpad((F.col("id") % 40).cast("string"), 2, "0"), F.lit("0315.jpg")).alias("filename"), F.when(F.col("id") % 3 == 0, F.col("taken_at")).otherwise(0).cast("long").alias("taken_at")), 2024).select("id", "taken_at")),
@@ -79,20 +80,46 @@ j as (select id, s, (s - m) / d >= 2 and s >= 0.2 as o, row_number() over (order
 k as (select id, s from j where (o or ((select count(*) from j where o) < 12 and place <= 12 and s >= 0.21)) and place <= """
 CENTROID = "list_transform({v}, lambda x: round(x / sqrt(list_dot_product({v}, {v})), 5))"
 
+CLOSED = "with recursive e as (select a, b from tag_links union select b, a from tag_links), l as (select a as n, a as x from e union select l.n, e.b from l join e on e.a = l.x)"
+
 SQL = {
     k: with_tables(v)
     for k, v in {
         "x01_photo_people": f"select photo_id, person_id from {PEOPLE}",
         "x02_hits": "select id, max(score) as score from (select id, score / 200.0::double as score from photos where id % 3 = 0 union all select id, 1.0 from photos where id % 5 = 0) where id in (select id from photos where rating > 1) group by 1",
-        "x03_trash_candidates": RUNS.format(shots=SHOTS, gap=2, bits=10) + f", g as (select run, arg_max(id, {MERIT}) as best from r group by 1 having count(*) >= 3) select id from r join g using (run) where id <> best",
+        "x03_trash_candidates": RUNS.format(shots=HASHED, gap=2, bits=10) + f", g as (select run, arg_max(id, {MERIT}) as best from r group by 1 having count(*) >= 3) select id from r join g using (run) where id <> best",
         "x04_orphan_tags": "select id, name from tags where id not in (select tag_id from photo_tags) and id not in (select a from tag_links) and id not in (select b from tag_links)",
         "x05_distinct_ids": "select user_id * 7 % 101 as id, min(event_id) as at from events group by 1",
         "g02_linked_tags": "with recursive e as (select a, b from tag_links union select b, a from tag_links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x) select n as tag_id, min(x) as root from r group by 1",
         "g03_apply_tag_links": "with recursive e as (select a, b from tag_links union select b, a from tag_links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x) select distinct photo_id, x as tag_id, 'link' as source from photo_tags join r on n = tag_id where (photo_id, x) not in (select (photo_id, tag_id) from photo_tags)",
+        "g01_similar_groups": f"""
+with recursive s as (select * from photos where trashed = 0 and is_video = 0 and phash is not null),
+o as (select *, row_number() over (order by taken_at, id) as p from s where taken_at > 0),
+bands as (select id, unnest([0, 1, 2, 3, 4, 5, 6]) as band, unnest([phash & 511, (phash >> 9) & 511, (phash >> 18) & 511, (phash >> 27) & 511, (phash >> 36) & 511, (phash >> 45) & 511, (phash >> 54) & 1023]) as bits from s),
+used as (select band, bits from bands group by 1, 2 having count(*) between 2 and 120),
+cand as (select x.id as a, y.id as b from o x join o y on y.p between x.p + 1 and x.p + 40 and y.taken_at - x.taken_at <= 600
+  union select x.id, y.id from bands x join used using (band, bits) join bands y on y.band = x.band and y.bits = x.bits and x.id < y.id),
+c as (select distinct least(a, b) as a, greatest(a, b) as b from cand),
+d as (select c.a, c.b, bit_count(xor(x.phash, y.phash)) as bits, abs(x.taken_at - y.taken_at) <= 600 as t,
+  coalesce(12742000 * asin(least(1, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lng - x.lng) / 2), 2)))) <= 150, false) as p
+  from c join s x on x.id = c.a join s y on y.id = c.b),
+links as (select a, b, bits <= 4 as copy, t, p from d where bits <= 12 and (bits <= 4 or t or p)),
+e as (select a, b from links union select b, a from links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x),
+root as (select n, min(x) as grp from r group by 1),
+g as (select grp, count(*) as n, arg_max(id, {MERIT}) as best, min(taken_at) as taken_at from root join s on s.id = root.n group by 1),
+k as (select grp, bool_and(copy) as c, bool_or(t) as t, bool_or(p) as p from links join root on root.n = a group by 1)
+select grp, n, case when c then 'copy' else 'similar' end as kind, best, list_filter([case when p then 'place' end, case when t then 'time' end], lambda x: x is not null) as why, taken_at from g join k using (grp)""",
+        "g05_suggest_names": """
+with f as (select label * 2 + case when id % 6 = 0 then 0 else 1 end as cluster, case when id % 6 = 0 then label end as person_id, label, embedding::double[] as v from faces),
+x as (select cluster, person_id, unnest(v) + case when generate_subscripts(v, 1) = label + 1 then 3 else 0 end as x, generate_subscripts(v, 1) as i from f),
+pm as (select person_id as k, i, avg(x) as x from x where person_id is not null group by 1, 2), cm as (select cluster as k, i, avg(x) as x from x group by 1, 2 having max(person_id) is null),
+p as (select k, list(x order by i) as v from pm group by 1), c as (select k, list(x order by i) as v from cm group by 1),
+d as (select c.k as cluster, p.k as person_id, 1 - list_dot_product(c.v, p.v) / sqrt(list_dot_product(c.v, c.v) * list_dot_product(p.v, p.v)) as d from c, p)
+select cluster, arg_min(person_id, (d, person_id)) as person_id, round(min(d), 6) as distance from d where d <= 0.46 group by 1""",
         "g04_cluster_faces": "select id, min(id) over (partition by label) as cluster from faces",
         "v01_semantic_search": SEARCH + "600) select id, round(s, 4) as score from k",
         "v02_prompt_ensemble": f"""
-with u as (select id % 4 as name, unnest(u) as x, generate_subscripts(u, 1) as i from {UNIT} where id < 40), m as (select name, i, avg(x) as x from u group by 1, 2), w as (select name, list(x order by i) as v from m group by 1)
+with u as (select id % 4 as name, unnest(u) as x, generate_subscripts(u, 1) as i from {UNIT}), m as (select name, i, avg(x) as x from u group by 1, 2), w as (select name, list(x order by i) as v from m group by 1)
 select name, {CENTROID.format(v="v")} as vector from w""",
         "v03_hybrid_search": SEARCH
         + """2000), h as (select id, round(s, 4) as score from k union all
@@ -106,11 +133,19 @@ select person_id, {CENTROID.format(v="v")} as centroid from w""",
         "u01_batch_patch": "select id, case when id % 10 = 4 then 5 else rating end as rating, case when id % 10 <> 4 then label end as label, case when id % 10 = 4 then 1 else trashed end as trashed, case when id % 10 = 4 then 77 end as trashed_at, flag from photos",
         "u02_add_tags": "select photo_id, tag_id, source from photo_tags union all select id, t.tag_id, t.source from photos, (values (0, 'manual'), (7, 'manual'), (1, 'link'), (2, 'link')) as t(tag_id, source) where id % 20 = 3 and (id, t.tag_id) not in (select (photo_id, tag_id) from photo_tags)",
         "u02_remove_tags": "select photo_id, tag_id, source from photo_tags where not (photo_id % 2 = 0 and tag_id in (2, 4))",
-        "u03_time_rules": f"with k as (select photo_id, tag_id, source from photo_tags where source <> 'rule'), n as (select id, 3 as tag_id from photos where trashed = 0 and hour({WALL}) between 7 and 17 union all select id, 9 from photos where trashed = 0 and (hour({WALL}) >= 22 or hour({WALL}) <= 5)) select * from k union all select id, tag_id, 'rule' from n where (id, tag_id) not in (select (photo_id, tag_id) from k)",
-        "u04_ai_tags": "select photos.id as photo_id, w as name, (select min(tags.id) from tags where lower(tags.name) = w) as tag_id from photos, (select unnest(['beach 0', 'new word', 'city 1']) as w) where photos.id % 9 = 0",
+        "u03_time_rules": f"""{CLOSED}, k as (select photo_id, tag_id, source from photo_tags where source <> 'rule'),
+n as (select id, 1 as tag_id from photos where trashed = 0 and hour({WALL}) between 7 and 17 union all select id, 9 from photos where trashed = 0 and (hour({WALL}) >= 22 or hour({WALL}) <= 5)),
+w as (select * from k union all select id, tag_id, 'rule' from n where (id, tag_id) not in (select (photo_id, tag_id) from k))
+select * from w union all select distinct photo_id, x, 'link' from w join l on n = tag_id where (photo_id, x) not in (select (photo_id, tag_id) from w)""",
+        "u04_ai_tags": f"""{CLOSED}, b as (select photo_id, tag_id, case when photo_id % 2 = 0 then 'ai' else source end as source from photo_tags),
+o as (select * from b where not (source = 'ai' and photo_id % 9 = 0)),
+i as (select w, coalesce((select min(id) from tags where lower(name) = w), (select max(id) + 1 from tags)) as tag_id from (select unnest(['beach 0', 'new word', 'city 1']) as w)),
+a as (select photos.id as photo_id, i.tag_id, 'ai' as source from photos, i where photos.id % 9 = 0 and (photos.id, i.tag_id) not in (select (photo_id, tag_id) from o)),
+w as (select * from o union all select * from a)
+select * from w union all select distinct photo_id, x, 'link' from w join l on n = tag_id where photo_id % 9 = 0 and (photo_id, x) not in (select (photo_id, tag_id) from w)""",
         "u05_upsert_album": "with n as (select case when id % 4 = 0 then name else 'New ' || name end as name, 'trip' as kind from albums where id % 2 = 0) select name, o.id, coalesce(n.kind, o.kind) as kind from albums o full join n using (name)",
-        "u06_merge_fields": "with i as (select distinct sha256 as s from photos where id % 3 = 0) select id, sha256, case when description is null and s is not null then 'merged' else description end as description, case when rating = 0 and s is not null then 4 else rating end as rating from photos left join i on s = sha256",
-        "u07_merge_people": "select photo_id, case when person_id in (1, 3) then 2 else person_id end as person_id, min(source) as source from photo_people group by 1, 2",
+        "u06_merge_fields": "with i as (select distinct sha256 as s from photos where id % 3 = 0) select id, sha256, case when s is not null then 'merged' else description end as description, case when s is not null then 4 else rating end as rating from photos left join i on s = sha256",
+        "u07_merge_people": "select photo_id, case when person_id = 1 then 2 else person_id end as person_id, arg_min(source, (case when person_id = 1 then 1 else 0 end, source)) as source from photo_people group by 1, 2",
         "u07_rename_person": "select photo_id, case when person_id = 3 then coalesce((select min(id) from people where lower(name) = 'ron levi' and id <> 3), 3) else person_id end as person_id, min(source) as source from photo_people group by 1, 2",
         "u07_name_cluster": "select id, cluster_id, case when cluster_id = 4 and person_id is null then 99 else person_id end as person_id from faces",
         "u08_dates_from_names": "select id, case when id % 3 = 0 then taken_at when id % 40 <= 25 then epoch(make_date((2000 + id % 40)::int, 3, 15))::bigint else 0 end as taken_at from photos",

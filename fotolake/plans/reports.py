@@ -50,14 +50,15 @@ def media(t):
 
 def videos(t):
     v = t.photos.where("is_video = 1")
-    return v.select("id", (F.col("bytes") % 5000).alias("frames"), ((F.col("bytes") % 5000) / 25.0).alias("seconds"), F.lit(25.0).alias("fps"), "width", "height", F.lit(1).alias("audio"), "bytes", F.lit(1.0).alias("ssim"))
+    return v.select("id", (F.col("bytes") % 5000).alias("frames"), ((F.col("bytes") % 5000) / 25.0).alias("seconds"), ((F.col("bytes") % 5000) / 25.0).alias("video_seconds"), F.lit(25.0).alias("fps"), "width", "height", F.lit(1).alias("audio"), "bytes")
 
 
 def converted(t):
     v = videos(t)
     return v.select(
-        "id", (F.col("frames") + F.col("id") % 4).alias("frames"), (F.col("seconds") + (F.col("id") % 7) / 50.0).alias("seconds"), "fps", "width", (F.col("height") - F.when(F.col("id") % 20 == 19, 2).otherwise(0)).alias("height"), "audio",
-        F.floor(F.col("bytes") * 0.6).alias("bytes"), (0.5 + (F.col("id") % 50) / 100.0).alias("ssim"),
+        "id", F.when(F.col("id") % 3 == 0, F.bround(F.col("seconds") * 20)).otherwise(F.col("frames")).cast("long").alias("frames"), (F.col("seconds") + (F.col("id") % 7) / 50.0).alias("seconds"), "video_seconds",
+        F.when(F.col("height") > 1100, F.bround(F.col("width") * 1100 / F.col("height"))).otherwise(F.col("width")).cast("int").alias("width"), F.least(F.col("height"), F.lit(1100)).alias("height"), "audio",
+        F.floor(F.col("bytes") * 0.6).alias("bytes"), (0.5 + (F.col("id") % 50) / 100.0).alias("ssim"), (0.45 + (F.col("id") % 40) / 100.0).alias("ssim_min"),
     )
 
 
@@ -70,12 +71,6 @@ def series(t):
     return wn.find_series(t.photos, manual)
 
 
-def cleanup(t):
-    a = t.photo_analysis
-    category = fx.cleanup_category(F.col("screenshot"), F.col("receipt"), F.col("luma"), F.col("p95"), F.col("sharp"), F.col("photo_id"))
-    return a.select(F.col("photo_id").alias("id"), category.alias("category")).join(t.photos.where("trashed = 0").select("id", "bytes"), "id")
-
-
 QUERIES = {
     "a01_library_status": _of(ag.library_status),
     "a02_album_list": _of(ag.album_list),
@@ -90,8 +85,8 @@ QUERIES = {
     "a10_new_in_library": _of(lambda t: ag.new_in_library(t, 1700050000)),
     "a11_frequent_people": _of(lambda t: ag.frequent_people(t, 5)),
     "a12_colour_counts": _of(lambda t: ag.colour_counts(colours(t))),
-    "a13_neighbour_keywords": _of(lambda t: neighbour_keywords(t)),
-    "a14_cleanup_report": _of(lambda t: ag.cleanup_report(cleanup(t))),
+    "a13_neighbour_keywords": _of(jn.neighbour_keywords),
+    "a14_cleanup_report": _of(lambda t: ag.cleanup_report(ag.cleanup_members(t))),
     "a15_progress": _of(lambda t: ag.analysis_progress(t, 2)),
     "a16_unnamed_clusters": _of(lambda t: ag.unnamed_clusters(t.faces.withColumn("cluster_id", F.col("id") % 40).withColumn("person_id", F.when(F.col("id") % 80 == 1, F.col("id"))))),
     "a17_cluster_vote": _of(lambda t: ag.cluster_vote(t)),
@@ -104,8 +99,8 @@ QUERIES = {
     "w01_bursts": _of(bursts),
     "w02_series": _of(series),
     "w03_series_members": _of(lambda t: wn.series_members(series(t).select("id", "series"), t.photos.where("rating = 5 and trashed = 0").select("id"))),
-    "w04_rank_selection": _of(lambda t: wn.rank_selection(t, t.photos.where("id % 53 = 0").select(F.col("id").alias("photo_id")))),
-    "w05_retention": _of(lambda t: wn.retention(t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 > 0, "regular").otherwise(F.col("event_type")).alias("reason"), ((F.col("event_id") * 37) % 1000).alias("created")), 40)),
+    "w04_rank_selection": _of(lambda t: wn.rank_selection(t, t.photos.where("id % 53 = 0").select(F.col("id").alias("photo_id"), (F.col("id") * 7 % 1009).alias("asked")))),
+    "w05_retention": _of(lambda t: wn.retention(t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 1, "auto").when(F.col("event_id") % 3 == 2, "manual").otherwise(F.col("event_type")).alias("reason"), ((F.col("event_id") * 37) % 1000).alias("created")), 40)),
     "w07_unique_names": _of(lambda t: wn.unique_names(t.photos.select("id", (F.col("id") % 9).cast("string").alias("folder"), F.concat(F.lit("Pic"), (F.col("id") % 17).cast("string"), F.when(F.col("id") % 19 == 0, " (1)").otherwise(""), F.lit(".jpg")).alias("name"))).drop("folder")),
     "w08_year_in_review": _of(lambda t: wn.year_in_review(t.photos, 2024)),
     "w09_album_best": _of(lambda t: wn.album_best(t, 4)),
@@ -130,38 +125,35 @@ QUERIES = {
     "j14_backup_plan": _of(lambda t: jn.backup_plan(t.listing_old.select("path", "size", "mtime", (F.col("photo_id") % 2 == 0).alias("encode")), t.listing_new.select("path", "size", (F.col("mtime") - F.col("size") % 5).alias("mtime")))),
     "j15_restore_plan": _of(lambda t: jn.restore_plan(t.listing_old, t.listing_new, True)),
     "j16_dedupe_ingest": _of(lambda t: jn.dedupe_ingest(t.photos.where("id % 2 = 0 or id % 13 > 10"), t.photos.where("id % 26 = 11"))),
-    "j17_conversion_audit": _of(lambda t: jn.conversion_audit(videos(t), converted(t))),
+    "j17_conversion_audit": _of(lambda t: jn.conversion_audit(videos(t), converted(t), "limit", 20.0, 1100)),
     "j18_photo_detail": _of(jn.photo_detail),
     "p27_photo_context": _of(jn.photo_context),
 }
 
 
-def neighbour_keywords(t):
-    """Keywords of the twelve photos nearest in time, within two hours either way, for photos without keywords: at most
-    fifteen, the most frequent first. Rows are photo, keyword, count and place."""
-    from pyspark.sql import Window
-
-    tagged = t.photo_tags.select("photo_id", "tag_id").distinct()
-    dated = t.photos.where("trashed = 0 and coalesce(taken_at, 0) > 0").select("id", "taken_at")
-    bare = dated.join(tagged.select(F.col("photo_id").alias("id")), "id", "left_anti").select(F.col("id").alias("a"), F.col("taken_at").alias("ta"))
-    have = dated.join(tagged.select(F.col("photo_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("b"), F.col("taken_at").alias("tb"))
-    cell = lambda c: F.floor(c / 7200)
-    spread = bare.withColumn("cell", F.explode(F.array(*[cell(F.col("ta")) + d for d in (-1, 0, 1)])))
-    near = spread.join(have.withColumn("cell", cell(F.col("tb"))), "cell").where(F.abs(F.col("ta") - F.col("tb")) <= 7200)
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.abs(F.col("ta") - F.col("tb")), "b"))
-    twelve = near.withColumn("place", place).where("place <= 12").select("a", F.col("b").alias("photo_id"))
-    counts = twelve.join(tagged, "photo_id").groupBy("a", "tag_id").agg(F.count("*").alias("n")).join(t.tags.withColumnRenamed("id", "tag_id"), "tag_id")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "name"))
-    return counts.withColumn("place", rank).where("place <= 15").select(F.col("a").alias("id"), "name", "n", F.col("place").cast("long").alias("place"))
-
-
 LIVE = "(select * from photos where trashed = 0)"
 SHOTS = "(select * from photos where trashed = 0 and is_video = 0)"
+HASHED = "(select * from photos where trashed = 0 and is_video = 0 and phash is not null and taken_at is not null)"
 RUNS = """
 with s as (select *, lag(taken_at) over o as pt, lag(phash) over o as ph from {shots} as x window o as (order by taken_at, id)),
 m as (select *, sum(case when pt is null or taken_at - pt > {gap} or bit_count(xor(phash, ph)) > {bits} then 1 else 0 end) over (order by taken_at, id) as k from s),
 r as (select *, first_value(id) over (partition by k order by taken_at, id) as run from m)"""
-MERIT = "(score, width * height, bytes, -taken_at, -id)"
+MERIT = "(coalesce(score, 0), -coalesce(eyes_closed, 0), width * height, bytes, -taken_at, -id)"
+SERIES = (
+    RUNS.format(shots=HASHED, gap=120, bits=12)
+    + f""", man as (select id, case when id % 50 = 2 then 0 else id // 100 + 1 end as sid from photos where id % 50 < 3),
+big as (select run, arg_max(id, {MERIT}) as best from r group by 1 having count(*) >= 2),
+au as (select r.id, run, best, r.taken_at from r join big using (run) where r.id not in (select id from man)),
+ag as (select run, count(*) as n, coalesce(max(id) filter (id = best), arg_min(id, (taken_at, id))) as best from au group by 1 having count(*) > 1),
+mm as (select man.id, sid, score, taken_at from man join photos p on p.id = man.id where sid > 0 and trashed = 0),
+mg as (select sid, count(*) as n, arg_max(id, (score, -taken_at, -id)) as best from mm group by 1 having count(*) > 1),
+series as (select 'auto:' || run as series, au.id, ag.n, ag.best from au join ag using (run) union all select 'manual:' || sid, mm.id, mg.n, mg.best from mm join mg using (sid))"""
+)
+NEAR_WORDS = f"""nb_s as (select id, taken_at, row_number() over (order by taken_at, id) as p from {SHOTS} where taken_at > 0),
+nb_n as (select x.id, y.id as o, row_number() over (partition by x.id order by abs(y.taken_at - x.taken_at), abs(y.p - x.p), case when y.p > x.p then 1 else 0 end) as place
+  from nb_s x join nb_s y on y.id <> x.id and y.taken_at between x.taken_at - 7200 and x.taken_at + 7200),
+nb_c as (select n.id, name, count(*) as n from nb_n n join (select distinct photo_id, tag_id from photo_tags) g on g.photo_id = n.o join tags on tags.id = tag_id where place <= 12 group by 1, 2),
+nb as (select id, name, n, row_number() over (partition by id order by n desc, name) as place from nb_c qualify place <= 15)"""
 ASOF = """
 with q as (select id, taken_at as t from photos where lat is null),
 p as (select ts, min((lat, lng)) as p from track group by ts),
@@ -197,15 +189,10 @@ union all select 'ext', e, count(*) from r where y = '2024' group by 2 union all
         "a09_timeline": f"select strftime({WALL}, '%Y-%m') as month, count(*) as n from photos where trashed = 0 group by 1",
         "a10_new_in_library": "select count(*) as total, count(*) filter (is_video = 1) as videos, count(*) filter (lat is null) as no_place, count(*) filter (taken_at = 0) as no_date, count(*) filter (is_video = 0 and id not in (select photo_id from photo_analysis)) as unanalysed, count(*) filter (is_video = 0 and id not in (select photo_id from faces)) as no_faces from photos where trashed = 0 and imported_at >= 1700050000",
         "a11_frequent_people": "select id, name, n from (select person_id, count(distinct photo_id) as n from photo_people where source = 'takeout' group by 1 having n >= 5) join people on id = person_id",
-        "a12_colour_counts": f"select c.colour, count(x.photo_id) as n from (select unnest(['red', 'orange', 'yellow', 'green', 'teal', 'blue', 'purple', 'pink', 'brown', 'black', 'white', 'grey']) as colour) c left join ({COLOUR_SQL}) x on x.colour = c.colour group by 1",
-        "a13_neighbour_keywords": f"""
-with tg as (select distinct photo_id, tag_id from photo_tags), b as (select id as a, taken_at as ta from {LIVE} where id not in (select photo_id from tg)),
-h as (select id as b, taken_at as tb from {LIVE} where id in (select photo_id from tg)),
-n as (select a, b, row_number() over (partition by a order by abs(ta - tb), b) as place from b join h on tb between ta - 7200 and ta + 7200),
-c as (select a, name, count(*) as n from n join tg on tg.photo_id = b join tags on tags.id = tag_id where place <= 12 group by 1, 2),
-r as (select a as id, name, n, row_number() over (partition by a order by n desc, name) as place from c) select * from r where place <= 15""",
-        "a14_cleanup_report": "select category, count(*) as n, sum(bytes)::bigint as bytes from (select photo_id, case when screenshot = 1 then 'screenshot' when receipt = 1 then 'receipt' when luma < 38 and p95 < 85 then 'dark' when sharp < 12 then 'blurry' end as category from photo_analysis) join photos on id = photo_id where trashed = 0 and category is not null group by 1",
-        "a15_progress": "select count(*) as total, count(*) filter (version is null or sha <> sha256 or version <> 2) as pending, count(*) filter (version is not null and eyes_closed is null) as eyes_pending from photos left join photo_analysis on id = photo_id where trashed = 0 and is_video = 0",
+        "a12_colour_counts": f"select c.colour, count(x.photo_id) as n from (select unnest(['red', 'orange', 'yellow', 'green', 'cyan', 'blue', 'purple', 'pink', 'brown', 'black', 'white', 'gray']) as colour) c left join ({COLOUR_SQL}) x on x.colour = c.colour group by 1",
+        "a13_neighbour_keywords": f"with {NEAR_WORDS} select id, name, n, place from nb",
+        "a14_cleanup_report": "select category, count(*) as n, sum(bytes)::bigint as bytes from (select photo_id, bytes, case when screenshot = 1 then 'screenshot' when receipt = 1 then 'receipt' when luma < 38 and p95 < 85 then 'dark' when sharp < 12 and phash is not null then 'blurry' end as category from photo_analysis join photos on id = photo_id where trashed = 0 and is_video = 0) where category is not null group by 1",
+        "a15_progress": "select count(*) as total, count(*) filter (version is null or sha <> sha256 or version <> 2) as pending, count(*) filter (version is not null and photo_analysis.eyes_closed is null) as eyes_pending from photos left join photo_analysis on id = photo_id where trashed = 0 and is_video = 0",
         "a16_unnamed_clusters": "select id % 40 as cluster_id, count(distinct photo_id) as photos, arg_max(id, (det_score, id)) as cover from faces group by 1 having count(*) filter (id % 80 = 1) = 0 and photos >= 2",
         "a19_import_stats": "with s as (select ['added', 'duplicate', 'failed'][id % 3 + 1] as status, bytes, filename as name from photos) select status, count(*) as n, sum(bytes)::bigint as bytes, case when status = 'failed' then (select list(name order by name) from (select name from s where status = 'failed' order by name limit 30)) end as first from s group by 1",
         "a20_missing_parts": "with p as (select user_id as export, event_id % 60 + 1 as part from events where event_id % 4 <> 1) select export, part::int as part from (select export, unnest(range(1, max(part) + 1)) as part from p group by export) w where (export, part) not in (select (export, part) from p)",
@@ -213,17 +200,14 @@ r as (select a as id, name, n, row_number() over (partition by a order by n desc
         "a22_backup_health": "with r as (select event_id * 3600 as started, event_id % 97 = 3 as ok from events), l as (select max(started) filter (ok) as last_ok from r) select last_ok, 40000000 - last_ok > 172800 as overdue, (select count(distinct started) from r, l where not ok and started > last_ok) as fails_since from l",
         "a23_backup_verify": "select count(e.path) as expected, count(f.path) as found, count(*) filter (e.path is not null and f.path is null) as missing, count(*) filter (e.sha <> f.sha) as bad from listing_old e full join listing_new f on e.path = f.path",
         "a24_trash_preview": "select 1703000000 - 20 * 86400 as cutoff, count(*) filter (g) as n, coalesce(sum(bytes) filter (g), 0)::bigint as bytes from (select bytes, trashed = 1 and taken_at + 1000 < 1703000000 - 20 * 86400 as g from photos)",
-        "w01_bursts": RUNS.format(shots=SHOTS, gap=2, bits=10) + f", g as (select run, count(*) as n, arg_max(id, {MERIT}) as best from r group by 1 having count(*) >= 3) select id, run, n, best from r join g using (run)",
-        "w02_series": RUNS.format(shots=SHOTS, gap=120, bits=12)
-        + """, man as (select id, case when id % 50 = 2 then 0 else id // 100 + 1 end as sid from photos where id % 50 < 3),
-big as (select run from r group by 1 having count(*) >= 2),
-au as (select id, run from r where run in (select run from big) and id not in (select id from man)),
-mem as (select id, 'auto:' || run as series from au where run in (select run from au group by 1 having count(*) > 1)
-  union all select man.id, 'manual:' || sid from man join photos p on p.id = man.id where sid > 0 and trashed = 0),
-g as (select series, count(*) as n, arg_max(id, (score, -taken_at, -id)) as best from mem join photos using (id) group by 1)
-select series, id, n, best from mem join g using (series)""",
-        "w04_rank_selection": "select id, score, row_number() over (order by score desc, coalesce(eyes_closed, 0), bytes desc, id) as place from photos left join photo_analysis on photo_id = id where id % 53 = 0 qualify place <= 200",
-        "w05_retention": "select id, reason, row_number() over (partition by reason order by created desc, id desc) <= case when reason = 'regular' then 40 else 3 end as keep from (select event_id as id, case when event_id % 3 > 0 then 'regular' else event_type end as reason, (event_id * 37) % 1000 as created from events)",
+        "w01_bursts": RUNS.format(shots=HASHED, gap=2, bits=10) + f", g as (select run, count(*) as n, arg_max(id, {MERIT}) as best from r group by 1 having count(*) >= 3) select id, run, n, best from r join g using (run)",
+        "w02_series": SERIES + " select series, id, n, best from series",
+        "w04_rank_selection": """
+with c as (select id as pid, id * 7 % 1009 as asked from photos where id % 53 = 0 order by asked, pid limit 200)
+select pid as id, a.score, row_number() over (order by a.score desc, coalesce(a.eyes_closed, 0), bytes desc, asked, pid) as place from c join photo_analysis a on photo_id = pid join photos p on p.id = pid""",
+        "w05_retention": """
+with s as (select event_id as id, case event_id % 3 when 1 then 'auto' when 2 then 'manual' else event_type end as reason, (event_id * 37) % 1000 as created from events)
+select id, reason, row_number() over (partition by case when reason in ('auto', 'manual') then 'regular' else reason end order by created desc, id desc) <= case when reason in ('auto', 'manual') then 40 else 3 end as keep from s""",
         "w08_year_in_review": f"select id, month({WALL}) as month, taken_at, score from {SHOTS} where year({WALL}) = 2024 qualify row_number() over (partition by month({WALL}) order by score desc, taken_at, id) <= 10",
         "w09_album_best": f"select id, score, taken_at from {SHOTS} where id in (select photo_id from photo_albums where album_id = 4) order by score desc, taken_at, id limit 40",
         "w10_face_timeline": f"select person_id, year({WALL}) as year, arg_max(id, (score, -taken_at, -id)) as photo from {PEOPLE} b join {LIVE} p on p.id = b.photo_id group by 1, 2",
@@ -257,14 +241,39 @@ k as (select id, 'img_' || id as stem, taken_at as t, least(width, height) as s,
 m as (select in_id, 0 as rule, id from n join k using (stem) where abs(n.t - k.t) <= 54000 or (n.s = k.s and n.l = k.l)
   union all select in_id, 1, id from n join k on k.t between n.t - 2 and n.t + 2 and n.s = k.s and n.l = k.l)
 select in_id, arg_min(id, (rule, id)) as known_id from m group by 1""",
+        "w03_series_members": SERIES + ", i as (select id from photos where rating = 5 and trashed = 0) select id from i union select id from series where series in (select series from series where id in (select id from i))",
+        "j11_suffix_join": """
+with u as (select 'export/' || case when id % 4 = 0 then rel_path else filename end as uri from photos where id % 2 = 0)
+select rel_path as path, uri from photos join u on regexp_extract(rel_path, '[^/]*$') = regexp_extract(uri, '[^/]*$') where ends_with(uri, rel_path) or ends_with(rel_path, uri)""",
+        "j13_folder_diff": """
+with b as (select path, d.sha, k.sha as old_sha, k.photo_id, d.size, k.size as old_size, d.mtime, k.mtime as old_mtime from listing_new d full join listing_old k using (path)),
+lost as (select old_sha as sha, photo_id as moved, path as was, row_number() over (partition by old_sha order by path) as place from b where size is null),
+fresh as (select path, n.sha, place, moved, was from (select path, sha, row_number() over (partition by sha order by path) as place from b where old_size is null) n left join lost using (sha, place)),
+f as (select path, case when moved is not null then 'moved' when place > 1 or sha in (select sha from listing_old) then 'duplicate' else 'new' end as change, moved as photo_id from fresh),
+c as (select path, case when sha = old_sha then 'touched' when sha in (select sha from listing_old) then 'duplicate' else 'changed' end as change, photo_id from b where size is not null and old_size is not null and (size <> old_size or mtime <> old_mtime)),
+l as (select path, photo_id from b where size is null and path not in (select was from fresh where was is not null)),
+g as (select path, case when (select count(*) from l) > 20 and (select count(*) from l) > 0.5 * (select count(*) from listing_old) then 'held' else 'gone' end as change, photo_id from l)
+select * from f union all select * from c union all select * from g""",
+        "j17_conversion_audit": """
+with v as (select id, bytes % 5000 as f, bytes % 5000 / 25.0::double as s, width as w, height as h, bytes, (0.5::double + (id % 50) / 100.0::double) as m, (0.45::double + (id % 40) / 100.0::double) as lo from photos where is_video = 1),
+o as (select *, case when id % 3 = 0 then round_even(s * 20, 0) else f end as g, case when h > 1100 then round_even(w * 1100 / h, 0) else w end as ow, least(h, 1100) as oh, least(f, round_even(s * 20, 0)) as e, case when s > 0 then f / s else 25 end as fps from v),
+k as (select *, [case when not (case when fps <= 20.02 then g = f else g between floor(e * 0.9::double) and e + 2 end) then 'frames' end, case when (s + (id % 7) / 50.0::double) - s > 0.1::double then 'duration' end,
+  case when not (case when h > 1100 then abs(ow / oh - w / h) / (w / h) < 0.01 else ow = w and oh = h end) then 'resolution' end, case when floor(bytes * 0.6::double) >= bytes then 'size' end,
+  case when m < 0.8::double or lo < 0.6::double then 'ssim' end] as all_checks from o)
+select id, len(list_filter(all_checks, lambda x: x is not null)) = 0 as ok, list_filter(all_checks, lambda x: x is not null) as failed,
+  case when m >= 0.97::double then 'excellent' when m >= 0.93::double then 'very_good' when m >= 0.88::double then 'good' else 'noticeable' end as grade from k""",
         "j12_xmp_sidecar": "select rel_path as path, case id % 4 when 0 then rel_path || '.xmp' else regexp_replace(rel_path, '\\.[a-z0-9]+$', '.xmp') end as sidecar from photos where id % 4 < 2",
         "j14_backup_plan": "select o.path, case when n.size = o.size and n.mtime - n.size % 5 >= o.mtime - 2 then 'reuse' when photo_id % 2 = 0 then 'encode' else 'copy' end as action, case when n.size = o.size and n.mtime - n.size % 5 >= o.mtime - 2 then 0 when photo_id % 2 = 0 then round(o.size * 0.4::double)::bigint else o.size end as need from listing_old o left join listing_new n using (path)",
         "j15_restore_plan": "select o.path, case when n.sha is null then 'missing' else 'changed' end as why from listing_old o left join listing_new n using (path) where n.sha is null or n.sha <> o.sha",
         "j16_dedupe_ingest": "select id, case when sha256 in (select sha256 from photos where id % 26 = 11) or row_number() over (partition by sha256 order by id) > 1 then 'duplicate' else 'added' end as status from photos where id % 2 = 0 or id % 13 > 10",
-        "p27_photo_context": """
-with d as (select id, (select string_agg(distinct name, ', ' order by name) from photo_people join people on people.id = person_id where photo_id = photos.id) as p,
-  (select string_agg(distinct name, ', ' order by name) from photo_tags join tags on tags.id = tag_id where photo_id = photos.id) as k from photos)
-select id, concat_ws(chr(10), 'date: ' || strftime(make_timestamp(taken_at * 1000000), '%Y-%m-%d %H:%M'), 'place: ' || lat::int || ', ' || lng::int, 'camera: ' || camera_model || ', ' || lens, 'caption: ' || description, 'keywords: ' || k, 'people: ' || p) as context
+        "p27_photo_context": f"""
+with {NEAR_WORDS},
+d as (select id, (select string_agg(name, ', ' order by name) from (select distinct name from photo_tags join tags on tags.id = tag_id where photo_id = photos.id order by 1 limit 20)) as k,
+  (select string_agg(name, ', ' order by name) from (select distinct name from {PEOPLE} x join people on people.id = person_id where x.photo_id = photos.id order by 1 limit 10)) as p,
+  (select string_agg(name, ', ' order by place) from nb where nb.id = photos.id) as n from photos)
+select id, concat_ws(chr(10), 'Taken: ' || strftime({WALL}, '%Y-%m-%d %H:%M (%A)'), 'Location: ' || printf('%.4f, %.4f', lat, lng), 'Camera: ' || camera_model || ', ' || lens,
+  case when id % 5 > 0 then 'Exposure: shutter 1/' || (30 + id % 100) || ', ISO ' || (100 + id % 1600) end, 'Size: ' || width || 'x' || height, 'Caption: ' || description,
+  'Keywords already on this photo: ' || k, 'People in the photo: ' || p, 'Keywords of photos taken close in time: ' || n) as context
 from photos join d using (id)""",
         "j18_photo_detail": """
 select id, filename, coalesce((select list_sort(list(distinct name)) from photo_albums join albums on albums.id = album_id where photo_id = photos.id), []) as albums,

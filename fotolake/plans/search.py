@@ -31,7 +31,9 @@ CRITERIA = {
     "f11_years_months": ({"years": [2024], "months": [1, 2]}, f"year({WALL}) = 2024 and month({WALL}) in (1, 2)"),
     "f13_favorite_flag": ({"favorite": True, "flag": "pick"}, "favorited = 1 and flag = 1"),
     "f15_labels": ({"labels": ["red", "blue"]}, "label in ('red', 'blue')"),
-    "f16_score": ({"minScore": 70}, "score >= 70"),
+    "f16_score": ({"minScore": 70, "score": 60}, "id in (select photo_id from photo_analysis where score >= 70)"),
+    "f06_dominant": ({"dominant": ["blue", "brown", "grey"]}, "id in (select photo_id from (DOMINANT) where colour in ('blue', 'brown'))"),
+    "f00_unknown_values": ({"kind": "film", "kw": "some", "gps": "yes", "faces": "any", "flag": "x", "flags": ["y"], "rating": 4, "minRating": 2}, "rating >= 2"),
     "f17_place": ({"hasPlace": True, "gps": "has"}, "lat is not null and lng is not null"),
     "f18_text": ({"text": "About_a CL"}, "(lower(filename) like '%about_a cl%' or coalesce(lower(description) like '%about_a cl%', false))"),
     "f19_anywhere": ({"q": "levi"}, f"(lower(filename) like '%levi%' or coalesce(lower(description) like '%levi%', false) or id in (select photo_id from {PEOPLE} join people on people.id = person_id where lower(name) like '%levi%') or id in (select photo_id from {NAMED} where tag like '%levi%'))"),
@@ -46,11 +48,11 @@ CRITERIA = {
     "f30_persons": ({"persons": [0, 7]}, f"id in (select photo_id from {PEOPLE} where person_id in (0, 7))"),
     "f31_albums": ({"albumIds": [2, 4, 6]}, "id in (select photo_id from photo_albums where album_id in (2, 4, 6))"),
     "f32_weekdays": ({"weekdays": [0, 6]}, f"dayofweek({WALL}) in (0, 6)"),
-    "f33_hours": ({"hourFrom": 0, "hourTo": None}, f"taken_at > 0 and hour({WALL}) between 0 and 23"),
+    "f33_hours": ({"hourFrom": 0, "hourTo": None}, f"taken_at is not null and hour({WALL}) between 0 and 23"),
     "f34_megapixels": ({"minMP": 1.5, "maxMP": 6}, "width * height between 1500000 and 6000000"),
     "f35_added": ({"addedFrom": "2023-11-15", "addedTo": "2023-11-18"}, "imported_at >= 1700006400 and imported_at < 1700265600 + 86400"),
     "f36_circle": ({"place": {"lat": 10.0, "lng": 20.0, "km": 2500}}, "lat is not null and 12742 * asin(least(1, sqrt(pow(sin(radians(lat - 10) / 2), 2) + cos(radians(10)) * cos(radians(lat)) * pow(sin(radians(lng - 20) / 2), 2)))) <= 2500"),
-    "f36_box_over_180": ({"place": {"s": -40, "w": 150, "n": 40, "e": -150}}, "lat between -40 and 40 and (lng >= 150 or lng <= -150)"),
+    "f36_box_over_180": ({"place": {"box": [-40, 40, 150, -150]}}, "lat between -40 and 40 and (lng >= 150 or lng <= -150)"),
 }
 
 
@@ -63,7 +65,6 @@ def _search(criteria: dict):
 
 
 QUERIES = {name: _search(criteria) for name, (criteria, _) in CRITERIA.items()}
-SQL = {name: with_tables(f"select id, taken_at from photos where trashed = 0 and {where}") for name, (_, where) in CRITERIA.items()}
 
 
 
@@ -140,12 +141,15 @@ def p_shapes(spark, sf_dir):
 
 
 def p_albums(spark, sf_dir):
-    return Catalog(spark, sf_dir).albums.select("id", fx.album_kind(F.col("name")).alias("found"), "kind")
+    """Album names as they are and with a tail, in front of a comma, cut short, and by year."""
+    name = F.element_at(F.array(F.col("name"), F.concat("name", F.lit(" (2)")), F.concat("name", F.lit(", Maya")), F.substring("name", 1, 8), (F.col("id") + 2000).cast("string")), F.pmod(F.col("id"), F.lit(5)).cast("int") + 1)
+    return Catalog(spark, sf_dir).albums.select("id", fx.album_kind(name).alias("found"), fx.album_kind(F.col("name")).alias("kind"))
 
 
 def p_scores(spark, sf_dir):
     a = Catalog(spark, sf_dir).photo_analysis
-    score = fx.quality_score(F.col("sharp"), F.col("luma"), F.col("clip"), F.col("contrast"), (F.col("photo_id") % 10 / 10.0), F.col("eyes_closed"))
+    side = (F.col("photo_id") % 10 * 200).cast("int")
+    score = fx.quality_score(*map(F.col, ("sharp", "luma", "p5", "p95", "clip_dark", "clip_white", "eyes_closed")), side, F.lit(500))
     category = fx.cleanup_category(F.col("screenshot"), F.col("receipt"), F.col("luma"), F.col("p95"), F.col("sharp"), F.when(F.col("photo_id") % 5 > 0, F.col("photo_id")))
     return a.select("photo_id", score.cast("long").alias("score"), category.alias("category"))
 
@@ -157,32 +161,66 @@ def p_colours(spark, sf_dir):
 
 def p_texts(spark, sf_dir):
     d = Catalog(spark, sf_dir).documents
-    return d.select("doc_id", F.md5(fx.redact_text(F.col("text"), ["example"])).alias("redacted"), fx.is_english(F.col("text")).alias("english"))
+    redacted = fx.redact_text(F.coalesce("text", F.lit("")), ["example/data"], "example")
+    mangled = F.decode(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "ISO-8859-1")
+    return d.select("doc_id", F.md5(redacted).alias("redacted"), fx.is_english(F.coalesce("text", F.lit(""))).alias("english"), F.md5(fx.fix_mojibake(mangled)).alias("mended"))
 
 
 def p_dates(spark, sf_dir):
+    """File names with a date and a time, with other signs between them, and with a date that is part of a longer number."""
     p = Catalog(spark, sf_dir).photos
-    name = F.format_string("IMG_%04d%02d%02d_%02d%02d%02d.jpg", 1985 + F.col("id") % 45, 1 + F.col("id") % 13, 1 + F.col("id") % 31, F.col("id") % 24, F.col("id") % 60, F.col("id") % 60)
+    i = F.col("id")
+    y, m, d, h, s = 1985 + i % 45, 1 + i % 13, 1 + i % 31, i % 24, i % 60
+    name = (
+        F.when(i % 5 == 0, F.format_string("Screenshot %04d-%02d-%02d-%02d.%02d.%02d.png", y, m, d, h, s, s))
+        .when(i % 5 == 1, F.format_string("IMG_%04d%02d%02d123.jpg", y, m, d))
+        .when(i % 5 == 2, F.format_string("7%04d%02d%02d.jpg", y, m, d))
+        .otherwise(F.format_string("IMG_%04d%02d%02d_%02d%02d%02d.20210101", y, m, d, h, s, s))
+    )
     return p.select("id", fx.date_from_filename(name, 2024).alias("taken"))
 
 
+def p_lr_times(spark, sf_dir):
+    i = F.col("id")
+    text = F.format_string("%04d-%02d-%02d", 1990 + i % 40, 1 + i % 13, 1 + i % 31)
+    text = F.when(i % 3 == 0, text).when(i % 3 == 1, F.concat(text, F.format_string("T%02d:%02d", i % 24, i % 60))).otherwise(F.concat(text, F.format_string("T%02d:%02d:%02d.5+02:00", i % 24, i % 60, i % 60)))
+    return Catalog(spark, sf_dir).photos.select("id", fx.lr_time(text).alias("at"))
+
+
 def p_answers(spark, sf_dir):
     p = Catalog(spark, sf_dir).photos
-    answer = F.when(F.col("id") % 2 == 0, F.concat(F.lit('Sure: ["Beach", " SEA ", "beach", "'), "camera_model", F.lit('"]'))).otherwise(F.concat(F.lit("- Beach\n- "), "lens", F.lit("\n- beach, sun")))
-    return p.select("id", fx.parse_keywords(answer).alias("words"), fx.parse_score(F.concat(F.lit("score: "), (F.col("id") % 130).cast("string"))).cast("long").alias("score"), fx.label_map(F.element_at(F.array(F.lit("Rot"), F.lit("bleu "), F.lit("none")), (F.col("id") % 3 + 1).cast("int"))).alias("label"))
+    i = F.col("id")
+    answer = (
+        F.when(i % 4 == 0, F.concat(F.lit('Sure: ["Beach", " SEA  side", "beach", "x", "'), "camera_model", F.lit('"]')))
+        .when(i % 4 == 1, F.concat(F.lit("- Beach\n- "), "lens", F.lit("\n- beach, sun; #sea.")))
+        .when(i % 4 == 2, F.concat(F.lit('```json\n{"keywords": ["City", "'), "lens", F.lit('", "city "]}\n```')))
+        .otherwise(F.concat(F.lit('{"keywords": broken, "'), "camera_model", F.lit('"}')))
+    )
+    rating = F.when(i % 2 == 0, F.concat(F.lit("photo 2 score: "), (i % 130).cast("string"))).otherwise(F.concat(F.lit("I give it "), (i % 130).cast("string"), F.lit(" of 100")))
+    label = F.element_at(F.array(F.lit("Red "), F.lit("כחול"), F.lit("rot")), (i % 3 + 1).cast("int"))
+    return p.select("id", fx.parse_keywords(answer).alias("words"), fx.parse_score(rating).cast("long").alias("score"), fx.label_map(label).alias("label"))
 
 
 QUERIES |= {
     f.__name__: f
-    for f in (f38_sources, f39_smart_lists, f40_bar, f41_on_this_day, f44_slideshow, f45_typed, p_places, p_coords, p_names, p_shapes, p_albums, p_scores, p_colours, p_texts, p_dates, p_answers)
+    for f in (f38_sources, f39_smart_lists, f40_bar, f41_on_this_day, f44_slideshow, f45_typed, p_places, p_coords, p_names, p_shapes, p_albums, p_scores, p_colours, p_texts, p_dates, p_lr_times, p_answers)
 }
 COLOUR_SQL = """
-select photo_id, case when v < 0.16 then 'black' when s < 0.1 and v > 0.9 then 'white' when s < 0.15 then 'grey'
-  when h >= 15 and h < 45 and v < 0.6 then 'brown' when h < 15 then 'red' when h < 45 then 'orange' when h < 70 then 'yellow' when h < 160 then 'green'
-  when h < 200 then 'teal' when h < 255 then 'blue' when h < 290 then 'purple' when h < 345 then 'pink' else 'red' end as colour
-from (select photo_id, t / 255 as v, case when t = 0 then 0 else (t - l) / t end as s,
+select photo_id, case when v < 0.18::double then 'black' when s < 0.14::double then case when v > 0.85::double then 'white' else 'gray' end
+  when h < 15 or h >= 345 then case when v > 0.45::double then 'red' else 'brown' end when h < 40 then case when v > 0.6::double then 'orange' else 'brown' end
+  when h < 70 then case when v > 0.55::double then 'yellow' else 'brown' end
+  when h < 165 then 'green' when h < 200 then 'cyan' when h < 255 then 'blue' when h < 300 then 'purple' else 'pink' end as colour
+from (select photo_id, t as v, case when t = 0 then 0 else (t - l) / t end as s,
     case when t = l then 0 when t = r then 60 * (((g - b) / (t - l) + 6) % 6) when t = g then 60 * ((b - r) / (t - l) + 2) else 60 * ((r - g) / (t - l) + 4) end as h
-  from (select *, greatest(r, g, b) as t, least(r, g, b) as l from photo_color))"""
+  from (select *, greatest(r, g, b) as t, least(r, g, b) as l from (select photo_id, r / 255.0::double as r, g / 255.0::double as g, b / 255.0::double as b from photo_color)))"""
+#: The score of a photo by its measures and by its sides w and h.
+SCORE_SQL = """least(100, greatest(1, round_even((
+    0.6::double * 100 * least(1, ln(1 + sharp) / ln(401::double))
+    + 0.25::double * least(100, greatest(0, 100 - case when luma < 70 then (70 - luma) * 1.6::double when luma > 190 then (luma - 190) * 1.6::double else 0 end
+        - 120 * greatest(0, clip_dark - 0.15::double) - 120 * greatest(0, clip_white - 0.15::double)))
+    + 0.15::double * 100 * least(1, greatest(0, (p95 - p5) / 150)))
+  * case when {w} > 0 and {h} > 0 and {w}::bigint * {h} < 400000 then 0.9::double else 1 end * case when eyes_closed = 1 then 0.6::double else 1 end, 0)))"""
+SQL = {name: with_tables(f"select id, taken_at from photos where trashed = 0 and {where.replace('DOMINANT', COLOUR_SQL)}") for name, (_, where) in CRITERIA.items()}
 SQL |= {
     k: with_tables(v)
     for k, v in {
@@ -221,18 +259,28 @@ select id, case when width / height > 1.05 then 'landscape' when width / height
   is_video = 0 and (width >= 2 * height or height >= 2 * width) as pano, bit_count(xor(phash, phash << 1))::bigint as bits,
   phash & 511 as band0, (phash >> 9) & 511 as band1, (phash >> 18) & 511 as band2, (phash >> 27) & 511 as band3, (phash >> 36) & 511 as band4, (phash >> 45) & 511 as band5, (phash >> 54) & 1023 as band6
 from photos""",
-        "p_albums": "select id, case when regexp_matches(lower(name), '^(photos from )?(19|20)[0-9][0-9]$') then 'year' when name like 'Shared with %' then 'people-share' else 'album' end as found, kind from albums",
-        "p_scores": """
-select photo_id, least(100, greatest(1, round_even(100 * (0.6::double * least(1, ln(1 + greatest(sharp, 0)) / ln(1001)) + 0.25::double * greatest(0, 1 - abs(luma - 118) / 118 - 2 * clip) + 0.15::double * least(1, contrast / 64))
-    * case when photo_id % 10 / 10.0::double < 0.4 then 0.9::double else 1 end * case when eyes_closed = 1 then 0.6::double else 1 end, 0)))::bigint as score,
+        "p_albums": """
+with n as (select id, name, [name, name || ' (2)', name || ', Maya', substr(name, 1, 8), (id + 2000)::varchar][id % 5 + 1] as other from albums)
+select id, case when regexp_matches(other, '(תמונות משנת|Photos from)\\s*[0-9]{4}') then 'year' when regexp_matches(other, '^[A-Za-z].*,') then 'people-share' else 'album' end as found,
+  case id % 3 when 0 then 'year' when 1 then 'album' else 'people-share' end as kind from n""",
+        "p_scores": f"""
+select photo_id, {SCORE_SQL.format(w="(photo_id % 10 * 200)", h=500)}::bigint as score,
   case when screenshot = 1 then 'screenshot' when receipt = 1 then 'receipt' when luma < 38 and p95 < 85 then 'dark' when sharp < 12 and photo_id % 5 > 0 then 'blurry' end as category
 from photo_analysis""",
+        "p_texts": """
+with a as (select doc_id, coalesce(text, '') as text from documents),
+b as (select *, regexp_replace(replace(text, 'example/data', '<folder>'), '(?i)(^|[^A-Za-z0-9])example($|[^A-Za-z0-9])', '\\1<user>\\2', 'g') as t from a),
+c as (select *, regexp_replace(t, '[\\w\\pL\\pN.+-]+@[\\w\\pL\\pN-]+(\\.[\\w\\pL\\pN-]+)+', '<email>', 'g') as e from b),
+d as (select *, regexp_replace(regexp_replace(e, '\\b(127([.][0-9]{1,3}){3}|0[.]0[.]0[.][0-9]{1,3})\\b', chr(1) || '\\1' || chr(1), 'g'), '(^|[^' || chr(1) || '0-9A-Za-z_])[0-9]{1,3}([.][0-9]{1,3}){3}\\b', '\\1<ip>', 'g') as i from c)
+select doc_id, md5(replace(i, chr(1), '')) as redacted, not regexp_matches(regexp_replace(text, '[\\x{0}-\\x{24F}]', '', 'g'), '\\pL') as english, md5(text) as mended from d""",
         "p_colours": COLOUR_SQL,
         "p_dates": """
-select id, case when y between 1990 and 2025 and m <= 12 then epoch(try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', y, m, d, h, mi, mi) as timestamp))::bigint end as taken
+select id, case when id % 5 not in (1, 2) and y between 1990 and 2025 and m <= 12 then epoch(try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', y, m, d, h, mi, mi) as timestamp))::bigint end as taken
 from (select id, 1985 + id % 45 as y, 1 + id % 13 as m, 1 + id % 31 as d, id % 24 as h, id % 60 as mi from photos)""",
+        "p_lr_times": """
+select id, epoch(try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', 1990 + id % 40, 1 + id % 13, 1 + id % 31, case when id % 3 > 0 then id % 24 else 0 end, case when id % 3 > 0 then id % 60 else 0 end, case when id % 3 = 2 then id % 60 else 0 end) as timestamp))::bigint as at from photos""",
         "p_answers": """
-select id, case when id % 2 = 0 then ['beach', 'sea', camera_model] else ['beach', lower(lens), 'sun'] end as words,
+select id, case id % 4 when 0 then ['beach', 'sea side', camera_model] when 1 then ['beach', lower(lens), 'sun', 'sea'] when 2 then ['city', lower(lens)] else ['keywords : broken', camera_model] end as words,
   case when id % 130 between 1 and 100 then id % 130 end::bigint as score, case id % 3 when 0 then 'red' when 1 then 'blue' end as label from photos""",
     }.items()
 }

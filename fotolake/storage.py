@@ -4,21 +4,50 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+_local_folders: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a fresh local folder where the session has none."""
+    """spark.checkpoint.dir; a session on one machine without that setting gets a local folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-fotolake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.conf.get("spark.app.id")
+    if app not in _local_folders:
+        _local_folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-fotolake-")
+    return _local_folders[app]
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def fresh_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/fotolake-{uuid.uuid4().hex}"
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back."""
-    path = f"{shared_folder(frame.sparkSession)}/fotolake-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+def settled(frame: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back; what lies at path already gives way to it."""
+    spark = frame.sparkSession
+    path = path or fresh_path(spark)
+    with tidy(spark):
+        frame.write.option("compression", "zstd").mode("overwrite").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

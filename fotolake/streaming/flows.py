@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -46,8 +47,8 @@ def _tables(spark: SparkSession, path: str, number: int, schema: str) -> DataFra
     """What earlier batches wrote."""
     try:
         return spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch") < number).drop("batch")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
@@ -68,9 +69,9 @@ def folder_sync(listing: DataFrame, known: DataFrame, out_path: str, checkpoint:
 
 def incremental_score(photos: DataFrame, measures: DataFrame) -> DataFrame:
     """id, score of photos as they arrive: a stream joined with the table of measures."""
-    side = measures.select(F.col("photo_id").alias("id"), "sharp", "luma", "clip", "contrast", "eyes_closed")
-    mp = F.col("width") * F.col("height") / 1e6
-    return photos.join(side, "id").select("id", quality_score(F.col("sharp"), F.col("luma"), F.col("clip"), F.col("contrast"), mp, F.col("eyes_closed")).alias("score"))
+    side = measures.select(F.col("photo_id").alias("id"), "sharp", "luma", "p5", "p95", "clip_dark", "clip_white", "eyes_closed")
+    score = quality_score(*map(F.col, ("sharp", "luma", "p5", "p95", "clip_dark", "clip_white", "eyes_closed", "width", "height")))
+    return photos.select("id", "width", "height").join(side, "id").select("id", score.alias("score"))
 
 
 def expired(photos: DataFrame, now: int, days: int = 60) -> DataFrame:
