@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fotolake.storage import fresh_path, settled, shared_folder, tidy
+
+__all__ = ["SPACE_RUN", "WORD", "fresh_path", "settled", "shared_folder", "table", "text_of", "tidy", "tokenizer"]
+
 #: White space is space, tab, LF, VT, FF and CR; everything else belongs to a word.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,33 +23,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where the session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-fotolake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def settled(frame: DataFrame) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: later jobs neither recompute it nor depend on executors."""
-    path = f"{shared_folder(frame.sparkSession)}/fotolake-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now; it does so once nothing refers to them any more.
-
-    The first round frees what Python held in the JVM, the second what that held in turn.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def tokenizer(name: str) -> str:
     """Where a public vocabulary file lies."""
     import public_tokenizers

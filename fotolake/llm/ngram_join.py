@@ -1,15 +1,18 @@
 """N-gram Jaccard self-join by count vectors in R-trees, and the groups that its links form.
 
 1. Map tasks turn each text into its set of shingle hashes. For candidates, the hashes are dealt into more cells than two
-   linked sets can differ in, so at least three cells agree wholly; a cell's content is a signature. Equal sets and equal
-   signatures are linked to their least document within the task before anything is shuffled, so a group of copies sends
-   one row per task. Signatures travel as packed arrays.
-2. Documents that share a signature, directly or over others, form a candidate group; only distinct sets count.
-3. A set is a point: how many of its hashes fall into each of AXES axes. Within a group, an R-tree over the points bounds
-   the overlap of two sets by the sum of the lesser coordinates. Pairs that pass the bound make finer groups; no text has
-   moved so far.
-4. The texts of these groups are joined the same way, and pairs that pass the bound are counted exactly.
-Groups beyond a chunk are split; what the chunks leave unjoined is compared with every chunk.
+   linked sets can differ in, so some cells with content agree wholly; a cell's content is a signature. A set is also a
+   point: how many of its hashes fall into each of its axes (more for larger sets); the sum of the lesser coordinates
+   bounds an overlap.
+2. Within a task, equal sets hang on their least document, and sets with a common signature whose bound allows a link are
+   one box: the greatest coordinates and the least size of its sets, named by its least document. Boxes send their
+   signatures in packed arrays, so a hot group of copies or near copies sends one box per task. A box loses no link.
+3. Boxes that meet in a signature are compared with the least of them by the bound, and those that pass are joined. A
+   signature under which boxes of different groups met all the same (a passage that many texts share) has them compared
+   with each other in an R-tree.
+4. The texts of groups with two different sets or more move. Within a group, an R-tree over the points prunes by the same
+   bound, and pairs that pass are counted exactly. Groups beyond a chunk are split; what the chunks leave unjoined is
+   compared with every chunk.
 """
 
 from __future__ import annotations
@@ -19,22 +22,27 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settled, text_of
-from .components import connected
+from fotolake.operators.graph import blocked
+from fotolake.operators.graph import components as connected
+
+from .common import settled, text_of
 from .shingles import Shingler, mixed
 
+#: Cells beyond those in which two linked sets can differ.
+SPARE = 4
 #: Axes of the count vectors, points of a leaf or node, hashes and points of a chunk, signatures that a task combines at a
 #: time.
-AXES = 64
+AXES, PER_AXIS = 64, 16
 FANOUT = 32
 CHUNK = 600_000
 POINTS = 8_000
 HELD = 3_000_000
 #: Kinds of what map and reduce tasks hand on.
-SIZES, SIZES_NO_ID, COPY_HERE, COPY, SIGNATURE, LINK = range(6)
+SIZES, SIZES_NO_ID, COPY_HERE, COPY, SIGNATURE, LINK, BOX, MET = range(8)
 
 
 class Cells:
@@ -49,16 +57,28 @@ class Cells:
             self.borders.append(max(b + 1, -(-b * self.den // self.num)))
         return bisect_right(self.borders, n) - 1
 
-    def cells(self, c: int) -> int:
-        """Cells for pairs whose smaller set is of class c: three more than their symmetric difference can have members."""
+    def apart(self, c: int) -> int:
+        """Most members of the symmetric difference of a linked pair whose smaller set is of class c."""
         while len(self.borders) < c + 2:
             self.size_class(self.borders[-1])
         most = self.borders[c + 1] - 1
-        return (self.den - self.num) * (most + most * self.den // self.num) // (self.den + self.num) + 3
+        return (self.den - self.num) * (most + most * self.den // self.num) // (self.den + self.num)
+
+    def cells(self, c: int) -> int:
+        """Cells for such pairs: at least cells - apart of them agree, more than are empty in nearly every set."""
+        return self.apart(c) + SPARE + self.apart(c) // 7
+
+    def prefix(self, n: int) -> int:
+        """Least hashes of a set of which any linked set has one among its own."""
+        return n - -(-n * self.num // self.den) + 1
 
 
 def signatures(sets: list[np.ndarray], cells: Cells) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of the set) for all sets that are not empty, each as the smaller and as the larger of a pair."""
+    """(signature, index of the set) for all sets that are not empty, each as the smaller and as the larger of a pair.
+
+    The content of a cell that is not empty is a signature. A set with so many empty cells that those alone could be what
+    agrees is thin; two thin sets meet by their least hashes, any other pair by a cell with content.
+    """
     sigs, owners = [], []
     index = [i for i, s in enumerate(sets) if len(s)]
     if not index:
@@ -86,11 +106,13 @@ def signatures(sets: list[np.ndarray], cells: Cells) -> tuple[np.ndarray, np.nda
         full = (count > 0) & use[owner]
         sigs.append(sig[full])
         owners.append(owner[full])
-        # Three cells agree; should all three be empty, the sets meet in one signature for that.
-        empty = np.bincount(owner[(count == 0) & use[owner]], minlength=len(index))
-        thin = np.flatnonzero(empty >= 3)
-        sigs.append(mixed((np.array(classes, np.int64)[thin] - step + 7_000_000_019).astype(np.uint64)))
-        owners.append(thin)
+        empty = np.bincount(owner[count == 0], minlength=len(index))
+        for i in np.flatnonzero(use).tolist():
+            c = classes[i] - step
+            if empty[i] >= cells.cells(c) - cells.apart(c):
+                least = sets[index[i]][: cells.prefix(int(sizes[i]))]
+                sigs.append(mixed(least ^ mixed(np.full(len(least), c + 7_000_000_019, np.uint64))))
+                owners.append(np.full(len(least), i))
     return np.concatenate(sigs), np.array(index)[np.concatenate(owners)]
 
 
@@ -119,8 +141,31 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[new], b[new]
 
 
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index that each of n reaches over pairs."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _allowed(points: list[np.ndarray], least: np.ndarray, others: list[np.ndarray], other_least: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the bound of boxes, row by row, allows a similarity of num / den; each pair at the coarser axes of the two."""
+    axes = np.array([min(len(p), len(q)) for p, q in zip(points, others, strict=True)], np.int64)
+    out = np.zeros(len(axes), bool)
+    for n in np.unique(axes):
+        for at in np.array_split(rows := np.flatnonzero(axes == n), len(rows) * n // 4_000_000 + 1):
+            both = np.minimum(np.stack([folded(points[i], n) for i in at]), np.stack([folded(others[i], n) for i in at]))
+            out[at] = (num + den) * both.sum(1, dtype=np.int64) >= num * (least[at] + other_least[at])
+    return out
+
+
 def fingerprints(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
-    """Packed rows (part, kind, x, y, z): sizes, copies, signatures and links of each map task."""
+    """Packed rows (part, kind, x, y, z): sizes, copies, boxes, signatures and links of each map task."""
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -136,7 +181,7 @@ def fingerprints(docs: DataFrame, k: int, num: int, den: int, parts: int) -> Dat
             rows = []
             for s, e in zip(cuts, cuts[1:], strict=False):
                 at = order[s:e]
-                packed = [c[at].tobytes() for c in columns] + [b""] * (3 - len(columns))
+                packed = [_squeezed(c[at]) for c in columns] + [b""] * (3 - len(columns))
                 rows.append((int(part[at[0]]), kind, *packed))
             if rows:
                 p, kd, x, y, z = zip(*rows, strict=True)
@@ -149,28 +194,48 @@ def fingerprints(docs: DataFrame, k: int, num: int, den: int, parts: int) -> Dat
             nonlocal docs_held
             if not docs_held:
                 return
-            doc, n, k1, k2 = (np.concatenate(held[c]) for c in ("doc", "n", "k1", "k2"))
-            sig, owner = np.concatenate(held["sig"]), np.concatenate(held["owner"])
+            doc, n, k1, k2, sig, owner = (np.concatenate(held[c]) for c in held)
+            point = list(points)
+            points.clear()
             for c in held.values():
                 c.clear()
             docs_held = 0
             to = lambda x: (x.astype(np.uint64) % np.uint64(parts)).astype(np.int64)
-            yield from emit(SIZES, to(mixed(doc.astype(np.uint64))), doc, n, np.concatenate(points))
-            points.clear()
+            of_doc = lambda x: to(mixed(x.astype(np.uint64)))
+            yield from emit(SIZES, of_doc(doc), doc, n)
             some = np.flatnonzero(n > 0)
             head, of = _star([k1[some], k2[some]], doc[some])
             head, of = some[head], some[of]
             a, b = _unique_pairs(doc[some], doc[of])
-            yield from emit(COPY_HERE, to(mixed(a.astype(np.uint64))), a, b)
+            yield from emit(COPY_HERE, of_doc(a), a, b)
             yield from emit(COPY, to(k1[head]), k1[head], k2[head], doc[head])
             first = np.zeros(len(doc), bool)
             first[head] = True
             use = first[owner]
-            sig, by = sig[use], doc[owner[use]]
-            head, of = _star([sig], by)
+            sig, by = sig[use], owner[use]
+            head, of = _star([sig], doc[by])
             a, b = _unique_pairs(by, by[of])
-            yield from emit(LINK, to(mixed(a.astype(np.uint64))), a, b)
-            yield from emit(SIGNATURE, to(sig[head]), sig[head], by[head])
+            near = _allowed([point[i] for i in a], n[a], [point[i] for i in b], n[b], num, den)
+            label = _labels(len(doc), a[near], b[near])
+            # Boxes: the documents of a label, named by the least doc_id.
+            firsts = np.flatnonzero(first)
+            order = firsts[np.lexsort((doc[firsts], label[firsts]))]
+            new = np.flatnonzero(np.diff(label[order], prepend=-1))
+            least = np.minimum.reduceat(n[order], new) if len(new) else n[:0]
+            ends = np.append(new, len(order))[1:]
+            tops = [point[order[x]] if y == x + 1 else _top([point[i] for i in order[x:y]]) for x, y in zip(new.tolist(), ends.tolist(), strict=True)]
+            name = np.zeros(len(doc), np.int64)
+            name[order] = np.repeat(doc[order[new]], np.diff(np.append(new, len(order))))
+            a, b = _unique_pairs(doc[firsts], name[firsts])
+            yield from emit(LINK, of_doc(a), a, b)
+            for axes in {len(t) for t in tops}:
+                at = np.array([i for i, t in enumerate(tops) if len(t) == axes])
+                yield from emit(BOX, of_doc(doc[order[new[at]]]), doc[order[new[at]]], least[at], np.stack([tops[i] for i in at]))
+            order = np.lexsort((name[by], sig))
+            sig, by = sig[order], name[by[order]]
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (by[1:] != by[:-1])
+            yield from emit(SIGNATURE, to(sig[new]), sig[new], by[new])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -187,7 +252,7 @@ def fingerprints(docs: DataFrame, k: int, num: int, den: int, parts: int) -> Dat
                 held["owner"].append(owner + docs_held)
                 held["doc"].append(np.array(ids, np.int64))
                 held["n"].append(np.array([len(s) for s in sets], np.int64))
-                points.append(np.stack([point_of(s) for s in sets]) if sets else np.empty((0, AXES), np.uint32))
+                points += [point_of(s) for s in sets]
                 held["k1"].append(np.array([np.bitwise_xor.reduce(mixed(s)) if len(s) else 0 for s in sets], np.uint64))
                 held["k2"].append(np.array([np.add.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else 0 for s in sets], np.uint64))
                 docs_held += len(ids)
@@ -199,43 +264,90 @@ def fingerprints(docs: DataFrame, k: int, num: int, den: int, parts: int) -> Dat
     return rows.mapInArrow(task, "part int, kind int, x binary, y binary, z binary")
 
 
+def _top(points: list[np.ndarray]) -> np.ndarray:
+    """The greatest coordinates, at the coarsest axes of all."""
+    axes = min(map(len, points))
+    return np.max([folded(p, axes) for p in points], axis=0)
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """The array's bytes, all first ones before all second ones and so on, compressed."""
+    flat = np.ascontiguousarray(x).reshape(-1)
+    return zstandard.compress(flat.view(np.uint8).reshape(len(flat), -1).T.tobytes(), 1)
+
+
+def _unsqueezed(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def met(packed: DataFrame, parts: int) -> DataFrame:
-    """Rows (kind, a, b, point) from packed rows that meet in their part: sizes, copies and links of the whole table."""
+    """Rows (kind, a, b, c, top) from packed rows that meet in their part: sizes, copies, links and boxes of the whole table,
+    and what met in a signature: MET with document, least document and the signature (of those with the same documents, one)."""
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def rows(kind: int, a, b, points: bytes = b"") -> Iterator:
+        def rows(kind: int, a, b, c: np.ndarray | None = None, tops: np.ndarray | None = None) -> Iterator:
             if len(a):
-                p = [points[i : i + 4 * AXES] for i in range(0, len(points), 4 * AXES)] if points else [None] * len(a)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.binary())], names=["kind", "a", "b", "point"])
+                top = pa.nulls(len(a), pa.binary()) if tops is None else pa.array([t.tobytes() for t in tops], pa.binary())
+                third = pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), third, top], names=["kind", "a", "b", "c", "top"])
 
         copies: list[tuple] = []
         sigs: list[tuple] = []
-        whole = lambda x, t=np.int64: np.frombuffer(x, t)
+        whole = lambda x, t=np.int64: _unsqueezed(x, t)
         for batch in batches:
             for kind, x, y, z in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 if kind == SIZES_NO_ID:
-                    yield from rows(SIZES, [None] * (len(x) // 8), whole(x))
+                    n = whole(x)
+                    yield from rows(SIZES, [None] * len(n), n)
                 elif kind == COPY:
                     copies.append((whole(x, np.uint64), whole(y, np.uint64), whole(z)))
                 elif kind == SIGNATURE:
                     sigs.append((whole(x, np.uint64), whole(y)))
+                elif kind == BOX:
+                    ids = whole(x)
+                    yield from rows(BOX, ids, whole(y), None, whole(z, np.uint32).reshape(len(ids), -1))
                 else:
-                    yield from rows(kind, whole(x), whole(y), z)
+                    yield from rows(kind, whole(x), whole(y))
         if copies:
             k1, k2, doc = map(np.concatenate, zip(*copies, strict=True))
             yield from rows(COPY, *_unique_pairs(doc, doc[_star([k1, k2], doc)[1]]))
         if sigs:
             sig, doc = map(np.concatenate, zip(*sigs, strict=True))
-            yield from rows(LINK, *_unique_pairs(doc, doc[_star([sig], doc)[1]]))
+            sigs.clear()
+            order = np.lexsort((doc, sig))
+            sig, doc = sig[order], doc[order]
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
+            sig, doc = sig[new], doc[new]
+            start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            size = np.diff(np.append(start, len(sig)))
+            # Signatures under which the same documents meet say the same: one of them stands for all.
+            members = np.add.reduceat(mixed(doc.astype(np.uint64)), start) + size.astype(np.uint64)
+            several = np.flatnonzero(size > 1)
+            _, one = np.unique(members[several], return_index=True)
+            start, size = start[several[one]], size[several[one]]
+            at = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            yield from rows(MET, doc[at], np.repeat(doc[start], size), sig[at].view(np.int64))
+
+    return packed.repartition(parts, "part").mapInArrow(task, "kind int, a long, b long, c long, top binary")
+
 
-    return packed.repartition(parts, "part").mapInArrow(task, "kind int, a long, b long, point binary")
+def axes_for(n: int) -> int:
+    """A power of two, AXES at least: few hashes fall into one axis, so that unrelated large sets differ in most."""
+    return max(AXES, 1 << (n // PER_AXIS).bit_length())
 
 
-def point_of(hashes: np.ndarray) -> np.ndarray:
-    """Hashes per axis."""
-    return np.bincount((hashes >> np.uint64(50)).astype(np.int64) % AXES, minlength=AXES).astype(np.uint32)
+def point_of(hashes: np.ndarray, axes: int | None = None) -> np.ndarray:
+    """Hashes per axis; an axis is a hash's first bits, so that coarser axes are sums of finer ones."""
+    axes = axes or axes_for(len(hashes))
+    return np.bincount((hashes >> np.uint64(65 - axes.bit_length())).astype(np.int64), minlength=axes).astype(np.uint32)
+
+
+def folded(point: np.ndarray, axes: int) -> np.ndarray:
+    return point if len(point) == axes else point.reshape(axes, -1).sum(1, dtype=np.uint32)
 
 
 class CountTree:
@@ -244,7 +356,7 @@ class CountTree:
     def __init__(self, sizes: list[int], points: list[np.ndarray]):
         self.sizes, self.points = np.array(sizes, np.int64), np.stack(points).astype(np.int64)
         # Neighbours in this order share leaves: by size, then along the axes.
-        self.order = np.lexsort((*self.points.T[::-1], self.sizes))
+        self.order = np.lexsort((*self.points.T[:AXES][::-1], self.sizes))
         self.levels = [(self.points[self.order], self.sizes[self.order])]
         while len(self.levels[-1][0]) > FANOUT:
             tops, least = self.levels[-1]
@@ -266,17 +378,21 @@ class CountTree:
 
 
 class Items:
-    """Some sets with their tree: as hashes, or as points alone, where every pair that the bound allows counts as joined."""
+    """Some sets with their tree: as hashes, or as boxes alone, where every pair that the bound allows counts as joined."""
 
-    def __init__(self, payloads: list, sizes: list[int], shingler: Shingler | None, num: int, den: int):
+    def __init__(self, payloads: list, sizes: list[int], shingler: Shingler | None, num: int, den: int, axes: int | None = None):
         self.num, self.den = num, den
         if shingler is None:
             self.sets, self.sizes = None, sizes
             points = [np.frombuffer(p, np.uint32) for p in payloads]
+            axes = min(map(len, points))
+            points = [folded(p, axes) for p in points]
         else:
             self.sets = shingler.sets(payloads)
             self.sizes = [len(s) for s in self.sets]
-            points = [point_of(s) for s in self.sets]
+            axes = axes or axes_for(sum(self.sizes) // max(len(self.sizes), 1))
+            points = [point_of(s, axes) for s in self.sets]
+        self.axes = axes
         self.tree = CountTree(self.sizes, points)
 
     def near(self, point: np.ndarray, size: int) -> np.ndarray:
@@ -318,13 +434,13 @@ def _chunked(rows: DataFrame, keys: list[str], task, schema: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "doc").mapInArrow(task, schema)
 
 
-def _within_chunks(rows: DataFrame, k: int | None, num: int, den: int) -> DataFrame:
+def _within_chunks(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc, top) from rows (grp, chunk, doc, n, payload): the least document of the same chunk that links reach."""
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingler = None if k is None else Shingler(k)
+        shingler = Shingler(k)
         for _, members in _groups(batches, 2):
             docs, sizes, payloads = zip(*members, strict=True)
             label = classes_within(Items(list(payloads), list(sizes), shingler, num, den))
@@ -333,18 +449,19 @@ def _within_chunks(rows: DataFrame, k: int | None, num: int, den: int) -> DataFr
     return _chunked(rows.select("grp", "chunk", "doc", "n", "payload"), ["grp", "chunk"], task, "doc long, top long")
 
 
-def _across_chunks(rows: DataFrame, k: int | None, num: int, den: int) -> DataFrame:
+def _across_chunks(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between tops, from rows (grp, chunk, turn, ask, doc, top, n, payload): the asking against the others."""
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingler = None if k is None else Shingler(k)
+        shingler = Shingler(k)
         for _, members in _groups(batches, 3):
             sides = [[m for m in members if m[0] == ask] for ask in (False, True)]
             if not all(sides):
                 continue
-            asked, asking = (Items([m[4] for m in side], [m[3] for m in side], shingler, num, den) for side in sides)
+            asked = Items([m[4] for m in sides[0]], [m[3] for m in sides[0]], shingler, num, den)
+            asking = Items([m[4] for m in sides[1]], [m[3] for m in sides[1]], shingler, num, den, asked.axes)
             tops = np.array([m[2] for m in sides[0]])
             found = set()
             for i, (_, _, top, _, _) in enumerate(sides[1]):
@@ -382,17 +499,19 @@ def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, chu
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     facts = settled(met(fingerprints(docs, k, num, den, parts), parts))
-    release(docs.sparkSession)
     of = lambda kind, a, b: facts.where(F.col("kind") == kind).select(F.col("a").alias(a), F.col("b").alias(b))
-    copies = of(COPY, "doc", "first").groupBy("doc").agg(F.min("first").alias("first"))
+    copies = settled(of(COPY, "doc", "first").groupBy("doc").agg(F.min("first").alias("first")))
     sizes = of(SIZES, "doc", "n")
-    links = of(LINK, "a", "b")
-    for side in ("a", "b"):
-        links = links.join(copies.withColumnRenamed("doc", side), side, "left").withColumn(side, F.coalesce("first", side)).drop("first")
-    links = settled(links.where("a <> b").distinct())
-    points = facts.where(F.col("kind") == SIZES).select(F.col("a").alias("doc"), F.col("b").alias("n"), "point")
-    tops = settled(_joined(docs, points, links, k, num, den, chunk))
-    release(docs.sparkSession)
+    here = settled(of(COPY_HERE, "doc", "here").groupBy("doc").agg(F.min("here").alias("here")))
+    edges = of(LINK, "a", "b").unionByName(copies.toDF("a", "b"))
+    groups = candidates(facts, edges, num, den)
+    # Only the first of equal sets takes part; its copies hang on it.
+    distinct = groups.join(copies.select("doc"), "doc", "left_anti").join(here.select("doc"), "doc", "left_anti")
+    several = distinct.groupBy("grp").count().where("count > 1").select("grp")
+    finer = settled(distinct.join(several, "grp"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("payload"))
+    sized = finer.join(sizes.groupBy("doc").agg(F.max("n").alias("n")), "doc").withColumn("weight", F.col("n"))
+    tops = settled(_classes(settled(sized.join(texts, "doc")), k, num, den, chunk))
     # Copies of a task hang on its first one, those on the first of all, and that on the top of its class.
     nodes = copies.select(F.col("doc").alias("node"), "first").unionByName(tops.select(F.col("doc").alias("node"), F.col("doc").alias("first")))
     roots = (
@@ -400,7 +519,6 @@ def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, chu
         .groupBy("node")
         .agg(F.min(F.coalesce("top", "first")).alias("root"))
     )
-    here = of(COPY_HERE, "doc", "here").groupBy("doc").agg(F.min("here").alias("here"))
     return (
         sizes.join(here, "doc", "left")
         .withColumn("node", F.coalesce("here", "doc"))
@@ -409,22 +527,51 @@ def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, chu
     )
 
 
-def _joined(docs: DataFrame, points: DataFrame, links: DataFrame, k: int, num: int, den: int, chunk: int) -> DataFrame:
-    """(doc, top) for candidates in links: the class of each after the bound and then exact comparison."""
-    groups = connected(links).select(F.col("node").alias("doc"), F.col("root").alias("grp"))
-    once = points.where("n > 0").dropDuplicates(["doc", "n", "point"])
-    near = _classes(groups.join(once.withColumnRenamed("point", "payload"), "doc").withColumn("weight", F.lit(1)), None, num, den, max(2, min(POINTS, chunk)))
-    several = near.groupBy("top").count().where("count > 1").select("top")
-    finer = settled(near.join(several, "top").select("doc", F.col("top").alias("grp")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("payload"))
-    sized = finer.join(once.groupBy("doc").agg(F.max("n").alias("n")), "doc").withColumn("weight", F.col("n"))
-    rows = settled(sized.join(texts, "doc"))
-    release(docs.sparkSession)
-    return _classes(rows, k, num, den, chunk)
+def candidates(facts: DataFrame, edges: DataFrame, num: int, den: int, block: int = POINTS) -> DataFrame:
+    """(doc, grp): documents that edges or boxes within the bound join; documents that nothing joins are not in it."""
+    boxes = facts.where(F.col("kind") == BOX).select(F.col("a").alias("doc"), F.col("b").alias("least"), "top")
+    seen = facts.where(F.col("kind") == MET).select(F.col("a").alias("doc"), F.col("b").alias("head"), F.col("c").alias("sig"))
+    side = lambda name: boxes.withColumnsRenamed({"doc": name, "least": f"{name}_least", "top": f"{name}_top"})
+    pairs = seen.where("doc <> head").select("doc", "head").distinct().join(side("doc"), "doc").join(side("head"), "head")
 
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _classes(rows: DataFrame, k: int | None, num: int, den: int, chunk: int) -> DataFrame:
-    """(doc, top) of rows (grp, doc, n, weight, payload); payloads are points where k is null, else texts."""
+        for batch in batches:
+            tops = [[np.frombuffer(x, np.uint32) for x in batch.column(i).to_pylist()] for i in (3, 5)]
+            least = [batch.column(i).to_numpy() for i in (2, 4)]
+            ok = pa.array(_allowed(tops[0], least[0], tops[1], least[1], num, den), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ok], names=["doc", "head", "ok"])
+
+    compared = settled(pairs.select("doc", "head", "doc_least", "doc_top", "head_least", "head_top").mapInArrow(compare, "doc long, head long, ok boolean"))
+    joined = settled(edges.unionByName(compared.where("ok").select(F.col("doc").alias("a"), F.col("head").alias("b"))))
+    first = settled(connected(joined))
+    # Signatures under which documents met that the bound keeps apart, if they are of different groups.
+    apart = seen.join(compared.where("not ok"), ["doc", "head"], "left_semi").select("sig").distinct()
+    placed = seen.join(apart, "sig", "left_semi").join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    several = placed.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("sig")
+    met_again = settled(seen.join(several, "sig", "left_semi").select("sig", "doc"))
+    if not met_again.isEmpty():
+        rows = blocked(met_again.join(boxes, "doc").withColumnRenamed("doc", "id"), None, ["sig"], block)
+
+        def within_signature(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for (_, i, j), members in _groups(batches, 3):
+                own = [m for m in members if i != j or m[0] == 0]
+                ids = [m[1] for m in own]
+                label = classes_within(Items([m[3] for m in own], [m[2] for m in own], None, num, den))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([ids[x] for x in label], pa.int64())], names=["a", "b"])
+
+        keys = ["sig", "i", "j"]
+        found = rows.select(*keys, "side", "id", "least", "top").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(within_signature, "a long, b long")
+        more = settled(found.where("a <> b").distinct())
+        first = connected(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return first.select(F.col("node").alias("doc"), F.col("root").alias("grp"))
+
+
+def _classes(rows: DataFrame, k: int, num: int, den: int, chunk: int) -> DataFrame:
+    """(doc, top) of rows (grp, doc, n, weight, payload): the least document that exact links within a group reach."""
     rows = _dealt(rows.join(_n_chunks(rows, chunk), "grp"), 0)
     first = settled(_linked_rows(_within_chunks(rows, k, num, den)))
     large = rows.where("chunks > 1")

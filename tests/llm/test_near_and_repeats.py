@@ -6,8 +6,7 @@ import numpy as np
 import pytest
 
 from fotolake.llm import ngram_join
-from fotolake.llm.components import connected
-from fotolake.llm.ngram_join import CountTree, Items, classes_within, jaccard_groups, keep_first, point_of
+from fotolake.llm.ngram_join import Cells, CountTree, Items, classes_within, connected, jaccard_groups, keep_first, point_of, signatures
 from fotolake.llm.shingles import mixed
 from fotolake.llm.suffix_dedup import LENGTH, cut_repeats, least_owners, segments
 from fotolake.llm.suffixes import permuted_lcp, shard, suffix_array
@@ -76,11 +75,28 @@ def test_keep_first_and_empty(make):
     assert jaccard_groups(make([])).count() == 0
 
 
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_linked_sets_share_a_signature_and_others_none(num, den):
+    rng = np.random.default_rng(num)
+    cells = Cells(num, den)
+    fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for n in [1, 2, 3, 4, 5, 6, 7, 9, 11, 15, 20, 33, 60, 100, 300, 1000, 3000, 12000]:
+        for _ in range(60 if n < 100 else 8):
+            a = np.unique(fresh(n))
+            # As far apart as a link allows: either by replaced members or by added ones.
+            swap = (den - num) * n // (den + num)
+            b = np.unique(np.concatenate((a[rng.permutation(n)][: n - swap], fresh(swap))))
+            c = np.unique(np.concatenate((a, fresh(n * (den - num) // num))))
+            sig, owner = signatures([a, b, c, np.unique(fresh(n))], cells)
+            own = [set(sig[owner == i].tolist()) for i in range(4)]
+            assert own[0] & own[1] and own[0] & own[2] and not own[3] & (own[0] | own[1] | own[2])
+
+
 def test_tree_loses_no_link():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
     sets = [np.unique(np.concatenate((base[rng.random(len(base)) < 0.97], rng.integers(0, 2**63, rng.integers(0, 8)).astype(np.uint64)))) for _ in range(150)]
-    tree = CountTree([len(s) for s in sets], [point_of(s) for s in sets])
+    tree = CountTree([len(s) for s in sets], [point_of(s, 64) for s in sets])
     for i in range(0, 150, 7):
         near = set(tree.within(tree.points[i], len(sets[i]), 9, 10).tolist())
         true = {j for j in range(150) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j]))}
