@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
 from . import lm_score as _lm
@@ -115,6 +116,15 @@ def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quotes.link_quotes(table(spark, sf_dir, "conversations"))
 
 
+def quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking over conversations in which two of three messages quote the one before the last."""
+    told = table(spark, sf_dir, "conversations")
+    before = told.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("quoted"))
+    quoting = F.concat(F.lit("> "), F.regexp_replace("quoted", "\n", "\n> "), F.lit("\n\n"), F.col("text"))
+    text = F.when(F.col("quoted").isNotNull() & (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)) > 0), quoting).otherwise(F.col("text"))
+    return _quotes.link_quotes(told.join(before, ["conv_id", "turn"], "left").withColumn("text", text).drop("quoted"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lm.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -150,6 +160,7 @@ QUERIES: dict[str, Query] = {
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op2_quote_links": op2_quote_links,
+    "quoted_threads": quoted_threads,
     "op9_lm_score": op9_lm_score,
     "op10_ngram_join": op10_ngram_join,
     "op1_packing": op1_packing,

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fotolake.operators.windows import numbered
+
 from .common import settled, text_of
 
 #: Turns of a block.
@@ -76,7 +78,8 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
 
     text is the message without its quotations. reply_to is the turn that its first linked passage of the lowest level
     quotes, else the turn before in the conversation. A message that does not reply to the turn before opens a branch,
-    named by its turn; others stay in the branch of the turn before; branch 0 opens a conversation. position numbers the
+    named by its turn; others stay in the branch of the turn before; branch 0, or the least turn if that is negative, opens
+    a conversation. Quoted lines without anything behind the signs are no passage. position numbers the
     messages of a conversation from 0, branch by branch and by turn within, so a reply never comes before what it
     answers. conversations has conv_id, turn, role and text; other columns are ignored. Null text counts as empty, equal
     rows are one message, different ones of one turn share their reply_to and branch rules and follow each other by
@@ -103,7 +106,7 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     )
     offers = written.select(
         "conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n")))).alias("passage")
-    ).select("conv_id", "turn", F.xxhash64(normalised(F.col("passage"))).alias("hash"), F.sha1(normalised(F.col("passage"))).alias("digest")).where(F.length("digest") > 0)
+    ).select("conv_id", "turn", normalised(F.col("passage")).alias("passage")).where("passage <> ''").select("conv_id", "turn", F.xxhash64("passage").alias("hash"), F.sha1("passage").alias("digest"))
     found = latest_before(asks, offers, ["conv_id", "hash", "digest"])
     # The passage as a whole decides; where it has no original, the latest one of its lines does.
     by_passage = found.groupBy("conv_id", "turn", "part", "run").agg(
@@ -134,13 +137,13 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
 
 
 def _asked(parts: DataFrame) -> DataFrame:
-    """Hashes of quoted passages, whole and by line."""
+    """Hashes of quoted passages, whole and by line; what holds nothing but quote signs asks for nothing."""
     quoted = parts.where("level > 0").select(
         "conv_id", "turn", "part", "run", "level", "first",
         F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.array_join("bodies", "\n").alias("s"))), F.transform("bodies", lambda b: F.struct(F.lit(False).alias("whole"), b.alias("s"))))).alias("x"),
     )
     text = normalised(F.col("x.s"))
-    return quoted.select("conv_id", "turn", "part", "run", "level", "first", F.col("x.whole").alias("whole"), F.xxhash64(text).alias("hash"), F.sha1(text).alias("digest"), F.length(text).alias("size")).where("whole or size > 0").drop("size")
+    return quoted.select("conv_id", "turn", "part", "run", "level", "first", F.col("x.whole").alias("whole"), F.xxhash64(text).alias("hash"), F.sha1(text).alias("digest"), F.length(text).alias("size")).where("size > 0").drop("size")
 
 
 def _ordered(full: DataFrame) -> DataFrame:
@@ -151,14 +154,13 @@ def _ordered(full: DataFrame) -> DataFrame:
     turns = settled(turns.withColumn("opens", F.col("before").isNotNull() & (F.col("reply_to") != F.col("before"))))
     opened = turns.where("opens").select("conv_id", "turn")
     inside = latest_before(turns.select("conv_id", "turn", "reply_to", "opens"), opened, ["conv_id"])
-    branches = inside.select("conv_id", "turn", "reply_to", F.when(F.col("opens"), F.col("turn")).otherwise(F.coalesce("origin", F.lit(0))).alias("branch"))
-    rows = full.join(branches, ["conv_id", "turn"]).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    sizes = rows.groupBy("conv_id", "branch", "block").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("conv_id").orderBy("branch", "block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("conv_id", "branch", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    local = F.row_number().over(Window.partitionBy("conv_id", "branch", "block").orderBy("turn", "role", "text", "part")) - 1
-    return (
-        rows.withColumn("local", local)
-        .join(sizes, ["conv_id", "branch", "block"])
-        .select("conv_id", "turn", "role", "n_quoted", "n_linked", "deepest", "reply_to", "branch", (F.col("ahead") + F.col("local")).cast("long").alias("position"), "text")
+    # Where turns are negative, the branch that opens a conversation is its least one.
+    least = turns.where("turn < 0").groupBy("conv_id").agg(F.min("turn").alias("least"))
+    inside = inside.join(least, "conv_id", "left")
+    branches = inside.select("conv_id", "turn", "reply_to", F.when(F.col("opens"), F.col("turn")).otherwise(F.coalesce("origin", "least", F.lit(0))).alias("branch"))
+    # All messages are numbered in one order over ranges of it, so a conversation may be longer than any task.
+    rows = settled(numbered(full.join(branches, ["conv_id", "turn"]), ["conv_id", "branch", "turn", "role", "text", "part"], "number"))
+    first = rows.groupBy("conv_id").agg(F.min("number").alias("first"))
+    return rows.join(first, "conv_id").select(
+        "conv_id", "turn", "role", "n_quoted", "n_linked", "deepest", "reply_to", "branch", (F.col("number") - F.col("first")).cast("long").alias("position"), "text"
     )
