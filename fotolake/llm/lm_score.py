@@ -6,8 +6,8 @@ over classes of numbers and one within the class. A word with a number of its ow
 by its number; any other has the share of its occurrences among those of its shape, over all texts, so each word of the
 corpus has a probability of its own. Its count is looked up by a join on hashed words, not from a table in every task.
 
-Training runs in rounds of parameter averaging. The places of every text are dealt to the rounds, so each is predicted in
-one round; the tasks' parameters are summed in Spark by stretches of the parameter vector, weighted by their windows, so
+Training runs in rounds of parameter averaging. Each task's texts are dealt to the rounds, so each place is predicted in one
+round; the tasks' parameters are summed in Spark by stretches of the parameter vector, weighted by their windows, so
 the driver sees one vector however many tasks there are.
 A document's score is the sum over all its words of log p(word | both sides).
 """
@@ -16,25 +16,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import isqrt, sqrt
-from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, text_of
+from .common import settled, text_of, tidy
 from .quality import _hash, shape
 
 SIDE = 2
-HIDDEN = 32
+HIDDEN = 16
 CLASSES = 16
 ROUNDS = 3
-BATCH = 2048
+#: Most and least words of a training step; steps grow with the words that a task has seen in a round.
+BATCH, LEAST_BATCH = 8192, 512
 RATE = 0.1
 #: Occurrences from which a word has a number of its own: this share of all words, or their square root if that is less,
 #: so that the vocabulary grows with the corpus.
 WORD_SHARE = 2e-3
-TEXTS = 256
+#: Texts of a packed row, and words from which a text ends one.
+TEXTS, LONG = 256, 100_000
 STRETCHES = 16
 #: Words held before a task sends them on, and most words that a worker remembers.
 HELD = 1_500_000
@@ -75,7 +76,7 @@ class Network:
     def _by_class(self, word: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
         """Order by class, (class, from, to) of its stretches, and the slots in the classes in that order."""
         group = word % self.classes
-        order = np.argsort(group, kind="stable")
+        order = _in_order(group, self.classes)
         cuts = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
         return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b], word[order] // self.classes
 
@@ -111,12 +112,13 @@ class Network:
             sums += slope * slope
             value -= rate * slope / np.sqrt(sums)
         for place in range(2 * SIDE):
-            by = np.argsort(context[:, place], kind="stable")
+            by = _in_order(context[:, place], self.size)
             c = context[by, place]
             first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
             slope, at = np.add.reduceat(back[by], first, axis=0), c[first]
-            past.embed[place, at] += slope * slope
-            self.embed[place, at] -= rate * slope / np.sqrt(past.embed[place, at])
+            sums = past.embed[place, at] + slope * slope
+            past.embed[place, at] = sums
+            self.embed[place, at] -= rate * slope / np.sqrt(sums)
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
@@ -138,15 +140,18 @@ def _slope(z: np.ndarray, hit: np.ndarray, n: int) -> np.ndarray:
 AROUND = np.array([d for d in range(-SIDE, SIDE + 1) if d])
 
 
-def laid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts in a row with BEYOND around each, the places of their words, and each word's number within its text."""
-    sizes = np.array([len(x) for x in texts])
+def laid(sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in a row with BEYOND around each, and the places of their words; numbers are those of all words."""
     begin = np.cumsum(sizes + 2 * SIDE) - sizes - SIDE
-    flat = np.full(int(sizes.sum()) + 2 * SIDE * len(texts), BEYOND, np.int32)
-    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    places = np.repeat(begin, sizes) + within
-    flat[places] = np.concatenate(texts) if len(texts) else 0
-    return flat, places, within
+    flat = np.full(int(sizes.sum()) + 2 * SIDE * len(sizes), BEYOND, np.int32)
+    places = np.arange(sizes.sum()) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+    flat[places] = numbers
+    return flat, places
+
+
+def _in_order(x: np.ndarray, below: int) -> np.ndarray:
+    """A stable order; small numbers are sorted by digits."""
+    return np.argsort(x.astype(np.uint16) if below <= 1 << 16 else x, kind="stable")
 
 
 def windows(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -160,20 +165,48 @@ class _Keys(dict):
         return found
 
 
-class Keys:
-    """Keys of words: 56 bits of their hash and the shape."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows (ids, sizes, keys) of some texts each: doc_ids, words of each text, and the keys of all their words (56 bits of a
+    word's hash, and its shape). Texts are cut into words here, once; later passes read the keys."""
+
+    def task(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def __init__(self):
-        self.cache = _Keys()
+        cache = _Keys()
+        ids: list[int] = []
+        held: list[np.ndarray] = []
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of a text's words, and which words equal the one before."""
-        words = text.encode("utf-8", "surrogatepass").split()
-        if len(self.cache) > CACHE_ITEMS:
-            self.cache.clear()
-        again = np.zeros(len(words), bool)
-        again[1:] = np.fromiter(map(eq, words, words[1:]), bool, max(len(words) - 1, 0))
-        return np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words)), again
+        def flush() -> pa.RecordBatch:
+            row = np.array(ids, np.int64), np.array([len(x) for x in held], np.int64), np.concatenate(held)
+            ids.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["ids", "sizes", "keys"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if len(cache) > CACHE_ITEMS:
+                        cache.clear()
+                    words = text.split()
+                    # A null doc_id is the least number.
+                    ids.append(NO_ID if i is None else i)
+                    held.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+                    if len(ids) == TEXTS or len(words) > LONG:
+                        yield flush()
+        if ids:
+            yield flush()
+
+    return _rows(docs).mapInArrow(task, "ids binary, sizes binary, keys binary")
+
+
+def repeats(sizes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which words equal the one before them in their text."""
+    again = np.zeros(len(keys), bool)
+    again[1:] = keys[1:] == keys[:-1]
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    again[starts] = False
+    return again
 
 
 class Numbers:
@@ -202,27 +235,25 @@ def _stretches(by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(by[order[a]]), order[a:b]
 
 
-def _numbered(batches: Iterator, numbers: Numbers) -> Iterator[tuple[list, list[np.ndarray], list[np.ndarray]]]:
-    """(doc_ids, numbers of the words of each text, their keys), some texts at a time."""
-    keys = Keys()
+def _read(batches: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The arrays of each row of keyed()."""
     for batch in batches:
-        for at in range(0, batch.num_rows, TEXTS):
-            part = batch.slice(at, TEXTS)
-            found = [keys.of(t) for t in part.column(1).to_pylist()]
-            yield part.column(0).to_pylist(), [numbers.of(*x) for x in found], [x[0] for x in found]
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield tuple(np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.int64, np.uint64), strict=True))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    """doc_id and the text's bytes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
 
 
-def word_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, keys, counts), one per part: all words of all texts, without those that equal the one before."""
+def word_counts(texts: DataFrame, parts: int) -> DataFrame:
+    """Rows (part, keys, counts), one per part: all words of all texts (as keyed), without those that equal the one before."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known, held, size = Keys(), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
@@ -230,16 +261,13 @@ def word_counts(docs: DataFrame, parts: int) -> DataFrame:
             part, x, y = zip(*((p, keys[at].tobytes(), n[at].astype(np.int64).tobytes()) for p, at in _stretches(_part(keys, parts))), strict=True)
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["part", "keys", "counts"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                for text in batch.column(1).slice(at, TEXTS).to_pylist():
-                    keys, again = known.of(text)
-                    if len(keys):
-                        held.append(keys[~again])
-                        size += len(held[-1])
-                    if size > HELD:
-                        yield flush()
-                        size = 0
+        for _, sizes, keys in _read(batches):
+            if len(keys):
+                held.append(keys[~repeats(sizes, keys)])
+                size += len(held[-1])
+            if size > HELD:
+                yield flush()
+                size = 0
         if held:
             yield flush()
 
@@ -260,7 +288,7 @@ def word_counts(docs: DataFrame, parts: int) -> DataFrame:
             )
 
     schema = "part int, keys binary, counts binary"
-    return _rows(docs).mapInArrow(count, schema).repartitionById(parts, "part").mapInArrow(reduce, schema)
+    return texts.mapInArrow(count, schema).repartitionById(parts, "part").mapInArrow(reduce, schema)
 
 
 def vocabulary(counted: DataFrame) -> tuple[Numbers, np.ndarray]:
@@ -287,10 +315,13 @@ def vocabulary(counted: DataFrame) -> tuple[Numbers, np.ndarray]:
     return Numbers(np.sort(key[kind == 1].astype(np.int64).view(np.uint64))), others
 
 
-def fit(docs: DataFrame, numbers: Numbers, rounds: int = ROUNDS) -> Network:
-    """Trains the network on every place of all documents, each in one of the rounds."""
-    spark = docs.sparkSession
-    rows = _rows(docs)
+def step(seen: int) -> int:
+    return min(BATCH, max(LEAST_BATCH, seen // 8))
+
+
+def fit(texts: DataFrame, numbers: Numbers, rounds: int = ROUNDS) -> Network:
+    """Trains the network on every place of all texts (as keyed), each in one of the rounds."""
+    spark = texts.sparkSession
     network = Network(SHAPE_NUMBERS + len(numbers.frequent) - 1)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((numbers, network.vector, network.size))
@@ -303,20 +334,22 @@ def fit(docs: DataFrame, numbers: Numbers, rounds: int = ROUNDS) -> Network:
             own, seen = Network(size, vector.copy()), 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
             waiting = 0
-            for _, texts, _ in _numbered(batches, known):
-                flat, places, within = laid(texts)
-                places = places[within % rounds == turn]
+            for row, (_, sizes, keys) in enumerate(_read(batches)):
+                if row % rounds != turn:
+                    continue
+                flat, places = laid(sizes, known.of(keys, repeats(sizes, keys)))
                 held.append((windows(flat, places), flat[places]))
                 waiting += len(places)
-                if waiting >= BATCH:
+                if waiting >= step(seen):
                     context, word = map(np.concatenate, zip(*held, strict=True))
-                    cut = waiting // BATCH * BATCH
-                    for at in range(0, cut, BATCH):
-                        own.train(context[at : at + BATCH], word[at : at + BATCH], RATE / (1 + turn))
-                    held, waiting, seen = [(context[cut:], word[cut:])], waiting - cut, seen + cut
+                    at = 0
+                    while waiting - at >= (n := step(seen)):
+                        own.train(context[at : at + n], word[at : at + n], RATE / (1 + turn))
+                        at, seen = at + n, seen + n
+                    held, waiting = [(context[at:], word[at:])], waiting - at
             if waiting:
                 context, word = map(np.concatenate, zip(*held, strict=True))
-                own.train(context, word, RATE / (1 + turn) * waiting / BATCH)
+                own.train(context, word, RATE / (1 + turn) * waiting / step(seen))
                 seen += waiting
             if seen:
                 cuts = np.linspace(0, len(vector), STRETCHES + 1).astype(int)
@@ -340,8 +373,9 @@ def fit(docs: DataFrame, numbers: Numbers, rounds: int = ROUNDS) -> Network:
                 yield pa.RecordBatch.from_arrays([pa.array([stretch], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["stretch", "vector"])
 
         # In the order of tasks, so that sums of floats agree from run to run.
-        met = rows.mapInArrow(learn, "stretch int, task long, n long, vector binary").repartitionById(STRETCHES, "stretch")
-        found = met.sortWithinPartitions("stretch", "task").mapInArrow(add, "stretch int, vector binary").orderBy("stretch").collect()
+        met = texts.mapInArrow(learn, "stretch int, task long, n long, vector binary").repartitionById(STRETCHES, "stretch")
+        with tidy(spark):
+            found = met.sortWithinPartitions("stretch", "task").mapInArrow(add, "stretch int, vector binary").orderBy("stretch").collect()
         if found:
             network = Network(network.size, np.concatenate([np.frombuffer(r["vector"], np.float32) for r in found]).copy())
     return network
@@ -354,9 +388,10 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     texts are scored whole, repeated rows each. An empty table gives no rows.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = settled(word_counts(docs, parts))
+    texts = settled(keyed(docs))
+    counted = settled(word_counts(texts, parts))
     numbers, others = vocabulary(counted)
-    sent = docs.sparkSession.sparkContext.broadcast((numbers, fit(docs, numbers, rounds), np.log(np.maximum(others, 1))))
+    sent = docs.sparkSession.sparkContext.broadcast((numbers, fit(texts, numbers, rounds), np.log(np.maximum(others, 1))))
 
     def score(batches: Iterator) -> Iterator:
         """Rows (block, part, x, y, z): the texts of a block (part -1: doc_id, words, ln p so far), and by part the keys of
@@ -381,18 +416,16 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([task << 32 | turn] * len(rows), pa.int64()), pa.array(part, pa.int32()), *[pa.array(c, pa.binary()) for c in (x, y, z)]], names=["block", "part", "x", "y", "z"])
 
-        for ids, texts, keys in _numbered(batches, known):
-            sizes = np.array([len(x) for x in texts], np.int64)
-            flat, places, _ = laid(texts)
+        for ids, sizes, key in _read(batches):
+            flat, places = laid(sizes, known.of(key, repeats(sizes, key)))
             lots = [places[at : at + BATCH] for at in range(0, len(places), BATCH)]
             p = np.concatenate([network.log_p(windows(flat, x), flat[x]) for x in lots] or [np.empty(0)]).astype(float)
-            owner, number, key = np.repeat(np.arange(len(texts)), sizes), flat[places], np.concatenate(keys)
+            owner, number = np.repeat(np.arange(len(ids)), sizes), flat[places]
             open_ = number < AGAIN
             p[open_] -= shapes[number[open_] - 1]
-            # A null doc_id is the least number.
-            texts_held.append((np.array([NO_ID if i is None else i for i in ids], np.int64), sizes, np.bincount(owner, p, len(texts))))
+            texts_held.append((ids, sizes, np.bincount(owner, p, len(ids))))
             held.append((key[open_], owner[open_] + size))
-            size += len(texts)
+            size += len(ids)
             if sum(len(x[0]) for x in held) > HELD or size > HELD:
                 yield flush()
                 turn, size = turn + 1, 0
@@ -434,7 +467,7 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             yield rows(*held)
 
     schema = "block long, part int, x binary, y binary, z binary"
-    scored = settled(_rows(docs).mapInArrow(score, schema))
+    scored = settled(texts.mapInArrow(score, schema))
     counts = counted.select(F.lit(-1).cast("long").alias("block"), "part", F.col("keys").alias("x"), F.col("counts").alias("y"), F.lit(b"").alias("z"))
     asked = counts.unionByName(scored.where("part >= 0")).repartitionById(parts, "part").sortWithinPartitions("part", "block")
     met = scored.where("part < 0").unionByName(asked.mapInArrow(look, schema))
