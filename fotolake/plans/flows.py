@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotolake.catalog import Catalog, with_tables
+from fotolake.operators import images
 from fotolake.plans.search import SCORE_SQL
 from fotolake.sources import files
 from fotolake.streaming import flows
@@ -14,7 +18,36 @@ def _of(f):
     return lambda spark, sf_dir: f(Catalog(spark, sf_dir))
 
 
+def lightroom(t):
+    """The tables of a source catalog, derived from the photos."""
+    p, i = t.photos, F.col("id")
+    word = lambda name, kind, n: t.events.where(f"event_id < {n}").select(F.col("event_id").alias("id_local"), F.concat(F.lit(name), F.col("event_id").cast("string")).alias("name"), kind)
+    text = F.format_string("%04d-%02d-%02dT%02d:%02d:00.5", 1999 + i % 20, 1 + i % 12, 1 + i % 31, i % 24, i % 60)
+    return {
+        "Adobe_images": p.select(i.alias("id_local"), i.alias("rootFile"), text.alias("captureTime"), (i % 6).cast("string").alias("rating"), (i % 3 - 1).cast("string").alias("pick"), F.element_at(F.array(F.lit("Red"), F.lit("ירוק"), F.lit("odd"), F.lit("")), (i % 4 + 1).cast("int")).alias("colorLabels")),
+        "AgLibraryFile": p.select(i.alias("id_local"), (i % 7).alias("folder"), F.concat(F.lit("IMG_"), i.cast("string")).alias("baseName"), F.lit("jpg").alias("extension")),
+        "AgLibraryFolder": t.events.where("event_id < 7").select(F.col("event_id").alias("id_local"), (F.col("event_id") % 2).alias("rootFolder"), F.concat(F.col("event_id").cast("string"), F.lit("/")).alias("pathFromRoot")),
+        "AgLibraryRootFolder": t.events.where("event_id < 2").select(F.col("event_id").alias("id_local"), F.concat(F.lit("/r"), F.col("event_id").cast("string"), F.lit("/")).alias("absolutePath")),
+        "AgHarvestedExifMetadata": p.where("id % 2 = 0").select(i.alias("image"), F.col("lat").alias("gpsLatitude"), F.col("lng").alias("gpsLongitude")),
+        "AgLibraryIPTC": p.where("id % 3 = 0").select(i.alias("image"), F.when(i % 2 == 0, F.concat(F.lit("c"), i.cast("string"))).otherwise("").alias("caption")),
+        "AgLibraryKeyword": word("k", F.when(F.col("event_id") % 3 == 0, "person").alias("keywordType"), 9),
+        "AgLibraryKeywordImage": p.where("id % 4 < 2").select(i.alias("image"), (i % 9).alias("tag")).unionByName(p.where("id % 4 = 1").select(i.alias("image"), ((i + 4) % 9).alias("tag"))),
+        "AgLibraryCollection": word("set", F.lit("com.adobe.ag.library.collection").alias("creationId"), 5).withColumn("systemOnly", F.when(F.col("id_local") == 2, 1.0).otherwise(0.0)).withColumn("name", F.when(F.col("id_local") == 3, "Quick Collection").otherwise(F.col("name"))),
+        "AgLibraryCollectionImage": p.where("id % 2 = 1").select(i.alias("image"), (i % 6).alias("collection")),
+    }
+
+
+def grey_pictures(t):
+    """A grey picture of 24 x 24 per document, its sixteen shades from a digest of the text."""
+    shades = F.unhex(F.repeat(F.md5(F.coalesce("text", F.lit(""))), F.lit(36)))
+    return t.documents.select(F.col("doc_id").cast("string").alias("origin"), F.lit(24).alias("width"), F.lit(24).alias("height"), F.lit(1).alias("nChannels"), shades.alias("data"))
+
+
 QUERIES = {
+    "s01_catalog_scan": lambda spark, sf_dir: reduce(DataFrame.unionByName, [f.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, f in files.catalog_scan(spark, sf_dir, ["events", "embeddings", "documents"]).items()]),
+    "s10_lightroom": _of(lambda t: files.lightroom_import(lightroom(t))),
+    "s12_import_summary": _of(lambda t: files.import_summary(files.lightroom_import(lightroom(t)), t.photos.where("id % 3 > 0").select(F.concat(F.lit("/r"), (F.col("id") % 7 % 2).cast("string"), F.lit("/"), (F.col("id") % 7).cast("string"), F.lit("/IMG_"), F.col("id").cast("string"), F.lit(".jpg")).alias("path"), F.col("bytes").alias("size")))),
+    "m01_measures": _of(lambda t: images.measure(grey_pictures(t)).select(F.col("origin").cast("long").alias("doc_id"), F.round("luma", 6).alias("luma"), F.round("p5", 6).alias("p5"), F.round("p95", 6).alias("p95"), F.round("saturation", 6).alias("saturation"))),
     "s13_xmp_round_trip": _of(lambda t: files.xmp_fields(files.xmp_write(t).withColumnRenamed("packet", "value")).select("id", "rating", "label", F.size("subjects").cast("long").alias("subjects"), "description")),
     "s16_exif_fields": _of(lambda t: files.exif_fields(t.photos.select("id", F.when(F.col("id") % 5 > 0, F.to_json(F.struct(F.struct(F.col("camera_model").alias("Model")).alias("Image"), F.struct(F.col("lens").alias("LensModel"), F.concat(F.col("focal_length").cast("int").cast("string"), F.lit("/2")).alias("FocalLength"), (F.col("id") % 1600).cast("string").alias("ISOSpeedRatings")).alias("Exif")))).alias("exif_json"))).select("id", "read", "model", "lens", "focal_length", "iso")),
     "s17_export_manifest": _of(lambda t: files.export_manifest(t.photos)),
@@ -28,6 +61,21 @@ QUERIES = {
 SQL = {
     k: with_tables(v)
     for k, v in {
+        "s01_catalog_scan": "select 'events' as name, count(*) as n from events union all select 'embeddings', count(*) from embeddings union all select 'documents', count(*) from documents",
+        "s10_lightroom": """
+with k as (select id as image, id % 9 as tag from photos where id % 4 < 2 union select id, (id + 4) % 9 from photos where id % 4 = 1)
+select id, '/r' || (id % 7 % 2) || '/' || (id % 7) || '/IMG_' || id || '.jpg' as path,
+  epoch(try_cast(printf('%04d-%02d-%02d %02d:%02d:00', 1999 + id % 20, 1 + id % 12, 1 + id % 31, id % 24, id % 60) as timestamp))::bigint as taken, (id % 6)::int as rating, (id % 3 - 1)::int as flag,
+  case id % 4 when 0 then 'red' when 1 then 'green' end as label, case when id % 2 = 1 and id % 6 = 3 then 1 else 0 end as quick, case when id % 2 = 0 then lat end as lat, case when id % 2 = 0 then lng end as lng,
+  case when id % 6 = 0 then 'c' || id end as description,
+  coalesce((select list_sort(list('k' || tag)) from k where image = id and tag % 3 <> 0), []) as keywords, coalesce((select list_sort(list('k' || tag)) from k where image = id and tag % 3 = 0), []) as people,
+  case when id % 2 = 1 and id % 6 = 1 then ['set1'] else [] end as collections from photos""",
+        "s12_import_summary": """
+with k as (select id as image, id % 9 as tag from photos where id % 4 < 2 union select id, (id + 4) % 9 from photos where id % 4 = 1)
+select count(*) as images, count(*) filter (id % 3 = 0) as missing, coalesce(sum(bytes) filter (id % 3 > 0), 0)::bigint as bytes, (select count(distinct tag) from k where tag % 3 <> 0) as words from photos""",
+        "m01_measures": """
+with b as (select doc_id, list_transform(range(0, 16), lambda i: ('0x' || substr(md5(coalesce(text, '')), (i * 2 + 1)::int, 2))::int) as v from documents)
+select doc_id, round(list_avg(v), 6) as luma, list_min(v)::double as p5, list_max(v)::double as p95, 0.0::double as saturation from b""",
         "s13_xmp_round_trip": """
 with w as (select photo_id, name as w from photo_tags join tags on tags.id = tag_id union select photo_id, name from photo_people join people on people.id = person_id union select photo_id, 'Album/' || name from photo_albums join albums on albums.id = album_id),
 s as (select id, rating, nullif(label, '') as label, (select count(*) from w where photo_id = photos.id) as subjects, description from photos)

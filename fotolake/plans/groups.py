@@ -37,6 +37,15 @@ def ai_bridge(t):
     return t.photo_tags.withColumn("source", F.when(F.col("photo_id") % 2 == 0, "ai").otherwise(F.col("source")))
 
 
+def lengths(contents):
+    """A model for embed_batch: one number per picture; it fails on texts about errors."""
+    import numpy as np
+
+    if any(b"error" in c for c in contents):
+        raise ValueError("no vector")
+    return np.array([[float(len(c))] for c in contents])
+
+
 QUERIES = {
     "x01_photo_people": _of(gr.photo_person_union),
     "x02_hits": _of(lambda t: gr.hits_intersect(t.photos.where("id % 3 = 0").select("id", (F.col("score") / 200.0).alias("score")), t.photos.where("id % 5 = 0").select("id"), t.photos.where("rating > 1"))),
@@ -67,6 +76,12 @@ QUERIES = {
     "u09_apply_geotags": _of(lambda t: mu.apply_geotags(t.photos, t.photos.select("id", (F.col("id") % 100).cast("double").alias("lat"), (F.col("id") % 200).cast("double").alias("lng"))).select("id", "lat", "lng")),
     "u10_delete_forever": _of(lambda t: mu.delete_forever(t.photos, {"photo_tags": t.photo_tags}, t.photos.where("id % 2 = 0"))["photo_tags"]),
     "u11_album_add": _of(lambda t: mu.album_add(t.photo_albums, 3, t.photos.where("rating = 5"))),
+    "u11_album_create": _of(lambda t: mu.album_rename(mu.album_create(t.albums, "Holiday"), 3, "Third")),
+    "u11_album_delete": _of(lambda t: mu.album_delete(t.albums, t.photo_albums, 4)[1]),
+    "u11_tag_links": _of(lambda t: mu.tag_link_remove(mu.tag_link_add(t.tag_links, t.tags, t.people.select(F.lower(F.element_at(F.split("name", " "), 1)).alias("x"), F.lit("BEACH 4").alias("y")))[0], t.tag_links.where("a = 5"))),
+    "u11_saved_delete": _of(lambda t: mu.saved_search_delete(t.events.select(F.col("event_type").alias("name"), F.col("event_id").alias("made")), t.events.where("event_id % 1000 = 3").select(F.col("event_type").alias("name")))),
+    "v05_embed_batch": _of(lambda t: vc.embed_batch(t.photos.where("id % 5 = 0").select("id", "sha256", F.col("description").cast("binary").alias("content")), lengths).select("id", "sha256", F.col("embedding")[0].cast("double").alias("length"))),
+    "g01_members": _of(lambda t: gr.similar_groups(t.photos)[1]),
     "u11_saved_search": _of(lambda t: mu.saved_search_upsert(t.events.select((F.col("user_id") % 30).cast("string").alias("name"), F.col("event_type").alias("criteria"), F.col("event_id").alias("made")), t.events.select((F.col("user_id") % 50).cast("string").alias("name"), F.lit("x").alias("criteria"), (F.col("event_id") - 3).alias("made")))),
     "u11_smart_people": _of(lambda t: mu.smart_from_people(t, t.people.where("id % 4 = 0"), 5)),
     "u12_undo_image": _of(lambda t: mu.before_image(t.photos, t.photos.where("id % 4 = 1"), {"rating": 5, "flag": 1})),
@@ -92,6 +107,21 @@ SQL = {
         "x05_distinct_ids": "select user_id * 7 % 101 as id, min(event_id) as at from events group by 1",
         "g02_linked_tags": "with recursive e as (select a, b from tag_links union select b, a from tag_links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x) select n as tag_id, min(x) as root from r group by 1",
         "g03_apply_tag_links": "with recursive e as (select a, b from tag_links union select b, a from tag_links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x) select distinct photo_id, x as tag_id, 'link' as source from photo_tags join r on n = tag_id where (photo_id, x) not in (select (photo_id, tag_id) from photo_tags)",
+        "g01_members": f"""
+with recursive s as (select * from photos where trashed = 0 and is_video = 0 and phash is not null),
+o as (select *, row_number() over (order by taken_at, id) as p from s where taken_at > 0),
+bands as (select id, unnest([0, 1, 2, 3, 4, 5, 6]) as band, unnest([phash & 511, (phash >> 9) & 511, (phash >> 18) & 511, (phash >> 27) & 511, (phash >> 36) & 511, (phash >> 45) & 511, (phash >> 54) & 1023]) as bits from s),
+used as (select band, bits from bands group by 1, 2 having count(*) between 2 and 120),
+cand as (select x.id as a, y.id as b from o x join o y on y.p between x.p + 1 and x.p + 40 and y.taken_at - x.taken_at <= 600
+  union select x.id, y.id from bands x join used using (band, bits) join bands y on y.band = x.band and y.bits = x.bits and x.id < y.id),
+c as (select distinct least(a, b) as a, greatest(a, b) as b from cand),
+d as (select c.a, c.b, bit_count(xor(x.phash, y.phash)) as bits, abs(x.taken_at - y.taken_at) <= 600 as t,
+  coalesce(12742000 * asin(least(1, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lng - x.lng) / 2), 2)))) <= 150, false) as p
+  from c join s x on x.id = c.a join s y on y.id = c.b),
+links as (select a, b, bits <= 4 as copy, t, p from d where bits <= 12 and (bits <= 4 or t or p)),
+e as (select a, b from links union select b, a from links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x),
+root as (select n, min(x) as grp from r group by 1)
+select grp, n as id from root""",
         "g01_similar_groups": f"""
 with recursive s as (select * from photos where trashed = 0 and is_video = 0 and phash is not null),
 o as (select *, row_number() over (order by taken_at, id) as p from s where taken_at > 0),
@@ -152,6 +182,14 @@ select * from w union all select distinct photo_id, x, 'link' from w join l on n
         "u09_apply_geotags": "select id, case when lat is null and id % 100 <= 90 and id % 200 <= 180 then (id % 100)::double else lat end as lat, case when lat is null and id % 100 <= 90 and id % 200 <= 180 then (id % 200)::double else lng end as lng from photos",
         "u10_delete_forever": "select photo_id, tag_id, source from photo_tags where photo_id not in (select id from photos where trashed = 1 and id % 2 = 0)",
         "u11_album_add": "select photo_id, album_id from photo_albums union select id, 3 from photos where rating = 5",
+        "u11_album_create": "select id, case when id = 3 then 'Third' else name end as name, kind from albums union all select max(id) + 1, 'Holiday', 'album' from albums",
+        "u11_album_delete": "select photo_id, album_id from photo_albums where album_id <> 4",
+        "u11_tag_links": """
+with w as (select distinct lower(split_part(name, ' ', 1)) as x from people), i as (select x, (select max(id) from tags) + row_number() over (order by x) as id from w),
+b as (select (select min(id) from tags where lower(name) = 'beach 4') as id)
+select a, b from tag_links where a <> 5 union select least(i.id, b.id), greatest(i.id, b.id) from i, b""",
+        "u11_saved_delete": "select event_type as name, event_id as made from events where event_type not in (select event_type from events where event_id % 1000 = 3)",
+        "v05_embed_batch": "select id, sha256, case when description not like '%error%' then len(description)::double end as length from photos where id % 5 = 0",
         "u11_saved_search": "with b as (select (user_id % 30)::varchar as name, event_type as criteria, event_id as made from events union all select (user_id % 50)::varchar, 'x', event_id - 3 from events) select * from b qualify row_number() over (partition by name order by made desc, criteria desc) = 1",
         "u11_smart_people": "select name, '{\"people\":[' || id || ']}' as criteria from people where id % 4 <> 0 and name not in (select name from people where id % 4 = 0) and id in (select person_id from photo_people where source = 'takeout' group by 1 having count(distinct photo_id) >= 5)",
         "u12_undo_image": "select id, rating, flag from photos where id % 4 = 1 and (rating <> 5 or flag <> 1)",

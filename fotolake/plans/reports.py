@@ -99,6 +99,8 @@ QUERIES = {
     "w01_bursts": _of(bursts),
     "w02_series": _of(series),
     "w03_series_members": _of(lambda t: wn.series_members(series(t).select("id", "series"), t.photos.where("rating = 5 and trashed = 0").select("id"))),
+    "w03_make_series": _of(lambda t: wn.make_series(wn.unseries(t.photos.where("id % 5 < 2").select(F.col("id").alias("photo_id"), (F.col("id") % 7).alias("series_id")), t.photos.where("id % 10 = 1")), t.photos.where("id % 10 = 6"))),
+    "w06_prev_next": _of(lambda t: wn.prev_next(t.photos.select("id", "taken_at", "lat"), ["taken_at", "id"], "taken_at", F.when(F.col("lat").isNotNull(), F.col("id")), "placed").select("id", "placed_prev", "placed_next")),
     "w04_rank_selection": _of(lambda t: wn.rank_selection(t, t.photos.where("id % 53 = 0").select(F.col("id").alias("photo_id"), (F.col("id") * 7 % 1009).alias("asked")))),
     "w05_retention": _of(lambda t: wn.retention(t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 1, "auto").when(F.col("event_id") % 3 == 2, "manual").otherwise(F.col("event_type")).alias("reason"), ((F.col("event_id") * 37) % 1000).alias("created")), 40)),
     "w07_unique_names": _of(lambda t: wn.unique_names(t.photos.select("id", (F.col("id") % 9).cast("string").alias("folder"), F.concat(F.lit("Pic"), (F.col("id") % 17).cast("string"), F.when(F.col("id") % 19 == 0, " (1)").otherwise(""), F.lit(".jpg")).alias("name"))).drop("folder")),
@@ -241,6 +243,9 @@ k as (select id, 'img_' || id as stem, taken_at as t, least(width, height) as s,
 m as (select in_id, 0 as rule, id from n join k using (stem) where abs(n.t - k.t) <= 54000 or (n.s = k.s and n.l = k.l)
   union all select in_id, 1, id from n join k on k.t between n.t - 2 and n.t + 2 and n.s = k.s and n.l = k.l)
 select in_id, arg_min(id, (rule, id)) as known_id from m group by 1""",
+        "w03_make_series": "select id as photo_id, case when id % 10 = 1 then 0 else id % 7 end as series_id from photos where id % 5 < 2 and id % 10 <> 6 union all select id, 1 + (select max(case when id % 10 = 1 then 0 else id % 7 end) from photos where id % 5 < 2) from photos where id % 10 = 6",
+        "w06_prev_next": "select id, last_value(case when lat is not null then id end ignore nulls) over (order by taken_at, id rows between unbounded preceding and 1 preceding) as placed_prev, first_value(case when lat is not null then id end ignore nulls) over (order by taken_at, id rows between 1 following and unbounded following) as placed_next from photos",
+        "f42_stacked": RUNS.format(shots=HASHED, gap=2, bits=10) + f", g as (select run, arg_max(id, {MERIT}) as best from r group by 1 having count(*) >= 3) select id from photos where trashed = 0 and id not in (select id from r join g using (run) where id <> best)",
         "w03_series_members": SERIES + ", i as (select id from photos where rating = 5 and trashed = 0) select id from i union select id from series where series in (select series from series where id in (select id from i))",
         "j11_suffix_join": """
 with u as (select 'export/' || case when id % 4 = 0 then rel_path else filename end as uri from photos where id % 2 = 0)

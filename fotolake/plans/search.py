@@ -95,6 +95,25 @@ def f41_on_this_day(spark, sf_dir):
     return Catalog(spark, sf_dir).photos.where("trashed = 0").where(rules.on_this_day(date(2024, 11, 20))).select("id", "taken_at")
 
 
+def f37_smart_searches(spark, sf_dir):
+    """Which saved searches are smart, over one per document."""
+    i = F.col("doc_id")
+    made = F.element_at(F.array(*[F.lit(x) for x in ('{"smart": 1}', '{"years": [2020], "kind": "photo"}', '{"people": []}', '{"minRating": 0, "q": "x"}', "[3]", '{"text": "a"}')]), F.pmod(i, F.lit(6)).cast("int") + 1)
+    return Catalog(spark, sf_dir).documents.select("doc_id", F.coalesce(rules.is_smart(made), F.lit(False)).alias("smart"))
+
+
+def f42_stacked(spark, sf_dir):
+    """The grid with every burst as one tile."""
+    from fotolake.operators.windows import find_bursts, stacked
+
+    photos = Catalog(spark, sf_dir).photos
+    return stacked(photos.where("trashed = 0"), find_bursts(photos)).select("id")
+
+
+def f43_untagged(spark, sf_dir):
+    return rules.untagged(Catalog(spark, sf_dir)).select("id")
+
+
 def f44_slideshow(spark, sf_dir):
     return rules.slideshow(Catalog(spark, sf_dir), True, 4).select("id")
 
@@ -103,7 +122,8 @@ def f45_typed(spark, sf_dir):
     """Parses one query per document: two words of its text, a person and a year."""
     t = Catalog(spark, sf_dir)
     person = F.element_at(F.array(*[F.lit(x) for x in ("dana levi", "Ron", "maya", "Tal Cohen")]), F.pmod("doc_id", F.lit(4)).cast("int") + 1)
-    typed = t.documents.select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", person, (2000 + F.pmod("doc_id", F.lit(30))).cast("string"), F.lit("beach")).alias("query"))
+    said = F.slice(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[a-z]{12,}"), F.lit(0)), 1, 2)
+    typed = t.documents.select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", person, (2000 + F.pmod("doc_id", F.lit(30))).cast("string"), F.array_join(said, " ")).alias("query"))
     return rules.typed_queries(typed, t.people)
 
 
@@ -203,7 +223,7 @@ def p_answers(spark, sf_dir):
 
 QUERIES |= {
     f.__name__: f
-    for f in (f38_sources, f39_smart_lists, f40_bar, f41_on_this_day, f44_slideshow, f45_typed, p_places, p_coords, p_names, p_shapes, p_albums, p_scores, p_colours, p_texts, p_dates, p_lr_times, p_answers)
+    for f in (f38_sources, f39_smart_lists, f40_bar, f41_on_this_day, f37_smart_searches, f42_stacked, f43_untagged, f44_slideshow, f45_typed, p_places, p_coords, p_names, p_shapes, p_albums, p_scores, p_colours, p_texts, p_dates, p_lr_times, p_answers)
 }
 COLOUR_SQL = """
 select photo_id, case when v < 0.18::double then 'black' when s < 0.14::double then case when v > 0.85::double then 'white' else 'gray' end
@@ -241,7 +261,10 @@ union all select 'trashed:0', count(*) filter (trashed = 1) from photos""",
         "f44_slideshow": "select id from photos where trashed = 0 and is_video = 0 and coalesce(flag, 0) >= 0 and favorited = 1 and id in (select photo_id from photo_albums where album_id = 4)",
         "f45_typed": """
 select doc_id as query_id, case doc_id % 4 when 0 then [0] when 1 then [] when 2 then [] else [9] end::bigint[] as person_ids,
-  [2000 + doc_id % 30]::int[] as years, case doc_id % 4 when 0 then ['beach'] when 1 then ['ron', 'beach'] when 2 then ['maya', 'beach'] else ['beach'] end as words from documents""",
+  [2000 + doc_id % 30]::int[] as years,
+  list_concat(case doc_id % 4 when 1 then ['ron'] when 2 then ['maya'] else [] end::varchar[], regexp_extract_all(lower(coalesce(text, '')), '[a-z]{12,}')[1:2]) as words from documents""",
+        "f37_smart_searches": "select doc_id, doc_id % 6 in (0, 1, 5) as smart from documents",
+        "f43_untagged": "select id from photos where trashed = 0 and is_video = 0 and id not in (select photo_id from photo_tags)",
         "p_places": """
 select id, round(12742 * asin(least(1, sqrt(pow(sin(radians(32.08 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(32.08)) * pow(sin(radians(34.78 - lng) / 2), 2)))), 6) as km,
   lat between -10 and 60 and (lng >= 170 or lng <= -100) as inside,

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolake.functions.scalars import VIDEO_TYPES, ext_of, safe_component
+from fotolake.functions.scalars import VIDEO_TYPES, ext_of, label_map, lr_time, safe_component
 
 PICTURE_TYPES = ["jpg", "jpeg", "png", "gif", "bmp", "webp", "heic", "heif", "tif", "tiff", "dng", "cr2", "nef", "arw"]
 MEDIA_TYPES = [*PICTURE_TYPES, *VIDEO_TYPES]
@@ -112,20 +112,30 @@ def social_json_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lightroom_import(tables: dict[str, DataFrame]) -> DataFrame:
-    """path, taken, rating, pick, label, lat, lng, caption, keywords, collections from the exported tables of a source catalog."""
+    """path, taken (unix seconds), rating, flag, label, quick, lat, lng, description, keywords, people, collections from the
+    exported tables of a source catalog. Keywords that name persons are people; the quick collection is a mark, and only the
+    user's own collections count."""
     image, file, folder, root = (tables[t] for t in ("Adobe_images", "AgLibraryFile", "AgLibraryFolder", "AgLibraryRootFolder"))
     path = F.concat(F.col("root.absolutePath"), F.col("folder.pathFromRoot"), F.col("file.baseName"), F.lit("."), F.col("file.extension"))
+    number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0))
     base = (
         image.alias("image").join(file.alias("file"), F.col("image.rootFile") == F.col("file.id_local"))
         .join(folder.alias("folder"), F.col("file.folder") == F.col("folder.id_local"))
         .join(root.alias("root"), F.col("folder.rootFolder") == F.col("root.id_local"))
-        .select(F.col("image.id_local").alias("id"), path.alias("path"), F.col("image.captureTime").alias("taken"), F.col("image.rating").cast("int").alias("rating"), F.col("image.pick").cast("int").alias("pick"), F.col("image.colorLabels").alias("label"))
+        .select(F.col("image.id_local").alias("id"), path.alias("path"), lr_time(F.col("image.captureTime")).alias("taken"), number("image.rating").alias("rating"), F.signum(number("image.pick")).cast("int").alias("flag"), label_map(F.col("image.colorLabels")).alias("label"))
     )
-    exif = tables["AgHarvestedExifMetadata"].where("hasGPS = 1").select(F.col("image").alias("id"), F.col("gpsLatitude").alias("lat"), F.col("gpsLongitude").alias("lng"))
-    iptc = tables["AgLibraryIPTC"].select(F.col("image").alias("id"), "caption")
-    words = tables["AgLibraryKeywordImage"].alias("b").join(tables["AgLibraryKeyword"].alias("k"), F.col("b.tag") == F.col("k.id_local")).groupBy(F.col("b.image").alias("id")).agg(F.sort_array(F.collect_set("k.name")).alias("keywords"))
-    sets = tables["AgLibraryCollectionImage"].alias("b").join(tables["AgLibraryCollection"].alias("c"), F.col("b.collection") == F.col("c.id_local")).groupBy(F.col("b.image").alias("id")).agg(F.sort_array(F.collect_set("c.name")).alias("collections"))
-    return base.join(exif, "id", "left").join(iptc, "id", "left").join(words, "id", "left").join(sets, "id", "left")
+    exif = tables["AgHarvestedExifMetadata"].where("gpsLatitude is not null").select(F.col("image").alias("id"), F.col("gpsLatitude").alias("lat"), F.col("gpsLongitude").alias("lng"))
+    iptc = tables["AgLibraryIPTC"].where("caption <> ''").select(F.col("image").alias("id"), F.col("caption").alias("description"))
+    named = tables["AgLibraryKeywordImage"].alias("b").join(tables["AgLibraryKeyword"].alias("k"), F.col("b.tag") == F.col("k.id_local"))
+    person = F.coalesce(F.col("k.keywordType") == "person", F.lit(False))
+    of = lambda which, name: F.sort_array(F.collect_set(F.when(which, F.col(name))))
+    words = named.groupBy(F.col("b.image").alias("id")).agg(of(~person, "k.name").alias("keywords"), of(person, "k.name").alias("people"))
+    inside = tables["AgLibraryCollectionImage"].alias("b").join(tables["AgLibraryCollection"].where("creationId = 'com.adobe.ag.library.collection'").alias("c"), F.col("b.collection") == F.col("c.id_local"))
+    quick = (F.coalesce(F.col("c.systemOnly").cast("double"), F.lit(0.0)) != 0) | (F.lower(F.coalesce("c.name", F.lit(""))) == "quick collection")
+    sets = inside.groupBy(F.col("b.image").alias("id")).agg(of(~quick & (F.col("c.name") != ""), "c.name").alias("collections"), F.max(quick.cast("int")).alias("quick"))
+    both = base.join(exif, "id", "left").join(iptc, "id", "left").join(words, "id", "left").join(sets, "id", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    return both.select("id", "path", "taken", "rating", "flag", "label", F.coalesce("quick", F.lit(0)).alias("quick"), "lat", "lng", "description", empty("keywords"), empty("people"), empty("collections"))
 
 
 def digikam_import(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Golden cases on hand-made catalogs."""
 
 import random
+import re
 from types import SimpleNamespace
 
 import numpy as np
@@ -16,12 +17,12 @@ from fotolake.operators import vectors as vc
 from fotolake.operators import windows as wn
 from fotolake.operators.rules import RuleSet, typed_queries
 
-PHOTO = "id long, taken_at long, is_video int, trashed int, lat double, lng double, phash long, score int, width int, height int, bytes long, filename string"
+PHOTO = "id long, taken_at long, is_video int, trashed int, lat double, lng double, phash long, score int, width int, height int, bytes long, filename string, eyes_closed int"
 
 
 def shot(i, t, phash=0, score=50, lat=None, lng=None, **more):
-    row = {"is_video": 0, "trashed": 0, "width": 100, "height": 100, "bytes": 10, "filename": f"IMG_{i}.jpg"} | more
-    return (i, t, row["is_video"], row["trashed"], lat, lng, phash, score, row["width"], row["height"], row["bytes"], row["filename"])
+    row = {"is_video": 0, "trashed": 0, "width": 100, "height": 100, "bytes": 10, "filename": f"IMG_{i}.jpg", "eyes_closed": None} | more
+    return (i, t, row["is_video"], row["trashed"], lat, lng, phash, score, row["width"], row["height"], row["bytes"], row["filename"], row["eyes_closed"])
 
 
 @pytest.fixture
@@ -41,6 +42,32 @@ def test_manual_series_overrule(photos, spark):
     manual = spark.createDataFrame([(2, 0), (7, 5), (1, 5)], "photo_id long, series_id long")
     found = {r["id"]: r["series"] for r in wn.find_series(photos(rows), manual).collect()}
     assert found == {3: "auto:1", 4: "auto:1", 7: "manual:5", 1: "manual:5"}
+    alone = spark.createDataFrame([(2, 0), (7, 5)], "photo_id long, series_id long")
+    assert {r["series"] for r in wn.find_series(photos(rows), alone).collect()} == {"auto:1"}  # one photo is no series
+    lost = spark.createDataFrame([(3, 0)], "photo_id long, series_id long")
+    best = [shot(i, 100 + i, score=90 if i == 3 else 50) for i in range(1, 5)]
+    assert {(r["id"], r["best"]) for r in wn.find_series(photos(best), lost).collect()} == {(1, 1), (2, 1), (4, 1)}
+    ids = spark.createDataFrame([(1,), (4,), (4,)], "id long")
+    made = {tuple(r) for r in wn.make_series(manual, ids).collect()}
+    assert made == {(2, 0), (7, 5), (1, 6), (4, 6)} and {tuple(r) for r in wn.unseries(manual, ids).collect()} == {(2, 0), (7, 5), (1, 0), (4, 0)}
+    assert wn.make_series(manual, ids.where("id = 1")).count() == 3
+
+
+def test_open_eyes_decide_a_tie(photos):
+    rows = [shot(i, 100 + i, eyes_closed=1 if i == 1 else 0) for i in range(1, 4)]
+    found = wn.find_bursts(photos(rows))
+    assert {r["best"] for r in found.collect()} == {2}
+    assert {r["id"] for r in wn.stacked(photos([*rows, shot(9, 900)]), found).collect()} == {2, 9}
+
+
+def test_numbers_and_neighbours_of_one_second(spark, photos):
+    rows = [shot(i, 1000 if i < 70 else 1000 + i) for i in range(90)]
+    placed = wn.numbered(photos(rows).select("id", "taken_at"), ["taken_at", "id"])
+    assert {r["id"]: r["place"] for r in placed.collect()} == {i: i for i in range(90)}
+    want = {(i, j) for i in range(90) for j in range(i + 1, min(i + 4, 90)) if rows[j][1] - rows[i][1] <= 50}
+    assert {tuple(r) for r in jn.time_neighbors(photos(rows), 50, 3).collect()} == want
+    short = jn.following(photos(rows).select("id", "taken_at"), ["taken_at", "id"], 3, F.col("id"), block=5)
+    assert {r["id"]: r["next"] for r in short.collect()} == {i: list(range(i + 1, min(i + 4, 90))) for i in range(90)}
 
 
 def test_prev_next_equals_one_window(spark):
@@ -65,8 +92,14 @@ def test_track_interpolates(photos, spark):
 
 def test_similar_groups_with_golden_members(photos):
     rows = [shot(1, 1000, 0b0), shot(2, 1010, 0b11, 90), shot(3, 1020, 0b1100), shot(4, 99_000, 0b1), shot(5, 500_000, 0x0F0F0F0F0F0F), shot(6, 900_000, 0b111111111), shot(7, 10, 0x7FFF << 40, lat=1.0, lng=1.0), shot(8, 700, 0x7FFE << 40, 80, lat=1.0, lng=1.0)]
-    found = {r["grp"]: r for r in gr.similar_groups(photos(rows)).collect()}
+    found = {r["grp"]: r for r in gr.similar_groups(photos(rows))[0].collect()}
     assert set(found) == {1, 7} and found[1]["n"] == 4 and found[1]["best"] == 2 and found[7]["best"] == 8
+    assert {tuple(r) for r in gr.similar_groups(photos(rows))[1].collect()} == {(1, 1), (1, 2), (1, 3), (1, 4), (7, 7), (7, 8)}
+    # Shots without a hash do not use up the neighbours in time; copies are found however full their bands are.
+    crowd = [shot(1, 1000, 0b111), shot(99, 1050, 0b111)] + [shot(100 + i, 1001 + i, None) for i in range(48)]
+    assert gr.similar_groups(photos(crowd), bucket=1)[0].first()["n"] == 2
+    many = [shot(i, i * 10_000, 1 << (i % 2)) for i in range(1, 200)]
+    assert gr.similar_groups(photos(many))[0].first()["n"] == 199
 
 
 def test_components_are_closures(spark):
@@ -88,10 +121,14 @@ def test_clustering_by_components_is_clustering_of_all(spark):
     found = {r["id"]: r["cluster"] for r in gr.cluster_faces(frame, 0.38).collect()}
     same = lambda label: {frozenset(i for i in range(len(x)) if label[i] == c) for c in set(label.values())}
     assert same(found) == same(dict(enumerate(want.tolist())))
-    pairs = {(r["a"], r["b"]) for r in gr.close_pairs(frame, 0.3, block=10).collect()}
+    rounds = {r["id"]: r["cluster"] for r in gr.cluster_faces(frame, 0.38, whole=0, block=20).collect()}
+    assert rounds == found
+    near = gr.close_links(frame, 0.3, block=10)
     unit = x.astype(np.float32).astype(float)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    assert pairs == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if unit[i] @ unit[j] >= 0.7}
+    pairs = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if unit[i] @ unit[j] >= 0.7]
+    root = {r["node"]: r["root"] for r in gr.components(near).collect()}
+    assert root == {r["node"]: r["root"] for r in gr.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
 
 
 def test_deferred_acceptance_is_the_greedy(spark):
@@ -141,6 +178,85 @@ def test_sidecars_by_three_rules(spark):
     assert {(r["media"], r["sidecar"]) for r in jn.sidecar_match(media, cars).collect()} == {("a.jpg", "a.jpg.json"), ("longname123456.jpg", "longname12345.json"), ("b(1).jpg", "b.jpg(1).json")}
 
 
+def greedy_sidecars(media, cars):
+    """The rules one medium after the other, as plain loops."""
+    target = {j: re.sub(r"(?i)\.supplemental[\w-]*\.json$", "", j) if re.search(r"(?i)\.supplemental[\w-]*\.json$", j) else re.sub(r"(?i)\.json$", "", j) for j in sorted(cars)}
+    stem = lambda x: x.rpartition(".")[0] or x
+    loose = lambda x: re.sub(r"\(\d+\)|\s+", "", x).lower()
+    out, left = {}, dict(target)
+    for m in sorted(media):
+        exact = [j for j, t in left.items() if t == m]
+        cut = sorted(((len(stem(t)), j) for j, t in left.items() if len(stem(t)) >= 6 and stem(m).startswith(stem(t))), reverse=True)
+        moved = [j for j, t in left.items() if loose(t) == loose(m)]
+        for j in (*exact, *(j for _, j in cut), *moved):
+            out[m] = j
+            left.pop(j)
+            break
+    return out
+
+
+def test_sidecars_are_the_greedy(spark):
+    rng = random.Random(11)
+    media, cars = [], []
+    for folder in range(12):
+        names = {rng.choice(["IMG_2024", "IMG_20245", "holiday picture", "a"]) + rng.choice(["", "1", "12", "(1)", "(2)"]) + rng.choice([".jpg", ".png", ""]) for _ in range(9)}
+        own = {n[: rng.choice([99, 99, 8, 9])] + rng.choice(["", "(1)"]) + rng.choice([".json", ".supplemental-metadata.json", ".JSON"]) for n in names for _ in range(2)}
+        media += [(str(folder), n) for n in names]
+        cars += [(str(folder), n) for n in own]
+    found = jn.sidecar_match(spark.createDataFrame(media, "folder string, name string"), spark.createDataFrame(cars, "folder string, name string")).collect()
+    want = {(str(f), m): j for f in range(12) for m, j in greedy_sidecars([n for g, n in media if g == str(f)], [n for g, n in cars if g == str(f)]).items()}
+    assert {(r["folder"], r["media"]): r["sidecar"] for r in found} == want
+
+
+def test_rate_limit_is_a_plain_loop(spark):
+    from fotolake.streaming.flows import rate_limit
+
+    rng = random.Random(12)
+    rows = [(k, rng.randrange(200_000)) for k in range(3) for _ in range(120)]
+    want = []
+    for k in range(3):
+        taken = []
+        for at in sorted(a for c, a in rows if c == k):
+            hour, day = ([t for t in taken if t > at - span] for span in (3600, 86_400))
+            ok = len(hour) < 10 and len(day) < 30
+            want.append((k, at, ok))
+            taken += [at] if ok else []
+    found = rate_limit(spark.createDataFrame(rows, "key long, at long")).select("key", "at", "accepted").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_smart_searches(spark, photos):
+    from fotolake.operators.rules import is_smart
+
+    rows = [('{"smart": true}',), ('{"years": [2020]}',), ('{"years": []}',), ('{"minRating": 0, "kind": "photo"}',), ("[1]",), ("nothing",), (None,)]
+    frame = spark.createDataFrame(rows, "c string")
+    assert [r["x"] for r in frame.select(F.coalesce(is_smart(F.col("c")), F.lit(False)).alias("x")).collect()] == [True, True, False, False, False, False, False]
+    t = SimpleNamespace(photos=photos([shot(1, 5, score=1), shot(2, 6, is_video=1)]))
+    assert [r["id"] for r in mu.saved_search_evaluate(t, '{"kind": "video"}').collect()] == [2] and mu.saved_search_evaluate(t, "no json").count() == 0
+
+
+def test_albums_links_and_merges(spark):
+    albums = spark.createDataFrame([(1, "a", "album"), (4, "b", "year")], "id long, name string, kind string")
+    assert [tuple(r) for r in mu.album_create(albums, " c ").where("id > 4").collect()] == [(5, "c", "album")]
+    assert {r["name"] for r in mu.album_rename(albums, 1, "z").collect()} == {"z", "b"}
+    for call in (lambda: mu.album_create(albums, "a"), lambda: mu.album_rename(albums, 1, "b"), lambda: mu.album_create(albums, " ")):
+        with pytest.raises(ValueError):
+            call()
+    tags = spark.createDataFrame([(3, "Beach"), (7, "beach"), (5, "sea")], "id long, name string")
+    links = spark.createDataFrame([(1, 2)], "a long, b long")
+    pairs = spark.createDataFrame([("BEACH", "sea"), ("new", "sea"), ("sea", "Sea"), (" ", "x")], "x string, y string")
+    found, named = mu.tag_link_add(links, tags, pairs)
+    assert {tuple(r) for r in found.collect()} == {(1, 2), (3, 5), (5, 8)} and {r["name"] for r in named.where("id > 7").collect()} == {"new"}
+    assert mu.tag_link_remove(found, spark.createDataFrame([(5, 3)], "a long, b long")).count() == 2
+    faces = spark.createDataFrame([(1, 9, None), (2, 9, 3), (3, 8, None)], "id long, cluster_id long, person_id long")
+    bridge = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "photo_id long, person_id long, source string")
+    assert {tuple(r) for r in mu.merge_people(bridge, faces, ("person", 1), ("person", 2))[0].collect()} == {(1, 2, "y"), (2, 2, "z")}
+    assert [r["person_id"] for r in mu.merge_people(bridge, faces, ("cluster", 9), ("person", 5))[1].orderBy("id").collect()] == [5, 3, None]
+    assert [r["cluster_id"] for r in mu.merge_people(bridge, faces, ("cluster", 9), ("cluster", 8))[1].collect()] == [8, 8, 8]
+    with pytest.raises(ValueError):
+        mu.merge_people(bridge, faces, ("person", 1), ("cluster", 8))
+
+
 def test_unique_names_do_not_collide(spark):
     rows = [(i, "f", n) for i, n in enumerate(["a.jpg", "a.jpg", "A.jpg", "a (1).jpg", "b", "b"])]
     names = [r["unique"].lower() for r in wn.unique_names(spark.createDataFrame(rows, "id long, folder string, name string")).collect()]
@@ -181,7 +297,21 @@ def test_scalars(spark):
     assert tuple(get(fx.parse_coords(F.lit("32.08°N 34.78°W")))) == (32.08, -34.78) and get(fx.parse_coords(F.lit("132, 5"))) is None
     assert get(fx.date_from_filename(F.lit("IMG_20240230.jpg"), 2024)) is None and get(fx.date_from_filename(F.lit("x2024-02-03 101112.jpg"), 2024)) == 1706955072
     assert get(fx.natural_key(F.lit("IMG_2"))) < get(fx.natural_key(F.lit("IMG_10")))
-    assert get(fx.redact_text(F.lit("a@b.co 127.0.0.1 8.8.8.8 C:/dana"), ["dana"])) == "<email> 127.0.0.1 <ip> C:/<user>"
+    dates = ["IMG_2024050112345.jpg", "IMG-20240501-WA0003.jpg", "2024-05-01 10.15.30.png", "PXL_20240501_101530123.jpg", "a.20240501", "x/20240501.jpg"]
+    assert [get(fx.date_from_filename(F.lit(d), 2024)) for d in dates] == [None, 1714521600, 1714558530, 1714521600, None, 1714521600]
+    kinds = {"Itamar, dafna": "people-share", "2019": "album", "Photos from 2019 (2)": "year", "תמונות משנת 2020": "year"}
+    assert {k: get(fx.album_kind(F.lit(k))) for k in kinds} == kinds
+    colour = lambda *c: get(fx.colour_bucket(*map(F.lit, c)))
+    assert [colour(43, 10, 10), colour(100, 20, 20), colour(250, 10, 10), colour(0, 200, 200), colour(128, 128, 128)] == ["black", "brown", "red", "cyan", "gray"]
+    assert get(fx.parse_score(F.lit("photo 2 score: 85"))) == 85 and get(fx.parse_score(F.lit("it is 7 of 10"))) == 7 and get(fx.parse_score(F.lit("none 0"))) is None
+    assert get(fx.parse_keywords(F.lit('x {"keywords": ["A b", "c", "a  B"]} y'))) == ["a b"] and get(fx.parse_keywords(F.lit("Keywords: sea; - sun\n* x"))) == ["sea", "sun"]
+    assert get(fx.label_map(F.lit(" RED "))) == "red" and get(fx.label_map(F.lit("rot"))) is None
+    assert get(fx.lr_time(F.lit("2019-05-04T13:22:10.5+02:00"))) == 1556976130 and get(fx.lr_time(F.lit("2019-02-30"))) is None
+    sharp = lambda *m: get(fx.quality_score(*[F.lit(x) for x in m]))
+    assert sharp(400.0, 120.0, 10.0, 160.0, 0.0, 0.0, 0, 4000, 3000) == 100 and sharp(400.0, 120.0, 10.0, 160.0, 0.0, 0.0, 1, 4000, 3000) == 60
+    assert sharp(400.0, 20.0, 0.0, 75.0, 0.4, 0.0, 0, 500, 500) == 61 and sharp(0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1, 10, 10) == 1
+    redacted = fx.redact_text(F.lit("a@b.co 127.0.0.1 8.8.8.8 C:\\dana\\x dana danab 1.2.3.4.5"), ["C:/dana"], "dana")
+    assert get(redacted) == "<email> 127.0.0.1 <ip> <folder>\\x <user> danab <ip>.5"
     assert get(fx.hamming64(F.lit(-1).cast("long"), F.lit(0).cast("long"))) == 64
 
 

@@ -85,7 +85,7 @@ def _all(query, out):
 def test_streamed_bursts_equal_the_batch(spark, tmp_path):
     rows = [(i, 1000 + (i // 4) * 600 + (i % 4) * 2, 1 << (i % 4), 40 + (i * 7) % 60) for i in range(24)]
     batch = spark.createDataFrame([(i, t, 0, 0, h, s, 10, 10, 1) for i, t, h, s in rows], "id long, taken_at long, is_video int, trashed int, phash long, score int, width int, height int, bytes long")
-    want = {(r["run"], r["n"], r["best"]) for r in find_bursts(batch).select("run", "n", "best").distinct().collect()}
+    want = {(r["run"], r["n"], r["best"]) for r in find_bursts(batch.withColumn("eyes_closed", F.lit(None).cast("int"))).select("run", "n", "best").distinct().collect()}
     shots = batch.select(F.lit("a").alias("source"), "id", F.timestamp_seconds("taken_at").alias("ts"), "phash", F.col("score").cast("long").alias("score"))
     late = spark.createDataFrame([("a", 999, 10_000_000, 0, 1)], "source string, id long, t long, phash long, score long").select("source", "id", F.timestamp_seconds("t").alias("ts"), "phash", "score")
     stream = _stream(spark, tmp_path, "shots", [shots.where("id < 10"), shots.where("id >= 10"), late])
@@ -120,3 +120,40 @@ def test_rate_limit_counts_what_was_accepted(spark):
     rows = spark.createDataFrame([(1, t) for t in range(0, 1200, 60)] + [(1, 3_700)], "key long, at long")
     found = {r["at"]: (r["accepted"], r["wait_min"]) for r in flows.rate_limit(rows).collect()}
     assert sum(a for a, _ in found.values()) == 11 and found[600] == (False, 50) and found[3_700] == (True, 0)
+
+
+def test_digikam_tables_become_photos(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "AlbumRoots": make([(1, "volumeid:?path=/home/x", "/pics")], "id long, identifier string, specificPath string"),
+        "Albums": make([(1, 1, "/"), (2, 1, "/trip")], "id long, albumRoot long, relativePath string"),
+        "Images": make([(1, 1, "a.jpg"), (2, 2, "b.jpg")], "id long, album long, name string"),
+        "ImageInformation": make([(1, 4, "2020-01-02T03:04:05"), (2, -1, None)], "imageid long, rating int, creationDate string"),
+        "ImagePositions": make([(2, 1.5, 2.5)], "imageid long, latitudeNumber double, longitudeNumber double"),
+        "ImageComments": make([(1, 1, "hello"), (1, 3, "title")], "imageid long, type int, comment string"),
+        "Tags": make([(1, "sea"), (2, "Dana")], "id long, name string"),
+        "TagProperties": make([(2, "person", "Dana")], "tagid long, property string, value string"),
+        "ImageTags": make([(1, 1), (1, 2)], "imageid long, tagid long"),
+    }
+    rows = {r["id"]: r for r in files.digikam_import(tables).collect()}
+    assert (rows[1]["path"], rows[1]["rating"], rows[1]["caption"], rows[1]["tags"], rows[1]["people"]) == ("/home/x/pics/a.jpg", 4, "hello", ["sea"], ["Dana"])
+    assert (rows[2]["path"], rows[2]["rating"], rows[2]["lat"]) == ("/home/x/pics/trip/b.jpg", None, 1.5)
+
+
+def test_listing_hashes_titles_and_sync(spark, tmp_path):
+    import hashlib
+
+    folder = tmp_path / "pics"
+    folder.mkdir()
+    for i in range(4):
+        (folder / f"{i}.jpg").write_bytes(b"x" * (i + 1))
+    found, total = files.media_listing(spark, str(folder), 3)
+    assert found.count() == 3 and total.first()["total"] == 4
+    assert {r["sha256"] if "sha256" in r else r[1] for r in files.content_hash(spark, str(folder)).collect()} == {hashlib.sha256(b"x" * (i + 1)).hexdigest() for i in range(4)}
+    schema = "path string, size long, mtime long, sha string"
+    known = spark.createDataFrame([("a", 1, 1, "s", 5)], schema + ", photo_id long")
+    spark.createDataFrame([("a", 2, 2, "t"), ("b", 1, 1, "u")], schema).write.parquet(str(tmp_path / "listing"))
+    stream = flows.read_stream(spark, str(tmp_path / "listing"), spark.read.parquet(str(tmp_path / "listing")).schema, 10)
+    flows.folder_sync(stream, known, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    changes = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r["path"], r["change"]) for r in changes.collect()} == {("a", "changed"), ("b", "new")}
