@@ -1,8 +1,10 @@
-"""Byte-pair merging of many words at once: ragged numpy arrays, one lowest-rank merge per word and round.
+"""Byte-pair merging of many words at once: ragged numpy arrays, one lowest-rank pair per word and round.
 
-All words' symbols lie in one array. Every round finds, for each word, the leftmost pair of the lowest rank, merges it in
-all words simultaneously and looks up the ranks of the two new neighbours; words without a known pair left drop out.
-That is the order in which a tokenizer merges one word, so the symbols that survive are its tokens.
+All words' symbols lie in one array. Every round finds each word's pair of the lowest rank, merges it wherever it stands in
+the word (from the left where it overlaps itself), in all words simultaneously, and looks up the ranks of the new
+neighbours; words without a known pair left drop out. A tokenizer merges the leftmost pair of the lowest rank; that comes
+to the same as long as no symbol is part of a pair of a lower rank than the one that makes it, which is looked up once per
+vocabulary: where it does not hold, a round merges one pair a word.
 """
 
 from __future__ import annotations
@@ -12,10 +14,6 @@ import json
 import numpy as np
 
 NONE = np.iinfo(np.int32).max
-#: Symbols up to which a word is merged here. A longer one (a run of one sign, say) would hold all others in rounds
-#: that merge a single pair; the tokenizer's own model merges it.
-LONGEST = 512
-
 
 def byte_signs() -> list[str]:
     """The printable sign that byte-level vocabularies write for each byte: itself where printable, else 256 and on."""
@@ -44,6 +42,11 @@ class RankMerger:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank_of, self.to = keys[order], order.astype(np.int32), to
         self.keys_end = np.append(self.keys, -1)
+        used = np.full(self.width, NONE, np.int64)
+        for side in (keys // self.width, keys % self.width):
+            np.minimum.at(used, side, np.arange(len(keys)))
+        self.at_once = bool((used[to] > np.arange(len(to))).all())
+        self.byte_of = {c: i for i, c in enumerate(self.signs)}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         asked = left * self.width + right
@@ -53,15 +56,13 @@ class RankMerger:
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many belong to each. Words are not empty."""
         lengths = np.array([len(w) for w in words], np.int64)
-        out: list[np.ndarray | None] = [None] * len(words)
-        for i in np.flatnonzero(lengths > LONGEST).tolist():
-            shown = "".join([self.signs[b] for b in words[i]])
-            out[i] = np.array([t.id for t in self.library.model.tokenize(shown)], np.int64)
-        usual = np.flatnonzero(lengths <= LONGEST)
-        counts = np.array([0 if x is None else len(x) for x in out], np.int64)
+        counts = np.zeros(len(words), np.int64)
         done_word: list[np.ndarray] = []
         done_sym: list[np.ndarray] = []
-        if len(usual):
+        # Words of like length go together, so that a long one does not hold many short ones.
+        size_class = np.frexp(np.maximum(lengths, 32))[1]
+        for c in np.unique(size_class):
+            usual = np.flatnonzero(size_class == c)
             raw = np.frombuffer(b"".join([words[i] for i in usual.tolist()] if len(usual) < len(words) else words), np.uint8)
             sizes = lengths[usual]
             ends = np.cumsum(sizes) - 1
@@ -88,34 +89,25 @@ class RankMerger:
                     best, sizes = best[~over], sizes[~over]
                     first = np.cumsum(sizes) - sizes
                 hits = np.flatnonzero(rank == np.repeat(best, sizes))
-                owner = word[hits]
-                at = hits[np.diff(owner, prepend=-1) != 0]
-                sym[at] = self.to[best]
+                if self.at_once:
+                    # Of pairs that overlap their like, every second one from the left.
+                    run = np.flatnonzero(np.diff(hits, prepend=-2) != 1)
+                    at = hits[(np.arange(len(hits)) - np.repeat(run, np.diff(np.append(run, len(hits))))) % 2 == 0]
+                else:
+                    at = hits[np.diff(word[hits], prepend=-1) != 0]
+                sym[at] = self.to[rank[at]]
                 rank[at] = NONE
+                keep = np.ones(len(word), bool)
+                keep[at + 1] = False
                 nxt = at + 2
                 joined = (nxt < len(word)) & (word[np.minimum(nxt, len(word) - 1)] == word[at])
                 rank[at[joined]] = self.ranks(sym[at[joined]], sym[nxt[joined]])
                 before = at - 1
-                led = (at > 0) & (word[before] == word[at])
+                led = (at > 0) & (word[before] == word[at]) & keep[before]
                 rank[before[led]] = self.ranks(sym[before[led]], sym[at[led]])
-                keep = np.ones(len(word), bool)
-                keep[at + 1] = False
                 word, sym, rank = word[keep], sym[keep], rank[keep]
-        if done_word:
-            word, sym = np.concatenate(done_word), np.concatenate(done_sym)
-            order = np.argsort(word, kind="stable")
-            word, sym = word[order], sym[order]
-            counts += np.bincount(word, minlength=len(words))
-        else:
-            sym = np.empty(0, np.int64)
-        long = [i for i, x in enumerate(out) if x is not None]
-        if not long:
-            return sym, counts
-        starts = np.cumsum(counts) - counts
-        flat = np.empty(int(counts.sum()), np.int64)
-        spot = np.ones(len(flat), bool)
-        for i in long:
-            flat[starts[i] : starts[i] + counts[i]] = out[i]
-            spot[starts[i] : starts[i] + counts[i]] = False
-        flat[spot] = sym
-        return flat, counts
+        if not done_word:
+            return np.empty(0, np.int64), counts
+        word, sym = np.concatenate(done_word), np.concatenate(done_sym)
+        order = np.argsort(word, kind="stable")
+        return sym[order], np.bincount(word, minlength=len(words))

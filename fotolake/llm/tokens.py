@@ -21,37 +21,56 @@ def letters_and_numbers() -> tuple[str, str]:
     return tuple("".join(re.escape(c) for c, k in kinds.items() if k == kind) for kind in "LN")
 
 
-def unusual(tokenizer):
-    """A search for what only the library may split: other characters, and strings of added tokens."""
-    special = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-    return re.compile("|".join(["[^\t\n\r -~\xa1-ſ‐-‧€]", *special])).search
+class _Pieces:
+    """Pre-tokens of a text. Plain Latin texts are cut here, all others by the library's own normalisation and pre-tokens,
+    as bytes; None for a text that holds the string of an added token, which only the library's encoder handles."""
+
+    def __init__(self, merger: RankMerger, pattern: str, lower: bool):
+        self.library, self.lower = merger.library, lower
+        self.plain = re.compile(pattern).findall
+        self.other = re.compile("[^\t\n\r -~\xa1-ſ‐-‧€]").search
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added), re.IGNORECASE if lower else 0).search if added else lambda text: None
+        self.byte_of = merger.byte_of
+
+    def of(self, text: str) -> list | None:
+        if self.added(text):
+            return None
+        if not self.other(text):
+            return self.plain(text.lower() if self.lower else text)
+        if self.library.normalizer is not None:
+            text = self.library.normalizer.normalize_str(text)
+        byte_of = self.byte_of
+        return [bytes([byte_of[c] for c in piece]) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def _bytes(pieces: list) -> list[bytes]:
+    return [p if isinstance(p, bytes) else p.encode() for p in pieces]
 
 
 class CachedByteBpe:
     """Ids of a tokenizers file with byte-level pre-tokens, as little-endian unsigned 32-bit bytes.
 
-    Pre-tokens never influence each other, so the ids of a text are those of its pre-tokens in a row. Texts with
-    characters outside plain Latin ones and common punctuation, or with an added token's string, go to the library
-    whole: there the library's own character tables and its handling of special strings decide.
+    Pre-tokens never influence each other, so the ids of a text are those of its pre-tokens in a row, each merged in the
+    ragged arrays once.
     """
 
     def __init__(self, path: str):
         self.merger = RankMerger(path)
         letters, numbers = letters_and_numbers()
-        self.pieces = re.compile(
-            rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\t\n\r {letters}{numbers}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
-        ).findall
-        self.unusual = unusual(self.merger.library)
-        self.cache: dict[str, bytes] = {}
+        # Fixed value: the split pattern of this family of vocabularies.
+        pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\t\n\r {letters}{numbers}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
+        self.pieces = _Pieces(self.merger, pattern, False)
+        self.cache: dict[str | bytes, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.unusual(t) else self.pieces(t) for t in texts]
+        split = [self.pieces.of(t) for t in texts]
         cache = self.cache
         if len(cache) > CACHE_ITEMS:
             cache.clear()
         fresh = list({w for words in split if words for w in words if w not in cache})
         if fresh:
-            flat, counts = self.merger.merge([w.encode() for w in fresh])
+            flat, counts = self.merger.merge(_bytes(fresh))
             raw, at = flat.astype("<u4").tobytes(), 0
             for w, n in zip(fresh, (4 * counts).tolist(), strict=True):
                 cache[w] = raw[at : at + n]
@@ -66,25 +85,24 @@ class CachedByteBpe:
 class CachedWordCounts:
     """Token counts of a tokenizers file with lower-cased words that carry an end-of-word sign, white space dropped.
 
-    The same division of labour as in CachedByteBpe: plain texts are lower-cased and split here and merged in ragged
-    arrays; others are counted by the library, whose normalisation then decides.
+    As CachedByteBpe; plain texts are lower-cased here, others by the library's normalisation.
     """
 
     def __init__(self, path: str):
         self.merger = RankMerger(path)
         letters, numbers = letters_and_numbers()
-        self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t\n\r {letters}{numbers}]+").findall
-        self.unusual = unusual(self.merger.library)
-        self.cache: dict[str, int] = {}
+        # Fixed value: the split pattern of this family of vocabularies.
+        self.pieces = _Pieces(self.merger, rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t\n\r {letters}{numbers}]+", True)
+        self.cache: dict[str | bytes, int] = {}
 
     def counts(self, texts: list[str]) -> list[int]:
-        split = [None if self.unusual(t) else self.pieces(t.lower()) for t in texts]
+        split = [self.pieces.of(t) for t in texts]
         cache = self.cache
         if len(cache) > CACHE_ITEMS:
             cache.clear()
         fresh = list({w for words in split if words for w in words if w not in cache})
         if fresh:
-            cache.update(zip(fresh, self.merger.merge([w.encode() for w in fresh])[1].tolist(), strict=True))
+            cache.update(zip(fresh, self.merger.merge(_bytes(fresh))[1].tolist(), strict=True))
         whole, known = self.merger.library.encode, cache.__getitem__
         return [
             len(whole(t, add_special_tokens=False).ids) if words is None else sum(map(known, words))

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -38,6 +39,36 @@ def test_merger_equals_the_library_word_by_word():
     assert [x.tolist() for x in np.split(ids, cuts[:-1])] == [lib.encode(w).ids for w in words]
 
 
+def test_all_scripts_and_lengths_go_through_the_merger():
+    from fotolake.llm.tokens import CachedByteBpe, CachedWordCounts
+
+    rng = random.Random(3)
+    texts = ["漢字かな交じり文、と mix 123", "Привет, мир!", "é à naïve", "😀 👩‍👩‍👧", "שָׁלוֹם", "ไทยไม่มีเว้นวรรค" * 40, "a" * 3000, "ab" * 2500 + "c", "aaa aaaa aaaaaaa " * 20, "ẞ ŒÆ ǅ\u200b"]
+    texts += ["".join(rng.choice("abcあいшщ éñ😀 1２\n.,") for _ in range(rng.randint(1, 200))) for _ in range(100)]
+
+    class Whole:
+        """The library without its encoder."""
+
+        def __init__(self, library):
+            self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
+
+    for name, kind in (("byte_bpe_50k.json", CachedByteBpe), ("word_bpe_49k.json", CachedWordCounts)):
+        own, lib = kind(tokenizer(name)), library(name)
+        own.merger.library = own.pieces.library = Whole(own.merger.library)
+        own.merger.library.encode = None
+        want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        if kind is CachedByteBpe:
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == want
+        else:
+            assert own.counts(texts) == list(map(len, want))
+        words = [t.encode() for t in texts if len(t) < 300]
+        ids, counts = own.merger.merge(words)
+        assert own.merger.at_once
+        own.merger.at_once = False
+        slow, slow_counts = own.merger.merge(words)
+        assert ids.tolist() == slow.tolist() and counts.tolist() == slow_counts.tolist()
+
+
 def test_differencing_balances_and_windows_rise():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 257, 600).tolist()
