@@ -214,11 +214,6 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
     A row keeps all its columns. Whole documents are repeated because later stages read whole texts.
     """
-    times = mix_report(docs, weights).where("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(
-        F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times")
-    )
-    return (
-        docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-        .select(*docs.columns)
-    )
+    times = mix_report(docs, weights).where("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(times, F.col("row.doc_id").eqNullSafe(F.col("id"))).select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")
