@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_repair as _repair
 from . import exact_dedup as _exact
 from . import lm_score as _lm
 from . import mixing as _mixing
@@ -18,6 +19,7 @@ from . import suffix_dedup as _suffix
 from . import token_counts as _counts
 from . import toxicity as _toxicity
 from .common import table, tokenizer
+from .repair_sql import OP11_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,7 +157,14 @@ select doc_id, len(s)::bigint as n_shingles, root as component_id
 from sets join (select node, min(root) as root from reach group by node) on node = doc_id
 """
 
+
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations")
+    return _repair.repair_report(_repair.damaged(told), told)
+
+
 QUERIES: dict[str, Query] = {
+    "op11_chat_repair": op11_chat_repair,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
@@ -169,6 +178,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
 }
 SQL: dict[str, str] = {
+    "op11_chat_repair": OP11_SQL,
     "op8_suffix_dedup": OP8_SQL,
     "op10_ngram_join": OP10_SQL,
     "op3_exact_dedup": OP3_SQL,
