@@ -15,11 +15,13 @@ from . import ngram_join as _ngram
 from . import packing as _packing
 from . import quality as _quality
 from . import quotes as _quotes
+from . import spelling as _spelling
 from . import suffix_dedup as _suffix
 from . import token_counts as _counts
 from . import toxicity as _toxicity
 from .common import table, tokenizer
 from .repair_sql import OP11_SQL
+from .spelling_sql import OP12_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,7 +165,12 @@ def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repair.repair_report(_repair.damaged(told), told)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelling.spelling_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op12_spelling": op12_spelling,
     "op11_chat_repair": op11_chat_repair,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
@@ -178,6 +185,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
 }
 SQL: dict[str, str] = {
+    "op12_spelling": OP12_SQL,
     "op11_chat_repair": OP11_SQL,
     "op8_suffix_dedup": OP8_SQL,
     "op10_ngram_join": OP10_SQL,
