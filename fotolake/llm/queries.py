@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_repair as _repair
 from . import exact_dedup as _exact
+from . import licences as _licences
 from . import lm_score as _lm
 from . import mixing as _mixing
 from . import ngram_join as _ngram
@@ -20,6 +21,7 @@ from . import suffix_dedup as _suffix
 from . import token_counts as _counts
 from . import toxicity as _toxicity
 from .common import table, tokenizer
+from .licences_sql import OP13_SQL
 from .repair_sql import OP11_SQL
 from .spelling_sql import OP12_SQL
 
@@ -169,7 +171,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spelling.spelling_report(table(spark, sf_dir, "documents"))
 
 
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _licences.licence_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op13_licences": op13_licences,
     "op12_spelling": op12_spelling,
     "op11_chat_repair": op11_chat_repair,
     "op6_quality": op6_quality,
@@ -185,6 +192,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
 }
 SQL: dict[str, str] = {
+    "op13_licences": OP13_SQL,
     "op12_spelling": OP12_SQL,
     "op11_chat_repair": OP11_SQL,
     "op8_suffix_dedup": OP8_SQL,
