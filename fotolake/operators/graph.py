@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fotolake.functions.scalars import hamming64, haversine_km
 from fotolake.operators.aggregates import person_centroids
 from fotolake.operators.joins import copy_pairs, hash_band_pairs, near_hashes, time_neighbors
+from fotolake.operators.likeness import all_alike
 from fotolake.operators.windows import merit
 from fotolake.storage import fresh_path, settled
 
@@ -65,14 +66,17 @@ def distinct_ids(ids: DataFrame, order: str) -> DataFrame:
     return ids.groupBy("id").agg(F.min(order).alias(order)).orderBy(order)
 
 
-def similar_edges(photos: DataFrame, dup: int = 4, sim: int = 12, window_s: int = 600, place_m: float = 150.0, most: int = 40, bucket: int = 120) -> DataFrame:
+def similar_edges(photos: DataFrame, dup: int = 4, sim: int = 12, window_s: int = 600, place_m: float = 150.0, most: int = 40, bucket: int = 120, exact: bool = False) -> DataFrame:
     """(a, b, bits, copy, near_time, near_place) of pairs that look alike and are copies, or close in time or place.
 
     Candidates are up to most following photos in time, photos that share a band of the hash with at most bucket others, and
-    all near copies.
+    all near copies. With exact no setting limits them: the links then join what all pairs would (likeness.all_alike).
     """
     shots = photos.where("phash is not null")
-    pairs = time_neighbors(shots, window_s, most).unionByName(hash_band_pairs(shots, 2, bucket)).unionByName(copy_pairs(shots, dup))
+    if exact:
+        pairs = all_alike(shots, dup, sim, window_s, place_m)
+    else:
+        pairs = time_neighbors(shots, window_s, most).unionByName(hash_band_pairs(shots, 2, bucket)).unionByName(copy_pairs(shots, dup))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = near_hashes(pairs, photos, sim)
     where = photos.select("id", "taken_at", "lat", "lng")

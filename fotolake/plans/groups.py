@@ -81,6 +81,8 @@ QUERIES = {
     "u11_tag_links": _of(lambda t: mu.tag_link_remove(mu.tag_link_add(t.tag_links, t.tags, t.people.select(F.lower(F.element_at(F.split("name", " "), 1)).alias("x"), F.lit("BEACH 4").alias("y")))[0], t.tag_links.where("a = 5"))),
     "u11_saved_delete": _of(lambda t: mu.saved_search_delete(t.events.select(F.col("event_type").alias("name"), F.col("event_id").alias("made")), t.events.where("event_id % 1000 = 3").select(F.col("event_type").alias("name")))),
     "v05_embed_batch": _of(lambda t: vc.embed_batch(t.photos.where("id % 5 = 0").select("id", "sha256", F.col("description").cast("binary").alias("content")), lengths).select("id", "sha256", F.col("embedding")[0].cast("double").alias("length"))),
+    "g01_exact_groups": _of(lambda t: gr.similar_groups(t.photos, exact=True)[0].select("grp", "n", "kind", "best", "why", "taken_at")),
+    "g01_exact_members": _of(lambda t: gr.similar_groups(t.photos, exact=True)[1]),
     "g01_members": _of(lambda t: gr.similar_groups(t.photos)[1]),
     "u11_saved_search": _of(lambda t: mu.saved_search_upsert(t.events.select((F.col("user_id") % 30).cast("string").alias("name"), F.col("event_type").alias("criteria"), F.col("event_id").alias("made")), t.events.select((F.col("user_id") % 50).cast("string").alias("name"), F.lit("x").alias("criteria"), (F.col("event_id") - 3).alias("made")))),
     "u11_smart_people": _of(lambda t: mu.smart_from_people(t, t.people.where("id % 4 = 0"), 5)),
@@ -97,6 +99,16 @@ CENTROID = "list_transform({v}, lambda x: round(x / sqrt(list_dot_product({v}, {
 
 CLOSED = "with recursive e as (select a, b from tag_links union select b, a from tag_links), l as (select a as n, a as x from e union select l.n, e.b from l join e on e.a = l.x)"
 
+#: Links by comparing all pairs of photos.
+ALL_PAIRS = """
+with recursive s as (select * from photos where trashed = 0 and is_video = 0 and phash is not null),
+d as (select x.id as a, y.id as b, bit_count(xor(x.phash, y.phash)) as bits, coalesce(abs(x.taken_at - y.taken_at) <= 600, false) as t,
+  coalesce(12742000 * asin(least(1, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lng - x.lng) / 2), 2)))) <= 150, false) as p
+  from s x join s y on x.id < y.id and bit_count(xor(x.phash, y.phash)) <= 12),
+links as (select a, b, bits <= 4 as copy, t, p from d where bits <= 4 or t or p),
+e as (select a, b from links union select b, a from links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x),
+root as (select n, min(x) as grp from r group by 1)"""
+
 SQL = {
     k: with_tables(v)
     for k, v in {
@@ -107,6 +119,10 @@ SQL = {
         "x05_distinct_ids": "select user_id * 7 % 101 as id, min(event_id) as at from events group by 1",
         "g02_linked_tags": "with recursive e as (select a, b from tag_links union select b, a from tag_links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x) select n as tag_id, min(x) as root from r group by 1",
         "g03_apply_tag_links": "with recursive e as (select a, b from tag_links union select b, a from tag_links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x) select distinct photo_id, x as tag_id, 'link' as source from photo_tags join r on n = tag_id where (photo_id, x) not in (select (photo_id, tag_id) from photo_tags)",
+        "g01_exact_members": ALL_PAIRS + " select grp, n as id from root",
+        "g01_exact_groups": ALL_PAIRS + f""", g as (select grp, count(*) as n, arg_max(id, {MERIT}) as best, min(taken_at) as taken_at from root join s on s.id = root.n group by 1),
+k as (select grp, bool_and(copy) as c, bool_or(t) as t, bool_or(p) as p from links join root on root.n = a group by 1)
+select grp, n, case when c then 'copy' else 'similar' end as kind, best, list_filter([case when p then 'place' end, case when t then 'time' end], lambda x: x is not null) as why, taken_at from g join k using (grp)""",
         "g01_members": f"""
 with recursive s as (select * from photos where trashed = 0 and is_video = 0 and phash is not null),
 o as (select *, row_number() over (order by taken_at, id) as p from s where taken_at > 0),
