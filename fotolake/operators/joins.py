@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolake.functions.scalars import hamming64, hash_band, media_stem
-from fotolake.operators.windows import numbered, prev_next
+from fotolake.operators.windows import BLOCK, numbered, prev_next
 from fotolake.storage import settled
 
 
@@ -29,7 +29,7 @@ def pending_embeddings(photos: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.where(~F.col("sha").eqNullSafe(F.col("sha256"))).select("id", "sha256")
 
 
-def geotag_from_track(photos: DataFrame, track: DataFrame, offset_min: int = 0, max_gap_s: int = 900, keys: tuple[str, ...] = (), block_s: int = 86_400) -> DataFrame:
+def geotag_from_track(photos: DataFrame, track: DataFrame, offset_min: int = 0, max_gap_s: int = 900, keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """id, lat, lng for photos without a place from a track (ts, lat, lng), both sides as of the capture time.
 
     The point before is strictly earlier, the one after at or later. With both within the gap and at different times the
@@ -38,7 +38,7 @@ def geotag_from_track(photos: DataFrame, track: DataFrame, offset_min: int = 0,
     asks = photos.where("lat is null and coalesce(taken_at, 0) > 0").select(*keys, "id", (F.col("taken_at") - offset_min * 60).alias("t"), F.lit(0).alias("point"), *[F.lit(None).cast("double").alias(c) for c in ("lat", "lng")])
     points = track.groupBy(*keys, F.col("ts").alias("t")).agg(F.min(F.struct("lat", "lng")).alias("p"))
     points = points.select(*keys, F.lit(None).cast("long").alias("id"), "t", F.lit(1).alias("point"), F.col("p.lat").alias("lat"), F.col("p.lng").alias("lng"))
-    both = prev_next(asks.unionByName(points), ["t", "point", "id"], "t", F.when(F.col("point") == 1, F.struct("t", "lat", "lng")), "p", block_s, keys)
+    both = prev_next(asks.unionByName(points), ["t", "point", "id"], F.when(F.col("point") == 1, F.struct("t", "lat", "lng")), "p", keys, block)
     near = both.where("point = 0").withColumn("before", F.col("t") - F.col("p_prev.t")).withColumn("after", F.col("p_next.t") - F.col("t"))
     lo, hi = F.coalesce(F.col("before") <= max_gap_s, F.lit(False)), F.coalesce(F.col("after") <= max_gap_s, F.lit(False))
     share = F.col("before") / (F.col("before") + F.col("after"))
@@ -50,10 +50,10 @@ def geotag_from_track(photos: DataFrame, track: DataFrame, offset_min: int = 0,
     return near.where(lo | hi).select("id", place("lat").alias("lat"), place("lng").alias("lng"))
 
 
-def geotag_from_neighbors(photos: DataFrame, max_gap_s: int = 1800, block_s: int = 86_400) -> DataFrame:
+def geotag_from_neighbors(photos: DataFrame, max_gap_s: int = 1800, block: int = BLOCK) -> DataFrame:
     """id, source_id: photos without a place and the placed one nearest in time, the earlier one at equal distance."""
     dated = photos.where("trashed = 0 and coalesce(taken_at, 0) > 0").select("id", "taken_at", "lat", "lng")
-    both = prev_next(dated, ["taken_at", "id"], "taken_at", F.when(F.col("lat").isNotNull(), F.struct("taken_at", "id", "lat", "lng")), "p", block_s)
+    both = prev_next(dated, ["taken_at", "id"], F.when(F.col("lat").isNotNull(), F.struct("taken_at", "id", "lat", "lng")), "p", (), block)
     asks = both.where("lat is null").withColumn("before", F.col("taken_at") - F.col("p_prev.taken_at")).withColumn("after", F.col("p_next.taken_at") - F.col("taken_at"))
     first = F.coalesce(F.col("before") <= F.coalesce("after", "before"), F.lit(False))
     source = F.when(first, F.col("p_prev")).otherwise(F.col("p_next"))

@@ -1,5 +1,5 @@
-"""Sessions, rankings and as-of lookups over capture times. Long timelines are cut into blocks of time, each block a
-window of its own, with what earlier or later blocks hold carried over, so that no window is the whole library."""
+"""Sessions, rankings and as-of lookups over capture times. Timelines are numbered and scanned by blocks of equally many rows,
+with what earlier or later blocks hold carried over, so that no window is the whole library, whatever times rows share."""
 
 from __future__ import annotations
 
@@ -10,42 +10,101 @@ from fotolake.functions.scalars import hamming64, haversine_km, natural_key, wal
 from fotolake.storage import settled
 
 
-def prev_next(frame: DataFrame, order: list[str], time: str, value: Column, name: str, block_s: int = 86_400, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds name_prev and name_next: the last value that is not null before each row and the first one after it.
-
-    Rows are ordered by order within keys; time (seconds) places them in blocks. Blocks are summed up in one row each, and
-    only those rows go through a window over blocks.
-    """
-    block = F.floor(F.col(time) / block_s)
-    rows = frame.withColumn("__block", block).withColumn("__value", value)
-    place = Window.partitionBy(*keys, "__block").orderBy(*order)
-    rows = rows.withColumn("__before", F.last("__value", True).over(place.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("__after", F.first("__value", True).over(place.rowsBetween(1, Window.unboundedFollowing)))
-    key = F.struct(*order, "__value")
-    ends = rows.groupBy(*keys, "__block").agg(
-        F.max(F.when(F.col("__value").isNotNull(), key))["__value"].alias("__last"), F.min(F.when(F.col("__value").isNotNull(), key))["__value"].alias("__first")
-    )
-    chain = Window.partitionBy(*keys).orderBy("__block")
-    ends = ends.select(
-        *keys, F.col("__block"),
-        F.last("__last", True).over(chain.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"),
-        F.first("__first", True).over(chain.rowsBetween(1, Window.unboundedFollowing)).alias("__coming"),
-    )
-    both = rows.join(ends, [*keys, "__block"])
-    return both.select(*frame.columns, F.coalesce("__before", "__carried").alias(f"{name}_prev"), F.coalesce("__after", "__coming").alias(f"{name}_next"))
+#: Rows of a block: what a window takes in one piece.
+BLOCK = 8192
 
 
-def numbered(frame: DataFrame, order: list[str], name: str = "place") -> DataFrame:
-    """frame with each row's number from 0 in an order that is unique: ranges of it are numbered by themselves, and the number
-    of rows before each range is added, so equal times are no hot spot."""
+def _ranges(frame: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Ranges of an order, settled, with the number of rows before each of them, and the number of all rows."""
     parted = settled(frame.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     sizes = parted.groupBy("__range").agg(F.count("*").alias("n"))
     # One row per range, as many as there are partitions.
     ahead = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("ahead"))
+    return parted, ahead, parted.count()
+
+
+def _placed(parted: DataFrame, ahead: DataFrame, order: list[str], name: str) -> DataFrame:
     local = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
     return parted.withColumn("__local", local).join(F.broadcast(ahead), "__range").withColumn(name, F.col("__local") + F.col("ahead")).drop("__range", "__local", "ahead")
 
 
+def numbered(frame: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """frame with each row's number from 0 in an order that is unique: ranges of it are numbered by themselves, and the number
+    of rows before each range is added, so equal times are no hot spot."""
+    parted, ahead, _ = _ranges(frame, order)
+    return _placed(parted, ahead, order, name)
+
+
+def _with_blocks(rows: DataFrame, blocks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """rows with the columns that blocks, one row for each block and keys, has beside them; keys may be null."""
+    side = blocks.withColumnsRenamed({c: f"__of_{i}" for i, c in enumerate(keys)} | {"__block": "__of_block"})
+    same = rows["__block"] == side["__of_block"]
+    for i, c in enumerate(keys):
+        same &= rows[c].eqNullSafe(side[f"__of_{i}"])
+    return rows.join(side, same).drop("__block", "__of_block", *[f"__of_{i}" for i in range(len(keys))])
+
+
+def carried(rows: DataFrame, place: str, up: Column, down: Column, name: str, span: int, keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """Adds name_prev, the last up that is not null in rows before, and name_next, the first such down in rows after, within
+    keys by place, a number from 0 and below span.
+
+    A scan by segments: blocks of places are windows of their own, each is summed up in one row for each of its keys, and
+    those rows, being far fewer, are scanned in the same way. So it doesn't matter how many rows share keys or a time.
+    """
+    at = F.floor(F.col(place) / block)
+    rows = rows.withColumns({"__up": up, "__down": down, "__block": at})
+    window = Window.partitionBy("__block", *keys).orderBy(place)
+    before = F.last("__up", True).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("__down", True).over(window.rowsBetween(1, Window.unboundedFollowing))
+    inside = rows.withColumns({f"{name}_prev": before, f"{name}_next": after}).drop("__up", "__down")
+    if span <= block:
+        return inside.drop("__block")
+    ends = rows.groupBy("__block", *keys).agg(
+        F.max_by("__up", F.when(F.col("__up").isNotNull(), F.col(place))).alias("__last"), F.min_by("__down", F.when(F.col("__down").isNotNull(), F.col(place))).alias("__first")
+    )
+    far = f"__far_{name}"
+    over = carried(ends.withColumnRenamed("__block", "__at"), "__at", F.col("__last"), F.col("__first"), far, -(-span // block), keys, block)
+    both = _with_blocks(inside, over.select(F.col("__at").alias("__block"), *keys, f"{far}_prev", f"{far}_next"), keys)
+    chosen = {f"{name}_{x}": F.coalesce(f"{name}_{x}", f"{far}_{x}") for x in ("prev", "next")}
+    return both.withColumns(chosen).drop(f"{far}_prev", f"{far}_next")
+
+
+def summed_before(rows: DataFrame, place: str, value: Column, name: str, span: int, keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """Adds name, the sum of value over the rows before, within keys by place; scanned like carried()."""
+    rows = rows.withColumns({"__value": value, "__block": F.floor(F.col(place) / block)})
+    window = Window.partitionBy("__block", *keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn(name, F.coalesce(F.sum("__value").over(window), F.lit(0))).drop("__value")
+    if span <= block:
+        return inside.drop("__block")
+    totals = rows.groupBy("__block", *keys).agg(F.sum("__value").alias("__total"))
+    far = f"__far_{name}"
+    over = summed_before(totals.withColumnRenamed("__block", "__at"), "__at", F.col("__total"), far, -(-span // block), keys, block)
+    both = _with_blocks(inside, over.select(F.col("__at").alias("__block"), *keys, far), keys)
+    return both.withColumn(name, F.col(name) + F.col(far)).drop(far)
+
+
+def prev_next(frame: DataFrame, order: list[str], value: Column, name: str, keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """Adds name_prev and name_next: the last value that is not null before each row and the first one after it.
+
+    Rows are ordered by order, which is unique, within keys. They are numbered over ranges of it and scanned by blocks of
+    equal size, so a million rows of one second, or of one key, are spread like any others.
+    """
+    sequence = [*keys, *order]
+    parted, ahead, span = _ranges(frame.withColumn("__value", value), sequence)
+    rows = _placed(parted, ahead, sequence, "__n")
+    found = carried(rows, "__n", F.col("__value"), F.col("__value"), name, span, keys, block)
+    return found.select(*[found[f"`{c}`"] for c in frame.columns], f"{name}_prev", f"{name}_next")
+
+
+def ranked(frame: DataFrame, keys: list[str], order: list[str], name: str, block: int = BLOCK) -> DataFrame:
+    """frame with each row's number from 0 within keys, none of them null, in an order that is unique. Rows learn their keys'
+    first number by keys and block, so no key is a hot spot."""
+    rows = settled(numbered(frame, [*keys, *order], "__n")).withColumn("__block", F.floor(F.col("__n") / block))
+    first = rows.groupBy(*keys).agg(F.min("__n").alias("__first"))
+    blocks = rows.select(*keys, "__block").distinct().join(first, keys)
+    return rows.join(blocks, [*keys, "__block"]).withColumn(name, F.col("__n") - F.col("__first")).drop("__n", "__block", "__first")
+
+
 def _shots(photos: DataFrame) -> DataFrame:
     return photos.where("trashed = 0 and is_video = 0 and phash is not null")
 
@@ -58,17 +117,19 @@ def merit(*more: str) -> Column:
     return F.struct(or_zero("score").alias("s"), (-closed).alias("e"), area.alias("a"), or_zero("bytes").alias("b"), (-or_zero("taken_at")).alias("t"), (-F.col("id")).alias("i"), *more)
 
 
-def runs(photos: DataFrame, gap_s: int, bits: int, least: int, block_s: int = 86_400) -> DataFrame:
+def runs(photos: DataFrame, gap_s: int, bits: int, least: int, block: int = BLOCK) -> DataFrame:
     """id, run, n, best for shots in runs: each at most gap_s after the one before and at most bits different from it.
 
     photos has eyes_closed beside the catalog's columns. A run is named by its first shot; best as in merit().
     """
     shots = _shots(photos).where("taken_at is not null").select("id", "taken_at", "phash", "score", "eyes_closed", "width", "height", "bytes")
-    seen = prev_next(shots, ["taken_at", "id"], "taken_at", F.struct("taken_at", "id", "phash"), "s", block_s)
+    order = ["taken_at", "id"]
+    parted, ahead, span = _ranges(shots, order)
+    rows = _placed(parted, ahead, order, "__n")
+    seen = carried(rows, "__n", F.struct("taken_at", "phash"), F.lit(None).cast("int"), "s", span, (), block)
     starts = F.col("s_prev").isNull() | (F.col("taken_at") - F.col("s_prev.taken_at") > gap_s) | (hamming64(F.col("phash"), F.col("s_prev.phash")) > bits)
-    marked = seen.withColumn("start", F.when(starts, F.struct("taken_at", "id")))
-    named = prev_next(marked.drop("s_prev", "s_next"), ["taken_at", "id"], "taken_at", F.col("start"), "r", block_s)
-    named = named.withColumn("run", F.coalesce("start", "r_prev")["id"])
+    named = carried(seen.withColumn("start", F.when(starts, F.col("id"))).drop("s_prev", "s_next"), "__n", F.col("start"), F.lit(None).cast("int"), "r", span, (), block)
+    named = named.withColumn("run", F.coalesce("start", "r_prev"))
     groups = named.groupBy("run").agg(F.count("*").alias("n"), F.max_by("id", merit()).alias("best")).where(F.col("n") >= least)
     return named.select("id", "run").join(groups, "run").select("id", "run", "n", "best")
 
@@ -147,17 +208,93 @@ def retention(snapshots: DataFrame, keep: int, safety: int = 3) -> DataFrame:
     return snapshots.withColumn("kind", kind).select("id", "reason", (place <= F.when(F.col("kind") == "regular", keep).otherwise(safety)).alias("keep"))
 
 
-def unique_names(files: DataFrame) -> DataFrame:
-    """(id, folder, unique): within a folder a name that is taken gets ' (1)', ' (2)' …; lower ids go first.
+def _stem_ext(name: Column) -> tuple[Column, Column]:
+    """A dot parts them if something stands on both of its sides."""
+    dotted = name.rlike(r"(?s)^.+\.[^.]+\z")
+    ext = F.when(dotted, F.regexp_extract(name, r"(?s)(\.[^.]+)\z", 1)).otherwise("")
+    return name.substr(F.lit(1), F.length(name) - F.length(ext)), ext
+
+
+def _numbered_name(name: Column, number: Column) -> Column:
+    stem, ext = _stem_ext(name)
+    return F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), ext)
 
-    Names that collide with a numbered one made here are numbered past it: repeats are counted within a stem's family.
+
+def unique_names(files: DataFrame, start: int = 1, ignore_case: bool = True) -> DataFrame:
+    """(id, folder, unique): files are named one after the other by id; a name that its folder has already becomes the first
+    free 'stem (n).ext' from start on. Files in folders: 1, case ignored; members of an archive: 2, case kept.
+
+    The same names come out as by going through the files one by one, but for names that end in a dot and numbers in brackets,
+    which are different all the same. A null name is an empty one, ids are different. Names are settled by how many numbers they end in.
+    Repeats of a name take the free numbers of its stem in turn: the k-th gets the k-th number that no file asked for
+    itself before it. Which of the asked-for numbers that leaves is found in rounds over those numbers alone, as each shifts
+    the ones after it. A file whose number has gone repeats its own name on the next level. No folder or name is one task.
+    """
+    own = F.lower("name") if ignore_case else F.col("name")
+    rows = files.select("id", F.coalesce("folder", F.lit("")).alias("folder"), F.col("folder").alias("was"), F.coalesce("name", F.lit("")).alias("name")).withColumn("key", own)
+    stem, ext = _stem_ext(F.col("key"))
+    rows = rows.withColumn("depth", F.size(F.regexp_extract_all(F.regexp_extract(stem, r"((?: \(\d+\))*)\z", 1), F.lit(r"\(\d+\)"), F.lit(0))))
+    digits = F.regexp_extract(stem, r" \(([1-9]\d{0,8}|0)\)\z", 1)
+    parent = F.concat(F.regexp_replace(stem, r" \(\d+\)\z", ""), ext)
+    asked = F.when((F.col("depth") > 0) & (digits != ""), digits.cast("long"))
+    rows = rows.withColumn("number", F.when(asked >= start, asked)).withColumn("parent", parent)
+    rows = rows.withColumn("number", F.when(_numbered_name(F.col("parent"), F.col("number")) == F.col("key"), F.col("number")))
+    rows = settled(ranked(rows, ["folder", "key"], ["id"], "nth"))
+    deepest = rows.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return rows.select("id", F.col("was").alias("folder"), F.col("name").alias("unique"))
+    done, repeats = [], None
+    for depth in range(deepest + 2):
+        mine = rows.where(F.col("depth") == depth)
+        lost = None
+        if repeats is not None:
+            # What repeats of shorter names take of the numbers that files of this level ask for.
+            repeats = settled(ranked(repeats, ["folder", "key"], ["id"], "k").withColumn("k", F.col("k") + 1))
+            slots, lost = _slots(repeats, mine.where("nth = 0 and number is not null"), start)
+            done.append(slots)
+        gone = mine if lost is None else mine.join(lost.withColumn("lost", F.lit(True)), ["folder", "key"], "left")
+        keeps = (F.col("nth") == 0) if lost is None else (F.col("nth") == 0) & F.col("lost").isNull()
+        gone = settled(gone.withColumn("keeps", keeps).select("id", "was", "folder", "name", "key", "keeps"))
+        done.append(gone.where("keeps").select("id", "was", F.col("name").alias("unique")))
+        repeats = gone.where("not keeps").drop("keeps")
+    named = done[0]
+    for more in done[1:]:
+        named = named.unionByName(more)
+    named = settled(named.select("id", F.col("was").alias("folder"), "unique"))
+    # Names that end in a dot and numbers read in two ways, and may meet what another reading gave; such repeats go once more.
+    key = F.lower("unique") if ignore_case else F.col("unique")
+    if named.groupBy(F.coalesce("folder", F.lit("")), key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return named
+    return unique_names(named.withColumnRenamed("unique", "name"), start, ignore_case)
+
+
+def _slots(repeats: DataFrame, asking: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
+    """Names for repeats (folder, key, id, k from 1), and (folder, key) of the names in asking whose number they take.
+
+    asking has folder, parent, number, key, id: the first file that asks for each number. Number i is the turn of repeat
+    i - start + 1 - c, where c numbers before it were passed over; it is passed over itself if it was asked for first.
     """
-    stem, ext = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    place = F.row_number().over(Window.partitionBy("folder", F.lower("name")).orderBy("id")) - 1
-    first = files.withColumn("place", place).withColumn("unique", F.when(F.col("place") == 0, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), F.col("place"), F.lit(")"), ext)))
-    clash = F.row_number().over(Window.partitionBy("folder", F.lower("unique")).orderBy("place", "id")) - 1
-    more = F.regexp_replace("unique", r"(\.[^.]*)$", "")
-    return first.withColumn("clash", clash).select("id", "folder", F.when(F.col("clash") == 0, F.col("unique")).otherwise(F.concat(more, F.lit(" ("), F.col("clash"), F.lit(")"), ext)).alias("unique"))
+    on = ["folder", "stem"]
+    turns = repeats.select("folder", F.col("key").alias("stem"), "k", F.col("id").alias("at"))
+    wanted = asking.join(turns.select(*on).distinct().withColumnRenamed("stem", "parent"), ["folder", "parent"], "left_semi")
+    wanted = wanted.select("folder", F.col("parent").alias("stem"), "number", "key", F.col("id").alias("first"))
+    parted, ahead, span = _ranges(wanted, [*on, "number"])
+    wanted = settled(_placed(parted, ahead, [*on, "number"], "__n"))
+    # At first all asked-for numbers are held to be passed over; the first n of a stem are right after n rounds at the latest.
+    state = settled(summed_before(wanted, "__n", F.lit(1).cast("long"), "passed", span, tuple(on)))
+    while True:
+        turn = state.withColumn("k", F.col("number") - start + 1 - F.col("passed"))
+        met = settled(turn.join(turns, [*on, "k"], "left").withColumn("skip", F.coalesce(F.col("first") < F.col("at"), F.lit(False))))
+        fresh = settled(summed_before(met, "__n", F.col("skip").cast("long"), "now", span, tuple(on)))
+        if fresh.where("now <> passed").isEmpty():
+            break
+        state = fresh.select(*wanted.columns, F.col("now").alias("passed"))
+    lost = fresh.where("not skip and at is not null").select("folder", "key")
+    passed = fresh.where("skip").select("folder", "stem", "k", F.lit(0).alias("repeat"), (F.col("passed") + 1).alias("over"), F.col("number").alias("id"))
+    every = repeats.select("folder", F.col("key").alias("stem"), "k", F.lit(1).alias("repeat"), F.lit(None).cast("long").alias("over"), "id", "was", "name")
+    both = prev_next(every.unionByName(passed, True), ["k", "repeat", "id"], F.col("over"), "over", tuple(on)).where("repeat = 1")
+    number = F.lit(start - 1) + F.col("k") + F.coalesce("over_prev", F.lit(0))
+    return both.select("id", "was", _numbered_name(F.col("name"), number).alias("unique")), lost
 
 
 def year_in_review(photos: DataFrame, year: int, top: int = 10) -> DataFrame:
@@ -183,19 +320,19 @@ def face_timeline(t, tz: str = "UTC") -> DataFrame:
     return rows.groupBy("person_id", F.year(wall(F.col("taken_at"), tz)).alias("year")).agg(F.max_by("photo_id", merit).alias("photo"))
 
 
-def fly_path(photos: DataFrame, block_s: int = 86_400) -> DataFrame:
+def fly_path(photos: DataFrame, block: int = BLOCK) -> DataFrame:
     """Placed photos in order of time with the place of the next one and the length of the leg in km."""
     placed = photos.where("trashed = 0 and lat is not null and lng is not null and coalesce(taken_at, 0) > 0").select("id", "taken_at", "lat", "lng")
-    legs = prev_next(placed, ["taken_at", "id"], "taken_at", F.struct("taken_at", "id", "lat", "lng"), "p", block_s)
+    legs = prev_next(placed, ["taken_at", "id"], F.struct("taken_at", "id", "lat", "lng"), "p", (), block)
     return legs.select("id", "taken_at", "lat", "lng", F.col("p_next.id").alias("next_id"), haversine_km(F.col("lat"), F.col("lng"), F.col("p_next.lat"), F.col("p_next.lng")).alias("km"))
 
 
-def position_at(photos: DataFrame, times: DataFrame, block_s: int = 86_400) -> DataFrame:
+def position_at(photos: DataFrame, times: DataFrame, block: int = BLOCK) -> DataFrame:
     """t, lat, lng on the straight line between the photos before and after each t; at the ends that of the nearest one."""
     points = photos.where("trashed = 0 and lat is not null and coalesce(taken_at, 0) > 0").groupBy("taken_at").agg(F.min(F.struct("id", "lat", "lng")).alias("p"))
     points = points.select(F.col("taken_at").alias("t"), F.lit(0).alias("ask"), F.col("p.lat").alias("lat"), F.col("p.lng").alias("lng"))
     asks = times.select("t").distinct().select("t", F.lit(1).alias("ask"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
-    both = prev_next(points.unionByName(asks), ["t", "ask"], "t", F.when(F.col("ask") == 0, F.struct("t", "lat", "lng")), "p", block_s).where("ask = 1")
+    both = prev_next(points.unionByName(asks), ["t", "ask"], F.when(F.col("ask") == 0, F.struct("t", "lat", "lng")), "p", (), block).where("ask = 1")
     share = (F.col("t") - F.col("p_prev.t")) / (F.col("p_next.t") - F.col("p_prev.t"))
     between = lambda c: F.coalesce(F.col(f"p_prev.{c}") + (F.col(f"p_next.{c}") - F.col(f"p_prev.{c}")) * share, F.col(f"p_prev.{c}"), F.col(f"p_next.{c}"))
     return both.select("t", between("lat").alias("lat"), between("lng").alias("lng"))

@@ -100,7 +100,7 @@ QUERIES = {
     "w02_series": _of(series),
     "w03_series_members": _of(lambda t: wn.series_members(series(t).select("id", "series"), t.photos.where("rating = 5 and trashed = 0").select("id"))),
     "w03_make_series": _of(lambda t: wn.make_series(wn.unseries(t.photos.where("id % 5 < 2").select(F.col("id").alias("photo_id"), (F.col("id") % 7).alias("series_id")), t.photos.where("id % 10 = 1")), t.photos.where("id % 10 = 6"))),
-    "w06_prev_next": _of(lambda t: wn.prev_next(t.photos.select("id", "taken_at", "lat"), ["taken_at", "id"], "taken_at", F.when(F.col("lat").isNotNull(), F.col("id")), "placed").select("id", "placed_prev", "placed_next")),
+    "w06_prev_next": _of(lambda t: wn.prev_next(t.photos.select("id", "taken_at", "lat"), ["taken_at", "id"], F.when(F.col("lat").isNotNull(), F.col("id")), "placed").select("id", "placed_prev", "placed_next")),
     "w04_rank_selection": _of(lambda t: wn.rank_selection(t, t.photos.where("id % 53 = 0").select(F.col("id").alias("photo_id"), (F.col("id") * 7 % 1009).alias("asked")))),
     "w05_retention": _of(lambda t: wn.retention(t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 1, "auto").when(F.col("event_id") % 3 == 2, "manual").otherwise(F.col("event_type")).alias("reason"), ((F.col("event_id") * 37) % 1000).alias("created")), 40)),
     "w07_unique_names": _of(lambda t: wn.unique_names(t.photos.select("id", (F.col("id") % 9).cast("string").alias("folder"), F.concat(F.lit("Pic"), (F.col("id") % 17).cast("string"), F.when(F.col("id") % 19 == 0, " (1)").otherwise(""), F.lit(".jpg")).alias("name"))).drop("folder")),

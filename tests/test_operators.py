@@ -79,10 +79,35 @@ def test_prev_next_equals_one_window(spark):
     for n, r in enumerate(ordered):
         want[r[0]] = (next((x[2] for x in ordered[:n][::-1] if x[2] is not None), None), next((x[2] for x in ordered[n + 1 :] if x[2] is not None), None))
     for block in (7, 100, 10_000):
-        found = wn.prev_next(frame, ["t", "id"], "t", F.col("v"), "v", block).collect()
+        found = wn.prev_next(frame, ["t", "id"], F.col("v"), "v", (), block).collect()
         assert {r["id"]: (r["v_prev"], r["v_next"]) for r in found} == want
 
 
+def test_scans_within_keys_that_may_be_null(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, "a", "a", "b"]), rng.randrange(5), rng.randrange(9) if rng.random() < 0.3 else None) for i in range(150)]
+    frame = spark.createDataFrame(rows, "id long, k string, t long, v long")
+    found = {r["id"]: (r["v_prev"], r["v_next"]) for r in wn.prev_next(frame, ["t", "id"], F.col("v"), "v", ("k",), 4).collect()}
+    for r in rows:
+        mine = sorted((x[2], x[0], x[3]) for x in rows if x[1] == r[1] and x[3] is not None)
+        before, after = [x[2] for x in mine if x[:2] < (r[2], r[0])], [x[2] for x in mine if x[:2] > (r[2], r[0])]
+        assert found[r[0]] == (before[-1] if before else None, after[0] if after else None)
+    placed = wn.numbered(frame, ["k", "t", "id"], "n")
+    sums = {r["id"]: r["s"] for r in wn.summed_before(placed, "n", F.coalesce("v", F.lit(0)), "s", 150, ("k",), 4).collect()}
+    assert all(sums[r[0]] == sum(x[3] or 0 for x in rows if x[1] == r[1] and (x[2], x[0]) < (r[2], r[0])) for r in rows)
+
+
+def test_a_crowded_second_is_many_blocks(spark):
+    """A hundred thousand rows of one time: no window takes more than a block of them."""
+    n, block = 100_000, 1000
+    frame = spark.range(n).select("id", F.lit(7).alias("t"), F.when(F.col("id") % 7000 == 0, F.col("id")).alias("v"))
+    found = wn.prev_next(frame, ["t", "id"], F.col("v"), "v", (), block)
+    wrong = found.where("v_prev is distinct from case when id > 0 then (id - 1) div 7000 * 7000 end or v_next is distinct from case when id < 98000 then (id div 7000 + 1) * 7000 end")
+    assert wrong.isEmpty()
+    placed = wn.numbered(frame, ["t", "id"], "n")
+    assert placed.groupBy(F.floor(F.col("n") / block)).count().agg(F.max("count")).first()[0] == block
+
+
 def test_track_interpolates(photos, spark):
     track = spark.createDataFrame([(1000, 32.0, 34.0), (1100, 32.1, 34.2), (5000, 1.0, 1.0)], "ts long, lat double, lng double")
     rows = [shot(1, 1050), shot(2, 1900), shot(3, 3000), shot(4, 1000), shot(5, 50, lat=1.0, lng=1.0), shot(6, 0)]
@@ -257,10 +282,38 @@ def test_albums_links_and_merges(spark):
         mu.merge_people(bridge, faces, ("person", 1), ("cluster", 8))
 
 
-def test_unique_names_do_not_collide(spark):
-    rows = [(i, "f", n) for i, n in enumerate(["a.jpg", "a.jpg", "A.jpg", "a (1).jpg", "b", "b"])]
-    names = [r["unique"].lower() for r in wn.unique_names(spark.createDataFrame(rows, "id long, folder string, name string")).collect()]
-    assert len(set(names)) == len(names) == 6
+def one_by_one(rows, start, ignore_case):
+    """Names as given to one file after the other."""
+    used, out = {}, {}
+    for i, folder, name in sorted(rows):
+        fold = str.lower if ignore_case else str
+        mine = used.setdefault(folder or "", set())
+        dot = name.rfind(".")
+        stem, ext = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
+        found, n = name, start
+        while fold(found) in mine:
+            found, n = f"{stem} ({n}){ext}", n + 1
+        mine.add(fold(found))
+        out[i] = found
+    return out
+
+
+@pytest.mark.parametrize(("start", "ignore_case"), [(1, True), (2, False)])
+def test_unique_names_equal_one_by_one(spark, start, ignore_case):
+    rng = random.Random(start)
+    fixed = ["a.jpg", "a.jpg", "a (1).jpg", "a (1) (1).jpg", "A.jpg", "a (2).jpg", "a (1).jpg", "a (1) (1).jpg", ".hidden", ".hidden", "b", "b", "c.", "c.", "d (01).x", "d.x", "d.x", "d (0).x", " (1).jpg", ".jpg", ".jpg", "e.tar.gz", "e.tar.gz", ""]
+    rows = [(i, "f", n) for i, n in enumerate(fixed)]
+    for i in range(400):
+        name = rng.choice(["p", "P", "q.r"]) + "".join(f" ({rng.choice([0, 1, 1, 2, 3, 4, 9, 30])})" for _ in range(rng.choice([0, 0, 0, 1, 1, 2, 3]))) + rng.choice([".jpg", ".jpg", "", ".JPG"])
+        rows.append((100 + i, rng.choice(["f", "g", None]), name))
+    rows += [(600 + i, "h", f"z ({i + 1}).png" if i < 40 else "z.png") for i in range(60)]
+    rng.shuffle(rows)
+    found = wn.unique_names(spark.createDataFrame(rows, "id long, folder string, name string"), start, ignore_case).collect()
+    assert {r["id"]: r["unique"] for r in found} == one_by_one(rows, start, ignore_case)
+    assert wn.unique_names(spark.createDataFrame([], "id long, folder string, name string")).collect() == []
+    odd = [(i, "f", n) for i, n in enumerate(["c.", "c.", "c. (1)", "c. (1)", "c (1).", "c (1).", "c (1). (1)", None, None])]
+    names = [r["unique"].lower() for r in wn.unique_names(spark.createDataFrame(odd, "id long, folder string, name string"), start, ignore_case).collect()]
+    assert len(set(names)) == len(odd)
 
 
 def test_search_finds_itself_first(spark):
