@@ -6,7 +6,7 @@ among those a letter longer, one down among those a letter shorter. For each of
 cells of a k-d tree that meet its box; the task of a cell builds a tree over the cell's own points, prunes it by the same box
 and compares the letters of what is left. Only counts and the best near word leave a task, never pairs.
 
-The upper levels, which deal words to cells, are cut at medians of at most SAMPLE words; they decide which task compares what, and
+The upper levels, which deal words to cells, are cut at medians of about SAMPLE words, twice as many at most; they decide which task compares what, and
 nothing else. A word is near at most about 90 * (2 * length + 1) words, one for each possible edit, so no group of words grows
 without bound.
 """
@@ -167,7 +167,10 @@ def upper_trees(words: DataFrame, cell: int = CELL, sample: int = SAMPLE) -> dic
     many = {r["size"]: r["n"] for r in sizes.collect()}  # lengths that many words have: their number is small by nature
     if not many:
         return {}
-    chosen = words.where(F.col("size").isin(*many)).orderBy(F.xxhash64("word")).limit(sample).select("word", "size").collect()
+    # Words of least hashes: about sample of them, and never more than twice as many.
+    share = min(1.0, sample / sum(many.values()))
+    least = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    chosen = words.where(F.col("size").isin(*many) & least).limit(2 * sample).select("word", "size").collect()
     trees = {}
     for size, n in many.items():
         own = [r["word"] for r in chosen if r["size"] == size]
