@@ -78,7 +78,8 @@ from events where event_id % 7 <> 3""",
     "listing_new": """
 select concat(cast((event_id + case when event_id % 31 = 0 then 1 else 0 end) % 9 as STR), '/f', cast(event_id as STR)) as path,
   event_id * 10 + case when event_id % 29 = 0 then 1 else 0 end as size, 1000000 + event_id as mtime,
-  md5(concat(cast(event_id as STR), case when event_id % 29 = 0 then 'x' else '' end)) as sha
+  case when event_id % 203 = 0 then md5(cast(event_id + 203 as STR)) when event_id % 203 = 29 then md5('same') when event_id % 406 = 58 then md5(cast(event_id - 29 as STR))
+    else md5(concat(cast(event_id as STR), case when event_id % 29 = 0 then 'x' else '' end)) end as sha
 from events where event_id % 7 <> 5""",
 }
 

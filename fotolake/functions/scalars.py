@@ -68,22 +68,29 @@ def lr_time(text: Column) -> Column:
     return F.unix_seconds(F.try_to_timestamp(at, F.lit("yyyy-MM-dd HH:mm:ss z")))
 
 
+#: What export tools add to the name of an edited copy.
+EDIT_SUFFIXES = "edited|effects|collage|animation|mix|motion"
+
+
 def media_stem(name: Column) -> Column:
-    """A media name without its extension, counter and edit suffix, in lower case."""
-    bare = F.regexp_replace(F.lower(name), r"\.[a-z0-9]{2,5}$", "")
-    bare = F.regexp_replace(bare, r"\(\d+\)$", "")
-    bare = F.regexp_replace(bare, r"[-_ ](edited|effects|collage|animation|mix|motion)$", "")
-    return F.trim(F.regexp_replace(bare, r"\(\d+\)$", ""))
+    """A media name without its extension, counter and edit suffix, in lower case: what the same shot is called whatever was
+    added to it. The extension is what follows the last dot if something stands on both of its sides."""
+    bare = F.regexp_replace(name, r"^(?s)(.+)\.[^.]+\z", "$1")
+    bare = F.regexp_replace(F.lower(bare), r"^\s+|\s+\z", "")
+    bare = F.regexp_replace(bare, r"\s*\(\d+\)\z", "")
+    bare = F.regexp_replace(bare, rf"[\s_-]*({EDIT_SUFFIXES})\z", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"\s*\(\d+\)\z", ""), r"^\s+|\s+\z", "")
 
 
 def sidecar_target(name: Column) -> Column:
-    """The media name that an export's sidecar file is about."""
-    return F.regexp_replace(F.regexp_replace(name, r"(?i)\.json$", ""), r"(?i)\.supplemental-metadata$", "")
+    """The media name that an export's sidecar file is about; the word before .json may be cut short or numbered."""
+    supplement = r"(?i)\.supplemental[\w-]*\.json\z"
+    return F.when(name.rlike(supplement), F.regexp_replace(name, supplement, "")).otherwise(F.regexp_replace(name, r"(?i)\.json\z", ""))
 
 
 def norm_counter(name: Column) -> Column:
-    """'a.jpg(2)' and 'a(2).jpg' name the same file: the counter moves before the extension."""
-    return F.regexp_replace(name, r"^(.*)(\.[^.()]+)(\(\d+\))$", "$1$3$2")
+    """A name without counters and white space, in lower case: 'IMG(1).jpg' and 'IMG.jpg(1)' agree."""
+    return F.lower(F.regexp_replace(name, r"\(\d+\)|\s+", ""))
 
 
 def folder_of(path: Column) -> Column:
@@ -99,10 +106,16 @@ def safe_component(name: Column) -> Column:
     return F.when(clean == "", F.lit("_")).otherwise(clean)
 
 
-def natural_key(name: Column, width: int = 12) -> Column:
-    """Sort key in which numbers compare by value: IMG_2 before IMG_10."""
+def natural_key(name: Column) -> Column:
+    """Sort key in which numbers of any length compare by value: IMG_2 before IMG_10. A number is its length, then its digits,
+    behind a sign that sorts before all others."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+
+    def number(part: Column) -> Column:
+        digits = F.regexp_replace(part, r"^0+(?=\d)", "")
+        return F.concat(F.lit("\x01"), F.lpad(F.length(digits).cast("string"), 5, "0"), F.lit(":"), digits)
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")
 
 
 def orientation(width: Column, height: Column, tolerance: float = 0.05) -> Column:

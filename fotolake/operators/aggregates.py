@@ -148,7 +148,7 @@ def unnamed_clusters(faces: DataFrame, least: int = 2, most: int = 300) -> DataF
 
 
 def cluster_vote(t) -> DataFrame:
-    """cluster_id, person_id: clusters by size claim the person whom most of their photos name; each person is claimed once.
+    """cluster_id, person_id: clusters, those of most faces first, claim the person whom most of their photos name; each person is claimed once.
 
     Deferred acceptance: every cluster without a person asks the best one it has not asked yet, and a person keeps the
     largest cluster that asked. All persons rank clusters alike, so this ends where going through the clusters by size
@@ -157,7 +157,7 @@ def cluster_vote(t) -> DataFrame:
     from fotolake.storage import settled
 
     inside = t.faces.where("cluster_id is not null").select("cluster_id", "photo_id").distinct()
-    size = inside.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    size = t.faces.where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("size"))
     votes = inside.join(t.photo_people.select("photo_id", "person_id").distinct(), "photo_id").groupBy("cluster_id", "person_id").agg(F.count("*").alias("v"))
     open_ = settled(votes.join(size, "cluster_id"))
     while True:

@@ -7,8 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotolake.functions.scalars import hamming64, hash_band, media_stem
-from fotolake.operators.windows import BLOCK, numbered, prev_next
+from fotolake.functions.scalars import hamming64, hash_band, media_stem, norm_counter, sidecar_target
+from fotolake.operators.windows import BLOCK, numbered, prev_next, ranked
 from fotolake.storage import settled
 
 
@@ -152,16 +152,15 @@ def sidecar_match(media: DataFrame, sidecars: DataFrame, least: int = 6) -> Data
     which each medium asks for its best sidecar that has not refused it, and a sidecar keeps the first medium that asked.
     """
     bare = lambda c: F.when(c.rlike(r"^.+\."), F.regexp_replace(c, r"\.[^.]*$", "")).otherwise(c)
-    loose = lambda c: F.lower(F.regexp_replace(c, r"\(\d+\)|\s+", ""))
     name = F.col("name")
-    target = F.when(name.rlike(r"(?i)\.supplemental[\w-]*\.json$"), F.regexp_replace(name, r"(?i)\.supplemental[\w-]*\.json$", "")).otherwise(F.regexp_replace(name, r"(?i)\.json$", ""))
+    target = sidecar_target(name)
     files = media.select("folder", name.alias("media")).distinct()
     cars = sidecars.select("folder", name.alias("sidecar"), target.alias("target")).distinct()
     exact = files.join(cars, (files["folder"] == cars["folder"]) & (files["media"] == cars["target"])).select(files["folder"], "media", "sidecar", F.lit(2).alias("rule"), F.lit(0).alias("size"))
     begins = files.withColumn("stem", bare(F.col("media"))).where(F.length("stem") >= least)
     begins = begins.select("folder", "media", F.explode(F.transform(F.sequence(F.lit(least), F.length("stem")), lambda n: F.substr(F.col("stem"), F.lit(1), n))).alias("stem"))
     cut = begins.join(cars.withColumn("stem", bare(F.col("target"))).where(F.length("stem") >= least), ["folder", "stem"]).select("folder", "media", "sidecar", F.lit(1).alias("rule"), F.length("stem").alias("size"))
-    moved = files.withColumn("k", loose(F.col("media"))).join(cars.withColumn("k", loose(F.col("target"))), ["folder", "k"]).select("folder", "media", "sidecar", F.lit(0).alias("rule"), F.lit(0).alias("size"))
+    moved = files.withColumn("k", norm_counter(F.col("media"))).join(cars.withColumn("k", norm_counter(F.col("target"))), ["folder", "k"]).select("folder", "media", "sidecar", F.lit(0).alias("rule"), F.lit(0).alias("size"))
     pairs = exact.unionByName(cut).unionByName(moved)
     # By the prefix rule the greater name wins, by the others the smaller one: its code points are turned round.
     turned = F.when(F.col("rule") == 1, F.hex("sidecar")).otherwise(F.concat(F.translate(F.hex("sidecar"), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~")))
@@ -190,32 +189,77 @@ def xmp_sidecar(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     return rows.select("path", F.coalesce("by_full", "by_bare").alias("sidecar")).where("sidecar is not null")
 
 
+def changed_contents(edited: DataFrame, known: DataFrame) -> DataFrame:
+    """edited (path, sha, photo_id) with changed: whether the photo takes the new content, or another one has it already.
+
+    Files are taken by path, one after the other, and a content belongs to one photo at a time: to the one that known (path,
+    sha) gives it, until that file changes, then to the first file after it that changes to it. So only one file for each
+    content can get it, and it does if the owner's own change succeeded; such chains are followed by doubling.
+    """
+    owner = known.groupBy("sha").agg(F.min("path").alias("owner"))
+    moves = edited.select(F.col("path").alias("owner")).withColumn("leaves", F.lit(True))
+    asks = edited.join(owner, "sha", "left").join(moves, "owner", "left")
+    open_ = F.col("owner").isNull() | (F.col("leaves") & (F.col("path") > F.col("owner")))
+    first = asks.where(open_).groupBy("sha").agg(F.min("path").alias("path")).withColumn("first", F.lit(True))
+    asks = asks.join(first, ["sha", "path"], "left")
+    # yes: nothing in the way; no: never; else the owner's outcome decides.
+    state = F.when(F.col("first").isNull(), "no").when(F.col("owner").isNull(), "yes")
+    asks = settled(asks.select("path", "sha", "photo_id", state.alias("state"), F.when(state.isNull(), F.col("owner")).alias("waits")))
+    while not asks.where("state is null").isEmpty():
+        there = asks.select(F.col("path").alias("waits"), F.col("state").alias("its"), F.col("waits").alias("next"))
+        asks = settled(asks.join(there, "waits", "left").select("path", "sha", "photo_id", F.coalesce("state", "its").alias("state"), F.when(F.coalesce("state", "its").isNull(), F.col("next")).alias("waits")))
+    return asks.select("path", "sha", "photo_id", (F.col("state") == "yes").alias("changed"))
+
+
 def folder_diff(disk: DataFrame, known: DataFrame, guard_n: int = 20, guard_share: float = 0.5) -> DataFrame:
     """path, change, photo_id: new, changed, touched (of the same content), moved (content known under a path that is gone),
-    duplicate (content that is known elsewhere), gone.
+    duplicate (content that another photo has), gone.
 
-    When more than guard_n files and more than guard_share of the known ones are gone, removals are held back.
+    Edited files come first, in order of path, then new ones, also by path; what an edited file no longer holds is free for
+    a new one. When more than guard_n files and more than guard_share of the known ones are gone, removals are held back.
     """
-    both = disk.alias("d").join(known.alias("k"), "path", "full").select(
+    both = settled(disk.alias("d").join(known.alias("k"), "path", "full").select(
         "path", F.col("d.sha").alias("sha"), F.col("k.sha").alias("old_sha"), F.col("k.photo_id").alias("photo_id"), F.col("d.size").alias("size"), F.col("k.size").alias("old_size"), F.col("d.mtime").alias("mtime"), F.col("k.mtime").alias("old_mtime")
-    )
+    ))
     gone, new = both.where("size is null"), both.where("old_size is null")
-    place = F.row_number().over(Window.partitionBy("sha").orderBy("path"))
-    lost = gone.select(F.col("old_sha").alias("sha"), F.col("photo_id").alias("moved_id"), F.col("path").alias("was")).withColumn("place", F.row_number().over(Window.partitionBy("sha").orderBy("was")))
-    fresh = new.withColumn("place", place).join(lost, ["sha", "place"], "left")
-    have = known.select("sha").distinct().withColumn("have", F.lit(True))
+    other = both.where("size is not null and old_size is not null and (size <> old_size or mtime <> old_mtime)")
+    none = F.lit(None).cast("string").alias("was")
+    same = other.where("sha <=> old_sha").select("path", F.lit("touched").alias("change"), "photo_id", none)
+    outcome = settled(changed_contents(other.where("not sha <=> old_sha").select("path", "sha", "photo_id"), known.select("path", "sha")))
+    changed = outcome.select("path", F.when(F.col("changed"), "changed").otherwise("duplicate").alias("change"), "photo_id", none)
+    # What photos hold after the edits; of equal contents the first paths come first.
+    left_by = outcome.where("changed").select("path", F.col("sha").alias("new_sha"))
+    have = known.join(left_by, "path", "left").select(F.coalesce("new_sha", "sha").alias("sha")).distinct().withColumn("have", F.lit(True))
+    lost = ranked(gone.where("old_sha is not null").select(F.col("old_sha").alias("sha"), F.col("photo_id").alias("moved_id"), F.col("path").alias("was")), ["sha"], ["was"], "place")
+    fresh = ranked(new.where("sha is not null").select("sha", "path"), ["sha"], ["path"], "place").join(lost, ["sha", "place"], "left")
     fresh = fresh.join(have, "sha", "left").select(
-        "path", F.when(F.col("moved_id").isNotNull(), "moved").when(F.col("have") | (F.col("place") > 1), "duplicate").otherwise("new").alias("change"), F.col("moved_id").alias("photo_id"), "was"
+        "path", F.when(F.col("moved_id").isNotNull(), "moved").when(F.col("have") | (F.col("place") > 0), "duplicate").otherwise("new").alias("change"), F.col("moved_id").alias("photo_id"), "was"
     )
-    other = both.where("size is not null and old_size is not null and (size <> old_size or mtime <> old_mtime)").join(have, "sha", "left")
-    what = F.when(F.col("sha") == F.col("old_sha"), "touched").when(F.col("have"), "duplicate").otherwise("changed")
-    changed = other.select("path", what.alias("change"), "photo_id", F.lit(None).cast("string").alias("was"))
+    fresh = settled(fresh.unionByName(new.where("sha is null").select("path", F.lit("new").alias("change"), F.lit(None).cast("long").alias("photo_id"), none)))
     left = gone.join(fresh.where("was is not null").select(F.col("was").alias("path")), "path", "left_anti")
     facts = known.agg(F.count("*").alias("n_known")).join(left.agg(F.count("*").alias("n_gone")))  # one row
     removed = left.join(F.broadcast(facts)).select(
-        "path", F.when((F.col("n_gone") > guard_n) & (F.col("n_gone") > guard_share * F.col("n_known")), "held").otherwise("gone").alias("change"), "photo_id", F.lit(None).cast("string").alias("was")
+        "path", F.when((F.col("n_gone") > guard_n) & (F.col("n_gone") > guard_share * F.col("n_known")), "held").otherwise("gone").alias("change"), "photo_id", none
     )
-    return fresh.unionByName(changed).unionByName(removed).select("path", "change", "photo_id")
+    return fresh.unionByName(changed).unionByName(same).unionByName(removed).select("path", "change", "photo_id")
+
+
+def apply_diff(known: DataFrame, disk: DataFrame, changes: DataFrame) -> DataFrame:
+    """path, size, mtime, sha, photo_id known after the changes that folder_diff found: new files get the next ids by path,
+    moved ones keep theirs, edited ones have the new size and time, and the new content unless another photo has it. Removals
+    that are held back stay; copies of known content are not remembered."""
+    listed = disk.select("path", "size", "mtime", "sha")
+    kinds = changes.select("path", "change", F.col("photo_id").alias("its"))
+    top = known.agg(F.coalesce(F.max("photo_id"), F.lit(0)).alias("top"))  # one row
+    added = numbered(listed.join(kinds.where("change = 'new'").select("path"), "path", "left_semi"), ["path"], "n").join(F.broadcast(top))
+    added = added.select("path", "size", "mtime", "sha", (F.col("top") + 1 + F.col("n")).cast("long").alias("photo_id"))
+    moved = listed.join(kinds.where("change = 'moved'"), "path").select("path", "size", "mtime", "sha", F.col("its").alias("photo_id"))
+    gone = kinds.where("change = 'gone'").select("path").unionByName(known.join(moved.select("photo_id"), "photo_id", "left_semi").select("path"))
+    edits = listed.join(kinds.where("change in ('changed', 'touched', 'duplicate')").select("path", "change"), "path")
+    edits = edits.select("path", F.col("size").alias("new_size"), F.col("mtime").alias("new_mtime"), F.when(F.col("change") == "changed", F.col("sha")).alias("new_sha"))
+    stay = known.select("path", "size", "mtime", "sha", "photo_id").join(gone, "path", "left_anti").join(edits, "path", "left")
+    stay = stay.select("path", *[F.coalesce(f"new_{c}", c).alias(c) for c in ("size", "mtime", "sha")], "photo_id")
+    return stay.unionByName(added).unionByName(moved)
 
 
 def backup_plan(source: DataFrame, target: DataFrame, encode_share: float = 0.4) -> DataFrame:
@@ -234,6 +278,15 @@ def restore_plan(backup: DataFrame, live: DataFrame, overwrite: bool, reduced: b
     return rows.where(wanted).select("path", F.when(F.col("live_sha").isNull(), "missing").otherwise("changed").alias("why"))
 
 
+def restore_summary(backup: DataFrame, live: DataFrame, overwrite: bool, reduced: bool = False) -> DataFrame:
+    """One row: files to bring back, those of them that are missing or changed, and missing_files: files of the catalog that
+    will still be nowhere. backup has path, sha and there (whether the backup holds the file)."""
+    plan = restore_plan(backup.where("there"), live, overwrite, reduced)
+    counts = plan.agg(F.count("*").alias("files"), F.count_if(F.col("why") == "missing").alias("missing"), F.count_if(F.col("why") == "changed").alias("changed"))
+    nowhere = backup.where("not there").join(live.select("path"), "path", "left_anti").agg(F.count("*").alias("missing_files"))
+    return counts.join(nowhere)  # one row each
+
+
 def dedupe_ingest(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """id, status: added for content seen first here, duplicate for content that is known or came earlier in the batch."""
     place = F.row_number().over(Window.partitionBy("sha256").orderBy("id"))

@@ -245,7 +245,7 @@ def smart_list(name: str, now: int) -> Column:
         "red": F.col("label") == "red",
         "five_stars": F.col("rating") == 5,
         "picks": F.col("flag") == 1,
-        "last_month": F.col("taken_at") >= now - 30 * DAY,
+        "last_month": F.coalesce("taken_at", F.lit(0)) > now - 30 * DAY,
         "videos": F.col("is_video") == 1,
         "edited": F.col("edited") == 1,
         "favourites": F.col("favorited") == 1,
@@ -286,14 +286,19 @@ def source_filter(tables: Any, kind: str, value: Any) -> DataFrame:
     raise ValueError(kind)
 
 
-def slideshow(tables: Any, favourites: bool = False, album: int | None = None) -> DataFrame:
-    """Pictures for a slideshow: no videos, nothing rejected, oldest first."""
-    out = tables.photos.where("trashed = 0 and is_video = 0 and coalesce(flag, 0) >= 0")
+def no_keywords(tables: Any) -> DataFrame:
+    """The ready-made list of photos and videos without any keyword."""
+    return tables.photos.where("trashed = 0").join(tables.photo_tags.select(F.col("photo_id").alias("id")), "id", "left_anti")
+
+
+def slideshow(tables: Any, favourites: bool = False, album: int | None = None, oldest_first: bool = False) -> DataFrame:
+    """Pictures for a slideshow: no videos, nothing rejected, newest or oldest first, of one time by id."""
+    out = tables.photos.where("trashed = 0 and is_video = 0 and coalesce(flag, 0) <> -1")
     if favourites:
         out = out.where("favorited = 1")
     if album is not None:
         out = out.join(tables.photo_albums.where(F.col("album_id") == album).select(F.col("photo_id").alias("id")), "id", "left_semi")
-    return out.orderBy("taken_at", "id")
+    return out.orderBy(F.asc("taken_at") if oldest_first else F.desc("taken_at"), "id")
 
 
 def typed_queries(queries: DataFrame, people: DataFrame) -> DataFrame:

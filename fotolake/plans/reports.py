@@ -103,7 +103,7 @@ QUERIES = {
     "w06_prev_next": _of(lambda t: wn.prev_next(t.photos.select("id", "taken_at", "lat"), ["taken_at", "id"], F.when(F.col("lat").isNotNull(), F.col("id")), "placed").select("id", "placed_prev", "placed_next")),
     "w04_rank_selection": _of(lambda t: wn.rank_selection(t, t.photos.where("id % 53 = 0").select(F.col("id").alias("photo_id"), (F.col("id") * 7 % 1009).alias("asked")))),
     "w05_retention": _of(lambda t: wn.retention(t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 1, "auto").when(F.col("event_id") % 3 == 2, "manual").otherwise(F.col("event_type")).alias("reason"), ((F.col("event_id") * 37) % 1000).alias("created")), 40)),
-    "w07_unique_names": _of(lambda t: wn.unique_names(t.photos.select("id", (F.col("id") % 9).cast("string").alias("folder"), F.concat(F.lit("Pic"), (F.col("id") % 17).cast("string"), F.when(F.col("id") % 19 == 0, " (1)").otherwise(""), F.lit(".jpg")).alias("name"))).drop("folder")),
+    "w07_unique_names": _of(lambda t: wn.unique_names(t.photos.select("id", (F.col("id") % 99).cast("string").alias("folder"), F.concat(F.lit("Pic"), (F.col("id") % 17).cast("string"), F.when(F.col("id") % 19 == 0, " (1)").otherwise(""), F.lit(".jpg")).alias("name"))).drop("folder")),
     "w08_year_in_review": _of(lambda t: wn.year_in_review(t.photos, 2024)),
     "w09_album_best": _of(lambda t: wn.album_best(t, 4)),
     "w10_face_timeline": _of(wn.face_timeline),
@@ -126,6 +126,7 @@ QUERIES = {
     "j13_folder_diff": _of(lambda t: jn.folder_diff(t.listing_new, t.listing_old)),
     "j14_backup_plan": _of(lambda t: jn.backup_plan(t.listing_old.select("path", "size", "mtime", (F.col("photo_id") % 2 == 0).alias("encode")), t.listing_new.select("path", "size", (F.col("mtime") - F.col("size") % 5).alias("mtime")))),
     "j15_restore_plan": _of(lambda t: jn.restore_plan(t.listing_old, t.listing_new, True)),
+    "j15_restore_summary": _of(lambda t: jn.restore_summary(t.listing_old.withColumn("there", F.col("photo_id") % 4 > 0), t.listing_new, True)),
     "j16_dedupe_ingest": _of(lambda t: jn.dedupe_ingest(t.photos.where("id % 2 = 0 or id % 13 > 10"), t.photos.where("id % 26 = 11"))),
     "j17_conversion_audit": _of(lambda t: jn.conversion_audit(videos(t), converted(t), "limit", 20.0, 1100)),
     "j18_photo_detail": _of(jn.photo_detail),
@@ -166,6 +167,24 @@ select id, round(case when l and h and ht > lt then lp[1] + (hp[1] - lp[1]) * ((
   round(case when l and h and ht > lt then lp[2] + (hp[2] - lp[2]) * ((t - lt) / (ht - lt)) when l and (not h or t - lt <= ht - t) then lp[2] else hp[2] end, 6) as lng
 from y where l or h"""
 
+#: Changes of a folder: f new files, c edited ones, g those that are gone. An edited file gets a content that nobody has, that its
+#: owner has given up by then, or that an earlier edit did not get; owner and outcome are followed one by one.
+DIFF_SQL = """
+with recursive b as (select path, d.sha, k.sha as old_sha, k.photo_id, d.size, k.size as old_size, d.mtime, k.mtime as old_mtime from listing_new d full join listing_old k using (path)),
+x as (select * from b where size is not null and old_size is not null and (size <> old_size or mtime <> old_mtime)),
+y as (select path, sha, photo_id, (select min(path) from listing_old k where k.sha = x.sha) as owner from x where sha <> old_sha),
+z as (select y.*, o.path is not null as moves from y left join y o on o.path = y.owner),
+a as (select *, (owner is null or (moves and path > owner)) and not exists (select 1 from z e where e.sha = z.sha and e.path < z.path and (e.owner is null or (e.moves and e.path > e.owner))) as first from z),
+walk as (select path, path as at, first as ok, owner from a union all select walk.path, a.path, walk.ok and a.first, a.owner from walk join a on a.path = walk.owner where walk.ok),
+won as (select path, bool_and(ok) as ok from walk group by 1),
+have as (select case when won.ok then y.sha else k.sha end as sha from listing_old k left join won on won.path = k.path left join y on y.path = k.path),
+lost as (select old_sha as sha, photo_id as moved, path as was, row_number() over (partition by old_sha order by path) as place from b where size is null),
+fresh as (select path, n.sha, place, moved, was from (select path, sha, row_number() over (partition by sha order by path) as place from b where old_size is null) n left join lost using (sha, place)),
+f as (select path, case when moved is not null then 'moved' when place > 1 or sha in (select sha from have) then 'duplicate' else 'new' end as change, moved as photo_id from fresh),
+c as (select path, case when sha = old_sha then 'touched' when won.ok then 'changed' else 'duplicate' end as change, photo_id from x left join won using (path)),
+l as (select path, photo_id from b where size is null and path not in (select was from fresh where was is not null)),
+g as (select path, case when (select count(*) from l) > 20 and (select count(*) from l) > 0.5 * (select count(*) from listing_old) then 'held' else 'gone' end as change, photo_id from l)"""
+
 SQL = {
     k: with_tables(v)
     for k, v in {
@@ -250,15 +269,24 @@ select in_id, arg_min(id, (rule, id)) as known_id from m group by 1""",
         "j11_suffix_join": """
 with u as (select 'export/' || case when id % 4 = 0 then rel_path else filename end as uri from photos where id % 2 = 0)
 select rel_path as path, uri from photos join u on regexp_extract(rel_path, '[^/]*$') = regexp_extract(uri, '[^/]*$') where ends_with(uri, rel_path) or ends_with(rel_path, uri)""",
-        "j13_folder_diff": """
-with b as (select path, d.sha, k.sha as old_sha, k.photo_id, d.size, k.size as old_size, d.mtime, k.mtime as old_mtime from listing_new d full join listing_old k using (path)),
-lost as (select old_sha as sha, photo_id as moved, path as was, row_number() over (partition by old_sha order by path) as place from b where size is null),
-fresh as (select path, n.sha, place, moved, was from (select path, sha, row_number() over (partition by sha order by path) as place from b where old_size is null) n left join lost using (sha, place)),
-f as (select path, case when moved is not null then 'moved' when place > 1 or sha in (select sha from listing_old) then 'duplicate' else 'new' end as change, moved as photo_id from fresh),
-c as (select path, case when sha = old_sha then 'touched' when sha in (select sha from listing_old) then 'duplicate' else 'changed' end as change, photo_id from b where size is not null and old_size is not null and (size <> old_size or mtime <> old_mtime)),
-l as (select path, photo_id from b where size is null and path not in (select was from fresh where was is not null)),
-g as (select path, case when (select count(*) from l) > 20 and (select count(*) from l) > 0.5 * (select count(*) from listing_old) then 'held' else 'gone' end as change, photo_id from l)
-select * from f union all select * from c union all select * from g""",
+        "j13_folder_diff": DIFF_SQL + " select * from f union all select * from c union all select * from g",
+        "j15_restore_summary": "select count(*) filter (photo_id % 4 > 0 and (n.sha is null or n.sha <> o.sha)) as files, count(*) filter (photo_id % 4 > 0 and n.sha is null) as missing, count(*) filter (photo_id % 4 > 0 and n.sha <> o.sha) as changed, count(*) filter (photo_id % 4 = 0 and n.sha is null) as missing_files from listing_old o left join listing_new n using (path)",
+        "a17_cluster_vote": """
+with recursive c as (select cluster_id, row_number() over (order by count(*) desc, cluster_id) as i from faces group by 1),
+v as (select cluster_id, person_id, count(*) as n from (select distinct cluster_id, photo_id from faces) join (select distinct photo_id, person_id from photo_people) using (photo_id) group by 1, 2),
+s as (select 0::bigint as i, 0::bigint as cluster_id, null::bigint as person_id, []::bigint[] as taken
+  union all select i, cluster_id, person_id, case when person_id is null then taken else list_append(taken, person_id) end from (
+    select c.i, c.cluster_id, s.taken, (select arg_max(v.person_id, (v.n, -v.person_id)) from v where v.cluster_id = c.cluster_id and not list_contains(s.taken, v.person_id)) as person_id from s join c on c.i = s.i + 1))
+select cluster_id, person_id from s where person_id is not null""",
+        "w07_unique_names": """
+with recursive p as (select id, id % 99 as folder, 'Pic' || (id % 17) || case when id % 19 = 0 then ' (1)' else '' end as stem from photos),
+q as (select *, row_number() over (partition by folder order by id) as i from p),
+s as (select folder, 0::bigint as i, 0::bigint as id, ''::varchar as name, []::varchar[] as used from q group by 1
+  union all select folder, i, id, name, list_append(used, name) from (
+    select q.folder, q.i, q.id, s.used, case when not list_contains(s.used, q.stem) then q.stem
+      else q.stem || ' (' || list_min(list_filter(range(1, len(s.used) + 2), lambda n: not list_contains(s.used, q.stem || ' (' || n || ')'))) || ')' end as name
+    from s join q on q.folder = s.folder and q.i = s.i + 1))
+select id, name || '.jpg' as unique from s where i > 0""",
         "j17_conversion_audit": """
 with v as (select id, bytes % 5000 as f, bytes % 5000 / 25.0::double as s, width as w, height as h, bytes, (0.5::double + (id % 50) / 100.0::double) as m, (0.45::double + (id % 40) / 100.0::double) as lo from photos where is_video = 1),
 o as (select *, case when id % 3 = 0 then round_even(s * 20, 0) else f end as g, case when h > 1100 then round_even(w * 1100 / h, 0) else w end as ow, least(h, 1100) as oh, least(f, round_even(s * 20, 0)) as e, case when s > 0 then f / s else 25 end as fps from v),

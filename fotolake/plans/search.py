@@ -80,10 +80,11 @@ def f38_sources(spark, sf_dir):
 
 
 def f39_smart_lists(spark, sf_dir):
-    """Sizes of all ready-made lists in one pass."""
+    """Sizes of all ready-made lists; those of one table in one pass."""
     names = ["red", "five_stars", "picks", "last_month", "videos", "edited", "favourites"]
-    live = Catalog(spark, sf_dir).photos.where("trashed = 0")
-    return live.agg(*[F.count_if(rules.smart_list(n, 1701000000)).alias(n) for n in names])
+    t = Catalog(spark, sf_dir)
+    counts = t.photos.where("trashed = 0").agg(*[F.count_if(rules.smart_list(n, 1701000000)).alias(n) for n in names])
+    return counts.join(rules.no_keywords(t).agg(F.count("*").alias("no_keywords")))
 
 
 def f40_bar(spark, sf_dir):
@@ -115,7 +116,11 @@ def f43_untagged(spark, sf_dir):
 
 
 def f44_slideshow(spark, sf_dir):
-    return rules.slideshow(Catalog(spark, sf_dir), True, 4).select("id")
+    """The newest picture first; place is its number in the show of one album's favourites."""
+    from pyspark.sql import Window
+
+    show = rules.slideshow(Catalog(spark, sf_dir), True, 4).select("id", "taken_at")
+    return show.select("id", F.row_number().over(Window.orderBy(F.desc("taken_at"), "id")).cast("long").alias("place"))
 
 
 def f45_typed(spark, sf_dir):
@@ -142,13 +147,17 @@ def p_coords(spark, sf_dir):
     return p.select("id", at["lat"].alias("lat"), at["lng"].alias("lng"))
 
 
+#: Tails that turn IMG_n into the names of copies, edits and sidecars.
+TAILS = [".jpg", "-edited (1).JPG", "edited.jpg", " (2).jpg", "_collage(3).png", " - Motion.mp4", ".effects", "", ".jpg.supplemental-meta.json", ".JPG.json", "(1).jpg.supplemental-metadata.json", "20240101123456790.jpg", " 0007 (04).png"]
+
+
 def p_names(spark, sf_dir):
     path = F.col("rel_path")
-    dup = F.concat(F.regexp_replace("filename", r"\.[a-z0-9]+$", ""), F.when(F.col("id") % 2 == 0, "-edited").otherwise("(2)"), F.lit(".jpg"))
+    tail = F.element_at(F.array(*map(F.lit, TAILS)), F.pmod(F.col("id"), F.lit(len(TAILS))).cast("int") + 1)
+    name = F.concat(F.lit("IMG_"), F.col("id").cast("string"), tail)
     return Catalog(spark, sf_dir).photos.select(
-        "id", fx.folder_of(path).alias("folder"), fx.ext_of(path).alias("ext"), fx.media_stem(dup).alias("stem"),
-        fx.norm_counter(F.concat("filename", F.lit("(3)"))).alias("counted"), fx.sidecar_target(F.concat("filename", F.lit(".supplemental-metadata.json"))).alias("target"),
-        fx.safe_component(F.concat_ws("|", "camera_model", "lens")).alias("safe"), fx.natural_key(F.col("filename")).alias("natural"),
+        "id", fx.folder_of(path).alias("folder"), fx.ext_of(path).alias("ext"), fx.media_stem(name).alias("stem"), fx.norm_counter(name).alias("counted"),
+        fx.sidecar_target(name).alias("target"), fx.safe_component(F.concat_ws("|", "camera_model", "lens")).alias("safe"), fx.natural_key(name).alias("natural"),
     )
 
 
@@ -255,10 +264,10 @@ union all select 'folder:2020', count(*) filter (rel_path like '2020/%') from ph
 union all select 'folder:', count(*) filter (rel_path not like '%/%') from photos where trashed = 0
 union all select 'year:2024', count(*) filter (year({WALL}) = 2024) from photos where trashed = 0
 union all select 'trashed:0', count(*) filter (trashed = 1) from photos""",
-        "f39_smart_lists": "select count(*) filter (label = 'red') as red, count(*) filter (rating = 5) as five_stars, count(*) filter (flag = 1) as picks, count(*) filter (taken_at >= 1701000000 - 2592000) as last_month, count(*) filter (is_video = 1) as videos, count(*) filter (edited = 1) as edited, count(*) filter (favorited = 1) as favourites from photos where trashed = 0",
+        "f39_smart_lists": "select count(*) filter (label = 'red') as red, count(*) filter (rating = 5) as five_stars, count(*) filter (flag = 1) as picks, count(*) filter (coalesce(taken_at, 0) > 1701000000 - 2592000) as last_month, count(*) filter (is_video = 1) as videos, count(*) filter (edited = 1) as edited, count(*) filter (favorited = 1) as favourites, count(*) filter (id not in (select photo_id from photo_tags)) as no_keywords from photos where trashed = 0",
         "f40_bar": "select id from photos where trashed = 0 and coalesce(flag, 0) in (0, 1) and coalesce(rating, 0) >= 3 and (label = 'red' or coalesce(label, '') = '') and is_video = 0",
         "f41_on_this_day": f"select id, taken_at from photos where trashed = 0 and month({WALL}) = 11 and day({WALL}) = 20 and year({WALL}) <> 2024",
-        "f44_slideshow": "select id from photos where trashed = 0 and is_video = 0 and coalesce(flag, 0) >= 0 and favorited = 1 and id in (select photo_id from photo_albums where album_id = 4)",
+        "f44_slideshow": "select id, row_number() over (order by taken_at desc, id) as place from photos where trashed = 0 and is_video = 0 and coalesce(flag, 0) >= 0 and favorited = 1 and id in (select photo_id from photo_albums where album_id = 4)",
         "f45_typed": """
 select doc_id as query_id, case doc_id % 4 when 0 then [0] when 1 then [] when 2 then [] else [9] end::bigint[] as person_ids,
   [2000 + doc_id % 30]::int[] as years,
@@ -273,10 +282,15 @@ select id, round(12742 * asin(least(1, sqrt(pow(sin(radians(32.08 - lat) / 2), 2
 select id, case when ok then lat end as lat, case when ok then lng end as lng from (
   select id, lat, lng, abs(lat) <= 90 and abs(lng) <= 180 as ok from (
     select id, (id % 95 + 0.5::double) * case when id % 2 = 0 then 1 else -1 end as lat, (id % 190 + 0.25::double) * case when id % 3 = 0 then -1 else 1 end as lng from photos))""",
-        "p_names": """
-select id, regexp_replace(rel_path, '/[^/]*$', '') as folder, upper(regexp_extract(rel_path, '\\.([^./]+)$', 1)) as ext, 'img_' || id as stem,
-  regexp_replace(filename, '^(.*)(\\.[^.]+)$', '\\1(3)\\2') as counted, filename as target, camera_model || '_' || lens as safe,
-  'img_' || lpad(id::varchar, 12, '0') || case when id % 3 = 2 then '.mp' || lpad('4', 12, '0') else regexp_extract(filename, '\\..*$') end as natural from photos""",
+        "p_names": f"""
+with n as (select *, 'IMG_' || id || {TAILS}[(id % {len(TAILS)} + 1)::int] as name from photos),
+b as (select *, case when regexp_matches(name, '.[.][^.]+$') then left(name, length(name) - length(regexp_extract(name, '[^.]*$')) - 1) else name end as bare from n),
+c as (select *, regexp_replace(regexp_replace(trim(lower(bare)), '\\s*\\([0-9]+\\)$', ''), '[\\s_-]*(edited|effects|collage|animation|mix|motion)$', '') as cut from b)
+select id, regexp_replace(rel_path, '/[^/]*$', '') as folder, upper(regexp_extract(rel_path, '\\.([^./]+)$', 1)) as ext, trim(regexp_replace(cut, '\\s*\\([0-9]+\\)$', '')) as stem,
+  lower(regexp_replace(name, '\\([0-9]+\\)|\\s+', '', 'g')) as counted,
+  case when regexp_matches(name, '(?i)[.]supplemental[a-z0-9_-]*[.]json$') then regexp_replace(name, '(?i)[.]supplemental[a-z0-9_-]*[.]json$', '') when lower(name) like '%.json' then left(name, length(name) - 5) else name end as target,
+  camera_model || '_' || lens as safe,
+  array_to_string(list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda x: case when regexp_matches(x, '^[0-9]') then chr(1) || printf('%05d', length(x::hugeint::varchar)) || ':' || x::hugeint::varchar else x end), '') as natural from c""",
         "p_shapes": """
 select id, case when width / height > 1.05 then 'landscape' when width / height < 0.95 then 'portrait' else 'square' end as orientation, width * height / 1000000 as mp,
   is_video = 0 and (width >= 2 * height or height >= 2 * width) as pano, bit_count(xor(phash, phash << 1))::bigint as bits,

@@ -152,11 +152,24 @@ def digikam_import(tables: dict[str, DataFrame]) -> DataFrame:
     return base.join(info, "id", "left").join(place, "id", "left").join(caption, "id", "left").join(words, "id", "left")
 
 
-def import_summary(rows: DataFrame, files: DataFrame, words: str = "keywords") -> DataFrame:
-    """images, missing files, different keywords and bytes of an import from a source catalog; files has path and size."""
+def lightroom_collections(tables: dict[str, DataFrame]) -> DataFrame:
+    """The collections that a user of the catalog made."""
+    return tables["AgLibraryCollection"].where("creationId = 'com.adobe.ag.library.collection' and coalesce(systemOnly, 0) = 0")
+
+
+def import_summary(rows: DataFrame, files: DataFrame, words: str = "keywords", sets: DataFrame | None = None) -> DataFrame:
+    """images, missing files, different keywords, bytes and collections (or albums) of an import from a source catalog; files
+    has path and size, sets one row per collection."""
     both = rows.join(files.select("path", "size"), "path", "left")
     facts = both.agg(F.count("*").alias("images"), F.count_if(F.col("size").isNull()).alias("missing"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
-    return facts.join(rows.select(F.explode(words).alias("w")).agg(F.count_distinct("w").alias("words")))
+    facts = facts.join(rows.select(F.explode(words).alias("w")).agg(F.count_distinct("w").alias("words")))
+    return facts if sets is None else facts.join(sets.agg(F.count("*").alias("collections")))
+
+
+#: The parts of a packet that are read; Spark's XML reader leaves out prefixes, attributes begin with an underscore.
+_XMP_SCHEMA = """RDF struct<Description array<struct<_Rating string, _Label string, Rating string, Label string,
+  subject struct<Bag struct<li array<string>>, Seq struct<li array<string>>>, description struct<Alt struct<li array<struct<_VALUE string, _lang string>>>>>>>"""
+_XMP_OPTIONS = {"ignoreNamespace": "true", "attributePrefix": "_", "mode": "PERMISSIVE"}
 
 
 def _xmp(text: Column, name: str) -> Column:
@@ -165,18 +178,41 @@ def _xmp(text: Column, name: str) -> Column:
     return F.when(attribute != "", attribute).when(element != "", element)
 
 
-def xmp_fields(rows: DataFrame, text: str = "value") -> DataFrame:
-    """rows with rating, label, subjects and description of an XMP text; rows in which all are empty are left out."""
-    column = F.col(text)
+def _loose_fields(column: Column) -> dict[str, Column]:
+    """The same fields by their look, for packets that no XML reader accepts."""
     block = lambda tag: F.regexp_extract(column, rf"(?s)<{tag}>(.*?)</{tag}>", 1)
     items = lambda b: F.regexp_extract_all(b, F.lit(r"(?s)<rdf:li[^>]*>(.*?)</rdf:li>"), F.lit(1))
     plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    out = rows.select(
-        *[c for c in rows.columns if c != text],
-        _xmp(column, "xmp:Rating").try_cast("int").alias("rating"), _xmp(column, "xmp:Label").alias("label"),
-        F.transform(items(block("dc:subject")), plain).alias("subjects"), plain(F.try_element_at(items(block("dc:description")), F.lit(1))).alias("description"),
+    return {
+        "rating": _xmp(column, "xmp:Rating"), "label": _xmp(column, "xmp:Label"),
+        "subjects": F.transform(items(block("dc:subject")), plain), "description": plain(F.try_element_at(items(block("dc:description")), F.lit(1))),
+    }
+
+
+def xmp_fields(rows: DataFrame, text: str = "value") -> DataFrame:
+    """rows with rating, label, subjects and description of an XMP text; rows in which all are empty are left out.
+
+    Packets are read as XML, with values as attributes or as elements, whatever their prefixes are; what is no XML is read by
+    its look. Labels are those of the catalog; other words are no label.
+    """
+    packet = F.regexp_extract(text, r"(?s)(<[\w-]+:xmpmeta.*?</[\w-]+:xmpmeta>)", 1)
+    own = [c for c in rows.columns if c != text]
+    read = rows.select(*own, F.col(text).alias("__text"), F.from_xml(F.when(packet != "", packet).otherwise(F.col(text)), _XMP_SCHEMA, _XMP_OPTIONS)["RDF"]["Description"].alias("__parts"))
+    parts, loose = F.col("__parts"), _loose_fields(F.col("__text"))
+    filled = lambda c: c.isNotNull() & (c != "")
+    first = lambda get: F.try_element_at(F.filter(F.transform(parts, get), filled), F.lit(1))
+    number = lambda c: F.trim(c).try_cast("int")
+    rating = F.coalesce(F.nullif(number(first(lambda d: d["_Rating"])), F.lit(0)), number(first(lambda d: d["Rating"])))
+    label = F.coalesce(first(lambda d: d["_Label"]), first(lambda d: d["Label"]))
+    none = F.array().cast("array<string>")
+    subjects = F.flatten(F.transform(parts, lambda d: F.concat(F.coalesce(d["subject"]["Bag"]["li"], none), F.coalesce(d["subject"]["Seq"]["li"], none))))
+    description = first(lambda d: F.try_element_at(d["description"]["Alt"]["li"], F.lit(1))["_VALUE"])
+    pick = lambda strict, name: F.when(parts.isNotNull(), strict).otherwise(loose[name])
+    out = read.select(
+        *own, F.coalesce(pick(rating, "rating").try_cast("int"), F.lit(0)).alias("rating"), label_map(F.lower(F.trim(pick(label, "label")))).alias("label"),
+        F.filter(F.transform(F.coalesce(pick(subjects, "subjects"), none), F.trim), filled).alias("subjects"), F.nullif(F.trim(pick(description, "description")), F.lit("")).alias("description"),
     )
-    return out.where((F.coalesce("rating", F.lit(0)) != 0) | F.col("label").isNotNull() | (F.size("subjects") > 0) | F.col("description").isNotNull())
+    return out.where((F.col("rating") != 0) | F.col("label").isNotNull() | (F.size("subjects") > 0) | F.col("description").isNotNull())
 
 
 def xmp_read(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,18 +223,38 @@ def xmp_read(spark: SparkSession, folder: str) -> DataFrame:
     return xmp_fields(files.select("path", text.alias("value")).where("value <> ''"))
 
 
+#: The frame of an XMP packet, its byte order mark and its namespaces.
+PACKET_HEAD = '<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/">\n <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">\n'
+PACKET_OPEN = '  <rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:xmp="http://ns.adobe.com/xap/1.0/"'
+PACKET_TAIL = "\n  </rdf:Description>\n </rdf:RDF>\n</x:xmpmeta>\n<?xpacket end=\"w\"?>\n"
+
+
 def xmp_write(t) -> DataFrame:
-    """(id, packet): XMP texts with rating, label, keywords, people, albums and caption."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    bridge = lambda b, key, names, mark="": b.join(names.select(F.col("id").alias(key), F.concat(F.lit(mark), "name").alias("word")), key).select("photo_id", "word")
-    words = bridge(t.photo_tags, "tag_id", t.tags).unionByName(bridge(t.photo_people, "person_id", t.people)).unionByName(bridge(t.photo_albums, "album_id", t.albums, "Album/"))
-    lists = words.groupBy(F.col("photo_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_set("word")), lambda w: F.concat(F.lit("<rdf:li>"), esc(w), F.lit("</rdf:li>"))), "").alias("items"))
-    rows = t.photos.join(lists, "id", "left")
+    """(id, packet): XMP packets with rating, label, caption, and as subjects the keywords, then the people by tag or by face,
+    then the user's own albums as Album/name. What is empty is not written. Signs that XML forbids are left out."""
+    from fotolake.operators.graph import photo_person_union
+
+    legal = lambda c: F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
+    esc = lambda c: F.replace(F.replace(F.replace(F.replace(legal(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+    def bridge(rows: DataFrame, key: str, names: DataFrame, kind: int, mark: str = "") -> DataFrame:
+        words = names.where("name <> ''").select(F.col("id").alias(key), F.concat(F.lit(mark), "name").alias("word"))
+        return rows.join(words, key).select("photo_id", F.struct(F.lit(kind).alias("kind"), "word").alias("item"))
+
+    words = bridge(t.photo_tags, "tag_id", t.tags, 0).unionByName(bridge(photo_person_union(t), "person_id", t.people, 1))
+    words = words.unionByName(bridge(t.photo_albums, "album_id", t.albums.where("kind = 'album'"), 2, "Album/"))
+    items = F.transform(F.sort_array(F.collect_set("item")), lambda w: F.concat(F.lit("<rdf:li>"), esc(w["word"]), F.lit("</rdf:li>")))
+    rows = t.photos.join(words.groupBy(F.col("photo_id").alias("id")).agg(F.array_join(items, "").alias("items")), "id", "left")
+    label = F.concat(F.upper(F.substring("label", 1, 1)), F.lower(F.col("label").substr(F.lit(2), F.length("label"))))
+    piece = lambda when, *parts: F.coalesce(F.when(when, F.concat(*parts)), F.lit(""))
     packet = F.concat(
-        F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF><rdf:Description xmp:Rating="'), F.coalesce(F.col("rating").cast("string"), F.lit("0")), F.lit('" xmp:Label="'), esc(F.coalesce("label", F.lit(""))), F.lit('">'),
-        F.coalesce(F.concat(F.lit("<dc:subject><rdf:Bag>"), "items", F.lit("</rdf:Bag></dc:subject>")), F.lit("")),
-        F.coalesce(F.concat(F.lit('<dc:description><rdf:Alt><rdf:li xml:lang="x-default">'), esc(F.col("description")), F.lit("</rdf:li></rdf:Alt></dc:description>")), F.lit("")),
-        F.lit("</rdf:Description></rdf:RDF></x:xmpmeta>"),
+        F.lit(PACKET_HEAD + PACKET_OPEN),
+        piece(F.col("rating") != 0, F.lit(' xmp:Rating="'), F.col("rating").cast("string"), F.lit('"')),
+        piece(F.col("label") != "", F.lit(' xmp:Label="'), esc(label), F.lit('"')),
+        F.lit(">\n   "),
+        piece(F.col("items").isNotNull(), F.lit("<dc:subject><rdf:Bag>"), "items", F.lit("</rdf:Bag></dc:subject>")),
+        piece(F.col("description") != "", F.lit('<dc:description><rdf:Alt><rdf:li xml:lang="x-default">'), esc(F.col("description")), F.lit("</rdf:li></rdf:Alt></dc:description>")),
+        F.lit(PACKET_TAIL),
     )
     return rows.select("id", packet.alias("packet"))
 
@@ -225,13 +281,14 @@ def exif_fields(photos: DataFrame) -> DataFrame:
     )
 
 
-def export_manifest(photos: DataFrame) -> DataFrame:
-    """id, folder, name: where an export puts each photo; names are safe and differ within a folder."""
+def export_manifest(photos: DataFrame, archive: bool = False) -> DataFrame:
+    """id, folder, name: where an export puts each photo; names are safe and differ within a folder. The first repeat of a name
+    is number 1 in folders, where case is ignored, and 2 in an archive, where it is not."""
     from fotolake.functions.scalars import wall
     from fotolake.operators.windows import unique_names
 
     rows = photos.where("trashed = 0").select("id", F.date_format(wall(F.col("taken_at")), "yyyy-MM").alias("folder"), safe_component(F.col("filename")).alias("name"))
-    return unique_names(rows).withColumnRenamed("unique", "name")
+    return unique_names(rows, 2, False).withColumnRenamed("unique", "name") if archive else unique_names(rows).withColumnRenamed("unique", "name")
 
 
 def catalog_snapshot(tables: dict[str, DataFrame], folder: str, created: int, reason: str) -> DataFrame:

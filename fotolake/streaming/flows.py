@@ -1,18 +1,31 @@
-"""The reference's polling loops as Structured Streaming: file sources, watermarks, stateful processors, foreachBatch."""
+"""Flows over arriving rows as Structured Streaming: file sources, watermarks, stateful processors with timers, foreachBatch.
+
+The stateful flows take rows in order of their time: a row waits in its key's state until the watermark has passed it, then a
+timer takes what is due. In batch the same step goes over sorted rows, so batch and stream give the same rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from fotolake.functions.scalars import quality_score
-from fotolake.operators.joins import dedupe_ingest, folder_diff
+from fotolake.operators.joins import apply_diff, folder_diff
+from fotolake.storage import settled
+
+#: What a stream with timers needs; set where the session has not chosen a store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def timed_store(spark: SparkSession) -> None:
+    """Streams of this session keep their state in the store that transformWithState needs."""
+    spark.conf.set(*STORE)
 
 
 def read_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -25,28 +38,85 @@ def run_available(frame: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     return frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
 
 
+class _Unseen(StatefulProcessor):
+    """Keyed by path: hands on the rows of sizes and times that the path was not seen with."""
+
+    def init(self, handle) -> None:
+        self.seen = handle.getListState("seen", "size long, mtime long")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.appendList([(int(r.size_), int(r.mtime)) for r in initialState.rename(columns={"size": "size_"}).itertuples()])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seen = {tuple(x) for x in self.seen.get()} if self.seen.exists() else set()
+        for part in rows:
+            fresh = []
+            for at, one in enumerate(zip(part["size"].astype(int), part["mtime"].astype(int), strict=True)):
+                if one not in seen:
+                    seen.add(one)
+                    fresh.append(at)
+                    self.seen.appendValue((int(one[0]), int(one[1])))
+            yield part.iloc[fresh]
+
+    def close(self) -> None:
+        pass
+
+
+class _FirstOfContent(StatefulProcessor):
+    """Keyed by sha256: the first row, by id, of the first batch that brings a content is added, all others are duplicates."""
+
+    def init(self, handle) -> None:
+        self.had = handle.getValueState("had", "had boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.had.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        had, least, held = self.had.exists(), None, []
+        for part in rows:
+            held.append(part)
+            least = part["id"].min() if least is None else min(least, part["id"].min())
+        self.had.update((True,))
+        for part in held:
+            first = (part["id"] == least) & (not had)
+            yield part.assign(status=first.map({True: "added", False: "duplicate"}))
+
+    def close(self) -> None:
+        pass
+
+
+_LISTED = "id long, path string, size long, mtime long, sha256 string"
+
+
+def import_stream(listing: DataFrame, now: int, settle_s: int = 15, seen: DataFrame | None = None) -> DataFrame:
+    """id, path, size, mtime, sha256, status of listed files that are not empty, have rested and were not seen at this size and
+    time: a stream whose state is keyed by path, then by content. seen (path, size, mtime, sha256, status) is where it starts."""
+    timed_store(listing.sparkSession)
+    ready = listing.where((F.col("size") > 0) & (F.col("mtime") <= now - settle_s)).select("id", "path", "size", "mtime", "sha256")
+    start = seen.select("path", "size", "mtime").groupBy("path") if seen is not None else None
+    fresh = ready.groupBy("path").transformWithStateInPandas(_Unseen(), _LISTED, "append", "none", start)
+    had = seen.where("status = 'added'").select("sha256").distinct().groupBy("sha256") if seen is not None else None
+    return fresh.groupBy("sha256").transformWithStateInPandas(_FirstOfContent(), _LISTED + ", status string", "append", "none", had)
+
+
 def auto_import(listing: DataFrame, seen_path: str, out_path: str, checkpoint: str, now: int, settle_s: int = 15) -> StreamingQuery:
-    """Imports listed files (id, path, size, mtime, sha256) that were not seen at this size and time, are not empty and have
-    rested; each is marked seen whatever comes of it. Both tables are written once per batch under the batch's number, so a
-    batch that runs again replaces its own output."""
+    """Imports what import_stream() finds; each file is marked seen whatever comes of it. Batches write their own part of both
+    tables, so one that runs again replaces its output; none reads what earlier ones wrote. The stream's state has that, and
+    starts from the baseline."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        past = _tables(spark, seen_path, number, "path string, size long, mtime long, sha256 string, status string")
-        ready = rows.where((F.col("size") > 0) & (F.col("mtime") <= now - settle_s)).dropDuplicates(["path", "size", "mtime"])
-        fresh = ready.join(past.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
-        status = dedupe_ingest(fresh.select("id", "sha256"), past.where("status = 'added'").select("sha256"))
-        done = fresh.join(status, "id")
+        done = settled(rows)
         done.select("path", "size", "mtime", "sha256", "status").write.mode("overwrite").parquet(f"{seen_path}/batch={number}")
         done.where("status = 'added'").select("id", "path", "sha256").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
-    return run_available(listing, checkpoint, batch)
+    start = _table(listing.sparkSession, f"{seen_path}/batch=-1", "path string, size long, mtime long, sha256 string, status string")
+    return run_available(import_stream(listing, now, settle_s, start), checkpoint, batch)
 
 
-def _tables(spark: SparkSession, path: str, number: int, schema: str) -> DataFrame:
-    """What earlier batches wrote."""
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that may not be there yet."""
     try:
-        return spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch") < number).drop("batch")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -59,10 +129,18 @@ def baseline(listing: DataFrame, seen_path: str) -> None:
 
 
 def folder_sync(listing: DataFrame, known: DataFrame, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Differences of each listing that arrives to what is known, as in folder_diff, one output per batch."""
+    """Differences of each listing that arrives to what is known by then, as in folder_diff, one output per batch.
+
+    A batch reads the version of the known files that the one before it wrote, the first one known, and writes its own: a
+    move is reported once. A batch that runs again replaces its own output and version; older versions are not read.
+    """
+    path, schema = f"{out_path}-known", "path string, size long, mtime long, sha string, photo_id long"
 
     def batch(rows: DataFrame, number: int) -> None:
-        folder_diff(rows, known).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        before = known if number == 0 else rows.sparkSession.read.schema(schema).parquet(f"{path}/version={number - 1}")
+        changes = settled(folder_diff(rows, before))
+        apply_diff(before, rows, changes).write.mode("overwrite").parquet(f"{path}/version={number}")
+        changes.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return run_available(listing, checkpoint, batch)
 
@@ -79,76 +157,181 @@ def expired(photos: DataFrame, now: int, days: int = 60) -> DataFrame:
     return photos.where((F.col("trashed") == 1) & (F.col("trashed_at") < now - min(max(days, 1), 3650) * 86_400))
 
 
+# -- rows of a key in order of time -------------------------------------------------------------------------------------
+
+
+class Bursts:
+    """Runs of shots: each at most window_s after the one before and at most bits different from it."""
+
+    columns, schema, state = ["id", "phash", "score"], "source {key}, first_id long, n long, best long", "first long, n long, best long, score long, best_ms long, ms long, phash long"
+
+    def __init__(self, window_s: int, bits: int, least: int):
+        self.window_ms, self.bits, self.least = window_s * 1000, bits, least
+
+    def step(self, state: tuple | None, ms: int, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        id_, phash, score = (int(x) for x in row)
+        out = []
+        if state is not None and (ms - state[5] > self.window_ms or ((phash ^ state[6]) & (2**64 - 1)).bit_count() > self.bits):
+            state, out = None, self.end(state)
+        if state is None:
+            return (id_, 1, id_, score, ms, ms, phash), out
+        first, n, best, top, best_ms = state[:5]
+        if (score, -ms, -id_) > (top, -best_ms, -best):
+            best, top, best_ms = id_, score, ms
+        return (first, n + 1, best, top, best_ms, ms, phash), out
+
+    def end(self, state: tuple) -> list[tuple]:
+        return [state[:3]] if state[1] >= self.least else []
+
+    def until(self, state: tuple) -> int:
+        return state[5] + self.window_ms
+
+
+class Throttle:
+    """The same alert at most once in a span, and at once again after it was cleared."""
+
+    columns, schema, state = ["at", "active"], "alert {key}, at long", "last long"
+
+    def __init__(self, every_s: int):
+        self.every_s = every_s
+
+    def step(self, state: tuple | None, ms: int, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        at, active = int(row[0]), bool(row[1])
+        if not active:
+            return None, []
+        if state is None or at - state[0] >= self.every_s:
+            return (at,), [(at,)]
+        return state, []
+
+    def end(self, state: tuple) -> list[tuple]:
+        return []
+
+    def until(self, state: tuple) -> int:
+        return (state[0] + self.every_s) * 1000
+
+
+class Limit:
+    """Only accepted events count against the limits of an hour and a day; a refused one is told the minutes to wait."""
+
+    columns, schema, state = ["at"], "key {key}, at long, accepted boolean, wait_min long", "taken array<long>"
+    HOUR, DAY = 3600, 86_400
+
+    def __init__(self, per_hour: int, per_day: int):
+        self.per_hour, self.per_day = per_hour, per_day
+
+    def step(self, state: tuple | None, ms: int, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        at = int(row[0])
+        taken = [t for t in (state[0] if state else []) if at - t < self.DAY]
+        hour = [t for t in taken if at - t < self.HOUR]
+        waits = [hour[-self.per_hour] + self.HOUR - at] if len(hour) >= self.per_hour else []
+        waits += [taken[-self.per_day] + self.DAY - at] if len(taken) >= self.per_day else []
+        if waits:
+            return (taken,), [(at, False, max(waits) // 60 + 1)]
+        return ([*taken, at],), [(at, True, 0)]
+
+    def end(self, state: tuple) -> list[tuple]:
+        return []
+
+    def until(self, state: tuple) -> int:
+        return ((state[0] or [0])[-1] + self.DAY) * 1000
+
+
+class _InOrder(StatefulProcessor):
+    """Feeds a key's rows to a step in order of time: they wait in list state until the watermark has passed them. An event-time
+    timer takes what is due, and ends the state when nothing can depend on it any more."""
+
+    def __init__(self, step: Any, key: str, kinds: str, names: list[str]):
+        self.step, self.key, self.kinds, self.names = step, key, kinds, names
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, " + self.kinds)
+        self.state = handle.getValueState("state", self.step.state)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            ms = part["ts"].astype("datetime64[ms]").astype("int64")
+            listed = [(int(m), *(x.item() if hasattr(x, "item") else x for x in r)) for m, r in zip(ms, part[self.step.columns].itertuples(index=False, name=None), strict=True)]
+            self.waiting.appendList(listed)
+            self.handle.registerTimer(min(r[0] for r in listed) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        state, out = (tuple(self.state.get()) if self.state.exists() else None), []
+        for ms, *row in sorted(r for r in waiting if r[0] < mark):
+            state, found = self.step.step(state, ms, tuple(row))
+            out += found
+        later = [r for r in waiting if r[0] >= mark]
+        if state is not None and self.step.until(state) < mark:
+            out += self.step.end(state)
+            state = None
+        self.waiting.put(later) if later else self.waiting.clear()
+        self.state.update(state) if state is not None else self.state.clear()
+        times = [min(r[0] for r in later) + 1] if later else []
+        times += [max(self.step.until(state) + 1, mark + 1)] if state is not None else []
+        if times:
+            self.handle.registerTimer(min(times))
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def _sorted_rows(step: Any, key: str, names: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The same step over rows sorted by key and time; of a key only its state is held."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, state, some = None, None, False
+        for frame in frames:
+            out: list[tuple] = []
+            for k, ms, *row in frame[[key, "ms", *step.columns]].itertuples(index=False, name=None):
+                if not some or k != mine:
+                    out += [(mine, *r) for r in step.end(state)] if state is not None else []
+                    mine, state, some = k, None, True
+                state, found = step.step(state, int(ms), tuple(row))
+                out += [(k, *r) for r in found]
+            yield pd.DataFrame(out, columns=names)
+        if state is not None:
+            yield pd.DataFrame([(mine, *r) for r in step.end(state)], columns=names)
+
+    return task
+
+
+def in_order(rows: DataFrame, step: Any, key: str, delay: str) -> DataFrame:
+    """Rows with key, ts (timestamp) and the step's columns, by key in order of time and of those columns; keys are not null."""
+    kind = dict(rows.dtypes)[key]
+    schema = step.schema.format(key=kind)
+    names = [c.split()[0] for c in schema.split(", ")]
+    if rows.isStreaming:
+        timed_store(rows.sparkSession)
+        kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in step.columns)
+        marked = rows.select(key, "ts", *step.columns).withWatermark("ts", delay)
+        return marked.groupBy(key).transformWithStateInPandas(_InOrder(step, key, kinds, names), schema, "append", "eventTime")
+    timed = rows.select(key, F.unix_millis("ts").alias("ms"), *step.columns)
+    return timed.repartition(key).sortWithinPartitions(key, "ms", *step.columns).mapInPandas(_sorted_rows(step, key, names), schema)
+
+
 def stream_bursts(shots: DataFrame, window_s: int = 2, bits: int = 10, least: int = 3, delay: str = "10 minutes") -> DataFrame:
-    """source, first_id, n, best of bursts as they close. A source's open run is its state; shots wait until the watermark has
-    passed them, so late ones within the delay still find their place. shots has source, id, ts (timestamp), phash, score."""
-
-    def task(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, run = ([list(x) for x in part] for part in state.get) if state.exists else ([], [])
-        for f in frames:
-            waiting += f[["ts", "id", "phash", "score"]].assign(ts=f.ts.astype("int64") // 1000).values.tolist()
-        mark = state.getCurrentWatermarkMs() * 1000
-        due = sorted(w for w in waiting if w[0] <= mark)
-        waiting = [w for w in waiting if w[0] > mark]
-        closed = []
-        for shot in due:
-            if run and (shot[0] - run[-1][0] > window_s * 1_000_000 or ((int(shot[2]) ^ int(run[-1][2])) & (2**64 - 1)).bit_count() > bits):
-                closed.append(run)
-                run = []
-            run.append([int(x) for x in shot])
-        if run and mark - run[-1][0] > window_s * 1_000_000:
-            closed.append(run)
-            run = []
-        if waiting or run:
-            state.update(([[int(x) for x in w] for w in waiting], run))
-            state.setTimeoutTimestamp(max(mark // 1000 + 1, min(x[0] for x in waiting + run) // 1000 + window_s * 1000 + 1))
-        elif state.exists:
-            state.remove()
-        rows = [(key[0], r[0][1], len(r), max(r, key=lambda x: (x[3], -x[0], -x[1]))[1]) for r in closed if len(r) >= least]
-        yield pd.DataFrame(rows, columns=["source", "first_id", "n", "best"])
-
-    marked = shots.withWatermark("ts", delay)
-    return marked.groupBy("source").applyInPandasWithState(
-        task, "source string, first_id long, n long, best long", "waiting array<array<long>>, run array<array<long>>", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def alert_throttle(alerts: DataFrame, every_s: int = 12 * 3600) -> DataFrame:
-    """alert, at of alerts that are shown: the same one at most once in a span, at once again after it was cleared. alerts has
-    alert, at (seconds), active."""
+    """source, first_id, n, best of bursts as they close. shots has source, id, ts (timestamp), phash, score; the best shot has
+    the highest score, the first one of equals. Shots that come late, within the delay, still find their place."""
+    return in_order(shots, Bursts(window_s, bits, least), "source", delay)
 
-    def task(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        shown = []
-        for at, active in sorted((int(a), bool(b)) for f in frames for a, b in zip(f["at"], f["active"], strict=True)):
-            if not active:
-                last = None
-            elif last is None or at - last >= every_s:
-                shown.append((key[0], at))
-                last = at
-        state.update((last,))
-        yield pd.DataFrame(shown, columns=["alert", "at"])
 
-    return alerts.groupBy("alert").applyInPandasWithState(task, "alert string, at long", "last long", "append", GroupStateTimeout.NoTimeout)
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows if "ts" in rows.columns else rows.withColumn("ts", F.timestamp_seconds("at"))
 
 
-def rate_limit(events: DataFrame, per_hour: int = 10, per_day: int = 30) -> DataFrame:
-    """key, at, accepted, wait_min: only accepted events count against the limits. events has key and at (seconds)."""
+def alert_throttle(alerts: DataFrame, every_s: int = 12 * 3600, delay: str = "0 seconds") -> DataFrame:
+    """alert, at of alerts that are shown: the same one at most once in a span, at once again after it was cleared. alerts has
+    alert, at (seconds), active. Of reports of one second those that clear come first."""
+    return in_order(_timed(alerts), Throttle(every_s), "alert", delay)
 
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        rows = []
-        for at in sorted(int(x) for x in pdf["at"]):
-            taken = [t for t in taken if t > at - 86_400]
-            hour = [t for t in taken if t > at - 3_600]
-            waits = [hour[-per_hour] + 3_600 - at] if len(hour) >= per_hour else []
-            waits += [taken[-per_day] + 86_400 - at] if len(taken) >= per_day else []
-            rows.append((pdf["key"].iloc[0], at, not waits, -(-max(waits, default=0) // 60)))
-            if not waits:
-                taken.append(at)
-        return pd.DataFrame(rows, columns=["key", "at", "accepted", "wait_min"])
-
-    return events.groupBy("key").applyInPandas(task, "key long, at long, accepted boolean, wait_min long")
+
+def rate_limit(events: DataFrame, per_hour: int = 10, per_day: int = 30, delay: str = "0 seconds") -> DataFrame:
+    """key, at, accepted, wait_min: only accepted events count against the limits. events has key and at (seconds)."""
+    return in_order(_timed(events), Limit(per_hour, per_day), "key", delay)
 
 
 def live_counts(outcomes: DataFrame, window: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

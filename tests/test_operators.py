@@ -376,3 +376,38 @@ def test_wall_clock_ignores_the_session_zone(spark):
         assert (row["u"], row["j"]) == (22, 0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_names_of_edited_copies_and_sidecars(spark):
+    get = lambda c: spark.range(1).select(c).first()[0]
+    stems = {
+        "IMG_1234-edited (1).JPG": "img_1234", "IMG_1234edited.jpg": "img_1234", "IMG_1234(2).JPG": "img_1234", " IMG_9_collage(3).png": "img_9", ".hidden": ".hidden",
+        "a.b.jpeg": "a.b", "edited.jpg": "", "x.": "x.", "clip - Motion.mp4": "clip", "IMG (1)-effects (2).heic": "img",
+    }
+    assert {n: get(fx.media_stem(F.lit(n))) for n in stems} == stems
+    targets = {"a.jpg.supplemental-meta.json": "a.jpg", "a.jpg.supplemental-metadata(1).json": "a.jpg.supplemental-metadata(1)", "a.jpg.JSON": "a.jpg", "a.jpg.suppl.json": "a.jpg.suppl", "b": "b"}
+    assert {n: get(fx.sidecar_target(F.lit(n))) for n in targets} == targets
+    assert get(fx.norm_counter(F.lit("IMG 1(1).JPG"))) == get(fx.norm_counter(F.lit("img1.jpg(1)"))) == "img1.jpg"
+
+
+def test_natural_order_of_any_number(spark):
+    names = ["PXL_20240101123456790.jpg", "PXL_20240101123456089.jpg", "IMG_10", "img_2", "IMG_002", "IMG_2a", "IMG", "IMG!", "a1b20", "a1b3", "9", "10", "9x", "0", "000"]
+    import re
+
+    want = sorted(names, key=lambda n: ([int(x) if x.isdigit() else x.lower() for x in re.split(r"(\d+)", n)], n))
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r["name"] for r in frame.orderBy(fx.natural_key(F.col("name")), "name").collect()] == want
+
+
+def test_clusters_of_more_faces_choose_first(spark):
+    """Cluster 2 has more faces on fewer photos."""
+    faces = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 2, 3), (4, 2, 3), (5, 2, 3)], "id long, cluster_id long, photo_id long")
+    people = spark.createDataFrame([(1, 9), (2, 9), (3, 9)], "photo_id long, person_id long")
+    assert [tuple(r) for r in ag.cluster_vote(SimpleNamespace(faces=faces, photo_people=people)).collect()] == [(2, 9)]
+
+
+def test_restore_counts_what_stays_missing(spark):
+    backup = spark.createDataFrame([("a", "x", True), ("b", "y", True), ("c", "z", False), ("d", "w", False)], "path string, sha string, there boolean")
+    live = spark.createDataFrame([("b", "other"), ("d", "w")], "path string, sha string")
+    assert jn.restore_summary(backup, live, True).first().asDict() == {"files": 2, "missing": 1, "changed": 1, "missing_files": 1}
+    assert jn.restore_summary(backup, live, True, True).first()["files"] == 1

@@ -109,17 +109,17 @@ def test_imports_are_seen_once(spark, tmp_path):
 
 
 def test_alerts_are_throttled(spark, tmp_path):
-    rows = spark.createDataFrame([("disk", 0, True), ("disk", 100, True), ("disk", 200, False), ("disk", 300, True), ("net", 5, True), ("disk", 300 + 43_200, True)], "alert string, at long, active boolean")
+    rows = spark.createDataFrame([("disk", 1000, True), ("disk", 1100, True), ("disk", 1200, False), ("disk", 1300, True), ("net", 1005, True), ("disk", 1300 + 43_200, True), ("late", 90_000, False)], "alert string, at long, active boolean")
     found: list = []
     query = flows.run_available(flows.alert_throttle(_stream(spark, tmp_path, "alerts", [rows])), str(tmp_path / "cp"), lambda f, n: found.extend(f.collect()))
     _all(query, found)
-    assert {(r["alert"], r["at"]) for r in found} == {("disk", 0), ("disk", 300), ("net", 5), ("disk", 43_500)}
+    assert {(r["alert"], r["at"]) for r in found} == {("disk", 1000), ("disk", 1300), ("net", 1005), ("disk", 44_500)}
 
 
 def test_rate_limit_counts_what_was_accepted(spark):
     rows = spark.createDataFrame([(1, t) for t in range(0, 1200, 60)] + [(1, 3_700)], "key long, at long")
     found = {r["at"]: (r["accepted"], r["wait_min"]) for r in flows.rate_limit(rows).collect()}
-    assert sum(a for a, _ in found.values()) == 11 and found[600] == (False, 50) and found[3_700] == (True, 0)
+    assert sum(a for a, _ in found.values()) == 11 and found[600] == (False, 51) and found[3_700] == (True, 0)
 
 
 def test_digikam_tables_become_photos(spark):
@@ -150,10 +150,43 @@ def test_listing_hashes_titles_and_sync(spark, tmp_path):
     found, total = files.media_listing(spark, str(folder), 3)
     assert found.count() == 3 and total.first()["total"] == 4
     assert {r["sha256"] if "sha256" in r else r[1] for r in files.content_hash(spark, str(folder)).collect()} == {hashlib.sha256(b"x" * (i + 1)).hexdigest() for i in range(4)}
-    schema = "path string, size long, mtime long, sha string"
-    known = spark.createDataFrame([("a", 1, 1, "s", 5)], schema + ", photo_id long")
-    spark.createDataFrame([("a", 2, 2, "t"), ("b", 1, 1, "u")], schema).write.parquet(str(tmp_path / "listing"))
-    stream = flows.read_stream(spark, str(tmp_path / "listing"), spark.read.parquet(str(tmp_path / "listing")).schema, 10)
-    flows.folder_sync(stream, known, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    changes = spark.read.parquet(str(tmp_path / "out"))
-    assert {(r["path"], r["change"]) for r in changes.collect()} == {("a", "changed"), ("b", "new")}
+
+
+PACKETS = [
+    (1, '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:xap="http://ns.adobe.com/xap/1.0/" xap:Rating="2" xap:Label="RED"/></rdf:RDF></x:xmpmeta>'),
+    (2, 'junk <x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><rdf:Description><xmp:Rating> 4 </xmp:Rating><xmp:Label>Blue</xmp:Label></rdf:Description><rdf:Description><dc:subject><rdf:Seq><rdf:li> a &amp; b </rdf:li><rdf:li> </rdf:li></rdf:Seq></dc:subject><dc:description><rdf:Alt><rdf:li xml:lang="x-default">said &quot;é&quot;</rdf:li></rdf:Alt></dc:description></rdf:Description></rdf:RDF></x:xmpmeta> tail'),
+    (3, '<x:xmpmeta><rdf:RDF><rdf:Description xmp:Rating="5" xmp:Label="odd"><dc:subject><rdf:Bag><rdf:li>loose</rdf:li></rdf:Bag></dc:subject></rdf:Description></rdf:RDF></x:xmpmeta>'),
+    (4, '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description/></rdf:RDF></x:xmpmeta>'),
+    (5, "no packet"),
+    (6, None),
+]
+
+
+def test_packets_are_read_as_attributes_and_elements(spark):
+    found = {r["id"]: (r["rating"], r["label"], r["subjects"], r["description"]) for r in files.xmp_fields(spark.createDataFrame(PACKETS, "id long, value string")).collect()}
+    assert found == {1: (2, "red", [], None), 2: (4, "blue", ["a & b"], 'said "é"'), 3: (5, None, ["loose"], None)}
+
+
+def test_packets_are_xml_that_others_read(spark):
+    """A namespace-aware parser accepts every packet and finds what was written, and so does the reader."""
+    import xml.etree.ElementTree as ET
+    from types import SimpleNamespace
+
+    make = spark.createDataFrame
+    t = SimpleNamespace(
+        photos=make([(1, 3, "red", 'a <b> & "c"\x01'), (2, 0, "", ""), (3, None, None, None)], "id long, rating int, label string, description string"),
+        tags=make([(1, "sea & <sun>"), (2, "")], "id long, name string"), photo_tags=make([(1, 1), (1, 2)], "photo_id long, tag_id long"),
+        people=make([(7, "Dana"), (8, "Noa")], "id long, name string"), photo_people=make([(1, 7)], "photo_id long, person_id long"),
+        faces=make([(1, 8), (1, 7)], "photo_id long, person_id long"),
+        albums=make([(1, "Trip", "album"), (2, "Photos from 2020", "year")], "id long, name string, kind string"), photo_albums=make([(1, 1), (1, 2)], "photo_id long, album_id long"),
+    )
+    packets = {r["id"]: r["packet"] for r in files.xmp_write(t).collect()}
+    rdf, xmp, dc = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}", "{http://ns.adobe.com/xap/1.0/}", "{http://purl.org/dc/elements/1.1/}"
+    read = {i: ET.fromstring(p.lstrip()).find(f"{rdf}RDF/{rdf}Description") for i, p in packets.items()}
+    assert read[1].get(f"{xmp}Rating") == "3" and read[1].get(f"{xmp}Label") == "Red"
+    assert [x.text for x in read[1].find(f"{dc}subject/{rdf}Bag")] == ["sea & <sun>", "Dana", "Noa", "Album/Trip"]
+    assert read[1].find(f"{dc}description/{rdf}Alt/{rdf}li").text == 'a <b> & "c"'
+    for i in (2, 3):
+        assert read[i].get(f"{xmp}Rating") is None and read[i].get(f"{xmp}Label") is None and len(read[i]) == 0
+    back = files.xmp_fields(files.xmp_write(t).withColumnRenamed("packet", "value")).collect()
+    assert [(r["id"], r["rating"], r["label"], r["subjects"], r["description"]) for r in back] == [(1, 3, "red", ["sea & <sun>", "Dana", "Noa", "Album/Trip"], 'a <b> & "c"')]
