@@ -56,7 +56,7 @@ def test_quality_counts_and_bands(make, corpus, awkward):
     assert not any(300 <= i < 340 for i in kept) and all(340 + i in kept for i in range(60))
 
 
-def brute_bits(texts, batches, numbers, low, within):
+def brute_bits(texts, numbers, low, within):
     """Bits per word of texts under interpolated modified Kneser-Ney, all counts from plain dictionaries."""
     from collections import Counter, defaultdict
 
@@ -66,14 +66,8 @@ def brute_bits(texts, batches, numbers, low, within):
         return list(zip(ids, ids[1:], ids[2:]))
 
     tri = Counter()
-    for batch in batches:
-        light = set()
-        for t in batch:
-            if q.prose((t or "").encode(), (t or "").encode().split()):
-                tri.update(grams(t))
-            else:
-                light |= set(grams(t))
-        tri.update(light)
+    for t in texts:
+        tri.update(grams(t) if q.prose((t or "").encode(), (t or "").encode().split()) else set(grams(t)))
     bi = Counter(g[1:] for g in tri)  # the different words before each pair
     uni = Counter(g[1] for g in bi)
     raw2 = Counter()
@@ -118,34 +112,39 @@ def test_bits_and_verdicts_are_brute_force(make, corpus, awkward):
     rows = corpus + [(1000 + (i or 0), t) for i, t in awkward]
     docs = make(rows)
     numbers, model = q.fit(docs, 3)
-    n_words = sum(len(WORD.findall(t or "")) for t in {t for _, t in rows})
-    # The texts that teach, by the tasks that count them.
-    teaching = q.teachers(docs).select("text", F.spark_partition_id().alias("p")).collect()
-    batches = [[r["text"] for r in teaching if r["p"] == p] for p in {r["p"] for r in teaching}]
-    bits = brute_bits([t for _, t in rows], batches, numbers, q.NGRAM_SHARE * n_words, model.within)
+    n_words = sum(len(WORD.findall(t or "")) for _, t in rows)
+    bits = brute_bits([t for _, t in rows], numbers, q.NGRAM_SHARE * n_words, model.within)
     found = q.judged(docs).collect()
     by_row = {(r["doc_id"], r["h"]): r for r in found}
-    passing = []
+    passing = {}
     keys = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), "lang").alias("h")).collect()
     for k, (_, t), (b, plain) in zip(keys, rows, bits, strict=True):
         r = by_row[k["doc_id"], k["h"]]
         assert (r["bits"] is None) == (b is None) and (b is None or abs(r["bits"] - b) < 1e-3 and abs(r["plain_bits"] - plain) < 1e-3)
         n, _, _, _, again = base_counts(t)
         if n >= 20 and 100 * again <= 30 * n:
-            passing.append((r["bits"], r["plain_bits"]))
+            passing[t] = (r["bits"], r["plain_bits"])
 
     def limits(values):
         bins = sorted(int(np.floor(b / q.BIN)) for b in values)
         at = lambda share: next(b for b in bins if bisect.bisect_right(bins, b) / len(bins) >= share) * q.BIN
         return at(0.5), (at(0.5) - at(0.25)) / 0.6745
 
-    (middle, spread), (plain_middle, plain_spread) = (limits(x) for x in zip(*passing, strict=True))
+    (middle, spread), (plain_middle, plain_spread) = (limits(x) for x in zip(*passing.values(), strict=True))
     for r in found:
         width = lambda s, n=r["n_words"]: q.SPREADS * s + q.SLACK + q.SHORT / max(n, 1) ** 0.5
         want = not r["base_failed"] and plain_middle - width(plain_spread) <= r["plain_bits"] and r["bits"] <= middle + width(spread)
         assert r["kept"] == want
 
 
+def test_bits_do_not_depend_on_how_rows_lie(make, corpus, awkward, monkeypatch):
+    docs = make(corpus + [(1000 + (i or 0), t) for i, t in awkward])
+    one = {(r["doc_id"], r["n_words"], r["bits"], r["plain_bits"], r["kept"]) for r in q.judged(docs.coalesce(1)).collect()}
+    monkeypatch.setattr(q, "HELD", 500)
+    monkeypatch.setattr(q, "TEXTS", 7)
+    assert {(r["doc_id"], r["n_words"], r["bits"], r["plain_bits"], r["kept"]) for r in q.judged(docs.repartition(8)).collect()} == one
+
+
 def test_rows_without_doc_id_are_judged_singly(make, corpus):
     rows = [*corpus, (None, corpus[0][1]), (None, "x"), (5, "too short")]
     kept = [(r["doc_id"], r["text"]) for r in q.keep_good(make(rows)).collect()]
@@ -326,24 +325,17 @@ def test_lower_orders_count_different_contexts(make):
     rows += [(100 + i, rows[3][1]) for i in range(5)]
     docs = make(rows)
     langs = q.languages(docs)
-    once = q.teachers(docs)
-    assert once.count() == 30
-    numbers = q.Numbers(langs, q.vocabulary(once, langs, 3)[0])
+    numbers = q.Numbers(langs, q.vocabulary(docs, langs, 3)[0])
     sent = docs.sparkSession.sparkContext.broadcast(numbers)
-    found = {(r["kind"], r["key"]): r["n"] for r in q.ngram_counts(once, sent, 3, 0.0).where("kind in (2, 3)").collect()}
+    found = {(r["kind"], r["key"]): r["n"] for r in q.ngram_counts(docs, sent, 3, 0.0).where("kind in (2, 3)").collect()}
     words = {}
-    for r in q.ngram_counts(once, sent, 3, 0.0).where("kind = 1").collect():
+    for r in q.ngram_counts(docs, sent, 3, 0.0).where("kind = 1").collect():
         words[r["key"]] = words.get(r["key"], 0) + r["n"]
-    tri, light = {}, {}
-    for r in once.select("text", F.spark_partition_id().alias("p")).collect():
-        words_of = r["text"].encode().split()
-        for x in q.trigrams(numbers.of(1, words_of), 1).tolist():
-            if q.prose(r["text"].encode(), words_of):
-                tri[x] = tri.get(x, 0) + 1
-            else:
-                light.setdefault(r["p"], set()).add(x)
-    for once_each in light.values():
-        for x in once_each:
+    tri = {}
+    for _, text in rows:
+        words_of = text.encode().split()
+        found_here = q.trigrams(numbers.of(1, words_of), 1).tolist()
+        for x in found_here if q.prose(text.encode(), words_of) else set(found_here):
             tri[x] = tri.get(x, 0) + 1
     pairs, one = {}, (1 << q.ID_BITS) - 1
     for x in tri:
