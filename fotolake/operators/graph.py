@@ -11,7 +11,7 @@ from fotolake.functions.scalars import hamming64, haversine_km
 from fotolake.operators.aggregates import person_centroids
 from fotolake.operators.joins import copy_pairs, hash_band_pairs, near_hashes, time_neighbors
 from fotolake.operators.likeness import all_alike
-from fotolake.operators.windows import merit
+from fotolake.operators.windows import merit, ranked
 from fotolake.storage import fresh_path, settled
 
 BLOCK = 2048
@@ -146,11 +146,91 @@ def blocked(left: DataFrame, right: DataFrame | None, keys: list[str], block: in
     return a.drop("k", "blocks", "others").unionByName(b.drop("k", "blocks", "others"))
 
 
+#: Directions that blocks of vectors are told apart by, and vectors that they are chosen from.
+PIVOTS, SAMPLE = 32, 2048
+#: Blocks up to which all pairs of blocks are simply multiplied.
+FEW_BLOCKS = 4
+
+
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1, 1))
+
+
+def pivots_of(vectors: DataFrame, count: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
+    """Unit vectors far apart from each other, out of a sample of vectors by hash; they only decide how much is compared."""
+    n = vectors.count()
+    share = min(1.0, sample / max(n, 1))
+    chosen = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(2 * sample).select("embedding").collect()
+    some = _unit(pd.Series([r["embedding"] for r in chosen]))
+    some = some[np.linalg.norm(some, axis=1) > 0.5]
+    found: list[int] = []
+    nearest = np.full(len(some), np.inf)
+    for _ in range(min(count, len(some))):
+        found.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, _angles(some, some[found[-1:]])[:, 0])
+        if nearest.max() < 1e-6:
+            break
+    return some[found]
+
+
+def in_blocks(vectors: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
+    """(id, embedding, cell, at): vectors by their nearest pivot, and in blocks of equal size by the angle to it."""
+
+    def place(frames):
+        for f in frames:
+            angle = _angles(_unit(f.embedding), pivots)
+            cell = angle.argmin(1)
+            yield f.assign(cell=cell, angle=angle[np.arange(len(f)), cell])
+
+    kind = dict(vectors.dtypes)["embedding"]
+    placed = vectors.select("id", "embedding").mapInPandas(place, f"id long, embedding {kind}, cell int, angle double")
+    return ranked(placed, ["cell"], ["angle", "id"], "place").select("id", "embedding", "cell", F.floor(F.col("place") / block).alias("at"))
+
+
+def near_blocks(rows: DataFrame, pivots: np.ndarray, limit: float) -> DataFrame:
+    """(cell, at, cell_b, at_b, i): the pairs of blocks, each once, that may hold vectors within limit of each other.
+
+    Angles are a metric: vectors at most reach apart have angles to any pivot that differ by reach at most. So two blocks can
+    be skipped if, for some pivot, the ranges of their angles are further apart than that. Cells are told apart first.
+    """
+    reach = (np.pi if limit >= 1 else float(np.arccos(1 - limit))) + 1e-6
+
+    def ranges(part):
+        angle = _angles(_unit(part.embedding), pivots)
+        return pd.DataFrame({"cell": [part.cell.iloc[0]], "at": [part["at"].iloc[0]], "low": [angle.min(0).tolist()], "high": [angle.max(0).tolist()]})
+
+    blocks = settled(rows.groupBy("cell", "at").applyInPandas(ranges, "cell int, at long, low array<double>, high array<double>"))
+    over = lambda c, how: F.array(*[how(F.col(c)[k]) for k in range(len(pivots))]).alias(c)
+    cells = blocks.groupBy("cell").agg(over("low", F.min), over("high", F.max))  # as many rows as pivots at most
+    apart = lambda x, y: F.exists(F.arrays_zip(f"{x}.low", f"{y}.high"), lambda z: z["low"] - z["high"] > reach)
+    near = lambda x, y: ~apart(x, y) & ~apart(y, x)
+    left, right = cells.alias("x"), F.broadcast(cells).alias("y")
+    pairs = left.join(right, F.col("x.cell") <= F.col("y.cell")).where(near("x", "y")).select("x.cell", F.col("y.cell").alias("cell_b"))
+    one = blocks.join(F.broadcast(pairs), "cell").alias("x")
+    met = one.join(blocks.withColumnRenamed("cell", "cell_b").alias("y"), "cell_b").where((F.col("x.cell") < F.col("cell_b")) | (F.col("x.at") <= F.col("y.at")))
+    return met.where(near("x", "y")).select("x.cell", "x.at", "cell_b", F.col("y.at").alias("at_b"), F.xxhash64("x.cell", "x.at", "cell_b", "y.at").alias("i"))
+
+
+def _met_blocks(vectors: DataFrame, limit: float, block: int) -> tuple[DataFrame, list[str]]:
+    """Vectors dealt to groups in which any two within limit meet: side 0 and side 1 of pairs of blocks."""
+    rows = vectors.select("id", "embedding")
+    if vectors.count() <= FEW_BLOCKS * block:
+        return blocked(rows, None, [], block), ["i", "j"]
+    pivots = pivots_of(rows)
+    placed = settled(in_blocks(rows, pivots, block))
+    pairs = settled(near_blocks(placed, pivots, limit))
+    first = placed.join(pairs.select("cell", "at", "cell_b", "at_b"), ["cell", "at"]).withColumn("side", F.lit(0))
+    second = placed.withColumnsRenamed({"cell": "cell_b", "at": "at_b"}).join(pairs.select("cell", "at", "cell_b", "at_b"), ["cell_b", "at_b"]).withColumn("side", F.lit(1))
+    keys = ["cell", "at", "cell_b", "at_b"]
+    columns = ["id", "embedding", "side", *keys]
+    return first.select(*columns).unionByName(second.select(*columns)), keys
+
+
 def close_links(vectors: DataFrame, limit: float, block: int = BLOCK) -> DataFrame:
     """(a, b) whose closure joins all vectors (id, embedding) that chains of cosine distances of at most limit join.
 
-    Blocks of the matrix are multiplied; of each product only the links of its own components to their least id are handed
-    on, so as many rows as vectors at most, however many of them are close.
+    Pairs of blocks that may hold close vectors are multiplied (near_blocks); of each product only the links of its own
+    components to their least id are handed on, so as many rows as vectors at most, however many of them are close.
     """
 
     def task(rows):
@@ -172,7 +252,8 @@ def close_links(vectors: DataFrame, limit: float, block: int = BLOCK) -> DataFra
         out = pd.DataFrame({"a": ids[label], "b": ids})
         return out[out.a != out.b].drop_duplicates()
 
-    return blocked(vectors.select("id", "embedding"), None, [], block).groupBy("i", "j").applyInPandas(task, "a long, b long")
+    met, keys = _met_blocks(vectors, limit, block)
+    return met.groupBy(*keys).applyInPandas(task, "a long, b long")
 
 
 def average_linkage(vectors: np.ndarray, limit: float) -> np.ndarray:
@@ -197,7 +278,9 @@ def cluster_faces(faces: DataFrame, limit: float = 0.38, whole: int = 2000, bloc
     """(id, cluster): average linkage on cosine distance, cut at limit; a cluster is named by its least id.
 
     Average linkage never merges across components of the graph of pairs within limit, so components are clustered by
-    themselves: those of at most whole faces each in a task, larger ones in rounds over all executors (merged_rounds).
+    themselves: those of at most whole faces each in a task, larger ones in rounds over all executors (merged_rounds). Both
+    take the same nearest pairs; where two distances are equal to the last digits, sums of unit vectors and a matrix of
+    distances may round differently and so merge the other pair first.
     """
     known = faces.where("embedding is not null").select("id", "embedding")
     links = settled(close_links(known, limit, block))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fotolake.catalog import Catalog, with_tables
 from fotolake.operators import aggregates as ag
 from fotolake.operators import graph as gr
+from fotolake.operators import history as hi
 from fotolake.operators import mutations as mu
 from fotolake.operators import vectors as vc
 from fotolake.operators import windows as wn
@@ -37,6 +38,16 @@ def ai_bridge(t):
     return t.photo_tags.withColumn("source", F.when(F.col("photo_id") % 2 == 0, "ai").otherwise(F.col("source")))
 
 
+def undo_log(t):
+    """Commands of seven sessions, one per event, and what their entries changed: two photos each."""
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("do", "undo", "do", "redo", "undo"))), F.pmod(i * 7 + F.floor(i / 11), F.lit(5)).cast("int") + 1)
+    commands = t.events.select((F.col("user_id") % 7).alias("session"), i.alias("seq"), kind.alias("kind"))
+    i = F.col("seq")
+    entries = commands.where("kind = 'do'").select("session", "seq", F.explode(F.array(i * 31 % 97, i * 17 % 89 + 100)).alias("id"))
+    return commands, entries.select("session", "seq", "id", F.when(i % 2 == 0, "rating").otherwise("label").alias("field"), F.when(i % 9 > 0, (i % 10).cast("string")).alias("before"), (i % 10 + 10).cast("string").alias("after"))
+
+
 def lengths(contents):
     """A model for embed_batch: one number per picture; it fails on texts about errors."""
     import numpy as np
@@ -86,6 +97,7 @@ QUERIES = {
     "g01_members": _of(lambda t: gr.similar_groups(t.photos)[1]),
     "u11_saved_search": _of(lambda t: mu.saved_search_upsert(t.events.select((F.col("user_id") % 30).cast("string").alias("name"), F.col("event_type").alias("criteria"), F.col("event_id").alias("made")), t.events.select((F.col("user_id") % 50).cast("string").alias("name"), F.lit("x").alias("criteria"), (F.col("event_id") - 3).alias("made")))),
     "u11_smart_people": _of(lambda t: mu.smart_from_people(t, t.people.where("id % 4 = 0"), 5)),
+    "u12_undo_redo": _of(lambda t: hi.values_after(*undo_log(t))),
     "u12_undo_image": _of(lambda t: mu.before_image(t.photos, t.photos.where("id % 4 = 1"), {"rating": 5, "flag": 1})),
 }
 
@@ -208,6 +220,17 @@ select a, b from tag_links where a <> 5 union select least(i.id, b.id), greatest
         "v05_embed_batch": "select id, sha256, case when description not like '%error%' then len(description)::double end as length from photos where id % 5 = 0",
         "u11_saved_search": "with b as (select (user_id % 30)::varchar as name, event_type as criteria, event_id as made from events union all select (user_id % 50)::varchar, 'x', event_id - 3 from events) select * from b qualify row_number() over (partition by name order by made desc, criteria desc) = 1",
         "u11_smart_people": "select name, '{\"people\":[' || id || ']}' as criteria from people where id % 4 <> 0 and name not in (select name from people where id % 4 = 0) and id in (select person_id from photo_people where source = 'takeout' group by 1 having count(distinct photo_id) >= 5)",
+        "u12_undo_redo": """
+with recursive c as (select user_id % 7 as session, event_id as seq, ['do', 'undo', 'do', 'redo', 'undo'][((event_id * 7 + event_id // 11) % 5 + 1)::int] as kind from events),
+o as (select *, row_number() over (partition by session order by seq) as i from c),
+s as (select session, 0::bigint as i, 0::bigint as seq, ''::varchar as kind, null::bigint as entry, []::bigint[] as undo, []::bigint[] as redo from o group by 1
+  union all select o.session, o.i, o.seq, o.kind, case o.kind when 'do' then o.seq when 'undo' then undo[-1] else redo[-1] end,
+    case o.kind when 'do' then list_append(undo, o.seq)[-100:] when 'undo' then undo[:-2] else case when len(redo) > 0 then list_append(undo, redo[-1]) else undo end end,
+    case o.kind when 'do' then [] when 'undo' then case when len(undo) > 0 then list_append(redo, undo[-1]) else redo end else redo[:-2] end
+  from s join o on o.session = s.session and o.i = s.i + 1),
+e as (select seq, unnest([seq * 31 % 97, seq * 17 % 89 + 100]) as id, case when seq % 2 = 0 then 'rating' else 'label' end as field, case when seq % 9 > 0 then (seq % 10)::varchar end as before, (seq % 10 + 10)::varchar as after from c where kind = 'do'),
+w as (select id, field, case when kind = 'undo' then before else after end as value, row_number() over (partition by id, field order by s.seq desc) as place from s join e on e.seq = s.entry)
+select id, field, value from w where place = 1""",
         "u12_undo_image": "select id, rating, flag from photos where id % 4 = 1 and (rating <> 5 or flag <> 1)",
     }.items()
 }
