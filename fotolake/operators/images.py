@@ -29,31 +29,92 @@ def image_pixels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folder).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
 
 
-def _resized(grey: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over equal cells of the picture."""
-    rows, cols = (np.linspace(0, n, k + 1).astype(int) for n, k in zip(grey.shape, (height, width), strict=True))
-    sums = np.pad(grey.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    box = sums[rows[1:]][:, cols[1:]] - sums[rows[:-1]][:, cols[1:]] - sums[rows[1:]][:, cols[:-1]] + sums[rows[:-1]][:, cols[:-1]]
-    return box / np.maximum(np.outer(np.diff(rows), np.diff(cols)), 1)
-
-
-def _held(rgb: np.ndarray, side: int) -> np.ndarray:
-    """The picture, or a copy whose long side is side."""
-    h, w = rgb.shape[:2]
-    if max(h, w) <= side:
-        return rgb
-    size = max(1, round(h * side / max(h, w))), max(1, round(w * side / max(h, w)))
-    return np.stack([_resized(rgb[:, :, c], *size) for c in range(3)], axis=2)
-
-
-def dhash(grey: np.ndarray) -> int | None:
-    """64 bits: is each of 9 x 8 cells darker than its right neighbour; null for pictures without structure."""
-    small = _resized(grey, 8, 9)
+# A resampling's reach in source pixels at scale 1.
+LANCZOS, BICUBIC = 3.0, 2.0
+#: Luma weights in 65536ths.
+LUMA = (19595, 38470, 7471)
+
+
+def _filter(x: np.ndarray, reach: float) -> np.ndarray:
+    """Lanczos with three lobes, or the cubic with a = -0.5, by its reach."""
+    x = np.abs(x)
+    if reach == LANCZOS:
+        return np.where(x < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+    near, far = 1.5 * x**3 - 2.5 * x**2 + 1, -0.5 * (x**3 - 5 * x**2 + 8 * x - 4)
+    return np.where(x < 1, near, np.where(x < 2, far, 0.0))
+
+
+def coefficients(n: int, out: int, reach: float, span: float | None = None) -> np.ndarray:
+    """out x n weights that resample span (all n if None) source pixels of an axis to out; rows sum to 1."""
+    scale = (span or n) / out
+    wide = max(scale, 1.0)
+    center = (np.arange(out) + 0.5) * scale
+    first = np.maximum((center - reach * wide + 0.5).astype(int), 0)
+    last = np.minimum((center + reach * wide + 0.5).astype(int), n)
+    at = np.arange(n)
+    weight = _filter((at[None, :] - center[:, None] + 0.5) / wide, reach) * ((at >= first[:, None]) & (at < last[:, None]))
+    return weight / weight.sum(1, keepdims=True)
+
+
+def _bytes(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(x + 0.5), 0, 255)
+
+
+def resampled(pixels: np.ndarray, height: int, width: int, reach: float = LANCZOS, spans: tuple[float, float] | None = None) -> np.ndarray:
+    """A picture (rows, columns, channels, or grey) at another size: two matrix products, whole levels after each."""
+    h, w = pixels.shape[:2]
+    tall, wide = spans or (h, w)
+    if (w, wide) != (width, width):
+        pixels = _bytes(np.einsum("ox,hx...->ho...", coefficients(w, width, reach, wide), pixels))
+    if (h, tall) != (height, height):
+        pixels = _bytes(np.einsum("oy,yw...->ow...", coefficients(h, height, reach, tall), pixels))
+    return pixels
+
+
+def _reduced(pixels: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """Mean over cells of rows x cols pixels, smaller ones at the far edges."""
+    h, w = pixels.shape[:2]
+    sums = np.add.reduceat(np.add.reduceat(pixels, np.arange(0, h, rows), 0), np.arange(0, w, cols), 1)
+    tall, wide = (np.minimum(np.arange(0, n, k) + k, n) - np.arange(0, n, k) for n, k in ((h, rows), (w, cols)))
+    area = np.outer(tall, wide)
+    return _bytes(sums / (area[:, :, None] if pixels.ndim == 3 else area))
+
+
+def thumbnail_size(height: int, width: int, side: int) -> tuple[int, int]:
+    """The size that fits into a square of side and keeps the aspect best."""
+    aspect = width / height
+
+    def best(x: float, off) -> int:
+        return max(min(int(np.floor(x)), int(np.ceil(x)), key=off), 1)
+
+    if aspect <= 1:
+        return side, best(side * aspect, lambda n: abs(aspect - n / side))
+    return best(side / aspect, lambda n: 0 if n == 0 else abs(aspect - side / n)), side
+
+
+def thumbnail(pixels: np.ndarray, side: int, reach: float = LANCZOS) -> np.ndarray:
+    """The picture, or a copy that fits into a square of side. Large ones are first averaged to twice the size or more."""
+    h, w = pixels.shape[:2]
+    if h <= side and w <= side:
+        return pixels
+    height, width = thumbnail_size(h, w, side)
+    rows, cols = max(int(h / height / 2), 1), max(int(w / width / 2), 1)
+    if rows > 1 or cols > 1:
+        return resampled(_reduced(pixels, rows, cols), height, width, reach, (h / rows, w / cols))
+    return resampled(pixels, height, width, reach)
+
+
+def luma(rgb: np.ndarray) -> np.ndarray:
+    """Grey levels of whole-numbered pixels."""
+    return np.floor((rgb @ np.array(LUMA, float) + 0x8000) / 0x10000)
+
+
+def dhash(rgb: np.ndarray) -> int | None:
+    """64 bits of a copy of 9 x 8 pixels: is each darker than its right neighbour; null for pictures without structure."""
+    small = resampled(luma(rgb), 8, 9)
     if small.std() < 3:
         return None
-    bits = (small[:, 1:] > small[:, :-1]).ravel()
-    value = int("".join("1" if b else "0" for b in bits), 2)
-    return value - (1 << 64) if value >= 1 << 63 else value
+    return int(np.packbits(np.diff(small, axis=1) > 0).view(">i8")[0])
 
 
 def sharpness(grey: np.ndarray) -> float:
@@ -71,28 +132,37 @@ def sharpness(grey: np.ndarray) -> float:
     return float(np.percentile(found, 80)) if found else 0.0
 
 
-def dominant(rgb: np.ndarray) -> tuple[int, int, int]:
-    """The heaviest of six palette colours of a small copy, saturated ones that are not near black weighing more; the palette
-    halves the widest box at its median."""
-    boxes = [_held(rgb, SMALL).reshape(-1, 3)]
-    while len(boxes) < 6:
-        spans = [(b.max(0) - b.min(0)).max() * (len(b) > 1) for b in boxes]
-        i = int(np.argmax(spans))
-        if not spans[i]:
+def palette(pixels: np.ndarray, colours: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean colours and their pixels, by cutting the histogram: the box of most pixels is halved where half of them lie, across
+    its widest side, until there are so many boxes."""
+    values, n = np.unique(pixels.reshape(-1, 3), axis=0, return_counts=True)
+    boxes = [(values, n)]
+    while len(boxes) < colours:
+        i = max(range(len(boxes)), key=lambda k: (len(boxes[k][1]) > 1, boxes[k][1].sum()))
+        v, c = boxes[i]
+        if len(c) < 2:
             break
-        box = boxes.pop(i)
-        axis = int((box.max(0) - box.min(0)).argmax())
-        box = box[box[:, axis].argsort(kind="stable")]
-        boxes += [box[: len(box) // 2], box[len(box) // 2 :]]
-    means = [b.mean(0) for b in boxes]
-    weight = [len(b) * (1 + 1.5 * (m.max() - m.min()) / max(m.max(), 1) * (m.max() / 255 > 0.18)) for b, m in zip(boxes, means, strict=True)]
-    return tuple(int(round(x)) for x in means[int(np.argmax(weight))])
+        by = v[:, np.ptp(v, axis=0).argmax()].argsort(kind="stable")
+        v, c = v[by], c[by]
+        cut = min(max(int(np.searchsorted(np.cumsum(c), c.sum() / 2)) + 1, 1), len(c) - 1)
+        boxes[i : i + 1] = [(v[:cut], c[:cut]), (v[cut:], c[cut:])]
+    return np.array([np.average(v, axis=0, weights=c) for v, c in boxes]), np.array([c.sum() for _, c in boxes])
+
+
+def dominant(rgb: np.ndarray) -> tuple[int, int, int]:
+    """The heaviest of six palette colours of a small copy, saturated ones that are not near black weighing more."""
+    means, n = palette(thumbnail(rgb, SMALL, BICUBIC), 6)
+    means = np.floor(means + 0.5)
+    top, low = means.max(1), means.min(1)
+    weight = n * (1 + 1.5 * (top - low) / np.maximum(top, 1) * (top / 255 > 0.18))
+    return tuple(int(x) for x in means[int(weight.argmax())])
 
 
 def measure_one(data: bytes, height: int, width: int, channels: int) -> tuple:
     bgr = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     rgb = np.repeat(bgr, 3, 2) if channels == 1 else bgr[:, :, 2::-1]
-    rgb = _held(rgb.astype(np.float64), LONG)
+    whole = rgb.astype(np.float64)
+    rgb = thumbnail(whole, LONG)
     grey = rgb @ (0.299, 0.587, 0.114)
     top, low = rgb.max(2), rgb.min(2)
     sat = ((top - low) / np.maximum(top, 1)).mean()
@@ -101,7 +171,7 @@ def measure_one(data: bytes, height: int, width: int, channels: int) -> tuple:
     ink = grey < min(150.0, grey.mean() - 45)
     lines = ink.mean(1) > 0.012
     flips = int((lines[1:] != lines[:-1]).sum())
-    return (grey.mean(), sat, p5, p95, (grey < 8).mean(), (grey > 247).mean(), ink.mean(), (grey > 165).mean(), flips, len(grey), sharpness(grey), dhash(grey), *dominant(rgb))
+    return (grey.mean(), sat, p5, p95, (grey < 8).mean(), (grey > 247).mean(), ink.mean(), (grey > 165).mean(), flips, len(grey), sharpness(grey), dhash(rgb), *dominant(whole))
 
 
 def measure(images: DataFrame) -> DataFrame:
@@ -145,22 +215,20 @@ def scored(measures: DataFrame) -> DataFrame:
 
 def eye_ratio(points: Column) -> Column:
     """Extent of eye landmarks across their main axis over that along it, 1 where they are one spot; null with fewer than three
-    points."""
-
-    def one(p) -> float | None:
-        if p is None or len(p) < 3:
-            return None
-        x = np.array([list(q) for q in p], float)
-        x -= x.mean(0)
-        axes = x @ np.linalg.svd(x, full_matrices=False)[2].T
-        extent = axes.max(0) - axes.min(0)
-        return float(extent[1] / extent[0]) if extent[0] > 1e-6 else 1.0
-
-    @F.pandas_udf("double")
-    def ratios(values: pd.Series) -> pd.Series:
-        return pd.Series([one(p) for p in values], dtype="float64")
-
-    return ratios(points)
+    points. The main axis of points in the plane has half the angle of (2 sxy, sxx - syy)."""
+    x, y = (lambda p: p[0].cast("double")), (lambda p: p[1].cast("double"))
+    total = lambda f: F.aggregate(points, F.lit(0.0), lambda s, p: s + f(p))
+    n = F.size(points)
+    mx, my = total(x) / n, total(y) / n
+    sxx, syy, sxy = total(lambda p: (x(p) - mx) ** 2), total(lambda p: (y(p) - my) ** 2), total(lambda p: (x(p) - mx) * (y(p) - my))
+    angle = F.atan2(2 * sxy, sxx - syy) / 2
+
+    def extent(along: Column, across: Column) -> Column:
+        on = F.transform(points, lambda p: x(p) * along + y(p) * across)
+        return F.array_max(on) - F.array_min(on)
+
+    main, cross = extent(F.cos(angle), F.sin(angle)), extent(-F.sin(angle), F.cos(angle))
+    return F.when(n >= 3, F.when(main > 1e-6, cross / main).otherwise(1.0))
 
 
 def closed_eyes(faces: DataFrame, photos: DataFrame, limit: float = 0.2) -> DataFrame:

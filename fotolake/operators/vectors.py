@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,45 @@ def semantic_search(vectors: DataFrame, query: list[float], limit: int = 600) ->
     return kept.where(F.col("place") <= limit).select("id", F.round("s", 4).alias("score"))
 
 
+def search_many(vectors: DataFrame, queries: DataFrame, limit: int = 600, block: int = 2048) -> DataFrame:
+    """(query_id, id, score): semantic_search() for every row of queries (query_id, embedding) in one pass over vectors.
+
+    Blocks of vectors meet blocks of queries as matrix products. A product hands on, for each of its queries, the sums that
+    mean and deviation follow from, and the best vectors that can still be among those asked for; so what is shuffled is a
+    bounded list for each query and block, and neither vectors nor queries go to the driver. Zero vectors score 0; query_ids are
+    different, ids too.
+    """
+    from fotolake.operators.graph import _unit, blocked
+
+    most = max(limit, 12)
+
+    def task(rows):
+        a, b = rows[rows.side == 0].sort_values("id"), rows[rows.side == 1]
+        out = []
+        if len(a) and len(b):
+            ids, score = a.id.to_numpy(), _unit(b.embedding) @ _unit(a.embedding).T
+            for q, s in zip(b.id, score, strict=True):
+                best = np.argsort(-s, kind="stable")[:most]
+                best = best[s[best] >= 0.2]
+                out.append((q, len(s), float(s.sum()), float((s * s).sum()), ids[best].tolist(), s[best].tolist()))
+        return pd.DataFrame(out, columns=["query_id", "n", "total", "squares", "ids", "scores"])
+
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), "embedding")
+    met = blocked(vectors.select("id", "embedding"), asked, [], block).groupBy("i", "j")
+    found = settled(met.applyInPandas(task, "query_id long, n long, total double, squares double, ids array<long>, scores array<double>"))
+    sums = found.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("squares").alias("q"))
+    mean = F.col("t") / F.col("n")
+    facts = sums.select("query_id", mean.alias("m"), F.greatest(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))), F.lit(0.001)).alias("d"))
+    hits = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("id"), F.col("x.scores").alias("s"))
+    # Partial ranks per task come before the shuffle, so no query's list is longer than the number of tasks times most.
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))
+    top = hits.withColumn("place", place).where(F.col("place") <= most).join(facts, "query_id")
+    judged = top.withColumn("out", (F.col("s") - F.col("m")) / F.col("d") >= 2)
+    judged = judged.withColumn("n", F.count_if("out").over(Window.partitionBy("query_id")))
+    kept = judged.where(F.col("out") | ((F.col("n") < 12) & (F.col("place") <= 12) & (F.col("s") >= 0.21)))
+    return kept.where(F.col("place") <= limit).select("query_id", "id", F.round("s", 4).alias("score"))
+
+
 def prompt_ensemble(queries: DataFrame) -> DataFrame:
     """(name, vector): the mean of each name's unit vectors, scaled to length 1; queries has name and embedding."""
     parts = queries.select("name", F.posexplode(l2_normalize(F.col("embedding"))).alias("dim", "x")).groupBy("name", "dim").agg(F.avg("x").alias("x"))

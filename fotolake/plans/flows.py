@@ -45,6 +45,22 @@ def grey_pictures(t):
     return t.documents.select(F.col("doc_id").cast("string").alias("origin"), F.lit(24).alias("width"), F.lit(24).alias("height"), F.lit(1).alias("nChannels"), shades.alias("data"))
 
 
+def screens(t):
+    """Photos by names and sizes of screenshots and of what is none."""
+    i = F.col("id")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), F.pmod(by, F.lit(len(values))).cast("int") + 1)
+    return t.photos.select("id", F.concat(F.lit("pics/"), pick(SHOT_NAMES, i), i.cast("string"), pick([".png", ".jpg"], i)).alias("name"), pick([1080, 1366, 1000, 750, 1200], i).alias("w"), pick([1920, 768, 1001, 1334], F.floor(i / 3)).alias("h"), (i % 11 == 0).alias("camera"))
+
+
+SHOT_NAMES = ["IMG_", "Screenshot_", "my screen-shot ", "screens/IMG_", "SCREENCAPTURE", "scan"]
+
+
+def eyes(t):
+    """Faces with eight landmarks for each eye, out of their vectors."""
+    points = lambda first: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.array(F.get("embedding", 2 * k + first).cast("double"), F.get("embedding", 2 * k + first + 1).cast("double")))
+    return t.faces.select("id", "photo_id", "det_score", F.lit(10.0).alias("x1"), (F.col("id") % 100 + 20.0).alias("x2"), points(0).alias("left_eye"), points(16).alias("right_eye"))
+
+
 def repeated_names(t):
     """Photos of which many have one name, some of them a numbered one."""
     tail = F.element_at(F.array(*map(F.lit, NAME_TAILS)), F.pmod(F.col("id"), F.lit(len(NAME_TAILS))).cast("int") + 1)
@@ -60,6 +76,11 @@ QUERIES = {
     "m01_measures": _of(lambda t: images.measure(grey_pictures(t)).select(F.col("origin").cast("long").alias("doc_id"), F.round("luma", 6).alias("luma"), F.round("p5", 6).alias("p5"), F.round("p95", 6).alias("p95"), F.round("saturation", 6).alias("saturation"))),
     "s13_xmp_round_trip": _of(lambda t: files.xmp_fields(files.xmp_write(t).withColumnRenamed("packet", "value")).select("id", "rating", "label", F.size("subjects").cast("long").alias("subjects"), "description")),
     "s16_exif_fields": _of(lambda t: files.exif_fields(t.photos.select("id", F.when(F.col("id") % 5 > 0, F.to_json(F.struct(F.struct(F.col("camera_model").alias("Model")).alias("Image"), F.struct(F.col("lens").alias("LensModel"), F.concat(F.col("focal_length").cast("int").cast("string"), F.lit("/2")).alias("FocalLength"), (F.col("id") % 1600).cast("string").alias("ISOSpeedRatings")).alias("Exif")))).alias("exif_json"))).select("id", "read", "model", "lens", "focal_length", "iso")),
+    "m02_sharpness": _of(lambda t: images.measure(grey_pictures(t)).select(F.col("origin").cast("long").alias("doc_id"), F.round("sharp", 4).alias("sharp"))),
+    "m03_dhash": _of(lambda t: images.measure(grey_pictures(t)).select(F.col("origin").cast("long").alias("doc_id"), "phash")),
+    "m04_screenshots": _of(lambda t: screens(t).select("id", images.screenshot_flag(F.col("name"), F.col("w"), F.col("h"), F.col("camera")).cast("long").alias("shot"))),
+    "m06_closed_eyes": _of(lambda t: images.closed_eyes(eyes(t), t.photos, 0.5)),
+    "p22_eye_ratio": _of(lambda t: eyes(t).select("id", F.round(images.eye_ratio(F.col("left_eye")), 6).alias("ratio"))),
     "s14_xmp_packets": _of(files.xmp_write),
     "s17_export_manifest": _of(lambda t: files.export_manifest(repeated_names(t))),
     "s17_export_archive": _of(lambda t: files.export_manifest(repeated_names(t), True)),
@@ -74,6 +95,21 @@ QUERIES = {
 }
 
 
+def eye_sql(first: int) -> str:
+    """(id, ratio) of the eye whose landmarks begin at a dimension: extents along and across the axis of greatest variance."""
+    return f"""(select id, case when max(x * cos(g) + y * sin(g)) - min(x * cos(g) + y * sin(g)) > 1e-6
+    then (max(y * cos(g) - x * sin(g)) - min(y * cos(g) - x * sin(g))) / (max(x * cos(g) + y * sin(g)) - min(x * cos(g) + y * sin(g))) else 1 end as ratio
+  from (select *, atan2(2 * covar_pop(x, y) over (partition by id), var_pop(x) over (partition by id) - var_pop(y) over (partition by id)) / 2 as g
+    from (select id, embedding[2 * k + {first + 1}]::double as x, embedding[2 * k + {first + 2}]::double as y from faces, range(8) r(k))) group by id)"""
+
+
+def lanczos_sql(out: int) -> str:
+    """(o, k, w): weights by which 24 levels become out."""
+    x = f"((k - (o + 0.5::double) * 24 / {out} + 0.5::double) * {out} / 24)"
+    edge = f"k >= greatest(trunc((o + 0.5::double) * 24 / {out} - 72.0::double / {out} + 0.5::double), 0) and k < least(trunc((o + 0.5::double) * 24 / {out} + 72.0::double / {out} + 0.5::double), 24)"
+    value = f"case when not ({edge}) then 0 when {x} = 0 then 1 when abs({x}) < 3 then 3 * sin(pi() * {x}) * sin(pi() * {x} / 3) / pow(pi() * {x}, 2) else 0 end"
+    return f"(select o, k, w / sum(w) over (partition by o) as w from (select o, k, {value} as w from range({out}) a(o), range(24) b(k)))"
+
 
 def one_by_one(start: int, fold: str) -> str:
     """Names given to one photo after the other."""
@@ -117,6 +153,27 @@ select id, '<?xpacket begin="' || chr(65279) || '" id="W5M0MpCehiHzreSzNTczkc9d"
   || case when description <> '' then '<dc:description><rdf:Alt><rdf:li xml:lang="x-default">' || description || '</rdf:li></rdf:Alt></dc:description>' else '' end
   || chr(10) || '  </rdf:Description>' || chr(10) || ' </rdf:RDF>' || chr(10) || '</x:xmpmeta>' || chr(10) || '<?xpacket end="w"?>' || chr(10) as packet
 from photos left join s on photo_id = id""",
+        "m02_sharpness": """
+with b as (select doc_id, list_transform(range(0, 16), lambda i: ('0x' || substr(md5(coalesce(text, '')), (i * 2 + 1)::int, 2))::int) as v from documents),
+l as (select doc_id, i, j, v[((24 * (6 * i + y - 1) + 6 * j + x) % 16 + 1)::int] + v[((24 * (6 * i + y + 1) + 6 * j + x) % 16 + 1)::int] + v[((24 * (6 * i + y) + 6 * j + x - 1) % 16 + 1)::int]
+  + v[((24 * (6 * i + y) + 6 * j + x + 1) % 16 + 1)::int] - 4 * v[((24 * (6 * i + y) + 6 * j + x) % 16 + 1)::int] as lap from b, range(4) a(i), range(4) c(j), range(1, 5) d(y), range(1, 5) e(x)),
+q as (select doc_id, i, j, var_pop(lap) as s from l group by all)
+select doc_id, round(quantile_cont(s, 0.8), 4) as sharp from q group by 1""",
+        "m03_dhash": f"""
+with b as (select doc_id, list_transform(range(0, 16), lambda i: ('0x' || substr(md5(coalesce(text, '')), (i * 2 + 1)::int, 2))::int) as v from documents),
+h as (select doc_id, y, c.o as x, greatest(0, least(255, floor(sum(c.w * v[((24 * y + c.k) % 16 + 1)::int]) + 0.5))) as s from b, range(24) r(y), {lanczos_sql(9)} c group by all),
+g as (select doc_id, c.o as y, x, greatest(0, least(255, floor(sum(c.w * s) + 0.5))) as s from h join {lanczos_sql(8)} c on c.k = h.y group by all),
+d as (select doc_id, y, x, s, lead(s) over (partition by doc_id, y order by x) as next from g),
+t as (select doc_id, stddev_pop(s) as spread, sum(case when next > s then pow(2::hugeint, (63 - 8 * y - x)::int)::hugeint else 0 end)::hugeint as bits from d group by 1)
+select doc_id, case when spread >= 3 then (case when bits >= 9223372036854775808::hugeint then bits - 18446744073709551616::hugeint else bits end)::bigint end as phash from t""",
+        "m04_screenshots": f"""
+with n as (select id, {SHOT_NAMES}[(id % 6 + 1)::int] || id || case id % 2 when 0 then '.png' else '.jpg' end as name, [1080, 1366, 1000, 750, 1200][(id % 5 + 1)::int] as w, [1920, 768, 1001, 1334][(id // 3 % 4 + 1)::int] as h, id % 11 = 0 as camera from photos)
+select id, case when regexp_matches(regexp_extract(name, '[^/]*$'), '(?i)screen[ _-]?shot|screen[ _-]?capture') or (name like '%.png' and not camera and greatest(w, h) >= 900 and (w, h) in ((1080, 1920), (1366, 768), (750, 1334))) then 1 else 0 end as shot from n""",
+        "m06_closed_eyes": f"""
+select photo_id, max(case when (l.ratio + r.ratio) / 2 < 0.5 then 1 else 0 end)::int as eyes_closed
+from faces f join {eye_sql(0)} l on l.id = f.id join {eye_sql(16)} r on r.id = f.id join photos p on p.id = f.photo_id
+where det_score >= 0.6 and f.id % 100 + 10 >= 0.03 * width group by 1""",
+        "p22_eye_ratio": f"select id, round(ratio, 6) as ratio from {eye_sql(0)}",
         "s13_xmp_round_trip": f"""
 with w as (select photo_id, 0 as kind, name as w from photo_tags join tags on tags.id = tag_id union select photo_id, 1, name from {PEOPLE} p join people on people.id = p.person_id
   union select photo_id, 2, 'Album/' || name from photo_albums join albums on albums.id = album_id where kind = 'album'),

@@ -70,6 +70,7 @@ QUERIES = {
     "g05_suggest_names": _of(lambda t: gr.suggest_names(shifted(t).withColumn("person_id", F.when(F.col("id") % 6 == 0, F.col("label"))), t.faces.select("id", (F.col("label") * 2 + F.when(F.col("id") % 6 == 0, 0).otherwise(1)).alias("cluster")))),
     "a18_person_centroids": _of(lambda t: ag.person_centroids(shifted(t), "person_id").select("person_id", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))),
     "v01_semantic_search": _of(lambda t: vc.semantic_search(vectors(t), _query(t))),
+    "v01_many_queries": _of(lambda t: vc.search_many(vectors(t), t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 50)),
     "v02_prompt_ensemble": _of(lambda t: vc.prompt_ensemble(t.embeddings.select((F.col("vec_id") % 4).alias("name"), "embedding")).select("name", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))),
     "v03_hybrid_search": _of(lambda t: vc.hybrid_search(t, vectors(t), _query(t), t.photos.where("trashed = 0 and is_video = 0"), ["note", "click"], 300)),
     "v04_l2_normalize": _of(lambda t: vectors(t).select("id", F.transform(vc.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))),
@@ -175,6 +176,12 @@ p as (select k, list(x order by i) as v from pm group by 1), c as (select k, lis
 d as (select c.k as cluster, p.k as person_id, 1 - list_dot_product(c.v, p.v) / sqrt(list_dot_product(c.v, c.v) * list_dot_product(p.v, p.v)) as d from c, p)
 select cluster, arg_min(person_id, (d, person_id)) as person_id, round(min(d), 6) as distance from d where d <= 0.46 group by 1""",
         "g04_cluster_faces": "select id, min(id) over (partition by label) as cluster from faces",
+        "v01_many_queries": f"""
+with s as (select q.id as query_id, a.id, list_dot_product(a.u, q.u) as s from {UNIT} a, (select id, u from {UNIT} where id % 100 = 0) q),
+f as (select query_id, avg(s) as m, greatest(stddev_pop(s), 0.001) as d from s group by 1),
+j as (select s.query_id, id, s, (s - m) / d >= 2 and s >= 0.2 as o, row_number() over (partition by s.query_id order by s desc, id) as place from s join f on f.query_id = s.query_id),
+n as (select query_id, count(*) filter (o) as n from j group by 1)
+select j.query_id, id, round(s, 4) as score from j join n on n.query_id = j.query_id where place <= 50 and (o or (n < 12 and place <= 12 and s >= 0.21))""",
         "v01_semantic_search": SEARCH + "600) select id, round(s, 4) as score from k",
         "v02_prompt_ensemble": f"""
 with u as (select id % 4 as name, unnest(u) as x, generate_subscripts(u, 1) as i from {UNIT}), m as (select name, i, avg(x) as x from u group by 1, 2), w as (select name, list(x order by i) as v from m group by 1)

@@ -291,15 +291,33 @@ def export_manifest(photos: DataFrame, archive: bool = False) -> DataFrame:
     return unique_names(rows, 2, False).withColumnRenamed("unique", "name") if archive else unique_names(rows).withColumnRenamed("unique", "name")
 
 
-def catalog_snapshot(tables: dict[str, DataFrame], folder: str, created: int, reason: str) -> DataFrame:
-    """Writes all tables and then the manifest: a snapshot without one is not complete. Returns the manifest."""
-    for name, frame in tables.items():
+def pinned(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables as they are now: the files of all of them are listed before any is read, and no other file is read later."""
+    listed = {name: (frame.schema, frame.inputFiles()) for name, frame in ((n, spark.read.parquet(p)) for n, p in paths.items())}
+    return {name: spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema) for name, (schema, files) in listed.items()}
+
+
+def table_digest(frame: DataFrame) -> DataFrame:
+    """One row: n, and a digest of all rows that does not depend on their order."""
+    row = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) for f in frame.schema])
+    return frame.agg(F.count("*").alias("n"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+
+def catalog_snapshot(tables: dict[str, DataFrame | str], folder: str, created: int, reason: str, spark: SparkSession | None = None) -> DataFrame:
+    """Writes all tables and then the manifest, with the rows and a digest of each copy: a snapshot without one is not complete.
+    Tables given by path are pinned first, so that all are of one moment even if they grow meanwhile; DataFrames are taken as
+    they are. Returns the manifest."""
+    frames = {n: f for n, f in tables.items() if isinstance(f, DataFrame)}
+    paths = {n: f for n, f in tables.items() if not isinstance(f, DataFrame)}
+    spark = spark or (next(iter(frames.values())).sparkSession if frames else SparkSession.getActiveSession())
+    held = pinned(spark, paths) | frames
+    for name, frame in held.items():
         frame.write.mode("errorifexists").parquet(f"{folder}/{name}.parquet")
-    spark = next(iter(tables.values())).sparkSession
-    counts = None
-    for name in tables:
-        one = spark.read.parquet(f"{folder}/{name}.parquet").agg(F.lit(name).alias("table"), F.count("*").alias("n"))
-        counts = one if counts is None else counts.unionByName(one)
-    manifest = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("table", "n")))).alias("counts")).select(F.lit(created).alias("created"), F.lit(reason).alias("reason"), "counts")
+    facts = None
+    for name, frame in held.items():
+        one = table_digest(spark.read.schema(frame.schema).parquet(f"{folder}/{name}.parquet")).withColumn("table", F.lit(name))
+        facts = one if facts is None else facts.unionByName(one)
+    by_name = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("table", c))))
+    manifest = facts.agg(by_name("n").alias("counts"), by_name("digest").alias("digests")).select(F.lit(created).alias("created"), F.lit(reason).alias("reason"), "counts", "digests")
     manifest.write.mode("errorifexists").json(f"{folder}/manifest")
     return spark.read.json(f"{folder}/manifest")

@@ -70,6 +70,26 @@ def test_snapshot_is_complete_or_absent(spark, tmp_path):
     assert manifest["reason"] == "regular" and manifest["counts"]["t"] == 7
 
 
+def test_snapshot_is_of_one_moment(spark, tmp_path, monkeypatch):
+    """Tables that grow while they are copied: rows that came after the start are in no copy."""
+    paths = {n: str(tmp_path / n) for n in ("a", "b")}
+    for n, p in paths.items():
+        spark.range(5).select("id", F.lit(n).alias("x.y")).write.parquet(p)
+    real = files.pinned
+
+    def growing(session, listed):
+        held = real(session, listed)
+        for p in listed.values():
+            spark.range(100).select("id", F.lit("late").alias("x.y")).write.mode("append").parquet(p)
+        return held
+
+    monkeypatch.setattr(files, "pinned", growing)
+    manifest = files.catalog_snapshot(paths, str(tmp_path / "snap"), 5, "regular", spark).first()
+    assert manifest["counts"].asDict() == {"a": 5, "b": 5}
+    want = {n: files.table_digest(spark.range(5).select("id", F.lit(n).alias("x.y")).repartition(3)).first()["digest"] for n in paths}
+    assert manifest["digests"].asDict() == want and want["a"] != want["b"]
+
+
 def _stream(spark, tmp_path, name, frames):
     folder = tmp_path / name
     for f in frames:
