@@ -161,6 +161,17 @@ def p_names(spark, sf_dir):
     )
 
 
+def f18_text_index(spark, sf_dir):
+    """Eight signs out of every hundredth document, and three shorter pieces, looked up in all documents."""
+    from fotolake.operators import textindex
+
+    texts = Catalog(spark, sf_dir).documents.select(F.col("doc_id").alias("id"), "text")
+    some = texts.where("id % 100 = 0")
+    length = F.when(F.col("id") % 300 == 100, 2).otherwise(8)
+    needles = some.select(F.col("id").alias("needle_id"), F.upper(F.substr(F.regexp_replace("text", "[^a-z ]", "_"), F.lit(3), length)).alias("needle"))
+    return textindex.search(texts, needles)
+
+
 def p_shapes(spark, sf_dir):
     w, h = F.col("width"), F.col("height")
     return Catalog(spark, sf_dir).photos.select(
@@ -232,7 +243,7 @@ def p_answers(spark, sf_dir):
 
 QUERIES |= {
     f.__name__: f
-    for f in (f38_sources, f39_smart_lists, f40_bar, f41_on_this_day, f37_smart_searches, f42_stacked, f43_untagged, f44_slideshow, f45_typed, p_places, p_coords, p_names, p_shapes, p_albums, p_scores, p_colours, p_texts, p_dates, p_lr_times, p_answers)
+    for f in (f38_sources, f39_smart_lists, f40_bar, f41_on_this_day, f37_smart_searches, f42_stacked, f43_untagged, f44_slideshow, f45_typed, f18_text_index, p_places, p_coords, p_names, p_shapes, p_albums, p_scores, p_colours, p_texts, p_dates, p_lr_times, p_answers)
 }
 COLOUR_SQL = """
 select photo_id, case when v < 0.18::double then 'black' when s < 0.14::double then case when v > 0.85::double then 'white' else 'gray' end
@@ -273,6 +284,10 @@ select doc_id as query_id, case doc_id % 4 when 0 then [0] when 1 then [] when 2
   [2000 + doc_id % 30]::int[] as years,
   list_concat(case doc_id % 4 when 1 then ['ron'] when 2 then ['maya'] else [] end::varchar[], regexp_extract_all(lower(coalesce(text, '')), '[a-z]{12,}')[1:2]) as words from documents""",
         "f37_smart_searches": "select doc_id, doc_id % 6 in (0, 1, 5) as smart from documents",
+        "f18_text_index": """
+with n as (select doc_id as needle_id, upper(substr(regexp_replace(text, '[^a-z ]', '_', 'g'), 3, case when doc_id % 300 = 100 then 2 else 8 end)) as needle from documents where doc_id % 100 = 0),
+f as (select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select needle_id, doc_id as id from n join f on t like '%' || translate(needle, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '%'""",
         "f43_untagged": "select id from photos where trashed = 0 and is_video = 0 and id not in (select photo_id from photo_tags)",
         "p_places": """
 select id, round(12742 * asin(least(1, sqrt(pow(sin(radians(32.08 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(32.08)) * pow(sin(radians(34.78 - lng) / 2), 2)))), 6) as km,

@@ -18,12 +18,16 @@ def test_flagship_runs(spark):
     assert entry.entry(spark).columns == ["id", "taken_at"]
 
 
-def test_the_rest_works_without_the_optional_part(monkeypatch):
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("fotolake.llm", "corpus_pipeline")) else real(name, *a))
+@pytest.mark.parametrize("missing", [("fotolake.llm.queries", "corpus_pipeline"), ("xxhash", "fotolake.llm.queries", "fotolake.llm.shingles", "fotolake.llm.quality", "corpus_pipeline")])
+def test_the_rest_works_without_the_optional_part(monkeypatch, missing):
+    """Without the folder, and without a package that only it needs."""
+    for name in missing:
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    for name in missing if len(missing) == 2 else missing[:1]:
+        monkeypatch.setitem(sys.modules, name, None)
     try:
         again = importlib.reload(entry)
-        assert set(again.queries()) == set(registry.queries())
+        assert set(again.queries()) == set(registry.queries()) and set(again.oracle_sql()) == set(registry.oracle_sql())
     finally:
         monkeypatch.undo()
         importlib.reload(entry)
