@@ -74,5 +74,5 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     one = of(repeated, "left_semi").dropDuplicates(["doc_id", "text"])
     # Repeats whose texts differ in white space only.
     place = F.row_number().over(Window.partitionBy("doc_id", F.sha2(F.regexp_replace(text_of(), SPACE_RUN, " "), 256)).orderBy("text"))
-    one = one.select(F.struct(*[one[c] for c in one.columns]).alias("row"), place.alias("place")).where("place = 1").select("row.*")
+    one = one.select(F.struct("*").alias("row"), place.alias("place")).where("place = 1").select("row.*")
     return of(judged.where("not kept or times > 1"), "left_anti").unionByName(one)

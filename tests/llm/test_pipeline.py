@@ -27,14 +27,14 @@ def test_stages_take_effect_one_after_the_other(spark, tmp_path):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids(fourth)
 
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, __id long, __h string, kept string, size int"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, __id long, __h string, kept string, size int, `a.b` string, `c``d` int"
 
 
 def test_stages_on_awkward_tables(spark):
     rng = random.Random(22)
     word = lambda: "".join(rng.choice("aeioubcd") for _ in range(4))
     text = lambda n: " ".join(word() for _ in range(n))
-    more = (1, "h", "k", 2)
+    more = (1, "h", "k", 2, "dot", 3)
     rows = [(i, text(40), "en", "ab"[i % 2], 1, *more) for i in range(60)]
     rows += [rows[0], rows[0], (None, rows[1][1], "en", "a", 1, *more), (None, None, None, None, None, *more), (None, None, None, None, None, *more), (70, "", "en", None, 1, *more), (71, text(30_000), None, None, 1, *more)]
     for name, stage in corpus_pipeline.STAGES[:-1]:
