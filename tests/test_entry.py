@@ -18,7 +18,7 @@ def test_flagship_runs(spark):
     assert entry.entry(spark).columns == ["id", "taken_at"]
 
 
-@pytest.mark.parametrize("missing", ["fotolake.llm.queries", "xxhash"])
+@pytest.mark.parametrize("missing", ["fotolake.llm", "xxhash"])
 def test_the_rest_works_without_the_optional_part(monkeypatch, missing):
     """Without the folder, and without a package that only it needs."""
     for name in [m for m in sys.modules if m.startswith(("fotolake.llm", "corpus_pipeline"))]:
