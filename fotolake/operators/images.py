@@ -182,7 +182,8 @@ def measure(images: DataFrame) -> DataFrame:
         for f in frames:
             found = [measure_one(d, h, w, c) for d, h, w, c in zip(f.data, f.height, f.width, f.nChannels, strict=True)]
             out = pd.DataFrame(found, columns=names, index=f.index)
-            out["phash"] = pd.array(out["phash"].tolist(), dtype="Int64")
+            # From the numbers themselves: beside a null, the frame's own column would hold them as doubles.
+            out["phash"] = pd.array([x[names.index("phash")] for x in found], dtype="Int64")
             yield pd.concat([f[["origin", "width", "height"]], out], axis=1)
 
     return images.mapInPandas(task, f"origin string, width int, height int, {MEASURES}")

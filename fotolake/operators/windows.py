@@ -14,13 +14,13 @@ from fotolake.storage import settled
 BLOCK = 8192
 
 
-def _ranges(frame: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, int]:
-    """Ranges of an order, settled, with the number of rows before each of them, and the number of all rows."""
+def _ranges(frame: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Ranges of an order, settled, and the number of rows before each of them."""
     parted = settled(frame.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     sizes = parted.groupBy("__range").agg(F.count("*").alias("n"))
     # One row per range, as many as there are partitions.
     ahead = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("ahead"))
-    return parted, ahead, parted.count()
+    return parted, ahead
 
 
 def _placed(parted: DataFrame, ahead: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -31,7 +31,7 @@ def _placed(parted: DataFrame, ahead: DataFrame, order: list[str], name: str) ->
 def numbered(frame: DataFrame, order: list[str], name: str = "place") -> DataFrame:
     """frame with each row's number from 0 in an order that is unique: ranges of it are numbered by themselves, and the number
     of rows before each range is added, so equal times are no hot spot."""
-    parted, ahead, _ = _ranges(frame, order)
+    parted, ahead = _ranges(frame, order)
     return _placed(parted, ahead, order, name)
 
 
@@ -90,9 +90,9 @@ def prev_next(frame: DataFrame, order: list[str], value: Column, name: str, keys
     equal size, so a million rows of one second, or of one key, are spread like any others.
     """
     sequence = [*keys, *order]
-    parted, ahead, span = _ranges(frame.withColumn("__value", value), sequence)
+    parted, ahead = _ranges(frame.withColumn("__value", value), sequence)
     rows = _placed(parted, ahead, sequence, "__n")
-    found = carried(rows, "__n", F.col("__value"), F.col("__value"), name, span, keys, block)
+    found = carried(rows, "__n", F.col("__value"), F.col("__value"), name, parted.count(), keys, block)
     return found.select(*[found[f"`{c}`"] for c in frame.columns], f"{name}_prev", f"{name}_next")
 
 
@@ -124,8 +124,8 @@ def runs(photos: DataFrame, gap_s: int, bits: int, least: int, block: int = BLOC
     """
     shots = _shots(photos).where("taken_at is not null").select("id", "taken_at", "phash", "score", "eyes_closed", "width", "height", "bytes")
     order = ["taken_at", "id"]
-    parted, ahead, span = _ranges(shots, order)
-    rows = _placed(parted, ahead, order, "__n")
+    parted, ahead = _ranges(shots, order)
+    rows, span = _placed(parted, ahead, order, "__n"), parted.count()
     seen = carried(rows, "__n", F.struct("taken_at", "phash"), F.lit(None).cast("int"), "s", span, (), block)
     starts = F.col("s_prev").isNull() | (F.col("taken_at") - F.col("s_prev.taken_at") > gap_s) | (hamming64(F.col("phash"), F.col("s_prev.phash")) > bits)
     named = carried(seen.withColumn("start", F.when(starts, F.col("id"))).drop("s_prev", "s_next"), "__n", F.col("start"), F.lit(None).cast("int"), "r", span, (), block)
@@ -278,8 +278,8 @@ def _slots(repeats: DataFrame, asking: DataFrame, start: int) -> tuple[DataFrame
     turns = repeats.select("folder", F.col("key").alias("stem"), "k", F.col("id").alias("at"))
     wanted = asking.join(turns.select(*on).distinct().withColumnRenamed("stem", "parent"), ["folder", "parent"], "left_semi")
     wanted = wanted.select("folder", F.col("parent").alias("stem"), "number", "key", F.col("id").alias("first"))
-    parted, ahead, span = _ranges(wanted, [*on, "number"])
-    wanted = settled(_placed(parted, ahead, [*on, "number"], "__n"))
+    parted, ahead = _ranges(wanted, [*on, "number"])
+    wanted, span = settled(_placed(parted, ahead, [*on, "number"], "__n")), parted.count()
     # At first all asked-for numbers are held to be passed over; the first n of a stem are right after n rounds at the latest.
     state = settled(summed_before(wanted, "__n", F.lit(1).cast("long"), "passed", span, tuple(on)))
     while True:

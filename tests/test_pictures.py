@@ -53,6 +53,14 @@ def test_hash_is_of_the_resampled_picture():
     assert im.dhash(np.full((30, 30, 3), 77.0)) is None
 
 
+def test_hashes_stay_whole_beside_a_picture_without_one(spark):
+    rng = np.random.default_rng(7)
+    noise = rng.integers(0, 256, (20, 20, 3), dtype=np.uint8)
+    rows = [("a", 20, 20, 3, bytearray(noise.tobytes())), ("b", 20, 20, 3, bytearray(b"\x40" * 1200))]
+    found = {r["origin"]: r["phash"] for r in im.measure(spark.createDataFrame(rows, "origin string, height int, width int, nChannels int, data binary").coalesce(1)).collect()}
+    assert found == {"a": im.dhash(noise[:, :, ::-1].astype(float)), "b": None}
+
+
 def test_thumbnails_fit_and_average():
     assert im.thumbnail_size(3000, 4000, 512) == (384, 512) and im.thumbnail_size(4000, 1, 48) == (48, 1) and im.thumbnail_size(7, 1000, 48) == (1, 48)
     rgb = np.random.default_rng(2).integers(0, 256, (300, 200, 3)).astype(float)
