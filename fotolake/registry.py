@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = ("search", "reports", "groups", "flows")
+FAMILIES = ("search", "reports", "groups", "flows", "imports")
 
 
 def queries() -> dict[str, Query]:

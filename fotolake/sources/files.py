@@ -22,26 +22,43 @@ def catalog_scan(spark: SparkSession, folder: str, tables: list[str]) -> dict[st
     return out
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+
+
+def media_files(files: DataFrame) -> DataFrame:
+    """path, size, mtime (seconds) of the media files among files (path, length, modificationTime); hidden and system folders
+    and empty files are left out."""
+    listed = files.select("path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
+    return listed.where(F.lower(ext_of(F.col("path"))).isin(MEDIA_TYPES) & ~F.col("path").rlike(r"/[.$][^/]*(/|$)") & (F.col("size") > 0))
+
+
 def folder_walk(spark: SparkSession, folder: str) -> DataFrame:
-    """path, size, mtime (seconds) of media files below a folder; hidden and system folders and empty files are left out.
-    Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
-    return files.where(F.lower(ext_of(F.col("path"))).isin(MEDIA_TYPES) & ~F.col("path").rlike(r"/[.$][^/]*(/|$)") & (F.col("size") > 0))
+    """The media files below a folder. Contents are not read."""
+    return media_files(_files(spark, folder))
 
 
-def media_listing(spark: SparkSession, folder: str, cap: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """The first cap files by path, newest first, and the number of all."""
-    found = folder_walk(spark, folder)
+def first_files(found: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """The first cap of media files by path, newest first, and the number of all."""
     return found.orderBy("path").limit(cap).orderBy(F.desc("mtime"), "path"), found.agg(F.count("*").alias("total"))
 
 
-def content_hash(spark: SparkSession, folder: str) -> DataFrame:
-    """path and SHA-256 of every file's content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def media_listing(spark: SparkSession, folder: str, cap: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    return first_files(folder_walk(spark, folder), cap)
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    """path and SHA-256 of each content; null where there is none."""
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def content_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return hashed(_files(spark, folder))
+
+
 SIDECAR = "title string, description string, url string, photoTakenTime struct<timestamp: string>, geoData struct<latitude: double, longitude: double, altitude: double>, people array<struct<name: string>>, favorited boolean, trashed boolean"
+MEMORY = "memory array<struct<title: string, created_at: string>>"
+COMMENTS = "comments array<struct<text: string, author: string, created_at: string>>"
 
 
 def _json(spark: SparkSession, folder: str, schema: str, glob: str) -> DataFrame:
@@ -50,8 +67,13 @@ def _json(spark: SparkSession, folder: str, schema: str, glob: str) -> DataFrame
 
 
 def takeout_json(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per export sidecar: path, title, taken_at, place, people, description, favorited, trashed. The place (0, 0) is none."""
-    rows = _json(spark, folder, SIDECAR, "*.json").where("photoTakenTime is not null")
+    return takeout_fields(_json(spark, folder, SIDECAR, "*.json"))
+
+
+def takeout_fields(sidecars: DataFrame) -> DataFrame:
+    """One row per export sidecar (path and SIDECAR): path, title, taken_at, place, people, description, favorited, trashed. The
+    place (0, 0) is none; what has no time is no photo's."""
+    rows = sidecars.where("photoTakenTime is not null")
     placed = (F.col("geoData.latitude") != 0) | (F.col("geoData.longitude") != 0)
     return rows.select(
         "path", "title", F.col("photoTakenTime.timestamp").try_cast("long").alias("taken_at"),
@@ -62,18 +84,29 @@ def takeout_json(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def takeout_album_meta(spark: SparkSession, folder: str) -> DataFrame:
-    """folder, title, description of albums: metadata.json, or its localized name."""
-    rows = _json(spark, folder, "title string, description string", "*.json")
+    return album_fields(_json(spark, folder, "title string, description string", "*.json"))
+
+
+def album_fields(rows: DataFrame) -> DataFrame:
+    """folder, title, description of albums: metadata.json, or its localized name; rows have path, title, description."""
     return rows.where(F.col("path").rlike(r"(?i)/(metadata|מטא-נתונים|metadaten|métadonnées)(\(\d+\))?\.json$")).select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), "title", "description")
 
 
 def memory_titles(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _json(spark, folder, "memory array<struct<title: string, created_at: string>>", "*memor*.json")
+    return memory_fields(_json(spark, folder, MEMORY, "*memor*.json"))
+
+
+def memory_fields(rows: DataFrame) -> DataFrame:
+    """title, created_at of each entry, newest first."""
     return rows.select(F.explode("memory").alias("m")).select("m.title", F.col("m.created_at").try_cast("long").alias("created_at")).orderBy(F.desc("created_at"), "title")
 
 
 def shared_comments(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _json(spark, folder, "comments array<struct<text: string, author: string, created_at: string>>", "*comment*.json")
+    return comment_fields(_json(spark, folder, COMMENTS, "*comment*.json"))
+
+
+def comment_fields(rows: DataFrame) -> DataFrame:
+    """text, author, created_at of each comment, newest first."""
     return rows.select(F.explode("comments").alias("c")).select("c.text", "c.author", F.col("c.created_at").try_cast("long").alias("created_at")).orderBy(F.desc("created_at"), "text")
 
 
@@ -93,22 +126,26 @@ def _uris(value, found: list) -> list:
 
 
 def social_json_index(spark: SparkSession, folder: str) -> DataFrame:
-    """(uri, caption, created) of every nested entry with a uri; its depth has no schema, so files are walked in tasks."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    return social_entries(spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json"))
+
+
+def social_entries(files: DataFrame) -> DataFrame:
+    """(uri, caption, created) of every nested entry with a uri in texts (value); their depth has no schema, so they are walked
+    in tasks. What is no JSON, or null, has no entries."""
 
     def task(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
             found: list = []
-            for text in batch["value"]:
+            for text in batch["value"].dropna():
                 try:
                     _uris(json.loads(text), found)
                 except ValueError:
                     continue  # not JSON: no entries
             yield pd.DataFrame(found, columns=["uri", "caption", "created"]).astype({"created": "Int64"})
 
-    return files.mapInPandas(task, "uri string, caption string, created long")
+    return files.select("value").mapInPandas(task, "uri string, caption string, created long")
 
 
 def lightroom_import(tables: dict[str, DataFrame]) -> DataFrame:
@@ -259,15 +296,24 @@ def xmp_write(t) -> DataFrame:
     return rows.select("id", packet.alias("packet"))
 
 
-def gpx_points(spark: SparkSession, folder: str, cap: int = 2_000_000) -> DataFrame:
-    """ts, lat, lng of track, way and route points with a time and possible coordinates, in order of time."""
+#: A point of a track file, as Spark reads its element.
+POINT = "_lat double, _lon double, time string"
+
+
+def gpx_points(spark: SparkSession, folder: str, cap: int | None = 2_000_000) -> DataFrame:
+    """Points of the track, way and route points of a folder's files."""
     out = None
     for tag in ("trkpt", "wpt", "rtept"):
-        rows = spark.read.format("xml").option("rowTag", tag).schema("_lat double, _lon double, time string").load(folder)
+        rows = spark.read.format("xml").option("rowTag", tag).schema(POINT).load(folder)
         out = rows if out is None else out.unionByName(rows)
+    return track_points(out, cap)
+
+
+def track_points(points: DataFrame, cap: int | None = None) -> DataFrame:
+    """ts, lat, lng of points (POINT) with a time and possible coordinates; with a cap the first ones in order of time."""
     ts = F.unix_seconds(F.try_to_timestamp("time"))
-    good = out.select(ts.alias("ts"), F.col("_lat").alias("lat"), F.col("_lon").alias("lng")).where(F.col("ts").isNotNull() & F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180))
-    return good.orderBy("ts", "lat", "lng").limit(cap)
+    good = points.select(ts.alias("ts"), F.col("_lat").alias("lat"), F.col("_lon").alias("lng")).where(F.col("ts").isNotNull() & F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180))
+    return good if cap is None else good.orderBy("ts", "lat", "lng").limit(cap)
 
 
 def exif_fields(photos: DataFrame) -> DataFrame:

@@ -99,6 +99,24 @@ def import_stream(listing: DataFrame, now: int, settle_s: int = 15, seen: DataFr
     return fresh.groupBy("sha256").transformWithStateInPandas(_FirstOfContent(), _LISTED + ", status string", "append", "none", had)
 
 
+def import_batch(listing: DataFrame, now: int, settle_s: int = 15, seen: DataFrame | None = None) -> DataFrame:
+    """What import_stream() returns for a listing that comes at once, by joins. Of rows alike in path, size and time the least id
+    counts; of equal contents that were not added before, the least id is added. A null size or time is not ready; contents
+    without a hash are one content. ids differ."""
+    ready = listing.where((F.col("size") > 0) & (F.col("mtime") <= now - settle_s)).groupBy("path", "size", "mtime").agg(F.min_by(F.struct("id", "sha256"), "id").alias("r"))
+    fresh = ready.select("r.id", "path", "size", "mtime", "r.sha256")
+    same = lambda a, b: F.col(f"f.{a}").eqNullSafe(F.col(f"{b}.{a}"))
+    firsts = fresh
+    if seen is not None:
+        old = seen.select("path", "size", "mtime").distinct()
+        fresh = fresh.alias("f").join(old.alias("o"), same("path", "o") & same("size", "o") & same("mtime", "o"), "left_anti")
+        had = seen.where("status = 'added'").select("sha256").distinct()
+        firsts = fresh.alias("f").join(had.alias("h"), same("sha256", "h"), "left_anti")
+    # One row per content, counted before it is sent; the join back is by id.
+    firsts = firsts.groupBy("sha256").agg(F.min("id").alias("id")).select("id", F.lit("added").alias("status"))
+    return fresh.join(firsts, "id", "left").select("id", "path", "size", "mtime", "sha256", F.coalesce("status", F.lit("duplicate")).alias("status"))
+
+
 def auto_import(listing: DataFrame, seen_path: str, out_path: str, checkpoint: str, now: int, settle_s: int = 15) -> StreamingQuery:
     """Imports what import_stream() finds; each file is marked seen whatever comes of it. Batches write their own part of both
     tables, so one that runs again replaces its output; none reads what earlier ones wrote. The stream's state has that, and
@@ -123,9 +141,14 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def baseline_rows(listing: DataFrame) -> DataFrame:
+    """What a table of seen files holds of all that is there now: seen, and not added."""
+    return listing.select("path", "size", "mtime", "sha256", F.lit("baseline").alias("status"))
+
+
 def baseline(listing: DataFrame, seen_path: str) -> None:
     """Marks all that is there now as seen, before the first batch."""
-    listing.select("path", "size", "mtime", "sha256", F.lit("baseline").alias("status")).write.mode("overwrite").parquet(f"{seen_path}/batch=-1")
+    baseline_rows(listing).write.mode("overwrite").parquet(f"{seen_path}/batch=-1")
 
 
 def folder_sync(listing: DataFrame, known: DataFrame, out_path: str, checkpoint: str) -> StreamingQuery:
