@@ -26,21 +26,23 @@ ALBUM_FILES = ["metadata.json", "מטא-נתונים.json", "Metadata(2).json",
 #: The moment of an import.
 NOW = 1_701_000_000
 
-ID = F.col("id")
-
 
 def _of(f):
     return lambda spark, sf_dir: f(Catalog(spark, sf_dir))
 
 
+def _id():
+    return F.col("id")
+
+
 def _pick(values: list[str], by):
     return F.element_at(F.array(*map(F.lit, values)), (by % len(values)).cast("int") + 1)
 
 
 def listed_files(t):
     """Files as a walk finds them, some empty, hidden or of other kinds."""
-    path = F.concat(F.lit("/lib/"), _pick(PLACES, ID), "rel_path", F.when(ID % 5 == 3, ".txt").otherwise(""))
-    return t.photos.select(path.alias("path"), F.when(ID % 7 == 0, 0).otherwise(F.col("bytes")).alias("length"), F.timestamp_seconds("taken_at").alias("modificationTime"))
+    path = F.concat(F.lit("/lib/"), _pick(PLACES, _id()), "rel_path", F.when(_id() % 5 == 3, ".txt").otherwise(""))
+    return t.photos.select(path.alias("path"), F.when(_id() % 7 == 0, 0).otherwise(F.col("bytes")).alias("length"), F.timestamp_seconds("taken_at").alias("modificationTime"))
 
 
 def first_listed(t):
@@ -50,19 +52,19 @@ def first_listed(t):
 
 def sidecars(t):
     """Export sidecars of all photos, as their JSON is read."""
-    place = F.struct(*[F.when(ID % 10 == 1, 0.0).otherwise(F.col(c)).alias(n) for c, n in (("lat", "latitude"), ("lng", "longitude"))], (ID % 300 + 0.5).alias("altitude"))
+    place = F.struct(*[F.when(_id() % 10 == 1, 0.0).otherwise(F.col(c)).alias(n) for c, n in (("lat", "latitude"), ("lng", "longitude"))], (_id() % 300 + 0.5).alias("altitude"))
     text = F.to_json(F.struct(
-        F.col("filename").alias("title"), "description", F.concat(F.lit("https://p/"), ID.cast("string")).alias("url"),
-        F.when(ID % 20 > 0, F.struct(F.when(ID % 20 == 7, "soon").otherwise(F.col("taken_at").cast("string")).alias("timestamp"))).alias("photoTakenTime"),
-        place.alias("geoData"), F.when(ID % 3 == 0, F.array(F.struct(F.lit("Ron").alias("name")), F.struct(F.concat(F.lit("P"), (ID % 4).cast("string")).alias("name")))).alias("people"),
-        F.when(ID % 4 != 1, ID % 4 == 0).alias("favorited"), (F.col("trashed") == 1).alias("trashed"),
+        F.col("filename").alias("title"), "description", F.concat(F.lit("https://p/"), _id().cast("string")).alias("url"),
+        F.when(_id() % 20 > 0, F.struct(F.when(_id() % 20 == 7, "soon").otherwise(F.col("taken_at").cast("string")).alias("timestamp"))).alias("photoTakenTime"),
+        place.alias("geoData"), F.when(_id() % 3 == 0, F.array(F.struct(F.lit("Ron").alias("name")), F.struct(F.concat(F.lit("P"), (_id() % 4).cast("string")).alias("name")))).alias("people"),
+        F.when(_id() % 4 != 1, _id() % 4 == 0).alias("favorited"), (F.col("trashed") == 1).alias("trashed"),
     ))
     return t.photos.select(F.concat(F.lit("/export/"), "rel_path", F.lit(".json")).alias("path"), F.from_json(text, files.SIDECAR).alias("s")).select("path", "s.*")
 
 
 def album_files(t):
-    text = F.to_json(F.struct(F.col("name").alias("title"), F.when(ID % 2 == 0, F.col("kind")).alias("description")))
-    return t.albums.select(F.concat(F.lit("/export/"), "name", F.lit("/"), _pick(ALBUM_FILES, ID)).alias("path"), F.from_json(text, "title string, description string").alias("s")).select("path", "s.*")
+    text = F.to_json(F.struct(F.col("name").alias("title"), F.when(_id() % 2 == 0, F.col("kind")).alias("description")))
+    return t.albums.select(F.concat(F.lit("/export/"), "name", F.lit("/"), _pick(ALBUM_FILES, _id())).alias("path"), F.from_json(text, "title string, description string").alias("s")).select("path", "s.*")
 
 
 def memories(t):
@@ -78,8 +80,8 @@ def comments(t):
 
 def social_texts(t):
     """Nested entries, some of which are cut off or missing."""
-    text = F.format_string('[{"media":[{"uri":"m/%d.jpg","creation_timestamp":%d,"title":"t%d"},{"deep":{"uri":"n/%d.jpg","caption":"c"}}]}]', ID, "taken_at", ID % 7, ID)
-    return t.photos.select(F.when(ID % 13 != 1, F.when(ID % 11 == 5, F.substring(text, 1, 40)).otherwise(text)).alias("value"))
+    text = F.format_string('[{"media":[{"uri":"m/%d.jpg","creation_timestamp":%d,"title":"t%d"},{"deep":{"uri":"n/%d.jpg","caption":"c"}}]}]', _id(), "taken_at", _id() % 7, _id())
+    return t.photos.select(F.when(_id() % 13 != 1, F.when(_id() % 11 == 5, F.substring(text, 1, 40)).otherwise(text)).alias("value"))
 
 
 def gpx_elements(t):
@@ -95,17 +97,17 @@ def digikam(t):
     p, e = t.photos, F.col("event_id")
     few = lambda n, *columns: t.events.where(f"event_id < {n}").select(*columns)
     text = lambda c: c.cast("string")
-    comment = lambda every, kind, words: p.where(f"id % {every} = 0").select(ID.alias("imageid"), F.lit(kind).alias("type"), words.alias("comment"))
+    comment = lambda every, kind, words: p.where(f"id % {every} = 0").select(_id().alias("imageid"), F.lit(kind).alias("type"), words.alias("comment"))
     return {
         "AlbumRoots": few(2, e.alias("id"), F.concat(F.lit("volumeid:?path=/home/"), text(e), F.lit("&x=1")).alias("identifier"), F.lit("/pics").alias("specificPath")),
         "Albums": few(6, e.alias("id"), (e % 2).alias("albumRoot"), F.when(e == 0, "/").otherwise(F.concat(F.lit("/trip"), text(e))).alias("relativePath")),
-        "Images": p.select("id", (ID % 7).alias("album"), F.col("filename").alias("name")),
-        "ImageInformation": p.where("id % 4 <> 3").select(ID.alias("imageid"), (ID % 7 - 1).cast("int").alias("rating"), F.concat(F.lit("2020-01-"), text(ID % 28 + 1)).alias("creationDate")),
-        "ImagePositions": p.where("id % 2 = 0").select(ID.alias("imageid"), F.col("lat").alias("latitudeNumber"), F.col("lng").alias("longitudeNumber")),
-        "ImageComments": reduce(DataFrame.unionByName, [comment(3, 1, F.concat(F.lit("c"), text(ID))), comment(6, 1, F.concat(F.lit("b"), text(ID))), comment(5, 3, F.lit("title"))]),
+        "Images": p.select("id", (_id() % 7).alias("album"), F.col("filename").alias("name")),
+        "ImageInformation": p.where("id % 4 <> 3").select(_id().alias("imageid"), (_id() % 7 - 1).cast("int").alias("rating"), F.concat(F.lit("2020-01-"), text(_id() % 28 + 1)).alias("creationDate")),
+        "ImagePositions": p.where("id % 2 = 0").select(_id().alias("imageid"), F.col("lat").alias("latitudeNumber"), F.col("lng").alias("longitudeNumber")),
+        "ImageComments": reduce(DataFrame.unionByName, [comment(3, 1, F.concat(F.lit("c"), text(_id()))), comment(6, 1, F.concat(F.lit("b"), text(_id()))), comment(5, 3, F.lit("title"))]),
         "Tags": few(9, e.alias("id"), F.concat(F.lit("t"), text(e)).alias("name")),
         "TagProperties": few(9, e.alias("tagid"), F.when(e % 3 == 0, "person").otherwise("other").alias("property")),
-        "ImageTags": p.where("id % 4 < 2").select(ID.alias("imageid"), (ID % 9).alias("tagid")).unionByName(p.where("id % 4 = 1").select(ID.alias("imageid"), ((ID + 4) % 9).alias("tagid"))),
+        "ImageTags": p.where("id % 4 < 2").select(_id().alias("imageid"), (_id() % 9).alias("tagid")).unionByName(p.where("id % 4 = 1").select(_id().alias("imageid"), ((_id() + 4) % 9).alias("tagid"))),
     }
 
 
@@ -128,8 +130,8 @@ def import_listing(t):
 
 def seen_before(t):
     """A fifth of the files was met before, half of those at another size."""
-    status = F.when(ID % 3 == 0, "added").otherwise("baseline")
-    return t.photos.where("id % 5 = 0").select(F.col("rel_path").alias("path"), (F.col("bytes") + ID % 2).alias("size"), F.col("taken_at").alias("mtime"), "sha256", status.alias("status"))
+    status = F.when(_id() % 3 == 0, "added").otherwise("baseline")
+    return t.photos.where("id % 5 = 0").select(F.col("rel_path").alias("path"), (F.col("bytes") + _id() % 2).alias("size"), F.col("taken_at").alias("mtime"), "sha256", status.alias("status"))
 
 
 QUERIES = {

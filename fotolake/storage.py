@@ -1,4 +1,5 @@
-"""Working tables: intermediate results that later rounds read again lie in the folder that all executors share."""
+"""Working tables: intermediate results that later rounds read again lie in the folder that all executors share, until the
+session ends."""
 
 from __future__ import annotations
 
@@ -41,7 +42,16 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 
 
 def fresh_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/fotolake-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What is written there goes when the driver's JVM ends, as results may be read until then;
+    a driver that is killed leaves it."""
+    path = f"{shared_folder(spark)}/fotolake-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    # A file system marks only what exists.
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
 
 
 def settled(frame: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,11 +1,16 @@
 import importlib
+import os
+import subprocess
 import sys
+import time
+from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
 from fotolake import registry
 
+ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
 
 
@@ -51,3 +56,23 @@ def test_queries_equal_their_twins(spark, family):
             columns = [d[0] for d in result.description]
             assert sorted(columns) == sorted(frame.columns), name
             assert multiset(frame.columns, rows) == multiset(columns, result.fetchall()), name
+
+
+def test_working_tables_go_with_the_session(tmp_path):
+    """A driver that ends leaves nothing in the shared folder; what was there before stays."""
+    code = f"""
+from fotolake import storage
+from fotolake.session import local_session
+spark = local_session(2, 2, "1g", "cleanup")
+assert storage.settled(storage.settled(spark.range(5).toDF("a.b"))).count() == 5
+import os
+assert len([n for n in os.listdir("{tmp_path}") if n.startswith("fotolake-")]) == 2
+"""
+    (tmp_path / "other").mkdir()
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=ROOT, env=os.environ | {"PYSPARK_SUBMIT_ARGS": f"--conf spark.checkpoint.dir=file://{tmp_path} pyspark-shell"})
+    left = lambda: [n for n in os.listdir(tmp_path) if n.startswith("fotolake-")]
+    for _ in range(100):
+        if not left():
+            break
+        time.sleep(0.1)
+    assert not left() and (tmp_path / "other").exists()
