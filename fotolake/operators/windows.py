@@ -44,29 +44,31 @@ def _with_blocks(rows: DataFrame, blocks: DataFrame, keys: tuple[str, ...]) -> D
     return rows.join(side, same).drop("__block", "__of_block", *[f"__of_{i}" for i in range(len(keys))])
 
 
-def carried(rows: DataFrame, place: str, up: Column, down: Column, name: str, span: int, keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+def carried(rows: DataFrame, place: str, up: Column, down: Column | None, name: str, span: int, keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """Adds name_prev, the last up that is not null in rows before, and name_next, the first such down in rows after, within
-    keys by place, a number from 0 and below span.
+    keys by place, a number from 0 and below span; without down there is no name_next.
 
     A scan by segments: blocks of places are windows of their own, each is summed up in one row for each of its keys, and
     those rows, being far fewer, are scanned in the same way. So it doesn't matter how many rows share keys or a time.
     """
     at = F.floor(F.col(place) / block)
-    rows = rows.withColumns({"__up": up, "__down": down, "__block": at})
-    window = Window.partitionBy("__block", *keys).orderBy(place)
-    before = F.last("__up", True).over(window.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("__down", True).over(window.rowsBetween(1, Window.unboundedFollowing))
-    inside = rows.withColumns({f"{name}_prev": before, f"{name}_next": after}).drop("__up", "__down")
+    both_ways = {"prev": ("__up", up, place)} | ({} if down is None else {"next": ("__down", down, F.desc(place))})
+    rows = rows.withColumns({c: value for c, value, _ in both_ways.values()} | {"__block": at})
+
+    def nearest(column: str, order: Column | str) -> Column:
+        """What lies after is what lies before in falling order: a frame that grows by a row is one step a row."""
+        return F.last(column, True).over(Window.partitionBy("__block", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+
+    inside = rows.withColumns({f"{name}_{x}": nearest(c, order) for x, (c, _, order) in both_ways.items()}).drop("__up", "__down")
     if span <= block:
         return inside.drop("__block")
-    ends = rows.groupBy("__block", *keys).agg(
-        F.max_by("__up", F.when(F.col("__up").isNotNull(), F.col(place))).alias("__last"), F.min_by("__down", F.when(F.col("__down").isNotNull(), F.col(place))).alias("__first")
-    )
+    edge = {"prev": F.max_by, "next": F.min_by}
+    ends = rows.groupBy("__block", *keys).agg(*[edge[x](c, F.when(F.col(c).isNotNull(), F.col(place))).alias(f"__edge_{x}") for x, (c, _, _) in both_ways.items()])
     far = f"__far_{name}"
-    over = carried(ends.withColumnRenamed("__block", "__at"), "__at", F.col("__last"), F.col("__first"), far, -(-span // block), keys, block)
-    both = _with_blocks(inside, over.select(F.col("__at").alias("__block"), *keys, f"{far}_prev", f"{far}_next"), keys)
-    chosen = {f"{name}_{x}": F.coalesce(f"{name}_{x}", f"{far}_{x}") for x in ("prev", "next")}
-    return both.withColumns(chosen).drop(f"{far}_prev", f"{far}_next")
+    over = carried(ends.withColumnRenamed("__block", "__at"), "__at", F.col("__edge_prev"), None if down is None else F.col("__edge_next"), far, -(-span // block), keys, block)
+    found = [f"{far}_{x}" for x in both_ways]
+    both = _with_blocks(inside, over.select(F.col("__at").alias("__block"), *keys, *found), keys)
+    return both.withColumns({f"{name}_{x}": F.coalesce(f"{name}_{x}", f"{far}_{x}") for x in both_ways}).drop(*found)
 
 
 def summed_before(rows: DataFrame, place: str, value: Column, name: str, span: int, keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
@@ -126,9 +128,9 @@ def runs(photos: DataFrame, gap_s: int, bits: int, least: int, block: int = BLOC
     order = ["taken_at", "id"]
     parted, ahead = _ranges(shots, order)
     rows, span = _placed(parted, ahead, order, "__n"), parted.count()
-    seen = carried(rows, "__n", F.struct("taken_at", "phash"), F.lit(None).cast("int"), "s", span, (), block)
+    seen = carried(rows, "__n", F.struct("taken_at", "phash"), None, "s", span, (), block)
     starts = F.col("s_prev").isNull() | (F.col("taken_at") - F.col("s_prev.taken_at") > gap_s) | (hamming64(F.col("phash"), F.col("s_prev.phash")) > bits)
-    named = carried(seen.withColumn("start", F.when(starts, F.col("id"))).drop("s_prev", "s_next"), "__n", F.col("start"), F.lit(None).cast("int"), "r", span, (), block)
+    named = carried(seen.withColumn("start", F.when(starts, F.col("id"))).drop("s_prev"), "__n", F.col("start"), None, "r", span, (), block)
     named = named.withColumn("run", F.coalesce("start", "r_prev"))
     groups = named.groupBy("run").agg(F.count("*").alias("n"), F.max_by("id", merit()).alias("best")).where(F.col("n") >= least)
     return named.select("id", "run").join(groups, "run").select("id", "run", "n", "best")
