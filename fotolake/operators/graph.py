@@ -12,7 +12,7 @@ from fotolake.operators.aggregates import person_centroids
 from fotolake.operators.joins import copy_pairs, hash_band_pairs, near_hashes, time_neighbors
 from fotolake.operators.likeness import all_alike
 from fotolake.operators.windows import merit, ranked
-from fotolake.storage import fresh_path, settled
+from fotolake.storage import apart, fresh_path, settled
 
 BLOCK = 2048
 
@@ -28,10 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
     labels = settled(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), places[1])
     turn = 0
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
+        near = both.join(apart(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        lower = labels.join(apart(near), "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
         beyond = labels.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-        moved = settled(lower.join(beyond, "root").select("node", "was", F.least("root", "beyond").alias("root")), places[turn])
+        moved = settled(lower.join(apart(beyond), "root").select("node", "was", F.least("root", "beyond").alias("root")), places[turn])
         labels, turn = moved.select("node", "root"), 1 - turn
         if moved.where("root <> was").isEmpty():
             return labels
@@ -80,7 +80,7 @@ def similar_edges(photos: DataFrame, dup: int = 4, sim: int = 12, window_s: int
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = near_hashes(pairs, photos, sim)
     where = photos.select("id", "taken_at", "lat", "lng")
-    both = near.join(where.withColumnsRenamed({"id": "a", "taken_at": "ta", "lat": "lat_a", "lng": "lng_a"}), "a").join(where.withColumnsRenamed({"id": "b", "taken_at": "tb", "lat": "lat_b", "lng": "lng_b"}), "b")
+    both = near.join(apart(where.withColumnsRenamed({"id": "a", "taken_at": "ta", "lat": "lat_a", "lng": "lng_a"})), "a").join(apart(where.withColumnsRenamed({"id": "b", "taken_at": "tb", "lat": "lat_b", "lng": "lng_b"})), "b")
     km = haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
     marks: list[Column] = [
         (F.col("bits") <= dup).alias("copy"),
@@ -95,14 +95,14 @@ def similar_groups(photos: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
     first capture time; copies first, then the largest, then the latest. members has grp and id, one row per photo."""
     edges = settled(similar_edges(photos, **limits))
     roots = settled(components(edges))
-    kinds = edges.join(roots.withColumnsRenamed({"node": "a", "root": "grp"}), "a").groupBy("grp").agg(
+    kinds = edges.join(apart(roots.withColumnsRenamed({"node": "a", "root": "grp"})), "a").groupBy("grp").agg(
         F.every("copy").alias("copies"), F.some("near_time").alias("t"), F.some("near_place").alias("p")
     )
     members = roots.select(F.col("root").alias("grp"), F.col("node").alias("id"))
-    rows = members.join(photos.select("id", "score", "eyes_closed", "width", "height", "bytes", "taken_at"), "id")
+    rows = members.join(apart(photos.select("id", "score", "eyes_closed", "width", "height", "bytes", "taken_at")), "id")
     groups = rows.groupBy("grp").agg(F.count("*").alias("n"), F.max_by("id", merit()).alias("best"), F.min(F.coalesce("taken_at", F.lit(0))).alias("taken_at"))
     why = F.filter(F.array(F.when(F.col("p"), F.lit("place")), F.when(F.col("t"), F.lit("time"))), lambda x: x.isNotNull())
-    found = groups.join(kinds, "grp").select("grp", "n", F.when(F.col("copies"), "copy").otherwise("similar").alias("kind"), "best", why.alias("why"), "taken_at")
+    found = groups.join(apart(kinds), "grp").select("grp", "n", F.when(F.col("copies"), "copy").otherwise("similar").alias("kind"), "best", why.alias("why"), "taken_at")
     return found.orderBy(F.col("kind") != "copy", F.desc("n"), F.desc("taken_at"), "grp"), members
 
 

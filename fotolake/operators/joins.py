@@ -7,9 +7,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotolake.functions.scalars import hamming64, hash_band, media_stem, norm_counter, sidecar_target
+from fotolake.functions.scalars import BANDS, hamming64, hash_band, media_stem, norm_counter, sidecar_target
 from fotolake.operators.windows import BLOCK, numbered, prev_next, ranked
-from fotolake.storage import settled
+from fotolake.storage import apart, settled
 
 
 def photos_in_album(t, album: int) -> DataFrame:
@@ -106,11 +106,20 @@ def hash_band_pairs(photos: DataFrame, low: int = 2, high: int = 120) -> DataFra
     shots = photos.where("trashed = 0 and is_video = 0 and phash is not null").select("id", "phash")
     bands = shots.select("id", F.posexplode(F.array(*[hash_band(F.col("phash"), b) for b in range(7)])).alias("band", "bits"))
     usable = bands.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n").between(low, high)).drop("n")
-    kept = bands.join(usable, ["band", "bits"])
-    pairs = kept.select("band", "bits", F.col("id").alias("a")).join(kept.select("band", "bits", F.col("id").alias("b")), ["band", "bits"]).where("a < b")
+    kept = bands.join(F.broadcast(usable), ["band", "bits"])  # at most 4,096 bands
+    pairs = kept.select("band", "bits", F.col("id").alias("a")).join(apart(kept.select("band", "bits", F.col("id").alias("b"))), ["band", "bits"]).where("a < b")
     return pairs.select("a", "b").distinct()
 
 
+def _packed(top: Column, parts: list[tuple[Column, int]]) -> Column:
+    """One number of top and parts (value, bits) below it, or its hash where all of a hash's bits are parts."""
+    if sum(bits for _, bits in parts) > 56:
+        return F.xxhash64(top, *[value for value, _ in parts])
+    for value, bits in parts:
+        top = F.shiftleft(top, bits).bitwiseOR(value)
+    return top
+
+
 def copy_pairs(photos: DataFrame, most: int = 4) -> DataFrame:
     """(a, b) that link all photos whose hashes differ in at most so many bits (four or fewer), without any cap.
 
@@ -119,11 +128,12 @@ def copy_pairs(photos: DataFrame, most: int = 4) -> DataFrame:
     """
     shots = photos.where("trashed = 0 and is_video = 0 and phash is not null").select("id", "phash")
     first = settled(shots.groupBy("phash").agg(F.min("id").alias("a")))
-    equal = shots.join(first, "phash").where("id <> a").select("a", F.col("id").alias("b"))
-    keys = F.array(*[F.struct(F.lit(i).alias("way"), *[hash_band(F.col("phash"), b).alias(f"x{j}") for j, b in enumerate(bands)]) for i, bands in enumerate(combinations(range(7), 7 - most))])
+    equal = shots.join(apart(first), "phash").where("id <> a").select("a", F.col("id").alias("b"))
+    # A cell is the number of a choice of bands above their bits.
+    keys = F.array(*[_packed(F.lit(i).cast("long"), [(hash_band(F.col("phash"), b), BANDS[b + 1] - BANDS[b]) for b in bands]) for i, bands in enumerate(combinations(range(7), 7 - most))])
     cells = first.select("a", "phash", F.explode(keys).alias("cell"))
-    met = cells.join(cells.select(F.col("a").alias("b"), F.col("phash").alias("other"), "cell"), "cell").where((F.col("a") < F.col("b")) & (hamming64(F.col("phash"), F.col("other")) <= most))
-    return equal.unionByName(met.select("a", "b").distinct())
+    met = cells.alias("x").join(apart(cells.alias("y")), F.col("x.cell") == F.col("y.cell")).where((F.col("x.a") < F.col("y.a")) & (hamming64(F.col("x.phash"), F.col("y.phash")) <= most))
+    return equal.unionByName(met.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct())
 
 
 def find_known(incoming: DataFrame, known: DataFrame) -> DataFrame:
@@ -346,7 +356,7 @@ def photo_detail(t) -> DataFrame:
 def near_hashes(pairs: DataFrame, photos: DataFrame, most: int) -> DataFrame:
     """(a, b, bits) of the pairs whose hashes differ in at most so many bits."""
     h = photos.select("id", "phash")
-    both = pairs.join(h.withColumnsRenamed({"id": "a", "phash": "ha"}), "a").join(h.withColumnsRenamed({"id": "b", "phash": "hb"}), "b")
+    both = pairs.join(apart(h.withColumnsRenamed({"id": "a", "phash": "ha"})), "a").join(apart(h.withColumnsRenamed({"id": "b", "phash": "hb"})), "b")
     return both.withColumn("bits", hamming64(F.col("ha"), F.col("hb"))).where(F.col("bits") <= most).select("a", "b", "bits")
 
 

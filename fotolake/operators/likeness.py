@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fotolake.functions.scalars import BANDS, hamming64, hash_band, haversine_km
 from fotolake.operators.joins import copy_pairs
-from fotolake.storage import settled
+from fotolake.storage import apart, settled
 
 #: Hashes of a cell that are compared without an index.
 CROWD = 256
@@ -45,11 +45,11 @@ def alike_in_cells(points: DataFrame, asks: DataFrame, bits: int, crowd: int = C
     alike = hamming64(F.col("phash"), F.col("asked")) <= bits
     crowded = settled(points.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("cell"))
     if crowded.isEmpty():
-        return points.join(asks, "cell").where(alike).select("p", "q")
-    quiet = points.join(crowded, "cell", "left_anti").join(asks, "cell").where(alike).select("p", "q")
-    keyed = points.join(crowded, "cell", "left_semi").withColumn("key", F.explode(band_keys(F.col("phash"), False)))
-    asking = asks.join(crowded, "cell", "left_semi").withColumn("key", F.explode(band_keys(F.col("asked"), bits > 6)))
-    return quiet.unionByName(keyed.join(asking, ["cell", "key"]).where(alike).select("p", "q").distinct())
+        return points.join(apart(asks), "cell").where(alike).select("p", "q")
+    quiet = points.join(apart(crowded), "cell", "left_anti").join(apart(asks), "cell").where(alike).select("p", "q")
+    keyed = points.join(apart(crowded), "cell", "left_semi").withColumn("key", F.explode(band_keys(F.col("phash"), False)))
+    asking = asks.join(apart(crowded), "cell", "left_semi").withColumn("key", F.explode(band_keys(F.col("asked"), bits > 6)))
+    return quiet.unionByName(keyed.join(apart(asking), ["cell", "key"]).where(alike).select("p", "q").distinct())
 
 
 def alike_in_time(shots: DataFrame, window_s: int, bits: int, crowd: int = CROWD) -> DataFrame:
