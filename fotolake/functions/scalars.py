@@ -166,11 +166,11 @@ def quality_score(sharp: Column, mean: Column, p5: Column, p95: Column, clip_dar
     """1 to 100: sharpness, exposure (too dark, too bright, clipped) and contrast; small pictures and closed eyes count less.
     Halves go to even."""
     held = lambda c, top: F.least(F.lit(top), F.greatest(F.lit(0.0), c))
-    part = 100 * held(F.log1p(sharp) / F.log1p(F.lit(400.0)), 1.0)
     off = F.when(mean < 70, (70 - mean) * 1.6).when(mean > 190, (mean - 190) * 1.6).otherwise(0.0)
     over = lambda clip: 120 * F.greatest(F.lit(0.0), clip - 0.15)
-    exposure = held(100.0 - off - (over(clip_dark) + over(clip_white)), 100.0)
-    total = 0.6 * part + 0.25 * exposure + 0.15 * (100 * held((p95 - p5) / 150, 1.0))
+    # Halves are common here, so the order of the steps, which decides their last digit, is that of the SQL twins.
+    exposure = held(100.0 - off - over(clip_dark) - over(clip_white), 100.0)
+    total = 60.0 * held(F.ln(1 + sharp) / F.ln(F.lit(401.0)), 1.0) + 0.25 * exposure + 15.0 * held((p95 - p5) / 150, 1.0)
     total = total * F.when((width > 0) & (height > 0) & (width.cast("long") * height < 400_000), 0.9).otherwise(1.0)
     total = total * F.when(F.coalesce(eyes_closed, F.lit(0)) != 0, 0.6).otherwise(1.0)
     return F.least(F.lit(100), F.greatest(F.lit(1), F.bround(total).cast("int")))
