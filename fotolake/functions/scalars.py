@@ -162,6 +162,11 @@ def hash_band(h: Column, band: int) -> Column:
     return F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
 
 
+def signed_round(x: Column, digits: int) -> Column:
+    """x rounded, halves away from zero; what rounds to zero keeps its sign, as it does in C and in SQL engines built on it."""
+    return F.round(F.abs(x), digits) * F.signum(x)
+
+
 def quality_score(sharp: Column, mean: Column, p5: Column, p95: Column, clip_dark: Column, clip_white: Column, eyes_closed: Column, width: Column, height: Column) -> Column:
     """1 to 100: sharpness, exposure (too dark, too bright, clipped) and contrast; small pictures and closed eyes count less.
     Halves go to even."""

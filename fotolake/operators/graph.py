@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fotolake.functions.scalars import hamming64, haversine_km
+from fotolake.functions.scalars import hamming64, haversine_km, signed_round
 from fotolake.operators.aggregates import person_centroids
 from fotolake.operators.joins import copy_pairs, hash_band_pairs, near_hashes, time_neighbors
 from fotolake.operators.likeness import all_alike
@@ -360,4 +360,4 @@ def suggest_names(faces: DataFrame, clusters: DataFrame, limit: float = 0.46, bl
 
     met = blocked(centers, named, [], block).groupBy("i", "j").applyInPandas(nearest, "cluster long, distance double, person_id long")
     close = met.where(F.col("distance") <= limit).groupBy("cluster").agg(F.min(F.struct("distance", "person_id")).alias("m"))
-    return close.select("cluster", "m.person_id", F.round("m.distance", 6).alias("distance"))
+    return close.select("cluster", "m.person_id", signed_round(F.col("m.distance"), 6).alias("distance"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fotolake.catalog import Catalog, with_tables
+from fotolake.functions.scalars import signed_round
 from fotolake.operators import aggregates as ag
 from fotolake.operators import graph as gr
 from fotolake.operators import history as hi
@@ -68,12 +69,12 @@ QUERIES = {
     "g03_apply_tag_links": _of(gr.apply_tag_links),
     "g04_cluster_faces": _of(lambda t: gr.cluster_faces(shifted(t))),
     "g05_suggest_names": _of(lambda t: gr.suggest_names(shifted(t).withColumn("person_id", F.when(F.col("id") % 6 == 0, F.col("label"))), t.faces.select("id", (F.col("label") * 2 + F.when(F.col("id") % 6 == 0, 0).otherwise(1)).alias("cluster")))),
-    "a18_person_centroids": _of(lambda t: ag.person_centroids(shifted(t), "person_id").select("person_id", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))),
+    "a18_person_centroids": _of(lambda t: ag.person_centroids(shifted(t), "person_id").select("person_id", F.transform("centroid", lambda x: signed_round(x, 5)).alias("centroid"))),
     "v01_semantic_search": _of(lambda t: vc.semantic_search(vectors(t), _query(t))),
     "v01_many_queries": _of(lambda t: vc.search_many(vectors(t), t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 50)),
-    "v02_prompt_ensemble": _of(lambda t: vc.prompt_ensemble(t.embeddings.select((F.col("vec_id") % 4).alias("name"), "embedding")).select("name", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))),
+    "v02_prompt_ensemble": _of(lambda t: vc.prompt_ensemble(t.embeddings.select((F.col("vec_id") % 4).alias("name"), "embedding")).select("name", F.transform("vector", lambda x: signed_round(x, 5)).alias("vector"))),
     "v03_hybrid_search": _of(lambda t: vc.hybrid_search(t, vectors(t), _query(t), t.photos.where("trashed = 0 and is_video = 0"), ["note", "click"], 300)),
-    "v04_l2_normalize": _of(lambda t: vectors(t).select("id", F.transform(vc.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))),
+    "v04_l2_normalize": _of(lambda t: vectors(t).select("id", F.transform(vc.l2_normalize(F.col("embedding")), lambda x: signed_round(x, 6)).alias("unit"))),
     "u01_batch_patch": _of(lambda t: mu.batch_patch(t.photos.withColumn("trashed_at", F.lit(None).cast("long")), t.photos.where("id % 10 = 4"), {"rating": 5, "label": "", "trashed": 1}, 77).select("id", "rating", "label", "trashed", "trashed_at", "flag")),
     "u02_add_tags": _of(lambda t: mu.add_tags(t.photo_tags, t.photos.where("id % 20 = 3").select(F.col("id").alias("photo_id")), [0, 7], gr.linked_tags(t.tag_links))),
     "u02_remove_tags": _of(lambda t: mu.remove_tags(t.photo_tags, t.photos.where("id % 2 = 0").select(F.col("id").alias("photo_id")), [2, 4])),
