@@ -25,9 +25,9 @@ def _query(t) -> list[float]:
     return [float(x) for x in t.embeddings.where("vec_id = 17").first()["embedding"]]
 
 
-def shifted(t):
-    """Faces: embeddings moved by 3 along the dimension of their label, so that labels are clusters."""
-    return t.faces.withColumn("embedding", F.transform("embedding", lambda x, i: x + F.when(i == F.col("label"), 3.0).otherwise(0.0)))
+def shifted(t, kind: str = "double"):
+    """Faces: embeddings moved by 3 along the dimension of their label, so that labels are clusters; added as numbers of a kind."""
+    return t.faces.withColumn("embedding", F.transform("embedding", lambda x, i: x + F.when(i == F.col("label"), 3.0).otherwise(0.0).cast(kind)))
 
 
 def vectors(t):
@@ -69,7 +69,7 @@ QUERIES = {
     "g03_apply_tag_links": _of(gr.apply_tag_links),
     "g04_cluster_faces": _of(lambda t: gr.cluster_faces(shifted(t))),
     "g05_suggest_names": _of(lambda t: gr.suggest_names(shifted(t).withColumn("person_id", F.when(F.col("id") % 6 == 0, F.col("label"))), t.faces.select("id", (F.col("label") * 2 + F.when(F.col("id") % 6 == 0, 0).otherwise(1)).alias("cluster")))),
-    "a18_person_centroids": _of(lambda t: ag.person_centroids(shifted(t), "person_id").select("person_id", F.transform("centroid", lambda x: signed_round(x, 5)).alias("centroid"))),
+    "a18_person_centroids": _of(lambda t: ag.person_centroids(shifted(t, "float"), "person_id").select("person_id", F.transform("centroid", lambda x: signed_round(x, 5)).alias("centroid"))),
     "v01_semantic_search": _of(lambda t: vc.semantic_search(vectors(t), _query(t))),
     "v01_many_queries": _of(lambda t: vc.search_many(vectors(t), t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 50)),
     "v02_prompt_ensemble": _of(lambda t: vc.prompt_ensemble(t.embeddings.select((F.col("vec_id") % 4).alias("name"), "embedding")).select("name", F.transform("vector", lambda x: signed_round(x, 5)).alias("vector"))),
