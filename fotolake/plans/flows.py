@@ -73,11 +73,11 @@ QUERIES = {
     "s01_catalog_scan": lambda spark, sf_dir: reduce(DataFrame.unionByName, [f.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, f in files.catalog_scan(spark, sf_dir, ["events", "embeddings", "documents"]).items()]),
     "s10_lightroom": _of(lambda t: files.lightroom_import(lightroom(t))),
     "s12_import_summary": _of(lambda t: files.import_summary(files.lightroom_import(lightroom(t)), t.photos.where("id % 3 > 0").select(F.concat(F.lit("/r"), (F.col("id") % 7 % 2).cast("string"), F.lit("/"), (F.col("id") % 7).cast("string"), F.lit("/IMG_"), F.col("id").cast("string"), F.lit(".jpg")).alias("path"), F.col("bytes").alias("size")), sets=files.lightroom_collections(lightroom(t)))),
-    "m01_measures": _of(lambda t: images.measure(grey_pictures(t)).select(F.col("origin").cast("long").alias("doc_id"), F.round("luma", 6).alias("luma"), F.round("p5", 6).alias("p5"), F.round("p95", 6).alias("p95"), F.round("saturation", 6).alias("saturation"))),
+    "m01_measures": _of(lambda t: images.measure(grey_pictures(t), "luma", "p5", "p95", "saturation").select(F.col("origin").cast("long").alias("doc_id"), F.round("luma", 6).alias("luma"), F.round("p5", 6).alias("p5"), F.round("p95", 6).alias("p95"), F.round("saturation", 6).alias("saturation"))),
     "s13_xmp_round_trip": _of(lambda t: files.xmp_fields(files.xmp_write(t).withColumnRenamed("packet", "value")).select("id", "rating", "label", F.size("subjects").cast("long").alias("subjects"), "description")),
     "s16_exif_fields": _of(lambda t: files.exif_fields(t.photos.select("id", F.when(F.col("id") % 5 > 0, F.to_json(F.struct(F.struct(F.col("camera_model").alias("Model")).alias("Image"), F.struct(F.col("lens").alias("LensModel"), F.concat(F.col("focal_length").cast("int").cast("string"), F.lit("/2")).alias("FocalLength"), (F.col("id") % 1600).cast("string").alias("ISOSpeedRatings")).alias("Exif")))).alias("exif_json"))).select("id", "read", "model", "lens", "focal_length", "iso")),
-    "m02_sharpness": _of(lambda t: images.measure(grey_pictures(t)).select(F.col("origin").cast("long").alias("doc_id"), F.round("sharp", 4).alias("sharp"))),
-    "m03_dhash": _of(lambda t: images.measure(grey_pictures(t)).select(F.col("origin").cast("long").alias("doc_id"), "phash")),
+    "m02_sharpness": _of(lambda t: images.measure(grey_pictures(t), "sharp").select(F.col("origin").cast("long").alias("doc_id"), F.round("sharp", 4).alias("sharp"))),
+    "m03_dhash": _of(lambda t: images.measure(grey_pictures(t), "phash").select(F.col("origin").cast("long").alias("doc_id"), "phash")),
     "m04_screenshots": _of(lambda t: screens(t).select("id", images.screenshot_flag(F.col("name"), F.col("w"), F.col("h"), F.col("camera")).cast("long").alias("shot"))),
     "m06_closed_eyes": _of(lambda t: images.closed_eyes(eyes(t), t.photos, 0.5)),
     "p22_eye_ratio": _of(lambda t: eyes(t).select("id", F.round(images.eye_ratio(F.col("left_eye")), 6).alias("ratio"))),

@@ -147,7 +147,7 @@ QUERIES = {
     "s11_digikam": _of(lambda t: files.digikam_import(digikam(t))),
     "s15_gpx_points": _of(lambda t: files.track_points(gpx_elements(t))),
     "s18_snapshot": snapshot_counts,
-    "m05_dominant_colour": _of(lambda t: images.measure(coloured(t)).select(F.col("origin").cast("long").alias("doc_id"), "r", "g", "b")),
+    "m05_dominant_colour": _of(lambda t: images.measure(coloured(t), "r", "g", "b").select(F.col("origin").cast("long").alias("doc_id"), "r", "g", "b")),
     "t01_auto_import": _of(lambda t: flows.import_batch(import_listing(t), NOW, 15, seen_before(t))),
     "t02_baseline": _of(lambda t: flows.baseline_rows(import_listing(t))),
 }
