@@ -11,6 +11,7 @@ from fotolake.functions.scalars import hamming64, haversine_km, signed_round
 from fotolake.operators.aggregates import person_centroids
 from fotolake.operators.joins import copy_pairs, hash_band_pairs, near_hashes, time_neighbors
 from fotolake.operators.likeness import all_alike
+from fotolake.operators.vectors import dot, norm
 from fotolake.operators.windows import merit, ranked
 from fotolake.storage import apart, fresh_path, settled
 
@@ -156,13 +157,27 @@ def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(unit @ pivots.T, -1, 1))
 
 
-def pivots_of(vectors: DataFrame, count: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
-    """Unit vectors far apart from each other, out of a sample of vectors by hash; they only decide how much is compared."""
+def _sure(limit: float) -> float:
+    """The angle to one direction up to which any two vectors are within limit of each other; below 0 if there is none."""
+    return float(np.arccos(1 - limit)) / 2 - 1e-6 if 0 < limit < 1 else -1.0
+
+
+def sample_of(vectors: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """ids and unit vectors of a sample by hash, without zero vectors."""
     n = vectors.count()
     share = min(1.0, sample / max(n, 1))
-    chosen = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(2 * sample).select("embedding").collect()
+    chosen = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(2 * sample).select("id", "embedding").collect()
     some = _unit(pd.Series([r["embedding"] for r in chosen]))
-    some = some[np.linalg.norm(some, axis=1) > 0.5]
+    filled = np.linalg.norm(some, axis=1) > 0.5 if len(some) else np.zeros(0, bool)
+    return np.array([r["id"] for r in chosen], np.int64)[filled], some[filled]
+
+
+def pivots_of(vectors: DataFrame, count: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
+    """Unit vectors far apart from each other, out of a sample of vectors by hash; they only decide how much is compared."""
+    return _far_apart(sample_of(vectors, sample)[1], count)
+
+
+def _far_apart(some: np.ndarray, count: int = PIVOTS) -> np.ndarray:
     found: list[int] = []
     nearest = np.full(len(some), np.inf)
     for _ in range(min(count, len(some))):
@@ -173,6 +188,39 @@ def pivots_of(vectors: DataFrame, count: int = PIVOTS, sample: int = SAMPLE) ->
     return some[found]
 
 
+def _centred(some: np.ndarray, pivots: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """Pivots moved to the mean of what is nearest to them, so that more lies close around them."""
+    for _ in range(rounds):
+        cell = _angles(some, pivots).argmin(1)
+        sums = np.stack([some[cell == k].sum(0) for k in range(len(pivots))])
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        pivots = np.where(size > 1e-3, sums / np.maximum(size, 1e-12), pivots)
+    return pivots
+
+
+def _chained(near: np.ndarray) -> np.ndarray:
+    """The least index that each index reaches by a symmetric matrix of links."""
+    label = np.arange(len(near))
+    while True:
+        fresh = np.minimum(label, np.where(near, label, len(near)).min(1))
+        fresh = fresh[fresh]
+        if (fresh == label).all():
+            return label
+        label = fresh
+
+
+def sample_links(ids: np.ndarray, some: np.ndarray, pivots: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links within a sample, and for each pivot the least of those whose surroundings (_sure) such links join."""
+    label = _chained(some @ some.T >= 1 - limit)
+    angle = _angles(some, pivots)
+    cell = angle.argmin(1)
+    inside = angle[np.arange(len(some)), cell] <= _sure(limit)
+    meets = np.zeros((len(pivots), len(some)), bool)
+    meets[cell[inside], label[inside]] = True
+    joined = (meets.astype(np.float32) @ meets.T.astype(np.float32) > 0) | np.eye(len(pivots), dtype=bool)
+    return [(int(ids[a]), int(b)) for a, b in zip(label, ids, strict=True) if ids[a] != b], [int(k) for k in _chained(joined)]
+
+
 def in_blocks(vectors: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
     """(id, embedding, cell, at): vectors by their nearest pivot, and in blocks of equal size by the angle to it."""
 
@@ -187,50 +235,73 @@ def in_blocks(vectors: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
     return ranked(placed, ["cell"], ["angle", "id"], "place").select("id", "embedding", "cell", F.floor(F.col("place") / block).alias("at"))
 
 
-def near_blocks(rows: DataFrame, pivots: np.ndarray, limit: float) -> DataFrame:
+def block_ranges(rows: DataFrame, pivots: np.ndarray, limit: float) -> DataFrame:
+    """(cell, at, low, high, sure): the range of a block's angles to each pivot; sure if all are so close to the cell's own that
+    any two vectors of sure blocks of a cell are within limit of each other."""
+
+    def ranges(part):
+        angle, cell = _angles(_unit(part.embedding), pivots), part.cell.iloc[0]
+        high = angle.max(0)
+        return pd.DataFrame({"cell": [cell], "at": [part["at"].iloc[0]], "low": [angle.min(0).tolist()], "high": [high.tolist()], "sure": [bool(high[cell] <= _sure(limit))]})
+
+    return settled(rows.groupBy("cell", "at").applyInPandas(ranges, "cell int, at long, low array<double>, high array<double>, sure boolean"))
+
+
+def near_blocks(rows: DataFrame, pivots: np.ndarray, limit: float, blocks: DataFrame | None = None, groups: list[int] | None = None) -> DataFrame:
     """(cell, at, cell_b, at_b, i): the pairs of blocks, each once, that may hold vectors within limit of each other.
 
     Angles are a metric: vectors at most reach apart have angles to any pivot that differ by reach at most. So two blocks can
-    be skipped if, for some pivot, the ranges of their angles are further apart than that. Cells are told apart first.
+    be skipped if, for some pivot, the ranges of their angles are further apart than that. Cells are told apart first. With
+    groups of pivots, sure blocks of one group are taken for joined already.
     """
     reach = (np.pi if limit >= 1 else float(np.arccos(1 - limit))) + 1e-6
-
-    def ranges(part):
-        angle = _angles(_unit(part.embedding), pivots)
-        return pd.DataFrame({"cell": [part.cell.iloc[0]], "at": [part["at"].iloc[0]], "low": [angle.min(0).tolist()], "high": [angle.max(0).tolist()]})
-
-    blocks = settled(rows.groupBy("cell", "at").applyInPandas(ranges, "cell int, at long, low array<double>, high array<double>"))
+    blocks = blocks if blocks is not None else block_ranges(rows, pivots, limit)
     over = lambda c, how: F.array(*[how(F.col(c)[k]) for k in range(len(pivots))]).alias(c)
     cells = blocks.groupBy("cell").agg(over("low", F.min), over("high", F.max))  # as many rows as pivots at most
     apart = lambda x, y: F.exists(F.arrays_zip(f"{x}.low", f"{y}.high"), lambda z: z["low"] - z["high"] > reach)
     near = lambda x, y: ~apart(x, y) & ~apart(y, x)
     left, right = cells.alias("x"), F.broadcast(cells).alias("y")
     pairs = left.join(right, F.col("x.cell") <= F.col("y.cell")).where(near("x", "y")).select("x.cell", F.col("y.cell").alias("cell_b"))
-    one = blocks.join(F.broadcast(pairs), "cell").alias("x")
-    met = one.join(blocks.withColumnRenamed("cell", "cell_b").alias("y"), "cell_b").where((F.col("x.cell") < F.col("cell_b")) | (F.col("x.at") <= F.col("y.at")))
+    group = F.array(*map(F.lit, groups or range(len(pivots))))
+    both = (F.get(group, F.col("cell")) == F.get(group, F.col("cell_b"))) & F.lit(groups is not None)
+    ways = F.array(*[F.struct(F.lit(a).alias("sure"), F.lit(b).alias("sure_b")) for a in (False, True) for b in (False, True)])
+    pairs = pairs.select("cell", "cell_b", F.inline(F.filter(ways, lambda w: ~(both & w["sure"] & w["sure_b"]))))
+    one = blocks.join(F.broadcast(pairs), ["cell", "sure"]).alias("x")
+    met = one.join(blocks.withColumnsRenamed({"cell": "cell_b", "sure": "sure_b"}).alias("y"), ["cell_b", "sure_b"]).where((F.col("x.cell") < F.col("cell_b")) | (F.col("x.at") <= F.col("y.at")))
     return met.where(near("x", "y")).select("x.cell", "x.at", "cell_b", F.col("y.at").alias("at_b"), F.xxhash64("x.cell", "x.at", "cell_b", "y.at").alias("i"))
 
 
-def _met_blocks(vectors: DataFrame, limit: float, block: int) -> tuple[DataFrame, list[str]]:
-    """Vectors dealt to groups in which any two within limit meet: side 0 and side 1 of pairs of blocks."""
+def _met_blocks(vectors: DataFrame, limit: float, block: int) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """Vectors dealt to groups, side 0 and side 1 of pairs of blocks, and links: any two within limit meet in a group, or links
+    and groups join them.
+
+    What lies close around a pivot is within limit of each other: a link to the least id joins it, and no pairs are made of it.
+    """
     rows = vectors.select("id", "embedding")
     if vectors.count() <= FEW_BLOCKS * block:
-        return blocked(rows, None, [], block), ["i", "j"]
-    pivots = pivots_of(rows)
+        return blocked(rows, None, [], block), ["i", "j"], None
+    ids, some = sample_of(rows)
+    pivots = _centred(some, _far_apart(some))
+    known, groups = sample_links(ids, some, pivots, limit)
     placed = settled(in_blocks(rows, pivots, block))
-    pairs = settled(near_blocks(placed, pivots, limit))
+    blocks = block_ranges(placed, pivots, limit)
+    pairs = settled(near_blocks(placed, pivots, limit, blocks, groups))
+    core = placed.join(F.broadcast(blocks.where("sure").select("cell", "at")), ["cell", "at"]).select("cell", "id")
+    least = core.groupBy("cell").agg(F.min("id").alias("a"))  # as many rows as pivots at most
+    links = core.join(F.broadcast(least), "cell").select("a", F.col("id").alias("b")).where("a <> b")
+    links = links.unionByName(vectors.sparkSession.createDataFrame(known, "a long, b long"))
     first = placed.join(pairs.select("cell", "at", "cell_b", "at_b"), ["cell", "at"]).withColumn("side", F.lit(0))
     second = placed.withColumnsRenamed({"cell": "cell_b", "at": "at_b"}).join(pairs.select("cell", "at", "cell_b", "at_b"), ["cell_b", "at_b"]).withColumn("side", F.lit(1))
     keys = ["cell", "at", "cell_b", "at_b"]
     columns = ["id", "embedding", "side", *keys]
-    return first.select(*columns).unionByName(second.select(*columns)), keys
+    return first.select(*columns).unionByName(second.select(*columns)), keys, links
 
 
 def close_links(vectors: DataFrame, limit: float, block: int = BLOCK) -> DataFrame:
     """(a, b) whose closure joins all vectors (id, embedding) that chains of cosine distances of at most limit join.
 
-    Pairs of blocks that may hold close vectors are multiplied (near_blocks); of each product only the links of its own
-    components to their least id are handed on, so as many rows as vectors at most, however many of them are close.
+    Pairs of blocks that may hold close vectors and are not joined already are multiplied (near_blocks); of each product only
+    the links of its own components to their least id are handed on, so as many rows as vectors at most.
     """
 
     def task(rows):
@@ -252,8 +323,9 @@ def close_links(vectors: DataFrame, limit: float, block: int = BLOCK) -> DataFra
         out = pd.DataFrame({"a": ids[label], "b": ids})
         return out[out.a != out.b].drop_duplicates()
 
-    met, keys = _met_blocks(vectors, limit, block)
-    return met.groupBy(*keys).applyInPandas(task, "a long, b long")
+    met, keys, links = _met_blocks(vectors, limit, block)
+    found = met.groupBy(*keys).applyInPandas(task, "a long, b long")
+    return found if links is None else found.unionByName(links)
 
 
 def average_linkage(vectors: np.ndarray, limit: float) -> np.ndarray:
@@ -278,8 +350,9 @@ def cluster_faces(faces: DataFrame, limit: float = 0.38, whole: int = 2000, bloc
     """(id, cluster): average linkage on cosine distance, cut at limit; a cluster is named by its least id.
 
     Average linkage never merges across components of the graph of pairs within limit, so components are clustered by
-    themselves: those of at most whole faces each in a task, larger ones in rounds over all executors (merged_rounds). Both
-    take the same nearest pairs; where two distances are equal to the last digits, sums of unit vectors and a matrix of
+    themselves: those of at most whole faces each in a task, larger ones in rounds over all executors (merged_rounds). Where
+    all faces lie so close around their mean that any two are within limit, any two clusters are too, and the component is one
+    cluster without merging. Both ways take the same nearest pairs; where two distances are equal to the last digits, sums of unit vectors and a matrix of
     distances may round differently and so merge the other pair first.
     """
     known = faces.where("embedding is not null").select("id", "embedding")
@@ -290,13 +363,25 @@ def cluster_faces(faces: DataFrame, limit: float = 0.38, whole: int = 2000, bloc
 
     def task(part):
         part = part.sort_values("id")
+        unit = _unit(part.embedding)
+        if _angles(unit, _unit(pd.Series([unit.sum(0)]))).max() <= _sure(limit):
+            return part[["id"]].assign(cluster=part.root)
         label = average_linkage(np.array(part.embedding.tolist(), float), limit)
         ids = part.id.to_numpy()
         return part[["id"]].assign(cluster=ids[label])
 
     small = rows.where(F.col("n") <= whole).groupBy("root").applyInPandas(task, "id long, cluster long")
     large = rows.where(F.col("n") > whole).select("root", "id", "embedding")
-    return small if large.isEmpty() else small.unionByName(merged_rounds(large, limit, block))
+    if large.isEmpty():
+        return small
+    centres = settled(person_centroids(large, "root"))
+    size = norm(F.col("embedding"))
+    cosine = F.when(size > 0, dot(F.col("embedding"), F.col("centroid")) / size).otherwise(F.lit(0.0))
+    tight = large.join(F.broadcast(centres), "root").groupBy("root").agg(F.min(cosine).alias("least"))  # one row per whole faces at most
+    tight = settled(tight.where((F.col("least") >= float(np.cos(_sure(limit)))) & F.lit(_sure(limit) >= 0)).select("root"))
+    one = large.join(F.broadcast(tight), "root", "left_semi").select("id", F.col("root").alias("cluster"))
+    rest = large.join(F.broadcast(tight), "root", "left_anti")
+    return small.unionByName(one) if rest.isEmpty() else small.unionByName(one).unionByName(merged_rounds(rest, limit, block))
 
 
 def merged_rounds(rows: DataFrame, limit: float, block: int = BLOCK) -> DataFrame:
@@ -306,8 +391,7 @@ def merged_rounds(rows: DataFrame, limit: float, block: int = BLOCK) -> DataFram
     cluster finds its nearest one in products of blocks, and clusters that are each other's nearest merge; merging such
     pairs in any order leads to the same clusters, as average linkage is reducible.
     """
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = F.element_at(F.transform(F.array(F.greatest(norm, F.lit(1e-12))), lambda n: F.transform("embedding", lambda x: x.cast("double") / n)), 1)
+    unit = F.element_at(F.transform(F.array(F.greatest(norm(F.col("embedding")), F.lit(1e-12))), lambda n: F.transform("embedding", lambda x: x.cast("double") / n)), 1)
     clusters = settled(rows.select("root", "id", unit.alias("sum"), F.lit(1.0).alias("size")))
     member = settled(rows.select("id", F.col("id").alias("cluster")))
 
