@@ -234,7 +234,8 @@ def xmp_fields(rows: DataFrame, text: str = "value") -> DataFrame:
     """
     packet = F.regexp_extract(text, r"(?s)(<[\w-]+:xmpmeta.*?</[\w-]+:xmpmeta>)", 1)
     own = [c for c in rows.columns if c != text]
-    read = rows.select(*own, F.col(text).alias("__text"), F.from_xml(F.when(packet != "", packet).otherwise(F.col(text)), _XMP_SCHEMA, _XMP_OPTIONS)["RDF"]["Description"].alias("__parts"))
+    # Rows of one element, so that conditions on what was read do not read the packet once more for each field they name.
+    read = rows.select(*own, F.col(text).alias("__text"), F.explode(F.array(F.from_xml(F.when(packet != "", packet).otherwise(F.col(text)), _XMP_SCHEMA, _XMP_OPTIONS)["RDF"]["Description"])).alias("__parts"))
     parts, loose = F.col("__parts"), _loose_fields(F.col("__text"))
     filled = lambda c: c.isNotNull() & (c != "")
     first = lambda get: F.try_element_at(F.filter(F.transform(parts, get), filled), F.lit(1))
@@ -245,10 +246,11 @@ def xmp_fields(rows: DataFrame, text: str = "value") -> DataFrame:
     subjects = F.flatten(F.transform(parts, lambda d: F.concat(F.coalesce(d["subject"]["Bag"]["li"], none), F.coalesce(d["subject"]["Seq"]["li"], none))))
     description = first(lambda d: F.try_element_at(d["description"]["Alt"]["li"], F.lit(1))["_VALUE"])
     pick = lambda strict, name: F.when(parts.isNotNull(), strict).otherwise(loose[name])
-    out = read.select(
-        *own, F.coalesce(pick(rating, "rating").try_cast("int"), F.lit(0)).alias("rating"), label_map(F.lower(F.trim(pick(label, "label")))).alias("label"),
+    fields = F.struct(
+        F.coalesce(pick(rating, "rating").try_cast("int"), F.lit(0)).alias("rating"), label_map(F.lower(F.trim(pick(label, "label")))).alias("label"),
         F.filter(F.transform(F.coalesce(pick(subjects, "subjects"), none), F.trim), filled).alias("subjects"), F.nullif(F.trim(pick(description, "description")), F.lit("")).alias("description"),
     )
+    out = read.select(*own, F.inline(F.array(fields)))
     return out.where((F.col("rating") != 0) | F.col("label").isNotNull() | (F.size("subjects") > 0) | F.col("description").isNotNull())
 
 
