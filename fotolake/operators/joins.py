@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -159,29 +160,38 @@ def sidecar_match(media: DataFrame, sidecars: DataFrame, least: int = 6) -> Data
     tools cut names), the greater name of equals; else one with the same name but for counters and spaces.
 
     Every pair that any of the rules allows meets in an equi-join. Going through the media by name then equals rounds in
-    which each medium asks for its best sidecar that has not refused it, and a sidecar keeps the first medium that asked.
+    which each medium asks for its best sidecar that has not refused it, and a sidecar keeps the first medium that asked. If
+    that is the first of all that may ask, both are settled and leave; a round goes over what the one before left open.
     """
     bare = lambda c: F.when(c.rlike(r"^.+\."), F.regexp_replace(c, r"\.[^.]*$", "")).otherwise(c)
     name = F.col("name")
-    target = sidecar_target(name)
-    files = media.select("folder", name.alias("media")).distinct()
-    cars = sidecars.select("folder", name.alias("sidecar"), target.alias("target")).distinct()
-    exact = files.join(cars, (files["folder"] == cars["folder"]) & (files["media"] == cars["target"])).select(files["folder"], "media", "sidecar", F.lit(2).alias("rule"), F.lit(0).alias("size"))
+    files = settled(media.select("folder", name.alias("media")).distinct())
+    cars = settled(sidecars.select("folder", name.alias("sidecar")).distinct().withColumn("target", sidecar_target(F.col("sidecar"))))
+    exact = files.join(apart(cars.withColumn("media", F.col("target"))), ["folder", "media"]).select("folder", "media", "sidecar", F.lit(2).alias("rule"), F.lit(0).alias("size"))
     begins = files.withColumn("stem", bare(F.col("media"))).where(F.length("stem") >= least)
     begins = begins.select("folder", "media", F.explode(F.transform(F.sequence(F.lit(least), F.length("stem")), lambda n: F.substr(F.col("stem"), F.lit(1), n))).alias("stem"))
-    cut = begins.join(cars.withColumn("stem", bare(F.col("target"))).where(F.length("stem") >= least), ["folder", "stem"]).select("folder", "media", "sidecar", F.lit(1).alias("rule"), F.length("stem").alias("size"))
-    moved = files.withColumn("k", norm_counter(F.col("media"))).join(cars.withColumn("k", norm_counter(F.col("target"))), ["folder", "k"]).select("folder", "media", "sidecar", F.lit(0).alias("rule"), F.lit(0).alias("size"))
+    cut = begins.join(apart(cars.withColumn("stem", bare(F.col("target"))).where(F.length("stem") >= least)), ["folder", "stem"]).select("folder", "media", "sidecar", F.lit(1).alias("rule"), F.length("stem").alias("size"))
+    moved = files.withColumn("k", norm_counter(F.col("media"))).join(apart(cars.withColumn("k", norm_counter(F.col("target")))), ["folder", "k"]).select("folder", "media", "sidecar", F.lit(0).alias("rule"), F.lit(0).alias("size"))
     pairs = exact.unionByName(cut).unionByName(moved)
     # By the prefix rule the greater name wins, by the others the smaller one: its code points are turned round.
     turned = F.when(F.col("rule") == 1, F.hex("sidecar")).otherwise(F.concat(F.translate(F.hex("sidecar"), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~")))
-    open_ = settled(pairs.groupBy("folder", "media", "sidecar").agg(F.max(F.struct("rule", "size", turned.alias("name"))).alias("merit")))
+    merit = F.struct("rule", "size", turned.alias("name"), "sidecar")
+    best = F.max(F.struct("rule", "size"))
+    # Rows are dealt by medium, so that a pair's rules and a medium's pairs meet in one shuffle.
+    open_ = pairs.repartition("folder", "media").groupBy("folder", "media", "sidecar").agg(best.alias("m")).select("folder", "media", "sidecar", "m.rule", "m.size")
+    done = []
     while True:
-        asks = open_.groupBy("folder", "media").agg(F.max(F.struct("merit", "sidecar"))["sidecar"].alias("sidecar"))
-        held = settled(asks.groupBy("folder", "sidecar").agg(F.min("media").alias("winner")))
-        refused = asks.join(held, ["folder", "sidecar"]).where("media <> winner").select("folder", "media", "sidecar")
-        if refused.isEmpty():
-            return held.select("folder", F.col("winner").alias("media"), "sidecar")
-        open_ = settled(open_.join(refused, ["folder", "media", "sidecar"], "left_anti"))
+        open_ = settled(open_.withColumn("asks", merit == F.max(merit).over(Window.partitionBy("folder", "media"))))
+        sides = settled(open_.groupBy("folder", "sidecar").agg(F.min("media").alias("least"), F.min(F.when(F.col("asks"), F.col("media"))).alias("winner"), F.count_if("asks").alias("n")))
+        # Where none is refused, all have what they ask for.
+        calm = sides.where("n > 1").isEmpty()
+        final = sides.where(F.col("winner").isNotNull() & (F.lit(calm) | (F.col("least") == F.col("winner")))).select("folder", F.col("winner").alias("media"), "sidecar")
+        done.append(final)
+        if calm:
+            return reduce(DataFrame.unionByName, done)
+        left = open_.join(apart(sides), ["folder", "sidecar"]).where("(winner is null or least <> winner) and (not asks or media = winner)")
+        left = settled(left.select("folder", "media", "sidecar", "rule", "size").join(apart(final.select("folder", "media")), ["folder", "media"], "left_anti"))
+        open_ = left
 
 
 def suffix_join(entries: DataFrame, uris: DataFrame) -> DataFrame:
