@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from fotolake.operators.graph import blocked
 from fotolake.operators.graph import components as connected
 
-from .common import settled, text_of
+from .common import frugal, settled, text_of
 from .shingles import Shingler, mixed
 
 #: Cells beyond those in which two linked sets can differ.
@@ -40,7 +40,7 @@ AXES, PER_AXIS = 64, 16
 FANOUT = 32
 CHUNK = 600_000
 POINTS = 8_000
-HELD = 3_000_000
+HELD = 1_000_000
 #: Kinds of what map and reduce tasks hand on.
 SIZES, SIZES_NO_ID, COPY_HERE, COPY, SIGNATURE, LINK, BOX, MET = range(8)
 
@@ -261,7 +261,7 @@ def fingerprints(docs: DataFrame, k: int, num: int, den: int, parts: int) -> Dat
         yield from flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(task, "part int, kind int, x binary, y binary, z binary")
+    return rows.mapInArrow(frugal(task), "part int, kind int, x binary, y binary, z binary")
 
 
 def _top(points: list[np.ndarray]) -> np.ndarray:
@@ -332,7 +332,7 @@ def met(packed: DataFrame, parts: int) -> DataFrame:
             at = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             yield from rows(MET, doc[at], np.repeat(doc[start], size), sig[at].view(np.int64))
 
-    return packed.repartition(parts, "part").mapInArrow(task, "kind int, a long, b long, c long, top binary")
+    return packed.repartition(parts, "part").mapInArrow(frugal(task), "kind int, a long, b long, c long, top binary")
 
 
 def axes_for(n: int) -> int:
@@ -431,7 +431,7 @@ def _groups(batches: Iterator, keys: int) -> Iterator:
 
 def _chunked(rows: DataFrame, keys: list[str], task, schema: str) -> DataFrame:
     """Runs task over each group of rows, in a partition's order of keys."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "doc").mapInArrow(task, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "doc").mapInArrow(frugal(task), schema)
 
 
 def _within_chunks(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -543,7 +543,7 @@ def candidates(facts: DataFrame, edges: DataFrame, num: int, den: int, block: in
             ok = pa.array(_allowed(tops[0], least[0], tops[1], least[1], num, den), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ok], names=["doc", "head", "ok"])
 
-    compared = settled(pairs.select("doc", "head", "doc_least", "doc_top", "head_least", "head_top").mapInArrow(compare, "doc long, head long, ok boolean"))
+    compared = settled(pairs.select("doc", "head", "doc_least", "doc_top", "head_least", "head_top").mapInArrow(frugal(compare), "doc long, head long, ok boolean"))
     joined = settled(edges.unionByName(compared.where("ok").select(F.col("doc").alias("a"), F.col("head").alias("b"))))
     first = settled(connected(joined))
     # Signatures under which documents met that the bound keeps apart, if they are of different groups.
@@ -564,7 +564,7 @@ def candidates(facts: DataFrame, edges: DataFrame, num: int, den: int, block: in
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([ids[x] for x in label], pa.int64())], names=["a", "b"])
 
         keys = ["sig", "i", "j"]
-        found = rows.select(*keys, "side", "id", "least", "top").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(within_signature, "a long, b long")
+        found = rows.select(*keys, "side", "id", "least", "top").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(frugal(within_signature), "a long, b long")
         more = settled(found.where("a <> b").distinct())
         first = connected(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return first.select(F.col("node").alias("doc"), F.col("root").alias("grp"))
