@@ -234,14 +234,17 @@ def unique_names(files: DataFrame, start: int = 1, ignore_case: bool = True) ->
     """
     own = F.lower("name") if ignore_case else F.col("name")
     rows = files.select("id", F.coalesce("folder", F.lit("")).alias("folder"), F.col("folder").alias("was"), F.coalesce("name", F.lit("")).alias("name")).withColumn("key", own)
+    rows = ranked(rows, ["folder", "key"], ["id"], "nth")
     stem, ext = _stem_ext(F.col("key"))
-    rows = rows.withColumn("depth", F.size(F.regexp_extract_all(F.regexp_extract(stem, r"((?: \(\d+\))*)\z", 1), F.lit(r"\(\d+\)"), F.lit(0))))
+    # Only names that have a bracket are taken apart, and of equal ones only the first asks for a number.
+    rows = rows.withColumn("depth", F.when(~F.col("key").contains(" ("), 0).otherwise(F.size(F.regexp_extract_all(F.regexp_extract(stem, r"((?: \(\d+\))*)\z", 1), F.lit(r"\(\d+\)"), F.lit(0)))))
     digits = F.regexp_extract(stem, r" \(([1-9]\d{0,8}|0)\)\z", 1)
     parent = F.concat(F.regexp_replace(stem, r" \(\d+\)\z", ""), ext)
-    asked = F.when((F.col("depth") > 0) & (digits != ""), digits.cast("long"))
-    rows = rows.withColumn("number", F.when(asked >= start, asked)).withColumn("parent", parent)
+    first = (F.col("nth") == 0) & (F.col("depth") > 0)
+    asked = F.when(first, F.when(digits != "", digits.cast("long")))
+    rows = rows.withColumn("number", F.when(asked >= start, asked)).withColumn("parent", F.when(first, parent))
     rows = rows.withColumn("number", F.when(_numbered_name(F.col("parent"), F.col("number")) == F.col("key"), F.col("number")))
-    rows = settled(ranked(rows, ["folder", "key"], ["id"], "nth"))
+    rows = settled(rows)
     deepest = rows.agg(F.max("depth")).first()[0]
     if deepest is None:
         return rows.select("id", F.col("was").alias("folder"), F.col("name").alias("unique"))
@@ -251,12 +254,12 @@ def unique_names(files: DataFrame, start: int = 1, ignore_case: bool = True) ->
         lost = None
         if repeats is not None:
             # What repeats of shorter names take of the numbers that files of this level ask for.
-            repeats = settled(ranked(repeats, ["folder", "key"], ["id"], "k").withColumn("k", F.col("k") + 1))
             slots, lost = _slots(repeats, mine.where("nth = 0 and number is not null"), start)
             done.append(slots)
-        gone = mine if lost is None else mine.join(lost.withColumn("lost", F.lit(True)), ["folder", "key"], "left")
-        keeps = (F.col("nth") == 0) if lost is None else (F.col("nth") == 0) & F.col("lost").isNull()
-        gone = settled(gone.withColumn("keeps", keeps).select("id", "was", "folder", "name", "key", "keeps"))
+        gone = mine.withColumn("lost", F.lit(0)) if lost is None else mine.join(lost.withColumn("lost", F.lit(1)), ["folder", "key"], "left")
+        # The first of a name keeps it, unless its number went; so repeats are numbered from 1 on by what they have already.
+        k = F.col("nth") + F.coalesce("lost", F.lit(0))
+        gone = settled(gone.withColumn("k", k).select("id", "was", "folder", "name", "key", "k", (F.col("k") == 0).alias("keeps")))
         done.append(gone.where("keeps").select("id", "was", F.col("name").alias("unique")))
         repeats = gone.where("not keeps").drop("keeps")
     named = done[0]
@@ -282,6 +285,9 @@ def _slots(repeats: DataFrame, asking: DataFrame, start: int) -> tuple[DataFrame
     wanted = wanted.select("folder", F.col("parent").alias("stem"), "number", "key", F.col("id").alias("first"))
     parted, ahead = _ranges(wanted, [*on, "number"])
     wanted, span = settled(_placed(parted, ahead, [*on, "number"], "__n")), parted.count()
+    # No number is a turn beyond this one, so the rounds leave all others aside.
+    most = wanted.groupBy(*on).agg((F.max("number") - start + 1).alias("most"))
+    turns = settled(turns.join(most, on).where("k <= most").drop("most"))
     # At first all asked-for numbers are held to be passed over; the first n of a stem are right after n rounds at the latest.
     state = settled(summed_before(wanted, "__n", F.lit(1).cast("long"), "passed", span, tuple(on)))
     while True:
@@ -293,10 +299,15 @@ def _slots(repeats: DataFrame, asking: DataFrame, start: int) -> tuple[DataFrame
         state = fresh.select(*wanted.columns, F.col("now").alias("passed"))
     lost = fresh.where("not skip and at is not null").select("folder", "key")
     passed = fresh.where("skip").select("folder", "stem", "k", F.lit(0).alias("repeat"), (F.col("passed") + 1).alias("over"), F.col("number").alias("id"))
-    every = repeats.select("folder", F.col("key").alias("stem"), "k", F.lit(1).alias("repeat"), F.lit(None).cast("long").alias("over"), "id", "was", "name")
-    both = prev_next(every.unionByName(passed, True), ["k", "repeat", "id"], F.col("over"), "over", tuple(on)).where("repeat = 1")
+    # From the last number that is passed over on, repeats are after all of them; only those before it are lined up with them.
+    last = passed.groupBy(*on).agg(F.max("k").alias("last"), F.max("over").alias("all_over"))
+    every = repeats.select("folder", F.col("key").alias("stem"), "k", F.lit(1).alias("repeat"), F.lit(None).cast("long").alias("over"), "id", "was", "name").join(last, on, "left")
+    late = every.where("last is null or k >= last").withColumn("over_prev", F.col("all_over"))
+    early = every.where("k < last").drop("last", "all_over")
+    lined = prev_next(early.unionByName(passed, True), ["k", "repeat", "id"], F.col("over"), "over", tuple(on)).where("repeat = 1")
     number = F.lit(start - 1) + F.col("k") + F.coalesce("over_prev", F.lit(0))
-    return both.select("id", "was", _numbered_name(F.col("name"), number).alias("unique")), lost
+    named = [x.select("id", "was", _numbered_name(F.col("name"), number).alias("unique")) for x in (late, lined)]
+    return named[0].unionByName(named[1]), lost
 
 
 def year_in_review(photos: DataFrame, year: int, top: int = 10) -> DataFrame:
