@@ -34,7 +34,7 @@ HOT = 4096
 PIECE = 1 << 17
 HELD_SEGMENTS = 1_500_000
 HELD_BYTES = 6_000_000
-SHARD = 1_500_000
+SHARD = 800_000
 NEVER = np.iinfo(np.int64).max
 
 PACKED = "part int, src int, a binary, b binary, c binary, d binary, e binary"
@@ -80,16 +80,17 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             least = np.minimum(least[: len(least) - (wide - step)], least[wide - step :])
         anchor = (least & low).astype(np.int64)
         begin = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(pieces)), sizes)[: len(anchor)]
-        # Windows that cross into the next piece count for nothing.
-        inside = np.arange(len(anchor)) + LENGTH <= (begin + sizes)[owner]
+        # Windows that cross into the next piece count for nothing; they stand between those of two pieces.
+        inside = np.ones(len(raw), bool)
+        inside[(begin + sizes)[:, None] - np.arange(1, LENGTH)] = False
+        inside = inside[: len(anchor)]
         new = np.ones(len(anchor), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
+        new[1:] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])
         first = np.flatnonzero(new)
         after = np.append(first[1:], len(anchor))
         use = inside[first]
         first, after = first[use], after[use]
-        o = owner[first]
+        o = np.searchsorted(begin, first, side="right") - 1
         shift = np.array([p[1] for p in pieces])[o] - begin[o]
         f = h[anchor[first]]
         whole = (sums[after + LENGTH - 1] - sums[first]) * down[first]
@@ -316,18 +317,19 @@ def least_owners(strings: list[bytes], owners: np.ndarray) -> np.ndarray:
     """For each window of each string in turn, the least owner of a string of the shard that has the window."""
     text, starts = shard(strings)
     sa = suffix_array(text, len(strings) + 1)
-    lcp = permuted_lcp(text, sa)
+    lcp = permuted_lcp(text, sa, LENGTH)
     windows = np.array([len(s) - LENGTH + 1 for s in strings])
     place = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     owner = np.full(len(text), NEVER)
     owner[place] = np.repeat(owners, windows)
-    first = np.flatnonzero(lcp[sa] < LENGTH)
-    group = np.zeros(len(text), np.int64)
-    group[first[1:]] = 1
-    least = np.minimum.reduceat(owner[sa], first)[np.cumsum(group)]
-    out = np.empty(len(text), np.int64)
-    out[sa] = least
-    return out[place]
+    # Between equal windows stand none but their equals, so other suffixes may leave the order.
+    is_window = np.zeros(len(text), bool)
+    is_window[place] = True
+    ordered = sa[is_window[sa]]
+    first = np.flatnonzero((lcp < LENGTH)[ordered])
+    least = np.minimum.reduceat(owner[ordered], first)
+    owner[ordered] = np.repeat(least, np.diff(first, append=len(ordered)))
+    return owner[place]
 
 
 def first_owners(packed: DataFrame, parts: int) -> DataFrame:

@@ -40,12 +40,13 @@ def _classes(text: np.ndarray) -> np.ndarray:
     return np.repeat(small, np.diff(last, prepend=-1))[:n]
 
 
-def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Suffix array in which LMS suffixes stand in the given order within their buckets; bucket 0 holds all separators."""
-    n, buckets = len(text), len(first) - 1
+def _induce(tag: np.ndarray, lms: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Suffix array in which LMS suffixes stand in the given order within their buckets. tag holds a suffix's bucket, below
+    zero for L; bucket 0 holds all separators."""
+    n, buckets = len(tag), len(first) - 1
     sa = np.full(n, -1, np.int32)
     # LMS suffixes at the ends of their buckets.
-    owner = bucket[lms]
+    owner = tag[lms]
     order = np.argsort(owner, kind="stable")
     counts = np.bincount(owner, minlength=buckets)
     ends = np.cumsum(counts)
@@ -56,22 +57,22 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, bucket: np.nda
     def move(found: np.ndarray, wanted: bool, edge: np.ndarray, up: bool) -> None:
         """Puts the suffixes before found that are of the wanted class at the edges of their buckets, in order."""
         before = found[found > 0] - 1
-        before = before[(small[before] == wanted) & (bucket[before] > 0)]
-        if not len(before):
+        b = tag[before]
+        use = np.flatnonzero(b > 0 if wanted else b < 0)
+        if not len(use):
             return
-        b = bucket[before]
+        before, b = before[use], np.abs(b[use])
+        # Sorts of 16-bit numbers go by digits.
         by = np.argsort(b, kind="stable")
-        b, before = b[by], before[by]
-        starts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-        sizes = np.diff(np.append(starts, len(b)))
-        within = np.arange(len(b)) - np.repeat(starts, sizes)
-        heads = b[starts]
+        sizes = np.bincount(b, minlength=buckets)
+        begin = np.cumsum(sizes) - sizes
+        within = np.arange(len(b))
         if up:
-            sa[edge[b] + within] = before
-            edge[heads] += sizes
+            sa[within + np.repeat(edge - begin, sizes)] = before[by]
+            edge += sizes
         else:
-            sa[edge[b] - 1 - within] = before
-            edge[heads] -= sizes
+            sa[np.repeat(edge - 1 + begin, sizes) - within] = before[by]
+            edge -= sizes
 
     edge = first[:-1].copy()
     for c in range(buckets):
@@ -95,46 +96,63 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, bucket: np.nda
     return sa
 
 
-def _lms_names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Ranks of LMS substrings (by place in lms), equal ones sharing a rank, given their order."""
+def _single(text: np.ndarray) -> np.ndarray:
+    """True where a symbol occurs but once, as all separators do."""
+    return (np.bincount(text) == 1)[text]
+
+
+def _eights(text: np.ndarray) -> np.ndarray:
+    """The eight symbols from each place on, by their lowest eight bits, in which bytes differ whatever was added to them."""
+    raw = np.append(text.astype(np.uint8), np.zeros(8, np.uint8))
+    return np.ndarray(len(text), "<u8", raw, strides=(1,))
+
+
+def _lms_names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(LMS substrings in order, by place in lms; which of them equal the one before), given the order of their places."""
     n = len(text)
-    index = np.full(n, -1, np.int64)
-    index[lms] = np.arange(len(lms))
-    size = np.diff(np.append(lms, n)) + 1
+    index = np.empty(n, np.int32)
+    index[lms] = np.arange(len(lms), dtype=np.int32)
+    size = np.diff(np.append(lms, np.int32(n))) + 1
     size[-1] = 1
+    # Separators are leftmost ones themselves, so they stand only at the ends of a substring.
+    single = _single(text)
+    size[single[lms] | single[lms + size - 1]] = 0
     i = index[ordered]
-    a, b = ordered[:-1].astype(np.int64), ordered[1:].astype(np.int64)
-    same = size[i[:-1]] == size[i[1:]]
+    size, eights = size[i], _eights(text)
+    same = np.concatenate(([False], (size[1:] == size[:-1]) & (size[1:] > 0)))
     live = np.flatnonzero(same)
-    left = size[i[:-1]][live]
-    k = 0
+    a, b, left = ordered[live - 1], ordered[live], size[live]
     while len(live):
-        equal = text[a[live] + k] == text[b[live] + k]
-        same[live[~equal]] = False
-        k += 1
-        on = equal & (left > k)
-        live, left = live[on], left[on]
-    names = np.empty(len(lms), np.int64)
-    names[i] = np.concatenate(([0], np.cumsum(~same)))
-    return names
-
-
-def _sorted_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of names: ranks of stretches of 1, 2, 4 ... names until all differ."""
-    rank, step, n = names, 1, len(names)
-    while True:
-        order = np.argsort(rank)
-        top = rank[order]
-        if n < 2 or (top[1:] != top[:-1]).all():
-            return order
-        after = np.zeros(n, np.int64)
-        after[:-step] = rank[step:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key)
-        top = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(top[1:] != top[:-1])))
+        other = (eights[a] ^ eights[b]) << (8 * np.maximum(8 - left, 0)).astype(np.uint64)
+        same[live[other != 0]] = False
+        on = np.flatnonzero((other == 0) & (left > 8))
+        a, b, live, left = a[on] + 8, b[on] + 8, live[on], left[on] - 8
+    return i, same
+
+
+def _sorted_names(order: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names, given the order of the names and which of them equal the one before:
+    names that are still equal are told apart by the ranks of what follows 1, 2, 4 ... names on, until all differ."""
+    n = len(order)
+    order = order.copy()
+    place = np.arange(n)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(same, 0, place))
+    # Places in order that share their rank with a neighbour; only these are sorted anew.
+    tied = np.flatnonzero(same | np.append(same[1:], False))
+    step = 1
+    while len(tied):
+        own = order[tied]
+        after = own + step
+        key = rank[own] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        order[tied] = own
+        equal = np.concatenate(([False], key[1:] == key[:-1]))
+        rank[own] = np.maximum.accumulate(np.where(equal, 0, tied))
+        tied = tied[equal | np.append(equal[1:], False)]
         step *= 2
+    return order
 
 
 def suffix_array(text: np.ndarray, separators: int) -> np.ndarray:
@@ -143,40 +161,54 @@ def suffix_array(text: np.ndarray, separators: int) -> np.ndarray:
     # The first separator has nothing before it and counts as leftmost too.
     lms = np.flatnonzero(small & np.append(True, ~small[:-1])).astype(np.int32)
     # One bucket for all separators, then one for each byte.
-    bucket = np.maximum(text - (separators - 1), 0)
+    bucket = np.maximum(text - (separators - 1), 0).astype(np.int16)
     first = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=257))))
+    tag = np.where(small, bucket, -bucket)
     # Separators need their final order in any induction; LMS among them come first.
-    start = lms[np.argsort(np.minimum(text[lms], separators), kind="stable")]
-    rough = _induce(text, small, start, bucket, first)
+    apart = text[lms] < separators
+    start = np.concatenate((lms[apart][np.argsort(text[lms[apart]])], lms[~apart]))
+    rough = _induce(tag, start, first)
     flag = np.zeros(len(text), bool)
     flag[lms] = True
     rough = rough[rough >= 0]
     names = _lms_names(text, lms, rough[flag[rough]])
-    return _induce(text, small, lms[_sorted_names(names)], bucket, first)
+    return _induce(tag, lms[_sorted_names(*names)], first)
 
 
-def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix, by place, with the one before it in order.
+def permuted_lcp(text: np.ndarray, sa: np.ndarray, least: int = 1) -> np.ndarray:
+    """Common prefix of each suffix, by place, with the one before it in order; what is below least may be any number below.
 
     A prefix is one shorter than that of the place before unless the symbols before both suffixes differ; only those
-    places are compared symbol by symbol.
+    places are compared, eight bytes at a time, and no further than to the next symbol of either that occurs but once, as
+    all separators do.
     """
     n = len(text)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[sa[0]] = -1
     before[sa[1:]] = sa[:-1]
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
     fresh = np.ones(n, bool)
-    inner = (place > 0) & (before > 0)
-    fresh[inner] = text[place[inner] - 1] != text[before[inner] - 1]
-    at = np.flatnonzero(fresh & (before >= 0))
-    lcp = np.zeros(n, np.int64)
-    a, b, live, k = at, before[at], at, 0
-    padded = np.append(text, -1)
-    while len(live):
-        on = padded[a + k] == padded[b + k]
-        lcp[live[~on]] = k
-        a, b, live = a[on], b[on], live[on]
-        k += 1
+    inner = np.flatnonzero(before[1:] > 0) + 1
+    fresh[inner] = text[inner - 1] != text[before[inner] - 1]
+    a = np.flatnonzero(fresh & (before >= 0))
+    b, at = before[a], a
+    ends = np.flatnonzero(_single(text))
+    last = np.repeat(ends, np.diff(ends, prepend=-1))
+    most = np.minimum(last[a] - a, last[b] - b)
+    eights = _eights(text)
+    lcp = np.zeros(n, np.int32)
+    live, k = np.flatnonzero(most >= least), 0
+    at, a, b, most = at[live], a[live], b[live], most[live]
+    while len(at):
+        other = eights[a + k] ^ eights[b + k]
+        on = (other == 0) & (most > k + 8)
+        over, on = np.flatnonzero(~on), np.flatnonzero(on)
+        # The lowest bit that differs lies in the first byte that does; of equal words all eight are.
+        bit = other[over]
+        bit &= ~bit + np.uint64(1)
+        equal = np.where(bit, np.frexp(bit.astype(np.float64))[1] - 1 >> 3, 8)
+        lcp[at[over]] = np.minimum(k + equal, most[over])
+        at, a, b, most = at[on], a[on], b[on], most[on]
+        k += 8
     source = np.maximum.accumulate(np.where(fresh, place, 0))
     return np.where(before >= 0, np.maximum(lcp[source] - (place - source), 0), 0)

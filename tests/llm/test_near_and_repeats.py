@@ -129,6 +129,30 @@ def test_suffix_arrays_are_sorted():
             assert lcp[b] == n
 
 
+def test_suffix_sorts_look_at_wide_numbers_only_for_ties(monkeypatch):
+    """Long repeats beside unlike text: order and prefixes as brute force has them, and most places sorted by digits."""
+    rng = random.Random(11)
+    base = bytes(rng.choice(b"abcdefgh ") for _ in range(300))
+    strings = [bytes(rng.randrange(256) for _ in range(rng.randint(1, 90))) for _ in range(40)]
+    strings += [base[a : a + rng.randint(1, 90)] for a in (rng.randrange(250) for _ in range(20))]
+    strings += [b"aaaaaaaaaaaaaaaaaaaaaaaaaa", b"aaaaaaaaaaaaaaaaaaaaaaaaab", bytes([0, 255] * 20), bytes([0, 255] * 12)]
+    text, _ = shard(strings)
+    wide, argsort = [0], np.argsort
+
+    def counted(x, *more, **named):
+        wide[0] += len(x) * (np.asarray(x).itemsize > 2)
+        return argsort(x, *more, **named)
+
+    monkeypatch.setattr(np, "argsort", counted)
+    sa, plain = suffix_array(text, len(strings) + 1), text.tolist()
+    assert wide[0] < len(text) / 2
+    assert sa.tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])
+    exact, bounded = permuted_lcp(text, sa), permuted_lcp(text, sa, 20)
+    for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True):
+        n = next(k for k in range(len(plain)) if plain[a + k : a + k + 1] != plain[b + k : b + k + 1])
+        assert exact[b] == n and (bounded[b] == n if n >= 20 else bounded[b] < 20)
+
+
 def test_windows_of_one_string_share_their_anchor():
     rng = random.Random(8)
     text = bytes(rng.choice(b"abc ") for _ in range(400))
