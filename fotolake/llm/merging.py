@@ -39,19 +39,48 @@ class RankMerger:
         self.width = max(vocab.values()) + 1
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
         to = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank_of, self.to = keys[order], order.astype(np.int32), to
-        self.keys_end = np.append(self.keys, -1)
+        self.to = to
+        # Pairs lie at the slot of their hash or, where that is taken, at the next free one.
+        self.bits = (4 * len(keys)).bit_length()
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.rank_of = np.full(len(self.slots), NONE, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free][::-1]] = keys[left[free]][::-1]
+            own = self.slots[at] == keys[left]
+            self.rank_of[at[own][::-1]] = left[own][::-1]
+            left, at = left[~own], self._next(at[~own])
         used = np.full(self.width, NONE, np.int64)
         for side in (keys // self.width, keys % self.width):
             np.minimum.at(used, side, np.arange(len(keys)))
         self.at_once = bool((used[to] > np.arange(len(to))).all())
+        # Ranks of all pairs of bytes, within a word and at its end.
+        self.of_bytes, self.of_last = (self.ranks(np.repeat(self.inner, 256), np.tile(right, 256)).reshape(256, 256) for right in (self.inner, self.last))
         self.byte_of = {c: i for i, c in enumerate(self.signs)}
 
+    def _slot(self, asked: np.ndarray) -> np.ndarray:
+        return ((asked.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.bits) - 1)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         asked = left * self.width + right
-        at = np.searchsorted(self.keys, asked)
-        return np.where(self.keys_end[at] == asked, self.rank_of[np.minimum(at, len(self.rank_of) - 1)], NONE)
+        at = self._slot(asked)
+        found = self.slots[at]
+        out = np.where(found == asked, self.rank_of[at], NONE)
+        # Slots of other pairs: theirs may be one of the next, up to a free one.
+        open_ = np.flatnonzero((found != asked) & (found >= 0))
+        asked, at = asked[open_], at[open_]
+        while len(open_):
+            at = self._next(at)
+            found = self.slots[at]
+            hit = found == asked
+            out[open_[hit]] = self.rank_of[at[hit]]
+            on = ~hit & (found >= 0)
+            open_, asked, at = open_[on], asked[on], at[on]
+        return out
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many belong to each. Words are not empty."""
@@ -69,9 +98,10 @@ class RankMerger:
             sym = self.inner[raw]
             sym[ends] = self.last[raw[ends]]
             word = np.repeat(usual, sizes)
-            rank = np.full(len(sym), NONE, np.int32)
-            same = word[1:] == word[:-1]
-            rank[:-1][same] = self.ranks(sym[:-1][same], sym[1:][same])
+            rank = np.append(self.of_bytes[raw[:-1], raw[1:]], np.int32(NONE))
+            before = ends[sizes > 1] - 1
+            rank[before] = self.of_last[raw[before], raw[before + 1]]
+            rank[ends] = NONE
             while True:
                 first = np.flatnonzero(np.diff(word, prepend=-1))
                 best = np.minimum.reduceat(rank, first)

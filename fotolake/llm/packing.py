@@ -55,10 +55,9 @@ def difference(sizes: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
             windows[node] = where[0]
             continue
         left, right, order = node
-        of_left, of_right = np.empty(k, int), np.empty(k, int)
-        of_left[order] = where
-        of_right[k - 1 - order] = where
-        stack += [(left, of_left), (right, of_right)]
+        place = np.empty(k, int)
+        place[order] = where
+        stack += [(left, place), (right, place[::-1])]
     return windows, np.bincount(windows, weights=sizes, minlength=k).astype(np.int64)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -13,6 +15,8 @@ from .merging import RankMerger
 PLAIN_LIMIT = 0x180
 #: Most pre-tokens that a worker remembers before it starts over.
 CACHE_ITEMS = 1_000_000
+#: English endings, which stand apart; they are looked for where no letter or number begins a pre-token.
+ENDINGS = "'(?:[stmd]|re|ve|ll)"
 
 
 def letters_and_numbers() -> tuple[str, str]:
@@ -48,6 +52,15 @@ def _bytes(pieces: list) -> list[bytes]:
     return [p if isinstance(p, bytes) else p.encode() for p in pieces]
 
 
+def _learn(split: list, cache: dict, merged: Callable[[list], list]) -> None:
+    """Each different pre-token of some texts that the cache lacks is merged and kept there."""
+    if len(cache) > CACHE_ITEMS:
+        cache.clear()
+    fresh = [w for w in set(chain.from_iterable(filter(None, split))) if w not in cache]
+    if fresh:
+        cache.update(zip(fresh, merged(fresh), strict=True))
+
+
 class CachedByteBpe:
     """Ids of a tokenizers file with byte-level pre-tokens, as little-endian unsigned 32-bit bytes.
 
@@ -59,25 +72,21 @@ class CachedByteBpe:
         self.merger = RankMerger(path)
         letters, numbers = letters_and_numbers()
         # Fixed value: the split pattern of this family of vocabularies.
-        pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\t\n\r {letters}{numbers}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
+        pattern = rf" ?[{letters}]+| ?[{numbers}]+|{ENDINGS}| ?[^\t\n\r {letters}{numbers}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
         self.pieces = _Pieces(self.merger, pattern, False)
         self.cache: dict[str | bytes, bytes] = {}
 
+    def merged(self, words: list) -> list[bytes]:
+        flat, counts = self.merger.merge(_bytes(words))
+        raw, ends = flat.astype("<u4").tobytes(), np.cumsum(4 * counts).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces.of(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_ITEMS:
-            cache.clear()
-        fresh = list({w for words in split if words for w in words if w not in cache})
-        if fresh:
-            flat, counts = self.merger.merge(_bytes(fresh))
-            raw, at = flat.astype("<u4").tobytes(), 0
-            for w, n in zip(fresh, (4 * counts).tolist(), strict=True):
-                cache[w] = raw[at : at + n]
-                at += n
-        whole = self.merger.library.encode
+        _learn(split, self.cache, self.merged)
+        whole, known = self.merger.library.encode, self.cache.__getitem__
         return [
-            np.array(whole(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join([cache[w] for w in words])
+            np.array(whole(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(known, words))
             for t, words in zip(texts, split, strict=True)
         ]
 
@@ -92,18 +101,16 @@ class CachedWordCounts:
         self.merger = RankMerger(path)
         letters, numbers = letters_and_numbers()
         # Fixed value: the split pattern of this family of vocabularies.
-        self.pieces = _Pieces(self.merger, rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t\n\r {letters}{numbers}]+", True)
+        self.pieces = _Pieces(self.merger, rf"[{letters}]+|[{numbers}]|{ENDINGS}|[^\t\n\r {letters}{numbers}]+", True)
         self.cache: dict[str | bytes, int] = {}
 
+    def merged(self, words: list) -> list[int]:
+        return self.merger.merge(_bytes(words))[1].tolist()
+
     def counts(self, texts: list[str]) -> list[int]:
         split = [self.pieces.of(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_ITEMS:
-            cache.clear()
-        fresh = list({w for words in split if words for w in words if w not in cache})
-        if fresh:
-            cache.update(zip(fresh, self.merger.merge(_bytes(fresh))[1].tolist(), strict=True))
-        whole, known = self.merger.library.encode, cache.__getitem__
+        _learn(split, self.cache, self.merged)
+        whole, known = self.merger.library.encode, self.cache.__getitem__
         return [
             len(whole(t, add_special_tokens=False).ids) if words is None else sum(map(known, words))
             for t, words in zip(texts, split, strict=True)

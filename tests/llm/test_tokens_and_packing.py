@@ -1,14 +1,17 @@
+import json
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from fotolake.llm.common import tokenizer
-from fotolake.llm.merging import RankMerger
+from fotolake.llm.merging import NONE, RankMerger
 from fotolake.llm.packing import balanced, difference, pack, packing_report
 from fotolake.llm.token_counts import token_counts
+from fotolake.llm.tokens import CachedByteBpe, CachedWordCounts
 
 ODD = [
     "a<|endoftext|>b", "  x  \n\n y ", "", "it's WE'LL 12ab½²ª q \x1c z\x85 k漢字 мир İstanbul ŸÀ", " don't— “q” € ", "\t\t a\r\n",
@@ -112,3 +115,28 @@ def test_packing_keeps_repeated_and_unnamed_rows(make):
     found = packing_report(make([(1, "a b"), (1, "a b"), (None, "c"), (2, None)]), tokenizer("byte_bpe_50k.json")).collect()
     assert sorted(str(r["doc_id"]) for r in found) == ["1", "1", "2", "None"]
     assert next(r for r in found if r["doc_id"] == 2)["doc_tokens"] == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ranks_of_pairs_are_found_without_bisection(name, monkeypatch):
+    """All pairs of the vocabulary and others get the ranks of a plain table; merging asks no sorted list."""
+    path = tokenizer(name)
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    vocab, rng = model["vocab"], random.Random(5)
+    plain: dict[tuple[int, int], int] = {}
+    for i, (a, b) in enumerate(pairs):
+        plain.setdefault((vocab[a], vocab[b]), i)
+    asked = [*plain, *((rng.randrange(len(vocab)), rng.randrange(len(vocab))) for _ in range(50_000))]
+    merger = RankMerger(path)
+    monkeypatch.setattr(np, "searchsorted", None)
+    found = merger.ranks(*np.array(asked, np.int64).T)
+    assert found.tolist() == [plain.get(x, NONE) for x in asked]
+    text = "It's they're we'll I'd 's're'x ''tis don't 'S 'm9 caf\u00e9's a'b' 'lle 've"
+    kind = CachedByteBpe if name.startswith("byte") else CachedWordCounts
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    if kind is CachedByteBpe:
+        assert np.frombuffer(kind(path).ids([text])[0], "<u4").tolist() == ids
+    else:
+        assert kind(path).counts([text]) == [len(ids)]
