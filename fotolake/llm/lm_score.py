@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled, text_of, tidy
-from .quality import _hash, shape
+from .quality import _hash
 
 SIDE = 2
 HIDDEN = 16
@@ -39,7 +39,7 @@ TEXTS, LONG = 256, 100_000
 STRETCHES = 16
 #: Words held before a task sends them on, and most words that a worker remembers.
 HELD = 1_500_000
-CACHE_ITEMS = 200_000
+CACHE_ITEMS = 400_000
 #: Numbers: 0 lies beyond the ends of a text, then shapes, words equal to the one or the two before, then frequent words.
 BEYOND = 0
 AGAIN, STILL, SHAPE_NUMBERS = 254, 255, 256
@@ -121,14 +121,22 @@ class Network:
             self.embed[place, at] -= rate * slope / np.sqrt(sums)
 
 
+def _top(z: np.ndarray) -> np.ndarray:
+    """The greatest of each row. Rows are short, so halves of all of them are compared at once."""
+    while (n := z.shape[1]) > 1:
+        half = n + 1 >> 1
+        z = np.maximum(z[:, :half], z[:, n - half :])
+    return z[:, 0]
+
+
 def _log_sum(z: np.ndarray) -> np.ndarray:
-    top = z.max(1)
+    top = _top(z)
     return top + np.log(np.exp(z - top[:, None]).sum(1))
 
 
 def _slope(z: np.ndarray, hit: np.ndarray, n: int) -> np.ndarray:
     """Slope of the log loss by scores, over a batch of n."""
-    z -= z.max(1, keepdims=True)
+    z -= _top(z)[:, None]
     np.exp(z, out=z)
     z /= z.sum(1, keepdims=True)
     z[np.arange(len(z)), hit] -= 1
@@ -161,7 +169,7 @@ def windows(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 class _Keys(dict):
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = _hash(0, word) & ~255 | shape(word.decode("utf-8", "replace"))
+        found = self[word] = _hash(0, word)
         return found
 
 

@@ -346,3 +346,30 @@ def test_lower_orders_count_different_contexts(make):
     assert {k: n for (o, k), n in found.items() if o == 3} == tri
     assert {k: n for (o, k), n in found.items() if o == 2} == {k: len(v) for k, v in pairs.items()}
     assert words == {k: len(v) for k, v in before.items()}
+
+
+def test_a_words_shape_is_worked_out_once():
+    """Keys of words hold their hash and shape; only words beyond ASCII that are not plain lower case go the long way."""
+    import sys
+
+    import xxhash
+
+    from fotolake.llm.lm_score import _Keys
+    from fotolake.llm.quality import shape
+
+    rng = random.Random(9)
+    words = {"".join(rng.choice("abCD1.,$#é ßΣ漢ʰªⅷ-'"[: rng.choice((6, 9, 20))]) for _ in range(rng.randint(1, 8))).replace(" ", "x") for _ in range(20_000)}
+    words |= {"plain", "élan", "Élan", "été,", "漢字", "ÉTÉ", "x", "É", "...", "a\u0301"}
+    long_way = [0]
+    keys = _Keys()
+
+    def seen(frame, event, _):
+        long_way[0] += event == "call" and frame.f_code is shape.__code__
+
+    sys.setprofile(seen)
+    try:
+        found = {w: keys[w.encode()] for w in words}
+    finally:
+        sys.setprofile(None)
+    assert found == {w: xxhash.xxh3_64_intdigest(w.encode(), 0) & ~255 | shape(w) for w in words}
+    assert long_way[0] == sum(not w.isascii() and not (w.isalpha() and w.islower()) for w in words)
