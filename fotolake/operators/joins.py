@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotolake.functions.scalars import BANDS, hamming64, hash_band, media_stem, norm_counter, sidecar_target
+from fotolake.functions.scalars import hamming64, hash_band, media_stem, norm_counter, sidecar_target
+from fotolake.operators.hashes import copies
 from fotolake.operators.windows import BLOCK, numbered, prev_next, ranked
 from fotolake.storage import apart, settled
 
@@ -112,29 +112,15 @@ def hash_band_pairs(photos: DataFrame, low: int = 2, high: int = 120) -> DataFra
     return pairs.select("a", "b").distinct()
 
 
-def _packed(top: Column, parts: list[tuple[Column, int]]) -> Column:
-    """One number of top and parts (value, bits) below it, or its hash where all of a hash's bits are parts."""
-    if sum(bits for _, bits in parts) > 56:
-        return F.xxhash64(top, *[value for value, _ in parts])
-    for value, bits in parts:
-        top = F.shiftleft(top, bits).bitwiseOR(value)
-    return top
-
-
 def copy_pairs(photos: DataFrame, most: int = 4) -> DataFrame:
     """(a, b) that link all photos whose hashes differ in at most so many bits (four or fewer), without any cap.
 
-    Equal hashes hang on the least id that has them. Two different ones agree in at least 7 - most of the seven bands, so
-    they meet where those agree wholly; the pairs that meet are compared.
+    Equal hashes hang on the least id that has them; of different ones all pairs are listed (hashes.copies).
     """
     shots = photos.where("trashed = 0 and is_video = 0 and phash is not null").select("id", "phash")
     first = settled(shots.groupBy("phash").agg(F.min("id").alias("a")))
     equal = shots.join(apart(first), "phash").where("id <> a").select("a", F.col("id").alias("b"))
-    # A cell is the number of a choice of bands above their bits.
-    keys = F.array(*[_packed(F.lit(i).cast("long"), [(hash_band(F.col("phash"), b), BANDS[b + 1] - BANDS[b]) for b in bands]) for i, bands in enumerate(combinations(range(7), 7 - most))])
-    cells = first.select("a", "phash", F.explode(keys).alias("cell"))
-    met = cells.alias("x").join(apart(cells.alias("y")), F.col("x.cell") == F.col("y.cell")).where((F.col("x.a") < F.col("y.a")) & (hamming64(F.col("x.phash"), F.col("y.phash")) <= most))
-    return equal.unionByName(met.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct())
+    return equal.unionByName(copies(first, most))
 
 
 def find_known(incoming: DataFrame, known: DataFrame) -> DataFrame:

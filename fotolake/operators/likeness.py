@@ -1,9 +1,9 @@
-"""All pairs of pictures that look alike and lie near each other in time or place, by multi-index hashing and without caps.
+"""All pairs of pictures that look alike and lie near each other in time or place, without caps.
 
-Photos meet in cells: spans of time, or squares of the map. In a cell with few hashes all of them are compared. In a crowded
-one the seven bands of a hash are an index: of two hashes up to 13 bits apart one band differs in a single bit at most, so each
-photo asks for its bands' values and for those one bit away. Equal hashes of one cell are one row, with the first and the last
-photo in time; that is enough to tell whether any two photos of two such rows are near.
+Photos meet in cells: spans of time, or squares of the map. All hashes of a cell are compared, in the task that its rows are
+dealt to (hashes.py), which takes a billionth of a second or two for a pair; fuller cells are dealt to several tasks. Equal hashes of
+one cell are one row, with the first and the last photo in time; that is enough to tell whether any two photos of two such
+rows are near.
 """
 
 from __future__ import annotations
@@ -13,45 +13,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fotolake.functions.scalars import BANDS, hamming64, hash_band, haversine_km
+from fotolake.functions.scalars import haversine_km
+from fotolake.operators.hashes import CROWD, alike_in_cells
 from fotolake.operators.joins import copy_pairs
-from fotolake.storage import apart, settled
+from fotolake.storage import settled
 
-#: Hashes of a cell that are compared without an index.
-CROWD = 256
 #: The diameter that distances are taken on, in km.
 DIAMETER_KM = 12742
 
 
-def band_keys(phash: Column, flips: bool) -> Column:
-    """The seven band values of a hash as array; with flips also those one bit away."""
-    keys = []
-    for b in range(7):
-        value = hash_band(phash, b)
-        near = [value] + [value.bitwiseXOR(F.lit(1 << i).cast("long")) for i in range((BANDS[b + 1] - BANDS[b]) if flips else 0)]
-        keys += [F.lit(b * 1024).cast("long") + v for v in near]
-    return F.array(*keys)
-
-
-def alike_in_cells(points: DataFrame, asks: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame:
-    """(p, q) for an asking row p and a point q of its cell whose hashes differ in at most so many bits (13 or fewer).
-
-    points and asks have cell, phash and a struct p that has phash too. A pair is listed once for each cell where it meets.
-    """
-    if bits > 13:
-        raise ValueError("seven bands find pairs up to 13 bits apart")
-    points = points.select("cell", "phash", F.col("p").alias("q"))
-    asks = asks.select("cell", F.col("phash").alias("asked"), "p")
-    alike = hamming64(F.col("phash"), F.col("asked")) <= bits
-    crowded = settled(points.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("cell"))
-    if crowded.isEmpty():
-        return points.join(apart(asks), "cell").where(alike).select("p", "q")
-    quiet = points.join(apart(crowded), "cell", "left_anti").join(apart(asks), "cell").where(alike).select("p", "q")
-    keyed = points.join(apart(crowded), "cell", "left_semi").withColumn("key", F.explode(band_keys(F.col("phash"), False)))
-    asking = asks.join(apart(crowded), "cell", "left_semi").withColumn("key", F.explode(band_keys(F.col("asked"), bits > 6)))
-    return quiet.unionByName(keyed.join(apart(asking), ["cell", "key"]).where(alike).select("p", "q").distinct())
-
-
 def alike_in_time(shots: DataFrame, window_s: int, bits: int, crowd: int = CROWD) -> DataFrame:
     """(a, b): links of all hashes that any two photos (id, phash, taken_at) at most window_s seconds apart have within bits.
 
@@ -61,13 +31,12 @@ def alike_in_time(shots: DataFrame, window_s: int, bits: int, crowd: int = CROWD
     dated = shots.where("coalesce(taken_at, 0) <> 0")
     when = F.struct("taken_at", "id")
     spans = dated.groupBy("phash", F.floor(F.col("taken_at") / max(window_s, 1)).alias("cell")).agg(F.min(when).alias("first"), F.max(when).alias("last"))
-    spans = settled(spans.select("cell", "phash", F.struct("cell", "phash", "first", "last").alias("p")))
-    asks = spans.withColumn("cell", F.explode(F.array(F.col("cell"), F.col("cell") + 1)))
-    met = alike_in_cells(spans, asks, bits, crowd)
-    same = F.col("p.cell") == F.col("q.cell")
-    met = met.where(F.when(same, F.col("p.first.id") < F.col("q.first.id")).otherwise(F.col("q.first.taken_at") - F.col("p.last.taken_at") <= window_s))
-    links = met.select(F.when(same, F.col("p.first.id")).otherwise(F.col("p.last.id")).alias("a"), F.col("q.first.id").alias("b"))
-    own = spans.where("p.first.id <> p.last.id").select(F.col("p.first.id").alias("a"), F.col("p.last.id").alias("b"))
+    p = F.struct(*[F.col(f"{end}.{c}").alias(f"{end}_{c}") for end in ("first", "last") for c in ("taken_at", "id")])
+    spans = settled(spans.select("cell", "phash", F.col("first.id").alias("id"), p.alias("p")))
+    met = alike_in_cells(spans, spans.withColumn("cell", F.col("cell") + 1), bits, crowd)
+    met = met.where(F.col("same") | (F.col("q.first_taken_at") - F.col("p.last_taken_at") <= window_s))
+    links = met.select(F.when(F.col("same"), F.col("p.first_id")).otherwise(F.col("p.last_id")).alias("a"), F.col("q.first_id").alias("b"))
+    own = spans.where("p.first_id <> p.last_id").select(F.col("p.first_id").alias("a"), F.col("p.last_id").alias("b"))
     return links.unionByName(own)
 
 
@@ -83,32 +52,34 @@ def _columns(row: Column, height: float, metres: float) -> Column:
     return F.greatest(F.floor(360 / (reach * 1.000001)), F.lit(1).cast("long"))
 
 
-def _cells(row: Column, lng: Column, height: float, metres: float, around: bool) -> Column:
-    """The cell of a longitude in a row, with the cells left and right of it if around."""
-    count = _columns(row, height, metres)
-    at = F.least(F.floor(F.pmod(lng + 180, F.lit(360.0)) / (360 / count)), count - 1)
-    name = lambda c: row * F.lit(1 << 32) + F.pmod(c, count)
-    return F.array(*[name(at + d) for d in ((-1, 0, 1) if around else (0,))])
-
-
 def alike_in_place(shots: DataFrame, metres: float, bits: int, crowd: int = CROWD) -> DataFrame:
-    """(a, b): links of all hashes that any two photos (id, phash, lat, lng) at most so many metres apart have within bits."""
+    """(a, b): links of all hashes that any two photos (id, phash, lat, lng) at most so many metres apart have within bits.
+
+    A photo asks its own cell, the one to the right and the three above; of two photos that are near, one asks for the other.
+    """
     reach = max(metres, 0.001)
     height = reach / 1000 / (math.pi * DIAMETER_KM / 360) * 1.000001
     placed = shots.where("lat is not null and lng is not null").groupBy("phash", "lat", "lng").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    placed = settled(placed.select("phash", F.struct("phash", "lat", "lng", "id", "last").alias("p")))
-    row = _row(F.col("p.lat"), height)
-    points = placed.withColumn("cell", _cells(row, F.col("p.lng"), height, reach, False)[0])
-    asks = placed.withColumn("cell", F.explode(F.array_distinct(F.flatten(F.array(*[_cells(row + d, F.col("p.lng"), height, reach, True) for d in (-1, 0, 1)])))))
-    met = alike_in_cells(points, asks, bits, crowd).where("p.id < q.id")
+    placed = placed.withColumn("row", _row(F.col("lat"), height)).withColumn("n0", _columns(F.col("row"), height, reach)).withColumn("n1", _columns(F.col("row") + 1, height, reach))
+    at = lambda n: F.least(F.floor(F.pmod(F.col("lng") + 180, F.lit(360.0)) / (360 / F.col(n))), F.col(n) - 1)
+    placed = settled(placed.select("row", "n0", "n1", at("n0").alias("at0"), at("n1").alias("at1"), "phash", "id", F.struct("lat", "lng", "id", "last").alias("p")))
+    cell = lambda up, right: (F.col("row") + up) * F.lit(1 << 32) + F.pmod(F.col(f"at{up}") + right, F.col(f"n{up}"))
+    # A row of few cells has the same one on both sides.
+    around = [F.when(F.col(f"n{up}") >= least, cell(up, right)) for up, right, least in ((0, 1, 2), (1, 0, 1), (1, 1, 2), (1, -1, 3))]
+    own = placed.select(cell(0, 0).alias("cell"), "phash", "id", "p")
+    asks = placed.select(F.explode(F.array(*around)).alias("cell"), "phash", "id", "p").where("cell is not null")
+    met = alike_in_cells(own, asks, bits, crowd)
     near = met.where(haversine_km(F.col("p.lat"), F.col("p.lng"), F.col("q.lat"), F.col("q.lng")) * 1000 <= metres)
-    own = placed.where("p.id <> p.last").select(F.col("p.id").alias("a"), F.col("p.last").alias("b"))
-    return near.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).unionByName(own)
+    equal = placed.where("p.id <> p.last").select(F.col("p.id").alias("a"), F.col("p.last").alias("b"))
+    return near.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).unionByName(equal)
 
 
 def all_alike(photos: DataFrame, dup: int = 4, sim: int = 12, window_s: int = 600, place_m: float = 150.0, crowd: int = CROWD) -> DataFrame:
     """(a, b) such that groups by these links are those by all pairs of photos within sim bits that are near in time or place, and
-    all within dup bits. Equal hashes are not expanded into pairs; no link between different hashes is lost."""
+    all within dup bits. Equal hashes are not expanded into pairs; no link between different hashes is lost. sim is 13 or less."""
+    if sim > 13:
+        raise ValueError("hashes more than 13 bits apart are not alike")
     shots = settled(photos.where("trashed = 0 and is_video = 0 and phash is not null").select("id", "phash", "taken_at", "lat", "lng"))
-    near = alike_in_time(shots, window_s, sim, crowd).unionByName(alike_in_place(shots, place_m, sim, crowd))
-    return near.unionByName(copy_pairs(photos, dup)).where("a <> b")
+    # One after the other, so that what one has shuffled is gone when the next begins.
+    near = settled(alike_in_time(shots, window_s, sim, crowd)).unionByName(settled(alike_in_place(shots, place_m, sim, crowd)))
+    return near.unionByName(settled(copy_pairs(photos, dup))).where("a <> b")
