@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fotolake.functions.scalars import hamming64, haversine_km, signed_round
 from fotolake.operators.aggregates import person_centroids
-from fotolake.operators.joins import copy_pairs, hash_band_pairs, near_hashes, time_neighbors
 from fotolake.operators.likeness import all_alike
 from fotolake.operators.vectors import dot, norm
 from fotolake.operators.windows import merit, ranked
@@ -67,21 +66,20 @@ def distinct_ids(ids: DataFrame, order: str) -> DataFrame:
     return ids.groupBy("id").agg(F.min(order).alias(order)).orderBy(order)
 
 
-def similar_edges(photos: DataFrame, dup: int = 4, sim: int = 12, window_s: int = 600, place_m: float = 150.0, most: int = 40, bucket: int = 120, exact: bool = False) -> DataFrame:
+def similar_edges(photos: DataFrame, dup: int = 4, sim: int = 12, window_s: int = 600, place_m: float = 150.0, bucket: int | None = None, exact: bool = True) -> DataFrame:
     """(a, b, bits, copy, near_time, near_place) of pairs that look alike and are copies, or close in time or place.
 
-    Candidates are up to most following photos in time, photos that share a band of the hash with at most bucket others, and
-    all near copies. With exact no setting limits them: the links then join what all pairs would (likeness.all_alike).
+    The links join what all pairs of photos would (likeness.all_alike); nothing caps them. bucket, the rows of a cell that one
+    task takes, changes how they are found and not which. There is no other way than the exact one.
     """
-    shots = photos.where("phash is not null")
-    if exact:
-        pairs = all_alike(shots, dup, sim, window_s, place_m)
-    else:
-        pairs = time_neighbors(shots, window_s, most).unionByName(hash_band_pairs(shots, 2, bucket)).unionByName(copy_pairs(shots, dup))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = near_hashes(pairs, photos, sim)
-    where = photos.select("id", "taken_at", "lat", "lng")
-    both = near.join(apart(where.withColumnsRenamed({"id": "a", "taken_at": "ta", "lat": "lat_a", "lng": "lng_a"})), "a").join(apart(where.withColumnsRenamed({"id": "b", "taken_at": "tb", "lat": "lat_b", "lng": "lng_b"})), "b")
+    if not exact:
+        raise ValueError("similar photos are always found exactly")
+    pairs = all_alike(photos.where("phash is not null"), dup, sim, window_s, place_m, *([] if bucket is None else [bucket]))
+    pairs = settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    shots = photos.where("trashed = 0 and is_video = 0 and phash is not null").select("id", "phash", "taken_at", "lat", "lng")
+    one = shots.select(F.col("id").alias("a"), F.col("phash").alias("ha"), F.col("taken_at").alias("ta"), F.col("lat").alias("lat_a"), F.col("lng").alias("lng_a"))
+    two = shots.select(F.col("id").alias("b"), F.col("phash").alias("hb"), F.col("taken_at").alias("tb"), F.col("lat").alias("lat_b"), F.col("lng").alias("lng_b"))
+    both = settled(pairs.join(apart(one), "a")).join(apart(two), "b").withColumn("bits", hamming64(F.col("ha"), F.col("hb"))).where(F.col("bits") <= sim)
     km = haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
     marks: list[Column] = [
         (F.col("bits") <= dup).alias("copy"),

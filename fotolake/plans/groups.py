@@ -123,6 +123,14 @@ links as (select a, b, bits <= 4 as copy, t, p from d where bits <= 4 or t or p)
 e as (select a, b from links union select b, a from links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x),
 root as (select n, min(x) as grp from r group by 1)"""
 
+MEMBERS = ALL_PAIRS + " select grp, n as id from root"
+GROUPS = (
+    ALL_PAIRS
+    + f""", g as (select grp, count(*) as n, arg_max(id, {MERIT}) as best, min(taken_at) as taken_at from root join s on s.id = root.n group by 1),
+k as (select grp, bool_and(copy) as c, bool_or(t) as t, bool_or(p) as p from links join root on root.n = a group by 1)
+select grp, n, case when c then 'copy' else 'similar' end as kind, best, list_filter([case when p then 'place' end, case when t then 'time' end], lambda x: x is not null) as why, taken_at from g join k using (grp)"""
+)
+
 SQL = {
     k: with_tables(v)
     for k, v in {
@@ -133,42 +141,10 @@ SQL = {
         "x05_distinct_ids": "select user_id * 7 % 101 as id, min(event_id) as at from events group by 1",
         "g02_linked_tags": "with recursive e as (select a, b from tag_links union select b, a from tag_links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x) select n as tag_id, min(x) as root from r group by 1",
         "g03_apply_tag_links": "with recursive e as (select a, b from tag_links union select b, a from tag_links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x) select distinct photo_id, x as tag_id, 'link' as source from photo_tags join r on n = tag_id where (photo_id, x) not in (select (photo_id, tag_id) from photo_tags)",
-        "g01_exact_members": ALL_PAIRS + " select grp, n as id from root",
-        "g01_exact_groups": ALL_PAIRS + f""", g as (select grp, count(*) as n, arg_max(id, {MERIT}) as best, min(taken_at) as taken_at from root join s on s.id = root.n group by 1),
-k as (select grp, bool_and(copy) as c, bool_or(t) as t, bool_or(p) as p from links join root on root.n = a group by 1)
-select grp, n, case when c then 'copy' else 'similar' end as kind, best, list_filter([case when p then 'place' end, case when t then 'time' end], lambda x: x is not null) as why, taken_at from g join k using (grp)""",
-        "g01_members": f"""
-with recursive s as (select * from photos where trashed = 0 and is_video = 0 and phash is not null),
-o as (select *, row_number() over (order by taken_at, id) as p from s where taken_at > 0),
-bands as (select id, unnest([0, 1, 2, 3, 4, 5, 6]) as band, unnest([phash & 511, (phash >> 9) & 511, (phash >> 18) & 511, (phash >> 27) & 511, (phash >> 36) & 511, (phash >> 45) & 511, (phash >> 54) & 1023]) as bits from s),
-used as (select band, bits from bands group by 1, 2 having count(*) between 2 and 120),
-cand as (select x.id as a, y.id as b from o x join o y on y.p between x.p + 1 and x.p + 40 and y.taken_at - x.taken_at <= 600
-  union select x.id, y.id from bands x join used using (band, bits) join bands y on y.band = x.band and y.bits = x.bits and x.id < y.id),
-c as (select distinct least(a, b) as a, greatest(a, b) as b from cand),
-d as (select c.a, c.b, bit_count(xor(x.phash, y.phash)) as bits, abs(x.taken_at - y.taken_at) <= 600 as t,
-  coalesce(12742000 * asin(least(1, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lng - x.lng) / 2), 2)))) <= 150, false) as p
-  from c join s x on x.id = c.a join s y on y.id = c.b),
-links as (select a, b, bits <= 4 as copy, t, p from d where bits <= 12 and (bits <= 4 or t or p)),
-e as (select a, b from links union select b, a from links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x),
-root as (select n, min(x) as grp from r group by 1)
-select grp, n as id from root""",
-        "g01_similar_groups": f"""
-with recursive s as (select * from photos where trashed = 0 and is_video = 0 and phash is not null),
-o as (select *, row_number() over (order by taken_at, id) as p from s where taken_at > 0),
-bands as (select id, unnest([0, 1, 2, 3, 4, 5, 6]) as band, unnest([phash & 511, (phash >> 9) & 511, (phash >> 18) & 511, (phash >> 27) & 511, (phash >> 36) & 511, (phash >> 45) & 511, (phash >> 54) & 1023]) as bits from s),
-used as (select band, bits from bands group by 1, 2 having count(*) between 2 and 120),
-cand as (select x.id as a, y.id as b from o x join o y on y.p between x.p + 1 and x.p + 40 and y.taken_at - x.taken_at <= 600
-  union select x.id, y.id from bands x join used using (band, bits) join bands y on y.band = x.band and y.bits = x.bits and x.id < y.id),
-c as (select distinct least(a, b) as a, greatest(a, b) as b from cand),
-d as (select c.a, c.b, bit_count(xor(x.phash, y.phash)) as bits, abs(x.taken_at - y.taken_at) <= 600 as t,
-  coalesce(12742000 * asin(least(1, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lng - x.lng) / 2), 2)))) <= 150, false) as p
-  from c join s x on x.id = c.a join s y on y.id = c.b),
-links as (select a, b, bits <= 4 as copy, t, p from d where bits <= 12 and (bits <= 4 or t or p)),
-e as (select a, b from links union select b, a from links), r as (select a as n, a as x from e union select r.n, e.b from r join e on e.a = r.x),
-root as (select n, min(x) as grp from r group by 1),
-g as (select grp, count(*) as n, arg_max(id, {MERIT}) as best, min(taken_at) as taken_at from root join s on s.id = root.n group by 1),
-k as (select grp, bool_and(copy) as c, bool_or(t) as t, bool_or(p) as p from links join root on root.n = a group by 1)
-select grp, n, case when c then 'copy' else 'similar' end as kind, best, list_filter([case when p then 'place' end, case when t then 'time' end], lambda x: x is not null) as why, taken_at from g join k using (grp)""",
+        "g01_exact_members": MEMBERS,
+        "g01_exact_groups": GROUPS,
+        "g01_members": MEMBERS,
+        "g01_similar_groups": GROUPS,
         "g05_suggest_names": """
 with f as (select label * 2 + case when id % 6 = 0 then 0 else 1 end as cluster, case when id % 6 = 0 then label end as person_id, label, embedding::double[] as v from faces),
 x as (select cluster, person_id, unnest(v) + case when generate_subscripts(v, 1) = label + 1 then 3 else 0 end as x, generate_subscripts(v, 1) as i from f),
