@@ -82,3 +82,14 @@ def test_bigrams_of_a_rare_word_meet_in_one_part():
                 if order == 2:
                     pairs += int(((q._decoded(2, keys) >> q.ID_BITS) == 700).sum())
     assert pairs == 1
+
+
+def test_an_ngram_is_stored_whatever_the_corpus(spark, monkeypatch):
+    """Formerly a share of all words decided, 85 occurrences over half a GB; and judging sent the stored ones through the driver."""
+    docs = spark.createDataFrame([(i, f"the first of all {i} words and the last of them " * 3, "en") for i in range(9)], "doc_id long, text string, lang string")
+    few = q.fit(docs, 3)[1].arrays["p3"][0]
+    vocabulary = q.vocabulary
+    monkeypatch.setattr(q, "vocabulary", lambda *how: (lambda words, total, *rest: (words, total * 10**9, *rest))(*vocabulary(*how)))
+    assert len(few) > 5 and (q.fit(docs, 3)[1].arrays["p3"][0] == few).all()
+    monkeypatch.setattr(q.Model, "learn", None)
+    assert q.quality(docs).count() == 9
